@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from barloom.llm.decontaminate import op9_benchmark_decontamination
 from barloom.llm.packing import op5_best_fit_packing
+from barloom.llm.quality import op6_compression_quality
 from barloom.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_compression_quality, op8_toxicity, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
