@@ -6,6 +6,7 @@ from barloom.llm.decontaminate import op9_benchmark_decontamination
 from barloom.llm.packing import op5_best_fit_packing
 from barloom.llm.quality import op6_compression_quality
 from barloom.llm.toxicity import op8_toxicity
+from barloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_compression_quality, op8_toxicity, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_warc, op5_best_fit_packing, op6_compression_quality, op8_toxicity, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
