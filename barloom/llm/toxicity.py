@@ -26,7 +26,7 @@ from barloom.llm.shared import pieces, utf8, with_documents_columns
 from barloom.llm.words import prefix_hash, span_hash, scramble
 
 WIDTH_BITS = 42
-SAMPLE = 6000
+SAMPLE = 3000
 HEAD = 6
 REJECT_FROM = 0.2
 _LETTERS = np.zeros(256, bool)
@@ -58,6 +58,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, slot, np.log1p(counts)
 
 
+def _in_parts(texts: list[str], rows: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many texts, in memory for few."""
+    got = []
+    for at in range(0, len(texts), rows):
+        text, slot, value = features(*utf8(pa.array(texts[at : at + rows], pa.string())))
+        got.append((text + at, slot, value))
+    return tuple(np.concatenate(c) for c in zip(*got))
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -83,8 +92,7 @@ def fit(texts: list[str], toxic: list[int], evidence: float = 5.0, rounds: int =
     y01 = np.array(toxic, int)
     if not len(y01) or y01.min() == y01.max():
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([4.0, 6.0]) * (1 if not y01.sum() else -1) if len(y01) else np.array([4.0, 6.0]))
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    text, slot, value = features(data, offsets)
+    text, slot, value = _in_parts(texts)
     slots, column = np.unique(slot, return_inverse=True)
     in_bad = np.bincount(column, y01[text], len(slots))
     in_all = np.bincount(column, minlength=len(slots)).astype(float)
