@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from barloom.llm.decontaminate import op9_benchmark_decontamination
 from barloom.llm.embedding_dedup import op10_inverted_multi_index
+from barloom.llm.minhash import op3_weighted_minhash
 from barloom.llm.ngram_lm import op1_deleted_interpolation
 from barloom.llm.packing import op5_best_fit_packing
 from barloom.llm.quality import op6_compression_quality
 from barloom.llm.toxicity import op8_toxicity
 from barloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op4_warc, op5_best_fit_packing, op6_compression_quality, op8_toxicity, op9_benchmark_decontamination, op10_inverted_multi_index)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_weighted_minhash, op4_warc, op5_best_fit_packing, op6_compression_quality, op8_toxicity, op9_benchmark_decontamination, op10_inverted_multi_index)}
 ORACLE_SQL: dict[str, str] = {}
