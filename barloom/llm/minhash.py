@@ -79,8 +79,8 @@ def sample(grams: np.ndarray, w: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(29)
         r = _GAMMA[(x & np.uint64(_TABLE - 1)).astype(np.intp)]
         beta = _UNIFORM[((x >> np.uint64(14)) & np.uint64(_TABLE - 1)).astype(np.intp)]
-        # c ~ Gamma(2, 1) from two uniforms: one of 24 bits, whose small values decide, and one of the table
-        u = ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+        # c ~ Gamma(2, 1) from two uniforms: one of 23 bits, whose small values decide, and one of the table
+        u = ((x >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
         v = _UNIFORM[((x >> np.uint64(26)) & np.uint64(_TABLE - 1)).astype(np.intp)]
         c = -np.log1p(-u) - np.log(np.maximum(v, np.float32(1e-7)))
         level = np.floor(lw / r + beta)
