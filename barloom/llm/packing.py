@@ -27,33 +27,77 @@ from pyspark.sql import functions as F
 from barloom.llm.shared import materialise, pieces, with_documents_columns
 
 CAPACITY = 2048
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 _KEPT: dict = {}
 
 
 def _encoder(path: str):
-    """Words' ids as bytes, through a cache: the tokenizer never looks across white space."""
+    """Texts' ids as bytes, through caches.
+
+    The tokenizer never looks across white space, nor does it join letters with
+    the marks after them; so a word of Latin letters is looked up by its small
+    letters, apart from its tail of marks. New words are encoded many at a
+    time, joined by spaces, and told apart by their last ids.
+    """
     if path not in _KEPT:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _KEPT[path] = Tokenizer.from_file(path), {}
-    tokenizer, cache = _KEPT[path]
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            ends[i] = token.endswith("</w>")
+        _KEPT[path] = tokenizer, ends, {}, {}
+    tokenizer, ends, chunks, letters = _KEPT[path]
+
+    def alone(words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn_letters(words: list[str]) -> None:
+        groups = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for group, got in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            last = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(last) != len(group):
+                letters.update(zip(group, alone(group)))
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(group, last.tolist()):
+                letters[word] = raw[at:end]
+                at = end
+
+    def learn(new: list[str]) -> None:
+        split, odd = [], []
+        for chunk in new:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha() and max(word) <= "\xff":
+                split.append((chunk, word.lower(), chunk[len(word) :]))
+            else:
+                odd.append(chunk)
+        tails = {tail for _, _, tail in split if tail} - chunks.keys()
+        odd += tails
+        chunks.update(zip(odd, alone(odd)))
+        if len(letters) > 2 * CACHED_WORDS:
+            letters.clear()
+        learn_letters(list({word for _, word, _ in split} - letters.keys()))
+        for chunk, word, tail in split:
+            chunks[chunk] = letters[word] + chunks[tail] if tail else letters[word]
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - cache.keys())
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(got.ids, "<u4").tobytes()
-        get = cache.__getitem__
+        every = set().union(*split)
+        new = list(every - chunks.keys())
+        if len(chunks) + len(new) > CACHED_WORDS:
+            chunks.clear()
+            new = list(every)
+        if new:
+            learn(new)
+        get = chunks.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
     return encode
@@ -208,3 +252,10 @@ def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs and their places in sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
