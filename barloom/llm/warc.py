@@ -38,6 +38,7 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 SHARED = 1000
 ROWS_PER_FILE = 50_000
+BROADCAST_REVISITS = 300_000
 _M = MAGIC.encode()
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,6 +59,9 @@ def records(pages: DataFrame) -> DataFrame:
     thin = rows.filter(F.col("size") >= SHARED).select("page_id", "digest")
     first = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
     again = thin.join(first, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    again = materialise(again, "revisits")
+    if again.count() <= BROADCAST_REVISITS:  # some 100 bytes each; beyond that, a sort-merge join
+        again = F.broadcast(again)
     return rows.join(again, ["page_id", "digest"], "left")
 
 
