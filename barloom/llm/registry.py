@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.llm.decontaminate import op9_benchmark_decontamination
 from barloom.llm.embedding_dedup import op10_inverted_multi_index
+from barloom.llm.html_extract import op2_recurrent_labeller
 from barloom.llm.minhash import op3_weighted_minhash
 from barloom.llm.ngram_lm import op1_deleted_interpolation
 from barloom.llm.packing import op5_best_fit_packing
@@ -12,5 +13,5 @@ from barloom.llm.suffix_dedup import op7_suffix_array_dedup
 from barloom.llm.toxicity import op8_toxicity
 from barloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_weighted_minhash, op4_warc, op5_best_fit_packing, op6_compression_quality, op7_suffix_array_dedup, op8_toxicity, op9_benchmark_decontamination, op10_inverted_multi_index)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_recurrent_labeller, op3_weighted_minhash, op4_warc, op5_best_fit_packing, op6_compression_quality, op7_suffix_array_dedup, op8_toxicity, op9_benchmark_decontamination, op10_inverted_multi_index)}
 ORACLE_SQL: dict[str, str] = {}
