@@ -16,10 +16,10 @@ windows have equal anchors at equal places, so a run of windows with one anchor
 content. Anchor contents that occur once are left out, by a round over all
 documents (see blocks); in a second round the contexts go to buckets of anchor
 contents, equal contexts of a block as one with their number. A bucket cuts
-its distinct contexts into symbols of 16 bytes, in step with their anchors, and
-sorts the suffixes of their concatenation. A window holds at least 11 whole
-symbols; runs of the suffix array that agree on 11 symbols have windows that
-may be equal, and what is left of these windows, less than 16 bytes on either
+its distinct contexts into symbols of 32 bytes, in step with their anchors, and
+sorts the suffixes of their concatenation. A window holds at least 5 whole
+symbols; runs of the suffix array that agree on 5 symbols have windows that
+may be equal, and what is left of these windows, less than 32 bytes on either
 side, is compared by hashes of whole windows, weighted with their numbers.
 
 Null texts are empty; texts shorter than `LENGTH` bytes lose nothing. Equal
@@ -42,10 +42,10 @@ from barloom.llm.words import powers, scramble, span_hash
 
 LENGTH = 200
 ANCHOR = 16
-SYMBOL = 16
+SYMBOL = 32
 WHOLE = (LENGTH - SYMBOL + 1) // SYMBOL  # symbols that any window holds whole
 _TABLE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
-_BATCH = 400_000  # symbols sorted at a time, at least a whole anchor content's
+_BATCH = 120_000  # symbols sorted at a time, at least a whole anchor content's
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -162,7 +162,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = ok & np.concatenate(((anchor[1:] != anchor[:-1]) | ~ok[1:], [True]))
     first, last = np.flatnonzero(new), np.flatnonzero(last)
     place = anchor[first]
-    return h[place], place, first, last
+    return scramble(h[place]), place, first, last  # scrambled: anchors have small hashes, buckets are ranges
 
 
 _PIECE = 1 << 21
@@ -227,9 +227,9 @@ def find(hashes: np.ndarray, shift: np.ndarray, runs: np.ndarray, times: np.ndar
     context = np.repeat(np.arange(len(runs)), count)
     within = np.arange(int(count.sum())) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
     at = starts[context] + lead[context] + within * SYMBOL
-    view = np.lib.stride_tricks.sliding_window_view(data, SYMBOL)[at] if len(at) else np.zeros((0, SYMBOL), np.uint8)
-    pairs = np.ascontiguousarray(view).view("<u8").reshape(-1, 2)
-    _, rank = np.unique(scramble(pairs[:, 0]) + pairs[:, 1] * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers(len(data))[0], out=prefix[1:])
+    _, rank = np.unique(span_hash(prefix, at, at + SYMBOL), return_inverse=True)
     # each context ends with a number of its own, below all symbols; the last is the least
     n = len(runs)
     ends = np.cumsum(count + 1) - 1
@@ -259,8 +259,6 @@ def find(hashes: np.ndarray, shift: np.ndarray, runs: np.ndarray, times: np.ndar
     ok = (begin >= 0) & (begin < runs[c][:, None])
     c = np.broadcast_to(c[:, None], begin.shape)[ok]
     begin = begin[ok]
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(len(data))[0], out=prefix[1:])
     s = starts[c] + begin
     mark = span_hash(prefix, s, s + LENGTH)
     _, number = np.unique(mark, return_inverse=True)
