@@ -10,11 +10,10 @@ band are candidates and are verified by exact weighted Jaccard similarity.
 
 Equal texts are one class before anything else, and only their representative
 (smallest doc_id) goes on. Within a band's bucket nobody meets everybody: all
-are compared with the bucket's first text, then with up to `HEADS` further ones
-that are not in its component. What still isn't in the first one's component
-meets the rest of its bucket, except where the distances from the first text
-rule a link out: 1 - similarity obeys the triangle inequality, so texts whose
-distances differ by more than 1 - `LEAST` are not linked. So no link between
+are compared with the bucket's first text (the one that shares most bands with
+others: of copies, their original). Texts that are then in another component
+than their bucket's first are joined exactly with all that share a band with
+anyone, by a prefix filter on their rarest shingles. So no link between
 candidates is lost. A text's comparisons are dealt out in groups of `GROUP`, so
 that one with very many copies is the work of many tasks. Classes are connected
 components of verified links.
@@ -43,7 +42,6 @@ N = 5
 BANDS, ROWS = 12, 4
 LEAST = 0.8
 GROUP = 256
-HEADS = 2
 _TABLE = 1 << 14
 _rng = np.random.default_rng(31)
 #: Draws of Gamma(2, 1), its logarithm, and of Uniform(0, 1); a shingle's bits pick among them.
@@ -152,8 +150,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return materialise(corpus.map(sign, _SIGNED), "signatures")
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of (ascending shingles, weights)."""
+def jaccard(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard similarity of (ascending shingles, weights, ...)."""
     k = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
     both = a[0][k] == b[0]
     least = np.minimum(a[1][k[both]], b[1][both]).sum()
@@ -171,18 +169,20 @@ def _vectors(docs: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
                 raw = text.encode()
                 block = Block(0, [rep], np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 _, grams, times = _weighted(block)
-                w = weights(times, get_counts(in_docs), total)
+                in_docs = get_counts(in_docs)
                 head = put_sorted(grams)
-                out.append((rep, len(head).to_bytes(4, "little") + head + w.astype("<f8").tobytes()))
+                out.append((rep, len(head).to_bytes(4, "little") + head + weights(times, in_docs, total).astype("<f8").tobytes() + in_docs.astype("<i8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["rep", "body"])
 
     return materialise(rows.mapInArrow(work, "rep long, body binary"), "vectors")
 
 
-def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, weights, document frequencies."""
     cut = 4 + int.from_bytes(body[:4], "little")
-    return get_sorted(body[4:cut]), np.frombuffer(body, "<f8", -1, cut)
+    grams = get_sorted(body[4:cut])
+    return grams, np.frombuffer(body, "<f8", len(grams), cut), np.frombuffer(body, "<i8", len(grams), cut + 8 * len(grams))
 
 
 def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -219,32 +219,22 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # a row for each representative and band
     reps = signed.join(exact, "text_key").filter("doc_id = rep").dropDuplicates(["rep"])
     banded = materialise(reps.select("rep", F.explode("bands").alias("band")), "banded")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("head")).filter("n > 1").select("band", "head")
-    inside = materialise(banded.join(shared, "band").select("band", "rep", "head"), "inside")
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    joint = banded.join(shared, "band")
+    # whom most texts share bands with comes first: the text that copies were made from, rather than one of the copies
+    rank = joint.groupBy("rep").agg((-F.sum("n")).alias("n")).select("rep", F.struct("n", "rep").alias("rank"))
+    joint = materialise(joint.select("band", "rep").join(rank, "rep"), "joint")
+    inside = materialise(joint.join(joint.groupBy("band").agg(F.min("rank").alias("first")), "band").select("band", "rep", "rank", F.col("first.rep").alias("head")), "inside")
     wanted = reps.select("rep", "in_docs").join(inside.select("rep").distinct(), "rep", "left_semi")
     vectors = _vectors(docs, wanted, total)
-    apart = 1 - least
-    first = materialise(_compared(inside.filter("rep <> head").select("head", "rep").distinct(), vectors), "compared")
-    compared = first
-    placed = materialise(inside.join(first, ["head", "rep"], "left").select("band", "rep", "head", (1 - F.coalesce("similarity", F.lit(1.0))).alias("far")), "placed")
+    compared = materialise(_compared(inside.filter("rep <> head").select("head", "rep").distinct(), vectors), "compared")
     part = _parts(compared, least)
-    heads = None
-    for k in range(HEADS + 1):
-        now = placed.join(part, F.col("rep") == F.col("node"), "left").select("band", "rep", "head", "far", F.coalesce("component", "rep").alias("of"))
-        own = now.filter("rep = head").select("band", F.col("of").alias("of_head"))
-        other = now.join(own, "band").filter("of <> of_head")
-        if k < HEADS:  # a further head: the smallest text that neither is in the first one's component nor has been a head
-            if heads is not None:
-                other = other.join(heads, "band", "left").filter("last is null or rep > last")
-            other = other.groupBy("band").agg(F.min_by(F.struct("rep", "far", "of"), "rep").alias("x")).select("band", "x.*")
-        other = materialise(other.select("band", F.col("rep").alias("head"), F.col("far").alias("head_far"), F.col("of").alias("of_head")), "other")
-        if not other.limit(1).count():
-            break
-        heads = other.groupBy("band").agg(F.max("head").alias("last"))
-        near = now.select("band", "rep", "far", "of").join(other, "band").filter((F.col("of") != F.col("of_head")) & (F.abs(F.col("far") - F.col("head_far")) <= apart + 1e-9))
-        pairs = near.select(F.least("head", "rep").alias("head"), F.greatest("head", "rep").alias("rep")).distinct()
-        pairs = pairs.join(compared.select(F.least("head", "rep").alias("head"), F.greatest("head", "rep").alias("rep")), ["head", "rep"], "left_anti")
-        compared = materialise(compared.union(_compared(materialise(pairs, "pairs"), vectors)), "compared")
+    now = inside.join(part, F.col("rep") == F.col("node"), "left").select("band", "rep", "head", F.coalesce("component", "rep").alias("of"))
+    own = now.filter("rep = head").select("band", F.col("of").alias("of_head"))
+    every = materialise(now.select("rep", "of").distinct(), "every")
+    apart = materialise(now.join(own, "band").filter("of <> of_head").select("rep", "of").distinct(), "apart")
+    if apart.limit(1).count():
+        compared = compared.union(_compared(_joined(every, apart, vectors, least), vectors))
         part = _parts(compared, least)
     classes = exact.join(part, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "text_key").join(classes, "text_key", "left")
@@ -252,6 +242,36 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return out.select("doc_id", F.when(found, F.col("class_id")).alias("class_id"), (~found | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
+def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (head, rep) of a text of `apart` and one of `every` in another component that may be similar enough.
+
+    An exact filter. In the order of rising document frequency, two texts whose
+    first common shingle is g overlap by no more than either weighs from g on;
+    and they must overlap by least / (1 + least) of their joint weight. So g is
+    within the first 1 - least of either text's weight, which is mostly what
+    a text has for itself, and both must weigh enough from there on."""
+
+    def prefixes(batches):
+        for batch in batches:
+            out = []
+            for rep, body in zip(batch.column("rep").to_pylist(), batch.column("body").to_pylist()):
+                grams, w, in_docs = _opened(body)
+                order = np.lexsort((grams, in_docs))
+                whole = w.sum()
+                left = whole - (np.cumsum(w[order]) - w[order])
+                n = int((left >= least * whole * (1 - 1e-9)).sum())
+                out += zip(grams[order[:n]].astype(np.int64).tolist(), [rep] * n, [whole] * n, left[:n].tolist())
+            for at in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 20_000]), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["gram", "rep", "whole", "left"])
+
+    grams = materialise(vectors.mapInArrow(prefixes, "gram long, rep long, whole double, left double"), "prefixes")
+    a = grams.join(apart, "rep").select("gram", *(F.col(c).alias(f"a_{c}") for c in ("rep", "whole", "left", "of")))
+    b = grams.join(every, "rep").select("gram", *(F.col(c).alias(f"b_{c}") for c in ("rep", "whole", "left", "of")))
+    enough = F.least("a_left", "b_left") >= least / (1 + least) * (F.col("a_whole") + F.col("b_whole")) * (1 - 1e-9)
+    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a_of") != F.col("b_of")) & enough)
+    return materialise(pairs.select(F.least("a_rep", "b_rep").alias("head"), F.greatest("a_rep", "b_rep").alias("rep")).distinct(), "pairs")
+
+
 def _parts(compared: DataFrame, least: float) -> DataFrame:
     return materialise(components(compared.filter(F.col("similarity") >= least).select(F.col("head").alias("a"), F.col("rep").alias("b"))), "parts")
 
