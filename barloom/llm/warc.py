@@ -284,3 +284,10 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/barloom/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
     return read(spark, at, payloads=False).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url")
+
+
+#: What must come back, in SQL: the archives themselves have no place in it.
+OP4_SQL = """WITH p AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, encode(coalesce(html, '')) AS b FROM pages),
+ d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h FROM p), f AS (SELECT h, max(page_id) AS m FROM d WHERE n >= 1000 GROUP BY 1)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest, CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to, url FROM d LEFT JOIN f ON d.h = f.h"""

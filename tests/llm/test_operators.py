@@ -475,6 +475,19 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, split, broadcast):
     assert all(bytes(r["payload"]) == html[r["page_id"]] for r in got if r["type"] == "response")
 
 
+def test_warc_query_equals_its_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{at}/pages.parquet')")
+    want = c.execute(warc.OP4_SQL)
+    names = [d[0] for d in want.description]
+    got = warc.op4_warc(spark, at)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+
+
 # vectors
 
 
