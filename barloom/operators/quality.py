@@ -31,13 +31,6 @@ def _issue(rows: DataFrame, check: str, severity: str, detail: Column, start: Co
     return rows.select("symbol", F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"), (none if start is None else start).alias("range_start"), (none if end is None else end).alias("range_end"))
 
 
-def _found(rows: DataFrame, check: str, severity: str, text: str) -> DataFrame:
-    """One issue for each symbol that has rows; text holds {n}."""
-    a, b = text.split("{n}")
-    some = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("b"))
-    return _issue(some, check, severity, F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b)), F.col("a"), F.col("b"))
-
-
 def lengths(bars: DataFrame, limits: Limits) -> DataFrame:
     some = bars.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") < limits.min_bars)
     return _issue(some, "length", "fail", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" bars (< {limits.min_bars} minimum)")))
@@ -135,23 +128,36 @@ def thin_volume(bars: DataFrame, limits: Limits) -> DataFrame:
     return _issue(last, "volume", "warn", F.concat(F.lit("20-day avg volume "), F.format_number("mean", 0), F.lit(f" below floor {limits.min_avg_volume:,.0f}")))
 
 
+def _counted(rows: DataFrame, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
+    """One aggregate for all (check, severity, condition, text with {n}): an issue for each symbol and rule that rows meet."""
+    held = []
+    for k, (_, _, met, _) in enumerate(rules):
+        held += [F.count(F.when(met, 1)).alias(f"n{k}"), F.min(F.when(met, F.col("date"))).alias(f"a{k}"), F.max(F.when(met, F.col("date"))).alias(f"z{k}")]
+    said = []
+    for k, (check, severity, _, text) in enumerate(rules):
+        before, after = text.split("{n}")
+        detail = F.concat(F.lit(before), F.col(f"n{k}").cast("string"), F.lit(after))
+        dated = check != "weekend_bars"
+        said.append(F.struct(F.col(f"n{k}").alias("n"), F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"), *((F.col(f"{c}{k}") if dated else F.lit(None).cast("date")).alias(name) for c, name in (("a", "range_start"), ("z", "range_end")))))
+    return rows.groupBy("symbol").agg(*held).select("symbol", F.inline(F.array(*said))).filter("n > 0").drop("n")
+
+
 def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     short, double = lengths(bars, limits), doubled_dates(bars)
     double = double.join(short, "symbol", "left_anti")
     rest = bars.join(short.unionByName(double).select("symbol"), "symbol", "left_anti")
-    spikes = spike_rows(rest, limits)
     z = f"{limits.spike_zscore:.0f}"
-    found = [
-        short, double,
-        _found(positivity(rest), "positivity", "fail", "{n} bars with non-positive prices"),
-        _found(bounds(rest), "ohlc_bounds", "fail", "{n} bars violate low<=open/close<=high"),
-        _found(weekends(rest), "weekend_bars", "warn", "{n} weekend bars present").withColumn("range_start", F.lit(None).cast("date")).withColumn("range_end", F.lit(None).cast("date")),
-        gaps(rest, limits),
-        _found(spikes.filter("bad_print"), "spikes", "fail", "{n} single-day spike(s) that reverse the next day (bad-print signature)"),
-        _found(spikes.filter("not bad_print"), "spikes", "warn", "{n} large but persistent move(s) beyond " + z + " robust z (kept as market events)"),
-        _found(split_rows(rest), "split_echo", "fail", "{n} bars look like unadjusted splits (price halves/doubles with volume spike)"),
-        thin_volume(rest, limits),
-    ]
+    plain = [
+        ("positivity", "fail", F.least("open", "high", "low", "close") <= 0, "{n} bars with non-positive prices"),
+        ("ohlc_bounds", "fail", (F.col("low") > F.least("open", "close") + 1e-9) | (F.col("high") < F.greatest("open", "close") - 1e-9), "{n} bars violate low<=open/close<=high"),
+        ("weekend_bars", "warn", F.weekday("date") >= 5, "{n} weekend bars present"),
+    ]
+    spikes = [
+        ("spikes", "fail", F.col("bad_print"), "{n} single-day spike(s) that reverse the next day (bad-print signature)"),
+        ("spikes", "warn", ~F.col("bad_print"), "{n} large but persistent move(s) beyond " + z + " robust z (kept as market events)"),
+    ]
+    splits = [("split_echo", "fail", F.lit(True), "{n} bars look like unadjusted splits (price halves/doubles with volume spike)")]
+    found = [short, double, _counted(rest, plain), gaps(rest, limits), _counted(spike_rows(rest, limits), spikes), _counted(split_rows(rest), splits), thin_volume(rest, limits)]
     return reduce(DataFrame.unionByName, found)
 
 
