@@ -154,12 +154,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     catalog = Catalog(spark or session(), at)
     if args.group == "init":
         at.create()
+        catalog.migrate()
         catalog.audit("system", "workspace.init", {"root": str(at.root)})
         print(f"Workspace ready at {at.root}")
         return 0
     if not catalog.exists():
         print("No catalogue found - run init first.", file=sys.stderr)
         return 1
+    catalog.migrate()
     if args.group == "data":
         return _data(args, catalog)
     if args.group == "journal":

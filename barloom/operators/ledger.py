@@ -191,15 +191,17 @@ class Book:
             elif t.state[day, s] == 0 and s in self.held:
                 self.orders[s] = _Order(day, 0, False, 0.0, 0.0, t.context[day, s])
 
-    def run(self, first: int, last: int) -> list[tuple]:
-        """(day, equity, cash, exposure) of days first..last. Before the first there are no orders, so nothing happens."""
+    def run(self, first: int, last: int, until_last: bool = True) -> list[tuple]:
+        """(day, equity, cash, exposure) of days first..last. Before the first there are no orders, so nothing happens.
+
+        until_last: nothing is decided on the last day, as it is the window's end; else the window ends after it."""
         rows, days = [], len(self.tape.has)
         for day in range(first, last + 1):
             self.open_of_day(day)
             self.stops(day)
             share = self.close_of_day(day)
             rows.append((day, self.worth / MICRO, self.cash / MICRO, round(share, 6)))
-            if day < last and day < days - 1:
+            if day < (last if until_last else days - 1) and day < days - 1:
                 self.decide(day)
         if rows:
             for s in list(self.held):
@@ -285,7 +287,8 @@ def _run_group(frame: pd.DataFrame, universe: list[str], account: Account) -> pd
         first = int(np.searchsorted(days, date.fromisoformat(job["first"]))) if job.get("first") else 0
         last = int(np.searchsorted(days, date.fromisoformat(job["last"]), "right")) - 1 if job.get("last") else len(days) - 1
         book = Book(tape, universe, account, job["cost_mult"], job["delay"])
-        equity = [{"date": days[k], "equity": e, "cash": c, "exposure": x} for k, e, c, x in book.run(first, last)]
+        whole = not job.get("last") or (last >= 0 and days[last] == date.fromisoformat(job["last"]))
+        equity = [{"date": days[k], "equity": e, "cash": c, "exposure": x} for k, e, c, x in book.run(first, last, whole)]
         trades = [{"entry_ts": days[t.pop("entry_idx")], "exit_ts": days[t.pop("exit_idx")], **t} for t in book.trades]
         out.append((job["scenario_id"], book.signals, equity, trades))
     return pd.DataFrame(out, columns=["scenario_id", "n_signals", "equity", "trades"])

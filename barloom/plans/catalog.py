@@ -34,7 +34,10 @@ TABLES = {
     "trades": "run_id string, symbol string, entry_ts date, entry_px double, exit_ts date, exit_px double, qty long, fees double, slippage double, pnl double, mae double, mfe double, holding_bars int, exit_reason string, context_json string",
     "walkforward_folds": "run_id string, fold_n int, train_start date, train_end date, test_start date, test_end date, embargo_bars int, chosen_params_json string, train_sharpe double, test_sharpe double, test_return double, test_trades int",
     "mc_simulations": "run_id string, method string, n_paths int, seed long, summary_json string, created_at string",
+    "schema_migrations": "version int, applied_at string, checksum string",
 }
+#: Raised with every change of TABLES; a catalogue keeps the checksums of the versions it has seen.
+VERSION = 1
 #: Values that columns may take.
 ALLOWED = {
     ("experiment_events", "status"): ("registered", "running", "complete"), ("experiment_events", "verdict"): (None, "pass", "fail", "inconclusive"),
@@ -61,6 +64,17 @@ class Catalog:
     def __init__(self, spark: SparkSession, at: Workspace):
         self.spark, self.at = spark, at
 
+    def migrate(self) -> None:
+        """Record this version of the tables; refuse a catalogue that knows it with other columns, or a later one."""
+        checksum = hashlib.sha256(canonical({k: v for k, v in TABLES.items() if k != "schema_migrations"}).encode()).hexdigest()
+        known = {r["version"]: r["checksum"] for r in self.table("schema_migrations").collect()}
+        if known.get(VERSION, checksum) != checksum:
+            raise RuntimeError(f"version {VERSION} of the catalogue's tables has changed since it was applied; tables change with a new version only")
+        if max(known, default=0) > VERSION:
+            raise RuntimeError(f"the catalogue is of version {max(known)}, this code of version {VERSION}")
+        if VERSION not in known:
+            self.append("schema_migrations", [{"version": VERSION, "applied_at": now(), "checksum": checksum}])
+
     def exists(self) -> bool:
         return (self.at.catalog / "audit_log").exists()
 

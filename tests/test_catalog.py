@@ -120,6 +120,22 @@ def test_audit_chain(catalog):
     assert c.verify() == (False, "chain broken at seq 3: prev_hash mismatch")
 
 
+def test_versions(catalog, monkeypatch):
+    from barloom.plans import catalog as module
+
+    catalog.migrate()
+    catalog.migrate()
+    assert catalog.table("schema_migrations").count() == 1
+    monkeypatch.setitem(module.TABLES, "journal_entries", module.TABLES["journal_entries"] + ", more string")
+    with pytest.raises(RuntimeError, match="has changed"):
+        catalog.migrate()
+    monkeypatch.setattr(module, "VERSION", 2)
+    catalog.migrate()
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="is of version 2"):
+        catalog.migrate()
+
+
 def test_store_and_snapshots(catalog, spark):
     c = catalog
     bars = synthetic_bars(spark, ["SYN1", "SYN2", "BENCH"], 400, 777)
