@@ -55,7 +55,7 @@ def inputs(blocks: list[Leaf]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     numbers = np.zeros((len(blocks), NUMBERS), np.float32)
     for i, b in enumerate(blocks):
         own = _path_slots(b.path)
-        words = {PATH_SLOTS + zlib.crc32(w.encode()) % WORD_SLOTS for w in b.text.lower().split()[:64]}
+        words = {PATH_SLOTS + zlib.crc32(w.encode()) % WORD_SLOTS for w in b.text.lower().split()}
         row += [i] * (len(own) + len(words))
         slot += own
         slot += words

@@ -66,7 +66,7 @@ class CompressionModel:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    parts = [t[i : i + BLOCK] for t in texts for i in range(0, min(len(t), 8 * BLOCK), BLOCK)]
+    parts = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [p for p in parts if len(p) >= 8], level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
