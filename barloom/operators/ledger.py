@@ -237,14 +237,14 @@ def run(bars: DataFrame, signals: DataFrame, wanted: DataFrame, universe: list[s
     universe = [s.upper() for s in universe]
     days = bars.select("date").distinct()
     rows = tape_rows(bars.filter(F.upper("symbol").isin(universe)), account.sizing).withColumn("symbol", F.upper("symbol"))
-    # groups of scenarios that share their signals; each gets its own copy of the tape
+    # groups of scenarios that share their signals; each gets its own copy of the tape (slots: a row for each group)
     spread = F.pmod(F.xxhash64("scenario_id"), F.ceil(F.count("*").over(_by_params()) / PER_TASK))
     grouped = wanted.withColumn("slot", spread.cast("int"))
     slots = grouped.groupBy("params_key", "slot").agg(F.to_json(F.sort_array(F.collect_list(F.struct("scenario_id", "first", "last", "cost_mult", "delay")))).alias("jobs"))
     empty = days.select(F.lit(None).cast("string").alias("symbol"), "date", *(F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex")))
     base = rows.unionByName(empty)
     said = signals.select("params_key", F.upper("symbol").alias("symbol"), "date", "desired_state", "context")
-    dealt = base.join(slots).join(said, ["params_key", "symbol", "date"], "left").select("params_key", "slot", "jobs", "symbol", "date", "open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex", "desired_state", "context")
+    dealt = base.join(F.broadcast(slots)).join(said, ["params_key", "symbol", "date"], "left").select("params_key", "slot", "jobs", "symbol", "date", "open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex", "desired_state", "context")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         return _run_group(frame, universe, account)

@@ -17,16 +17,24 @@ def label(closes: DataFrame, window: int = 63, key: str = "symbol") -> DataFrame
     return rows.join(cuts, key).select(key, "date", F.when(ok & (F.col("roll") >= F.col("hi")), "up").when(ok & (F.col("roll") <= F.col("lo")), "down").otherwise("flat").alias("label"))
 
 
-def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, values: list[str], by: list[str] = ()) -> DataFrame:
-    """left with the values of the last right row at or before its time: both sides in one sorted pass, no range join.
+def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, values: list[str], by: list[str] = (), every: str = "month") -> DataFrame:
+    """left with the values of the last right row at or before its time: one sorted pass, no range join.
 
-    by: columns whose values must be equal; without any, right must be small enough for one task to sort with left."""
+    by: columns whose values must be equal. Time is cut into months (`every`), so that a
+    pass is sorted in many tasks also without such columns; what holds at a month's
+    start is carried into it from a table of one row for each month."""
     by = list(by)
-    tagged = left.select("*", F.col(time).alias("__t"), F.lit(1).alias("__side"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values))
-    facts = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), *(F.col(v).alias(f"__{v}") for v in values))
-    both = tagged.unionByName(facts, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select("*", *(F.last(f"__{v}", ignorenulls=True).over(w).alias(v) for v in values)).filter("__side = 1").drop("__t", "__side", *(f"__{v}" for v in values))
+    left = left.withColumn("__m", F.date_trunc(every, F.col(time)))
+    facts = right.select(*by, F.date_trunc(every, F.col(right_time)).alias("__m"), F.col(right_time).alias("__t"), F.struct(*values).alias("__v"))
+    ends = facts.groupBy(*by, "__m").agg(F.max_by("__v", "__t").alias("__v"))
+    months = left.select(*by, "__m").distinct().join(ends, [*by, "__m"], "full")
+    past = Window.partitionBy(*by).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*by, "__m", F.last("__v", ignorenulls=True).over(past).alias("__v")).filter("__v is not null")
+    known = facts.select(*by, "__m", "__t", F.lit(0).alias("__side"), "__v").unionByName(carried.select(*by, "__m", F.lit(None).cast(right.schema[right_time].dataType).alias("__t"), F.lit(0).alias("__side"), "__v"))
+    both = left.withColumn("__t", F.col(time).cast(right.schema[right_time].dataType)).withColumn("__side", F.lit(1)).unionByName(known, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__m").orderBy(F.asc_nulls_first("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
+    return found.select(*(c for c in left.columns if c != "__m"), *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
 def pnl(trades: DataFrame, labels: DataFrame, key: str = "scenario_id") -> DataFrame:

@@ -284,9 +284,9 @@ def gap_runs(spark, sf_dir):
     return quality.gap_runs(_defective(spark, sf_dir))
 
 
-@query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS} SELECT symbol, CASE WHEN max(business_days) > 5 THEN 'fail' ELSE 'info' END AS severity, min(CASE WHEN business_days > 5 THEN run_start END) AS range_start FROM gg GROUP BY 1""")
+@query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS} SELECT symbol, CASE WHEN max(business_days) > 5 THEN 'fail' ELSE 'info' END AS severity, strftime(min(CASE WHEN business_days > 5 THEN run_start END), '%Y-%m-%d') AS range_start FROM gg GROUP BY 1""")
 def dq_gaps(spark, sf_dir):
-    return quality.gaps(_defective(spark, sf_dir), quality.Limits()).select("symbol", "severity", "range_start")
+    return quality.gaps(_defective(spark, sf_dir), quality.Limits()).select("symbol", "severity", F.date_format("range_start", "yyyy-MM-dd").alias("range_start"))
 
 
 _SPIKES = f"""r AS (SELECT symbol, date, volume, ln(close) - ln(lag(close) OVER {_O}) AS r FROM bars), c AS (SELECT symbol, median(r) AS m, count(r) AS n FROM r GROUP BY 1),
@@ -424,12 +424,12 @@ def regime_pnl_asof(spark, sf_dir):
     return got.select("scenario_id", "label", _r("pnl", 2).alias("pnl"), "n_trades")
 
 
-@query("""WITH @BARS SELECT o.o_orderkey, o.o_orderpriority, b.date AS bar_date, b.close FROM orders o ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'NO') b ON CAST(o.o_orderdate AS DATE) >= b.date""")
+@query("""WITH @BARS SELECT o.o_orderkey, o.o_orderpriority, strftime(b.date, '%Y-%m-%d') AS bar_date, b.close FROM orders o ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'NO') b ON CAST(o.o_orderdate AS DATE) >= b.date""")
 def as_of_orders(spark, sf_dir):
     """Each order with the last bar of NO at or before its day."""
     o = src.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
     b = _bars(spark, sf_dir).filter("symbol = 'NO'").select(F.col("date").alias("bar_date"), "close")
-    return regimes.as_of(o, b, "day", "bar_date", ["bar_date", "close"]).select("o_orderkey", "o_orderpriority", "bar_date", "close")
+    return regimes.as_of(o, b, "day", "bar_date", ["bar_date", "close"]).select("o_orderkey", "o_orderpriority", F.date_format("bar_date", "yyyy-MM-dd").alias("bar_date"), "close")
 
 
 @query("""WITH @BARS, c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)), n AS (SELECT count(*) AS n FROM c),
