@@ -54,3 +54,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(r_name), EqualTo(r_name,ASIA)" in plan
     plan = queries.QUERIES["ind_sma"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "l_discount" not in plan and "Python" not in plan
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
+    assert df.columns == ["symbol", "date", "desired_state"] and df.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["bars_daily", "sma_cross_signals", "gap_runs", "regime_pnl_asof"])
+def test_equal_at_any_number_of_partitions(spark, name):
+    got = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, queries.QUERIES[name](spark, SF).collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
