@@ -145,7 +145,6 @@ def _counted(rows: DataFrame, rules: list[tuple[str, str, Column, str]]) -> Data
 def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     short, double = lengths(bars, limits), doubled_dates(bars)
     double = double.join(short, "symbol", "left_anti")
-    rest = bars.join(short.unionByName(double).select("symbol"), "symbol", "left_anti")
     z = f"{limits.spike_zscore:.0f}"
     plain = [
         ("positivity", "fail", F.least("open", "high", "low", "close") <= 0, "{n} bars with non-positive prices"),
@@ -157,8 +156,10 @@ def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
         ("spikes", "warn", ~F.col("bad_print"), "{n} large but persistent move(s) beyond " + z + " robust z (kept as market events)"),
     ]
     splits = [("split_echo", "fail", F.lit(True), "{n} bars look like unadjusted splits (price halves/doubles with volume spike)")]
-    found = [short, double, _counted(rest, plain), gaps(rest, limits), _counted(spike_rows(rest, limits), spikes), _counted(split_rows(rest), splits), thin_volume(rest, limits)]
-    return reduce(DataFrame.unionByName, found)
+    # rules judge each symbol for itself, so symbols with the first two findings are left out of the few findings, not of the bars
+    found = reduce(DataFrame.unionByName, [_counted(bars, plain), gaps(bars, limits), _counted(spike_rows(bars, limits), spikes), _counted(split_rows(bars), splits), thin_volume(bars, limits)])
+    first = short.unionByName(double)
+    return found.join(first.select("symbol"), "symbol", "left_anti").unionByName(first)
 
 
 def passing(bars: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
 from barloom.operators import ledger, metrics, quality, regimes, search, validation
-from barloom.operators.strategies import DipBuyer, RandomWalk, RsiMeanReversion, SmaCross, TimeSeriesMomentum
+from barloom.operators.strategies import DipBuyer, RandomWalk, RsiMeanReversion, SmaCross, TimeSeriesMomentum, params_key
 from barloom.sources import bars as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def _bars(spark, sf_dir) -> DataFrame:
     return src.lineitem_bars(spark, sf_dir)
 
 
+def _kept(bars: DataFrame) -> DataFrame:
+    """Bars that a query reads many times: a row for each symbol and day, far fewer than the lines they were made of."""
+    return bars.persist()
+
+
 def _r(c, digits=6):
     return F.round(c, digits)
 
@@ -320,14 +325,14 @@ def dq_volume(spark, sf_dir):
 @query()
 def dq_issues(spark, sf_dir):
     """All rules together."""
-    return quality.issues(_defective(spark, sf_dir))
+    return quality.issues(_kept(_defective(spark, sf_dir)))
 
 
 @query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS}, f AS (SELECT symbol FROM b WHERE least(open, high, low, close) <= 0 UNION SELECT symbol FROM b WHERE low > least(open, close) + 1e-9 OR high < greatest(open, close) - 1e-9
  UNION SELECT symbol FROM gg WHERE business_days > 5) SELECT DISTINCT symbol, symbol NOT IN (SELECT symbol FROM f) AS passes FROM b""")
 def dq_passes(spark, sf_dir):
     """Without the rules on spikes and splits, which have queries of their own."""
-    b, limits = _defective(spark, sf_dir), quality.Limits(spike_zscore=1e9)
+    b, limits = _kept(_defective(spark, sf_dir)), quality.Limits(spike_zscore=1e9)
     found = quality.issues(b, limits).filter("check_name not in ('spikes', 'split_echo')")
     return quality.passing(b, found)
 
@@ -498,10 +503,8 @@ _ACCOUNT = ledger.Account(10_000_000.0)
 
 
 def _base_run(spark, sf_dir) -> DataFrame:
-    b = _bars(spark, sf_dir)
+    b = _kept(_bars(spark, sf_dir))
     grid = SmaCross.grid()
-    from barloom.operators.strategies import params_key
-
     wanted = ledger.scenarios(spark, [{"scenario_id": params_key(c), "params_key": params_key(c)} for c in grid])
     return ledger.run(b, SmaCross.signals(b, grid), wanted, _UNIVERSE, _ACCOUNT)
 
@@ -523,12 +526,12 @@ def backtest_metrics(spark, sf_dir):
 
 @query()
 def walkforward(spark, sf_dir):
-    return validation.walk_forward(_bars(spark, sf_dir), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, 756, 126).folds
+    return validation.walk_forward(_kept(_bars(spark, sf_dir)), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, 756, 126).folds
 
 
 @query()
 def stress_tests(spark, sf_dir):
-    s = validation.stress(_bars(spark, sf_dir), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, [1.0, 1.5, 2.0, 3.0], [0, 1], 8, 1)
+    s = validation.stress(_kept(_bars(spark, sf_dir)), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, [1.0, 1.5, 2.0, 3.0], [0, 1], 8, 1)
     rows = [("cost", float(r["multiplier"]), r["total_return"], r["sharpe"]) for r in s.cost_table] + [("delay", float(r["extra_delay_bars"]), r["total_return"], r["sharpe"]) for r in s.delay_table]
     rows += [("neighbor", float(i), None, float(x)) for i, x in enumerate(s.neighbour.get("neighbor_sharpes", []))]
     return spark.createDataFrame(rows, "method string, level double, total_return double, sharpe double")
