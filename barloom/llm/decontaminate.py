@@ -7,7 +7,8 @@ an item copied a thousand times keeps its seeds, and phrases that everybody
 uses are none.) A document that holds a seed is aligned with the item around
 the seed by Smith-Waterman, match 2, mismatch and gap -1; similarity is the
 number of matching words on the best alignment over the item's words. Pairs of
-at least `least` are leaks.
+at least `least` are leaks, and so are those whose alignment scores `ENOUGH`,
+some fifteen words in a row: a passage of a long item.
 
 The items are worked through in slices of bounded size, so a larger benchmark
 means more passes, not larger broadcasts. Null or empty items and texts have no
@@ -25,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import pieces, utf8, with_documents_columns
+from barloom.llm.shared import pieces, tidied, utf8, with_documents_columns
 from barloom.llm.words import prefix_hash, shingles, span_hash
 
 N = 3
 SLACK = 4
 LEAST = 0.5
+ENOUGH = 30
 SLICE_BYTES = 16 << 20
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[48:58, 97:123, 128:256]] = True
@@ -128,7 +130,7 @@ def seeded(docs: DataFrame, ids: list, texts: list, n: int = N, slack: float = S
     def count(batches):
         items = held.value
         seen = np.zeros(len(items.distinct), np.int64)
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             _, _, grams, of, _ = _grams(batch, items.n)
             at, k = items.find(grams)
             once = np.unique(of[at] * np.int64(len(items.distinct)) + k)
@@ -169,7 +171,7 @@ def leaks_of(items: Items, batch, least: float = LEAST):
             window = h[max(begin[row], lo - slack) : min(begin[row + 1], hi + m + slack)]
             best = max(best, align(own, window))
             lo = hi = p
-        if m and best[1] >= least * m:
+        if m and (best[1] >= least * m or best[0] >= ENOUGH):
             yield row, item, best[1] / m, best[1], m, best[0]
 
 
@@ -182,7 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, slack: float =
 
         def work(batches, held=held):
             items = held.value
-            for batch in pieces(batches, 2 << 20):
+            for batch in pieces(batches, 1 << 20):
                 rows = [(batch.column(0)[r].as_py(), items.ids[i], *rest) for r, i, *rest in leaks_of(items, batch, least)]
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
@@ -203,10 +205,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         def work(batches, held=held):
             items = held.value
-            for batch in pieces(batches, 2 << 20):
+            for batch in pieces(batches, 1 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r for r, *_ in leaks_of(items, batch)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(lambda batches, work=work: tidied(work(batches)), docs.schema)
     return docs

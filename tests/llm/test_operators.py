@@ -191,6 +191,25 @@ def test_near_duplicates(docs, texts):
         assert r["kept"] == (r["doc_id"] is None or r["class_id"] == r["doc_id"])
 
 
+def test_several_texts_of_one_id(spark, texts):
+    """They are one document; which of them stands for it doesn't depend on the partitioning."""
+    rows = [(1, texts[0][1]), (1, texts[1][1]), (2, texts[1][1]), (3, texts[0][1] + " more"), (4, texts[2][1])]
+    got = []
+    for n in (1, 3):
+        df = materialise(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS).repartition(n), "ids")
+        got.append(sorted((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(df).collect()))
+    assert got[0] == got[1] and dict(got[0])[2] == 1 and dict(got[0])[4] == 4 and len(got[0]) == 5
+
+
+def test_clashing_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    odd = docs.select("*", *(F.lit(1).alias(c) for c in ("dropped_id", "cut_id", "cut_key", "cut_text", "text_key", "component")))
+    for stage in (minhash.stage, suffix_dedup.stage):
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and out.count() > 0
+
+
 def test_near_duplicate_stage(spark, docs, texts):
     got = minhash.stage(spark, docs, "")
     assert got.columns == docs.columns
@@ -313,10 +332,11 @@ def test_leaks(spark, docs, texts):
     rows.append((6, filler + " " + " ".join(x if k % 5 else "other" for k, x in enumerate(w)) + " " + filler))  # a fifth of its words are others
     rows.append((7, filler + " " + " ".join(w[:25] + ["put", "in"] + w[25:])))
     rows.append((8, " ".join(items[3][1].split()[:10]) + " " + filler))  # a quarter of an item is none
+    rows.append((9, " ".join(items[4][1].split()[8:26]) + " " + filler))  # eighteen words in a row are one
     df = materialise(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS), "leaks")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 3) for r in decontaminate.find_leaks(df, bench).collect()}
-    assert got == {(1, 0): 1.0, (2, 1): 1.0, (6, 2): 0.8, (7, 2): 1.0}
+    assert got == {(1, 0): 1.0, (2, 1): 1.0, (6, 2): 0.8, (7, 2): 1.0, (9, 4): 0.45}
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
