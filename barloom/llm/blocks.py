@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import fan_out, materialise, squeeze, unsqueeze, utf8
+from barloom.llm.shared import fan_out, materialise, squeeze, tidied, unsqueeze, utf8
 
 BLOCK_BYTES = 4 << 20
 _ASKED = "block long, bucket int, kind int, body binary"
@@ -109,7 +109,7 @@ class Corpus:
             for block in _cut(batches, size):
                 yield _rows([_texts(block)])
 
-        df = self.docs.mapInArrow(texts, _ASKED)
+        df = self.docs.mapInArrow(lambda batches: tidied(texts(batches)), _ASKED)
         for got in self.rounds:
             df = df.unionByName(got)
         return df.repartition(self.parts, "block").sortWithinPartitions("block", "kind", "bucket")
@@ -123,7 +123,7 @@ class Corpus:
                 for block in _cut(batches, size):
                     yield from work(block)
 
-            return self.docs.mapInArrow(scan, schema)
+            return self.docs.mapInArrow(lambda batches: tidied(scan(batches)), schema)
 
         def joined(batches):
             name, body, answers = None, None, {}
@@ -148,7 +148,7 @@ class Corpus:
             if body is not None:
                 yield from done()
 
-        return self._joined().mapInArrow(joined, schema)
+        return self._joined().mapInArrow(lambda batches: tidied(joined(batches)), schema)
 
     def ask(self, request: Callable[[Block], dict[int, bytes]], reply: Callable[[list[bytes]], tuple[list[bytes], bytes]]) -> DataFrame:
         """One round. request gives bytes for buckets; reply gets all that was sent to a bucket, and gives an answer to each, and bytes about the bucket itself, which are in the body of the returned DataFrame (a row for each bucket)."""
@@ -182,7 +182,7 @@ class Corpus:
                 yield from done()
 
         sent = self.map(asked, _ASKED).repartition(self.parts, "bucket").sortWithinPartitions("bucket", "block")
-        got = materialise(sent.mapInArrow(answered, _ASKED), f"round{k}")
+        got = materialise(sent.mapInArrow(lambda batches: tidied(answered(batches)), _ASKED), f"round{k}")
         self.rounds.append(got.filter(F.col("block").isNotNull()))
         return got.filter(F.col("block").isNull()).select("bucket", "body")
 

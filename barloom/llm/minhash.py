@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.blocks import Block, Corpus, by_bucket
 from barloom.llm.graph import components
-from barloom.llm.shared import fan_out, get_counts, get_sorted, materialise, put_counts, put_sorted, with_documents_columns
+from barloom.llm.shared import fan_out, get_counts, get_sorted, materialise, pieces, put_counts, put_sorted, tidied, with_documents_columns
 from barloom.llm.words import chain, scramble, shingles, word_hashes
 
 N = 5
@@ -69,8 +69,8 @@ def sample(grams: np.ndarray, w: np.ndarray) -> np.ndarray:
     """BANDS * ROWS consistent samples of one weighted set, as hashes of (shingle, level)."""
     best, out = None, None
     logw = np.log(w).astype(np.float32)
-    for at in range(0, len(grams), 4096):
-        g, lw = grams[at : at + 4096, None], logw[at : at + 4096, None]
+    for at in range(0, len(grams), 512):  # what fits into a core's cache
+        g, lw = grams[at : at + 512, None], logw[at : at + 512, None]
         x = g * _ODD
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9FB21C651E98DF25)
@@ -158,34 +158,33 @@ def jaccard(a: tuple, b: tuple) -> float:
     return float(least / max(a[1].sum() + b[1].sum() - least, 1e-300))
 
 
-def _vectors(docs: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
-    """rep, body for the wanted representatives (rep, in_docs)."""
-    rows = docs.join(wanted, docs.doc_id == wanted.rep).dropDuplicates(["rep"]).select("rep", "text", "in_docs")
+def _vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, body for the wanted representatives (rep, rep_key, in_docs)."""
+    rows = docs.join(wanted, (docs["doc_id"] == wanted["rep"]) & (F.md5(docs["text"].cast("binary")) == wanted["rep_key"])).dropDuplicates(["rep"]).select("rep", "text", "in_docs")
 
     def work(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1 << 20):
             out = []
             for rep, text, in_docs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 block = Block(0, [rep], np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 _, grams, times = _weighted(block)
-                in_docs = get_counts(in_docs)
-                head = put_sorted(grams)
-                out.append((rep, len(head).to_bytes(4, "little") + head + weights(times, in_docs, total).astype("<f8").tobytes() + in_docs.astype("<i8").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["rep", "body"])
+                parts = put_sorted(grams), put_counts(times)
+                out.append((rep, b"".join(len(x).to_bytes(4, "little") + x for x in parts) + in_docs))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["rep", "body"])
 
-    return materialise(rows.mapInArrow(work, "rep long, body binary"), "vectors")
+    return materialise(rows.mapInArrow(lambda batches: tidied(work(batches)), "rep long, body binary"), "vectors")
 
 
-def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(body: bytes, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles, weights, document frequencies."""
-    cut = 4 + int.from_bytes(body[:4], "little")
-    grams = get_sorted(body[4:cut])
-    return grams, np.frombuffer(body, "<f8", len(grams), cut), np.frombuffer(body, "<i8", len(grams), cut + 8 * len(grams))
+    a = 4 + int.from_bytes(body[:4], "little")
+    b = a + 4 + int.from_bytes(body[a : a + 4], "little")
+    in_docs = get_counts(body[b:])
+    return get_sorted(body[4:a]), weights(get_counts(body[a + 4 : b]), in_docs, total), in_docs
 
 
-def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, vectors: DataFrame, total: int) -> DataFrame:
     """The pairs (head, rep) with their similarity. A head with many partners is copied to groups of them."""
     spark = pairs.sparkSession
     sizes = pairs.groupBy("head").agg(F.count("*").alias("n"))
@@ -199,15 +198,18 @@ def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         own = None
         for batch in batches:
             out = []
-            for head, _, side, rep, body in zip(*(c.to_pylist() for c in batch.columns)):
+            names = [batch.column(c).to_pylist() for c in ("head", "side", "rep")]
+            bodies = batch.column("body")
+            for k, (head, side, rep) in enumerate(zip(*names)):
+                other = _opened(bodies[k].as_py(), total)
                 if side == 0:
-                    own = _opened(body)
+                    own = other
                 else:
-                    out.append((head, rep, jaccard(own, _opened(body))))
+                    out.append((head, rep, jaccard(own, other)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["head", "rep", "similarity"])
 
-    return both.mapInArrow(work, "head long, rep long, similarity double")
+    return both.mapInArrow(lambda batches: tidied(work(batches)), "head long, rep long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -216,8 +218,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     total = docs.count()
     signed = signatures(docs)
     exact = signed.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"))
-    # a row for each representative and band
-    reps = signed.join(exact, "text_key").filter("doc_id = rep").dropDuplicates(["rep"])
+    # a row for each representative; of several texts with its doc_id, that with the least key
+    chosen = exact.groupBy("rep").agg(F.min("text_key").alias("rep_key"))
+    reps = materialise(signed.join(chosen, (signed["doc_id"] == chosen["rep"]) & (signed["text_key"] == chosen["rep_key"])).select("rep", "rep_key", "bands", "in_docs").dropDuplicates(["rep"]), "reps")
     banded = materialise(reps.select("rep", F.explode("bands").alias("band")), "banded")
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     joint = banded.join(shared, "band")
@@ -225,16 +228,16 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rank = joint.groupBy("rep").agg((-F.sum("n")).alias("n")).select("rep", F.struct("n", "rep").alias("rank"))
     joint = materialise(joint.select("band", "rep").join(rank, "rep"), "joint")
     inside = materialise(joint.join(joint.groupBy("band").agg(F.min("rank").alias("first")), "band").select("band", "rep", "rank", F.col("first.rep").alias("head")), "inside")
-    wanted = reps.select("rep", "in_docs").join(inside.select("rep").distinct(), "rep", "left_semi")
-    vectors = _vectors(docs, wanted, total)
-    compared = materialise(_compared(inside.filter("rep <> head").select("head", "rep").distinct(), vectors), "compared")
+    wanted = reps.select("rep", "rep_key", "in_docs").join(inside.select("rep").distinct(), "rep", "left_semi")
+    vectors = _vectors(docs, wanted)
+    compared = materialise(_compared(inside.filter("rep <> head").select("head", "rep").distinct(), vectors, total), "compared")
     part = _parts(compared, least)
     now = inside.join(part, F.col("rep") == F.col("node"), "left").select("band", "rep", "head", F.coalesce("component", "rep").alias("of"))
     own = now.filter("rep = head").select("band", F.col("of").alias("of_head"))
     every = materialise(now.select("rep", "of").distinct(), "every")
     apart = materialise(now.join(own, "band").filter("of <> of_head").select("rep", "of").distinct(), "apart")
     if apart.limit(1).count():
-        compared = compared.union(_compared(_joined(every, apart, vectors, least), vectors))
+        compared = compared.union(_compared(_joined(every, apart, vectors, total, least), vectors, total))
         part = _parts(compared, least)
     classes = exact.join(part, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "text_key").join(classes, "text_key", "left")
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return out.select("doc_id", F.when(found, F.col("class_id")).alias("class_id"), (~found | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
-def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, total: int, least: float) -> DataFrame:
     """Pairs (head, rep) of a text of `apart` and one of `every` in another component that may be similar enough.
 
     An exact filter. In the order of rising document frequency, two texts whose
@@ -252,19 +255,25 @@ def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, least: float
     a text has for itself, and both must weigh enough from there on."""
 
     def prefixes(batches):
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["gram", "rep", "whole", "left"])
+
         for batch in batches:
-            out = []
-            for rep, body in zip(batch.column("rep").to_pylist(), batch.column("body").to_pylist()):
-                grams, w, in_docs = _opened(body)
+            out, bodies = [], batch.column("body")
+            for k, rep in enumerate(batch.column("rep").to_pylist()):
+                grams, w, in_docs = _opened(bodies[k].as_py(), total)
                 order = np.lexsort((grams, in_docs))
                 whole = w.sum()
                 left = whole - (np.cumsum(w[order]) - w[order])
                 n = int((left >= least * whole * (1 - 1e-9)).sum())
                 out += zip(grams[order[:n]].astype(np.int64).tolist(), [rep] * n, [whole] * n, left[:n].tolist())
-            for at in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 20_000]), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["gram", "rep", "whole", "left"])
+                if len(out) > 20_000:
+                    yield rows(out)
+                    out = []
+            if out:
+                yield rows(out)
 
-    grams = materialise(vectors.mapInArrow(prefixes, "gram long, rep long, whole double, left double"), "prefixes")
+    grams = materialise(vectors.mapInArrow(lambda batches: tidied(prefixes(batches)), "gram long, rep long, whole double, left double"), "prefixes")
     a = grams.join(apart, "rep").select("gram", *(F.col(c).alias(f"a_{c}") for c in ("rep", "whole", "left", "of")))
     b = grams.join(every, "rep").select("gram", *(F.col(c).alias(f"b_{c}") for c in ("rep", "whole", "left", "of")))
     enough = F.least("a_left", "b_left") >= least / (1 + least) * (F.col("a_whole") + F.col("b_whole")) * (1 - 1e-9)
@@ -284,4 +293,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each class (the smallest doc_id), all columns."""
     drop = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
     drop = materialise(drop.distinct(), "dropped")
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["dropped_id"], "left_anti")

@@ -24,13 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import materialise, pieces, with_documents_columns
+from barloom.llm.shared import CACHES, materialise, pieces, tidied, with_documents_columns
 
 CAPACITY = 2048
 CACHED_WORDS = 500_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 _KEPT: dict = {}
+CACHES["packing"] = [_KEPT]
 
 
 def _encoder(path: str):
@@ -110,7 +111,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         encode = _encoder(tokenizer_path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += end
@@ -122,7 +123,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "part", "place"), map(list, zip(*rows)))), schema=_PIECE_ARROW)
 
-    return with_documents_columns(docs).mapInArrow(work, _PIECE)
+    return with_documents_columns(docs).mapInArrow(lambda batches: tidied(work(batches), "packing"), _PIECE)
 
 
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])

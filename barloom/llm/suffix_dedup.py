@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.blocks import Block, Corpus, by_bucket
 from barloom.llm.shared import get_counts, get_sorted, put_counts, put_sorted, squeeze, unsqueeze, with_documents_columns
-from barloom.llm.words import powers, scramble, span_hash
+from barloom.llm.words import parts, powers, scramble, span_hash
 
 LENGTH = 200
 ANCHOR = 16
@@ -165,15 +165,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return scramble(h[place]), place, first, last  # scrambled: anchors have small hashes, buckets are ranges
 
 
-_PIECE = 1 << 21
-
-
 def contexts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchors() of a whole block, in memory for a part of it; equal for equal blocks."""
-    got, i, n = [], 0, len(block.ids)
-    offsets = block.offsets
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _PIECE, "right")) - 1)
+    got, offsets = [], block.offsets
+    for i, j in parts(offsets):
         start = offsets[i]
         part = block.data[start : offsets[j]]
         step = (1 << 24) - LENGTH
@@ -185,7 +180,6 @@ def contexts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
                 some = part[at : at + step + LENGTH - 1]
                 h, place, first, last = anchors(some, np.array([0, len(some)]))
                 got.append((h, place + start + at, first + start + at, last + start + at))
-        i = j
     return tuple(np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
 
 
@@ -448,10 +442,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     # only texts that change come back; one row for each text and id (equal texts change alike)
     cut = corpus.map(work, "cut_id long, cut_key string, cut_text string").dropDuplicates(["cut_id", "cut_key"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(F.col("cut_id")) & (F.md5(text.cast("binary")) == F.col("cut_key")), "left")
-    new = F.when(F.col("cut_key").isNull(), docs["text"]).otherwise(F.col("cut_text"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(cut["cut_id"]) & (F.md5(text.cast("binary")) == cut["cut_key"]), "left")
+    new = F.when(cut["cut_key"].isNull(), docs["text"]).otherwise(cut["cut_text"])
     out = {"text": new}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("cut_key").isNull(), docs["n_chars"]).otherwise(F.length("cut_text").cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(cut["cut_key"].isNull(), docs["n_chars"]).otherwise(F.length(cut["cut_text"]).cast(docs.schema["n_chars"].dataType))
     return joined.select(*(out[c].alias(c) if c in out else docs[c] for c in docs.columns))

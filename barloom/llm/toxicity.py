@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import pieces, utf8, with_documents_columns
+from barloom.llm.shared import pieces, tidied, utf8, with_documents_columns
 from barloom.llm.words import prefix_hash, span_hash, scramble
 
 WIDTH_BITS = 42
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, p_toxic (P(grade > 0)), severity (expected grade)."""
 
     def work(batches):
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             above = model.above(*utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above[:, 0]), pa.array(above.sum(1))], names=["doc_id", "p_toxic", "severity"])
 
@@ -172,8 +172,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = trained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
     def work(batches):
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             above = model.above(*utf8(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(above[:, 0] < REJECT_FROM))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lambda batches: tidied(work(batches)), docs.schema)

@@ -68,10 +68,28 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+PART = 1 << 20
+
+
+def parts(offsets: np.ndarray, most: int = PART):
+    """(first, end) of runs of whole texts of about `most` bytes: what is worked on at a time."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, text of each word); A-Z as a-z."""
-    starts, ends, text = spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64), text
+    hashes, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in parts(offsets):
+        some = data[offsets[i] : offsets[j]]
+        starts, ends, text = spans(some, offsets[i : j + 1] - offsets[i])
+        if len(starts):
+            hashes.append(span_hash(prefix_hash(some), starts, ends))
+            texts.append(text + i)
+    return np.concatenate(hashes), np.concatenate(texts)
 
 
 def chain(*hashes: np.ndarray) -> np.ndarray:
