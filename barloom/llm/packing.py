@@ -17,6 +17,7 @@ empty. Rows that share a doc_id, or have none, are each packed as they are.
 from __future__ import annotations
 
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +92,10 @@ def _encoder(path: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = list(every - chunks.keys())
+        new = list(set(filterfalse(chunks.__contains__, chain.from_iterable(split))))
         if len(chunks) + len(new) > CACHED_WORDS:
             chunks.clear()
-            new = list(every)
+            new = list(set(chain.from_iterable(split)))
         if new:
             learn(new)
         get = chunks.__getitem__
@@ -111,7 +111,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         encode = _encoder(tokenizer_path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 2 << 20):
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 raw += end
