@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if apart.limit(1).count():
         compared = compared.union(_compared(_joined(every, apart, vectors, total, least), vectors, total))
         part = _parts(compared, least)
-    classes = exact.join(part, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
+    # written, so that the join with all rows may split a text that very many documents have
+    classes = materialise(exact.join(part, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("component", "rep").alias("class_id")), "classes")
     out = signed.select("doc_id", "text_key").join(classes, "text_key", "left")
     found = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(found, F.col("class_id")).alias("class_id"), (~found | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
