@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased words (runs of letters, digits and non-ASCII characters).
-Each item's n-grams are counted over all documents; its rare ones, those in at
-most `slack` times as many documents as its lower quartile, are its seeds. (So
-an item copied a thousand times keeps its seeds, and phrases that everybody
-uses are none.) A document that holds a seed is aligned with the item around
-the seed by Smith-Waterman, match 2, mismatch and gap -1; similarity is the
-number of matching words on the best alignment over the item's words. Pairs of
-at least `least` are leaks, and so are those whose alignment scores `ENOUGH`,
-some fifteen words in a row: a passage of a long item.
+All of an item's n-grams are its seeds, however many documents hold them. A
+document that holds a seed is aligned with the item around the seed by
+Smith-Waterman, match 2, mismatch and gap -1; similarity is the number of
+matching words on the best alignment over the item's words. Pairs of at least
+`least` are leaks, and so are those whose alignment scores `ENOUGH`, some
+fifteen words in a row: a passage of a long item. Not aligned are only pairs
+with too few words in common for either, as those of a phrase that everybody
+uses.
 
 The items are worked through in slices of bounded size, so a larger benchmark
 means more passes, not larger broadcasts. Null or empty items and texts have no
@@ -18,8 +18,6 @@ side each give their own rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +28,6 @@ from barloom.llm.shared import pieces, tidied, utf8, with_documents_columns
 from barloom.llm.words import prefix_hash, shingles, span_hash
 
 N = 3
-SLACK = 4
 LEAST = 0.5
 ENOUGH = 30
 SLICE_BYTES = 16 << 20
@@ -70,19 +67,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A slice of the benchmark: words of each item, and its n-grams in one ascending array."""
+    """A slice of the benchmark: words of all items in a row, and their n-grams in one ascending array."""
 
     def __init__(self, ids: list, texts: list, n: int = N):
         h, item = words(pa.array([t or "" for t in texts], pa.string()))
         self.ids, self.n = ids, n
         cuts = np.searchsorted(item, np.arange(len(ids) + 1))
-        self.words = [h[cuts[i] : cuts[i + 1]] for i in range(len(ids))]
         grams, of, first = shingles(h, item, n)
         order = np.argsort(grams, kind="stable")
         self.hash, self.item, self.place = grams[order], of[order], (first - cuts[of])[order]
-        self._index()
-
-    def _index(self):
+        self.flat, self.cuts = h, cuts
         self.distinct, self.start = np.unique(self.hash, return_index=True)
         self.start = np.append(self.start, len(self.hash))
         self.maybe = np.zeros(1 << _BITS, bool)
@@ -95,17 +89,6 @@ class Items:
         ok = self.distinct[k] == grams[at] if len(self.distinct) else np.zeros(len(at), bool)
         return at[ok], k[ok]
 
-    def rare(self, in_docs: np.ndarray, slack: float = SLACK) -> None:
-        """Keep each item's rare n-grams, given in how many documents each distinct one is."""
-        count = np.repeat(in_docs, np.diff(self.start))
-        keep = np.zeros(len(self.hash), bool)
-        order = np.lexsort((count, self.item))
-        for rows in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(rows):
-                keep[rows] = count[rows] <= max(slack, slack * count[rows[len(rows) // 4]])
-        self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
-        self._index()
-
 
 def _grams(batch, n: int):
     h, text = words(batch.column(batch.schema.get_field_index("text")))
@@ -122,28 +105,24 @@ def slices(benchmark: DataFrame, most: int = SLICE_BYTES):
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-def seeded(docs: DataFrame, ids: list, texts: list, n: int = N, slack: float = SLACK) -> Items:
-    """The items with their rare n-grams, as counted over docs."""
-    items = Items(ids, texts, n)
-    held = docs.sparkSession.sparkContext.broadcast(items)  # SLICE_BYTES of text at most
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words a and b share, repeats counted: no alignment matches more."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+    return int(np.minimum(n, m[at])[y[at] == x].sum()) if len(x) and len(y) else 0
 
-    def count(batches):
-        items = held.value
-        seen = np.zeros(len(items.distinct), np.int64)
-        for batch in pieces(batches, 1 << 20):
-            _, _, grams, of, _ = _grams(batch, items.n)
-            at, k = items.find(grams)
-            once = np.unique(of[at] * np.int64(len(items.distinct)) + k)
-            seen += np.bincount(once % max(1, len(items.distinct)), minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["gram", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of the slice at most
-    in_docs = np.zeros(len(items.distinct), np.int64)
-    for r in counted:
-        in_docs[r["gram"]] = r["n"]
-    items.rare(in_docs, slack)
-    return items
+def _near(items: Items, of: np.ndarray, first: np.ndarray, at: np.ndarray, k: np.ndarray):
+    """(row, items, where in them, shifts) for each text with seeds: the places of each of its items, ascending."""
+    begin, often = items.start[k], items.start[k + 1] - items.start[k]
+    for one in np.split(np.arange(len(at)), np.flatnonzero(np.diff(of[at])) + 1):
+        n = often[one]
+        e = np.repeat(begin[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, shift = items.item[e], np.repeat(first[at[one]], n) - items.place[e]
+        order = np.lexsort((shift, item))
+        item, shift = item[order], shift[order]
+        own, where = np.unique(item, return_index=True)
+        yield int(of[at[one[0]]]), own, np.append(where, len(item)), shift
 
 
 def leaks_of(items: Items, batch, least: float = LEAST):
@@ -153,34 +132,34 @@ def leaks_of(items: Items, batch, least: float = LEAST):
     if not len(at):
         return
     begin = np.searchsorted(text, np.arange(batch.num_rows + 1))
-    near = defaultdict(list)
-    for i, d in zip(at, k):
-        for e in range(items.start[d], items.start[d + 1]):
-            near[int(of[i]), int(items.item[e])].append(int(first[i]) - int(items.place[e]))
-    for (row, item), places in near.items():
-        own = items.words[item]
-        m = len(own)
-        slack = m // 4 + 4
-        places.sort()
-        best = (0, 0)
-        lo = hi = places[0]
-        for p in [*places[1:], None]:
-            if p is not None and p - hi <= m + slack:
-                hi = p
-                continue
-            window = h[max(begin[row], lo - slack) : min(begin[row + 1], hi + m + slack)]
-            best = max(best, align(own, window))
-            lo = hi = p
-        if m and (best[1] >= least * m or best[0] >= ENOUGH):
-            yield row, item, best[1] / m, best[1], m, best[0]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, slack: float = SLACK, least: float = LEAST) -> DataFrame:
+    for row, found, where, shifts in _near(items, of, first, at, k):
+        whole = h[begin[row] : begin[row + 1]]
+        sizes = items.cuts[found + 1] - items.cuts[found]
+        heads = np.cumsum(sizes) - sizes
+        flat = items.flat[np.repeat(items.cuts[found] - heads, sizes) + np.arange(sizes.sum())]
+        shared = np.add.reduceat(np.isin(flat, whole).astype(np.int64), heads)
+        for j in np.flatnonzero((shared >= least * sizes) | (2 * shared >= ENOUGH)):
+            item, places = int(found[j]), shifts[where[j] : where[j + 1]]
+            own = items.flat[items.cuts[item] : items.cuts[item + 1]]
+            m = len(own)
+            slack = m // 4 + 4
+            gaps = np.flatnonzero(np.diff(places) > m + slack)
+            best = (0, 0)
+            for lo, hi in zip(places[np.append(0, gaps + 1)], places[np.append(gaps, len(places) - 1)]):
+                window = h[max(begin[row], lo - slack) : min(begin[row + 1], hi + m + slack)]
+                some = _common(own, window)
+                if some >= least * m or 2 * some >= ENOUGH:
+                    best = max(best, align(own, window))
+            if best[1] >= least * m or best[0] >= ENOUGH:
+                yield row, item, best[1] / m, best[1], m, best[0]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, similarity, matches, item_words, score: a row for each leaking pair."""
     spark, docs = docs.sparkSession, with_documents_columns(docs)
     out = spark.createDataFrame([], _LEAK)
     for ids, texts in slices(benchmark):
-        held = spark.sparkContext.broadcast(seeded(docs, ids, texts, n, slack))
+        held = spark.sparkContext.broadcast(Items(ids, texts, n))  # SLICE_BYTES of text at most
 
         def work(batches, held=held):
             items = held.value
@@ -201,7 +180,7 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that leak an item; every other row stays, with all its columns."""
     for ids, texts in slices(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        held = spark.sparkContext.broadcast(seeded(docs, ids, texts))
+        held = spark.sparkContext.broadcast(Items(ids, texts))  # SLICE_BYTES of text at most
 
         def work(batches, held=held):
             items = held.value

@@ -340,6 +340,21 @@ def test_leaks(spark, docs, texts):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [5, 100, 2000])
+def test_leaks_however_many_documents_hold_them(spark, copies):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["ba", "du", "fe", "go", "hy"]) for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(3)]
+    part, edited = " ".join(items[0][1].split()[8:26]), " ".join(x if k % 5 else "other" for k, x in enumerate(items[1][1].split()))
+    phrase = " ".join(items[2][1].split()[4:9])  # five words of an item that everybody uses
+    texts = [f"{a} {phrase} {b}" for _ in range(copies) for a, b in ((part, word()), (word(), edited), (word(), word()))]
+    df = materialise(spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS), "many")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(df, bench).collect()}
+    assert set(got) == {(3 * k + i, i) for k in range(copies) for i in (0, 1)}
+    assert all(s >= (0.45, 0.8)[i] for (_, i), s in got.items())
+
+
 def test_items_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.slices, "__defaults__", (40,))
     bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k}") for k in range(9)], "item_id long, text string")
