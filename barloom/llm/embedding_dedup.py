@@ -5,8 +5,13 @@ its own (k-means on at most `sample` vectors, those whose ids hash lowest), and
 pairs of codewords form a grid of cells. A vector lies in one cell and looks
 into the nearest cells, in the order of the multi-sequence traversal: by the sum
 of its halves' distances to their codewords. How many cells: as many as reach
-the target recall on `probes` vectors, whose links are found by brute force
-against all vectors. What is found is verified by cosine in double precision.
+the target recall on probes, sample vectors whose links are found by brute force
+against all vectors. It is reached in each quarter of the similarities, over
+links, over probes and over groups of linked probes alike, so one large tight
+group doesn't hide what looser pairs need. `probes` are taken at first, more
+until `GROUPS` groups have links or the sample ends; if it ends sooner and isn't
+the whole table, pairs made at the bar have to be found as well. The recall is
+logged. What is found is verified by cosine in double precision.
 
 Codebooks grow with the square root of the number of vectors, so that a cell's
 expected size stays the same. A cell of more than `CHUNK` vectors is split, and
@@ -22,6 +27,8 @@ vector for links, and each gets the result.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +43,8 @@ SAMPLE = 16_000
 PROBES = 400
 CELL = 8
 CHUNK = 1024
-MOST_RANK = 1 << 14
+GROUPS = 100
+RANGES = 4
 
 
 def _unit(bodies: list[bytes]) -> np.ndarray:
@@ -113,36 +121,93 @@ class Grid:
         return np.array([int(np.searchsorted(ordered, w - a, "left").sum()) for w in want], np.int64)
 
 
-def cells_to_visit(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float, target: float) -> tuple[int, float, int]:
-    """(cells, recall they reach, links they were measured on): a pass of all vectors against the queries."""
+def _ranks_of_links(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float) -> np.ndarray:
+    """(query, range of similarity, rank, links) rows: a pass of all vectors against the queries."""
     q = _unit([b for _, b in queries])
     ids = np.array([i for i, _ in queries], np.int64)
     a, b = grid.distances(q)
+    held = reps.sparkSession.sparkContext.broadcast((q, ids, a, b))  # of the sample at most
 
     def work(batches):
-        seen = np.zeros(MOST_RANK + 1, np.int64)
+        q, ids, a, b = held.value
         for batch in batches:
             bodies = batch.column("body").to_pylist()
             names = batch.column("rep").to_numpy()
+            rows = []
             for at in range(0, len(bodies), 2000):
                 x = _unit(bodies[at : at + 2000])
-                hit, row = np.nonzero((q @ x.T >= least) & (ids[:, None] != names[None, at : at + 2000]))
-                if not len(hit):
-                    continue
                 cells = grid.cells(x)
-                for k in np.unique(hit):
-                    own, often = np.unique(cells[row[hit == k]], return_counts=True)
-                    np.add.at(seen, np.minimum(grid.ranks(a[k], b[k], own), MOST_RANK), often)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["rank", "n"])
-
-    got = reps.select("rep", "body").mapInArrow(work, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, sofar = sum(r["n"] for r in got), 0
-    for r in got:
-        sofar += r["n"]
-        if sofar >= target * total:
-            return max(4, r["rank"] + 1), sofar / total, total
-    return 8, 1.0, 0
+                for k0 in range(0, len(q), 2000):
+                    like = q[k0 : k0 + 2000] @ x.T
+                    hit, row = np.nonzero((like >= least) & (ids[k0 : k0 + 2000, None] != names[None, at : at + 2000]))
+                    band = np.clip((like[hit, row] - least) / max(1 - least, 1e-9) * RANGES, 0, RANGES - 1).astype(np.int64)
+                    for k in np.unique(hit):
+                        mine = hit == k
+                        own, which = np.unique(cells[row[mine]], return_inverse=True)
+                        pairs, often = np.unique(which.ravel() * RANGES + band[mine], return_counts=True)
+                        ranks = grid.ranks(a[k0 + k], b[k0 + k], own)[pairs // RANGES]
+                        rows += zip([int(k0 + k)] * len(pairs), (pairs % RANGES).tolist(), ranks.tolist(), often.tolist())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query", "band", "rank", "n"])
+
+    got = reps.select("rep", "body").mapInArrow(work, "query long, band long, rank long, n long").groupBy("query", "band", "rank").agg(F.sum("n").alias("n"))
+    return np.array([tuple(r) for r in got.collect()], np.int64).reshape(-1, 4)
+
+
+def _grouped(x: np.ndarray, least: float) -> np.ndarray:
+    """For each row of x the first of the rows that lead, those alike to no leader before them."""
+    lead = np.zeros((0, x.shape[1]))
+    out = np.zeros(len(x), np.int64)
+    for i, v in enumerate(x):
+        like = np.flatnonzero(lead @ v >= least)
+        out[i] = like[0] if len(like) else len(lead)
+        if not len(like):
+            lead = np.concatenate((lead, v[None]))
+    return out
+
+
+def _reaching(rank: np.ndarray, weight: np.ndarray, target: float) -> tuple[int, float]:
+    """(cells, recall) of the fewest cells that hold `target` of the weight."""
+    order = np.argsort(rank, kind="stable")
+    sums = np.cumsum(weight[order])
+    ends = np.flatnonzero(np.append(np.diff(rank[order]) > 0, True))
+    at = ends[np.flatnonzero(sums[ends] >= target * sums[-1] * (1 - 1e-12))[0]]
+    return int(rank[order[at]]) + 1, float(sums[at] / sums[-1])
+
+
+def _at_the_bar(grid: Grid, x: np.ndarray, least: float) -> np.ndarray:
+    """Ranks of the cells of x for vectors made from them, alike by `least` in directions of chance."""
+    other = np.random.default_rng(11).normal(size=x.shape)
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.maximum(np.sqrt((other * other).sum(1, keepdims=True)), 1e-12)
+    a, b = grid.distances(least * x + np.sqrt(max(0, 1 - least * least)) * other)
+    return np.array([grid.ranks(a[i], b[i], cell[None])[0] for i, cell in enumerate(grid.cells(x))], np.int64)
+
+
+def cells_to_visit(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float, target: float, probes: int = PROBES, total: int | None = None) -> tuple[int, float, int]:
+    """(cells, the least recall they reach, links it was measured on) by the first of queries, as many as it takes; total: of all vectors."""
+    rows, groups, done = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), 0
+    while done < len(queries) and (not done or groups.max(initial=-1) + 1 < GROUPS):
+        end = min(len(queries), max(1, probes) if not done else 4 * done)
+        more = _ranks_of_links(reps, grid, queries[done:end], least)
+        more[:, 0] += done
+        rows, done = np.concatenate((rows, more)), end
+        linked, which = np.unique(rows[:, 0], return_inverse=True)
+        groups = _grouped(_unit([queries[k][1] for k in linked]), least) if len(linked) else groups
+    needs = []
+    for band in range(RANGES):
+        mine = rows[:, 1] == band
+        if mine.any():
+            probe, rank, n = which.ravel()[mine], rows[mine, 2], rows[mine, 3].astype(float)
+            share = n / np.bincount(probe, n)[probe]  # each probe counts 1
+            members = np.bincount(groups[np.unique(probe)])
+            needs += [_reaching(rank, w, target) for w in (n, share, share / members[groups[probe]])]
+    if groups.max(initial=-1) + 1 < GROUPS and done < (total or done + 1):
+        made = _at_the_bar(grid, _unit([b for _, b in queries[:PROBES]]), least)
+        needs.append(_reaching(made, np.ones(len(made)), target))
+    visits, recall = max((v for v, _ in needs), default=1), min((r for _, r in needs), default=1.0)
+    logging.getLogger(__name__).info("cells to visit: %d, recall at least %.4f on %d links of %d groups, %d probes", visits, recall, rows[:, 3].sum(), groups.max(initial=-1) + 1, done)
+    return max(4, visits), recall, int(rows[:, 3].sum())
 
 
 _WORK = "cell long, a int, b int, member boolean, id long, n long, own long, body binary, visits binary"
@@ -164,6 +229,7 @@ def _roots(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
 def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> DataFrame:
     """reps (rep, n, body) -> id, links, root: partial counts, and edges that connect what is linked."""
     spark = reps.sparkSession
+    step = max(1, min(500, 100_000 // visits))  # rows whose cells are held at once
 
     def own_cells(batches):
         for batch in batches:
@@ -176,8 +242,8 @@ def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> Data
 
     def deal(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 bodies, names, counts = part.column("body").to_pylist(), part.column("rep").to_pylist(), part.column("n").to_pylist()
                 look = grid.traverse(_unit(bodies), visits)
                 rows = []
@@ -254,7 +320,7 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, target: float =
         k = int(min(max(2, np.ceil(np.sqrt(total / CELL))), max(2, len(some) // 8)))
         half = x.shape[1] // 2
         grid = Grid(codebook(x[:, :half], k) if half else np.zeros((1, 0)), codebook(x[:, half:], k))
-        visits, _, _ = cells_to_visit(reps, grid, [(r["rep"], bytes(r["body"])) for r in some[:probes]], least, target)
+        visits, _, _ = cells_to_visit(reps, grid, [(r["rep"], bytes(r["body"])) for r in some], least, target, probes, total)
         found = link(reps, grid, visits, least)
         part = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("id").agg(F.sum("links").alias("links"))

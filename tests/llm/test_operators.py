@@ -554,6 +554,33 @@ def test_multi_index(spark):
     assert spark.createDataFrame([], df.schema).transform(embedding_dedup.near_duplicates).count() == 0
 
 
+def test_one_large_tight_group_hides_no_looser_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(700, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    hot = base[0] + rng.normal(0, 0.002, (700, 16))
+    x = np.concatenate([hot, base[1:], base[1:] + rng.normal(0, 0.1, (699, 16))])  # cosine of about 0.92
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, sample=800, probes=200).collect()}
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (v @ v.T >= 0.9).sum(1) - 1
+    loose = [i for i in range(700, len(x)) if want[i]]
+    assert len(loose) > 500 and all(got[i] <= want[i] for i in got)
+    assert sum(got[i] for i in loose) >= 0.96 * sum(want[i] for i in loose)
+    assert sum(got.values()) >= 0.96 * want.sum()
+
+
+def test_cells_without_links_are_measured(spark):
+    """Where no probe has a link, cells are chosen by pairs made at the bar."""
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = embedding_dedup.Grid(embedding_dedup.codebook(x[:, :16], 20), embedding_dedup.codebook(x[:, 16:], 20))
+    reps = spark.createDataFrame([(int(i), r.tobytes()) for i, r in enumerate(x[:50])], "rep long, body binary")
+    visits, recall, links = embedding_dedup.cells_to_visit(reps, grid, [(i, x[i].tobytes()) for i in range(50)], 0.9, 0.985, 20, 3000)
+    made = embedding_dedup._at_the_bar(grid, x[:50], 0.9)
+    assert links == 0 and recall >= 0.985 and (made < visits).mean() >= 0.985 and visits > 8
+
+
 def test_large_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
     rng = np.random.default_rng(1)
