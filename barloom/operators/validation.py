@@ -16,6 +16,7 @@ from barloom.operators.strategies import Strategy, params_key
 from barloom.sources.synthetic import derive_seed
 
 MIN_TRAIN_TRADES = 5
+DRAWS = 1 << 20  # trades of a path that are held at once
 
 
 # walk-forward
@@ -100,15 +101,27 @@ def _drawdown(equity: np.ndarray) -> float:
     return float((equity / np.maximum.accumulate(equity) - 1).min())
 
 
-def trade_bootstrap(spark: SparkSession, pnls: list[float], capital: float, n_paths: int, seed: int, ruin_pct: float) -> dict:
-    """Trades drawn with replacement; equity never falls below a millionth of a cent."""
+def trade_bootstrap(spark: SparkSession, pnls: list[float], capital: float, n_paths: int, seed: int, ruin_pct: float, often: list[int] | None = None) -> dict:
+    """Trades drawn with replacement; equity never falls below a millionth of a cent. often: how many trades have each of pnls (none: one)."""
     x = np.asarray(pnls, float)
     if not len(x):
         return {"error": "no trades"}
+    ends = None if often is None else np.cumsum(np.asarray(often, np.int64))
+    n = len(x) if ends is None else int(ends[-1])
+    held = spark.sparkContext.broadcast((x, ends))
 
     def one(rng):
-        path = np.maximum(capital + np.cumsum(x[rng.integers(0, len(x), len(x))]), 1e-9)
-        return _drawdown(np.concatenate(([capital], path))), float(path[-1])
+        x, ends = held.value
+        level = peak = last = capital
+        worst = 0.0
+        for at in range(0, n, DRAWS):
+            drawn = rng.integers(0, n, min(DRAWS, n - at))
+            path = level + np.cumsum(x[drawn if ends is None else np.searchsorted(ends, drawn, "right")])
+            level = path[-1]
+            path = np.concatenate(([peak], np.maximum(path, 1e-9)))
+            worst = min(worst, _drawdown(path))
+            peak, last = path.max(), path[-1]
+        return worst, float(last)
 
     r = _paths(spark, n_paths, seed, one).agg(
         F.percentile("drawdown", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.01))).alias("dd"), F.percentile("final", F.array(F.lit(0.05), F.lit(0.5))).alias("final"),

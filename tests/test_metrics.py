@@ -77,6 +77,18 @@ def test_bootstraps(spark):
     assert "error" in validation.block_bootstrap(spark, [0.01] * 10, 100, 7, 15.0)
 
 
+def test_bootstrap_of_repeated_amounts_and_in_parts(spark, monkeypatch):
+    pnls, often = [-300.0, 50.0, 125.0], [20, 70, 35]
+    whole = validation.trade_bootstrap(spark, np.repeat(pnls, often).tolist(), 100_000.0, 200, 7, 15.0)
+    assert validation.trade_bootstrap(spark, pnls, 100_000.0, 200, 7, 15.0, often) == whole
+    monkeypatch.setattr(validation, "DRAWS", 32)
+    one = np.random.default_rng(validation.derive_seed(7, "path", "0"))
+    drawn = np.concatenate([one.integers(0, 125, min(32, 125 - at)) for at in range(0, 125, 32)])
+    path = np.concatenate(([100_000.0], 100_000.0 + np.cumsum(np.repeat(pnls, often)[drawn])))
+    got = validation.trade_bootstrap(spark, pnls, 100_000.0, 1, 7, 15.0, often)
+    assert got["final_equity_p50"] == pytest.approx(path[-1]) and got["dd_p50"] == pytest.approx((path / np.maximum.accumulate(path) - 1).min())
+
+
 def test_deflated_sharpe(spark):
     x = np.random.default_rng(5).standard_t(5, 500) * 0.01 + 0.0008
     r = spark.createDataFrame([(float(v),) for v in x], "r double")

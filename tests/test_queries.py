@@ -72,3 +72,13 @@ def test_equal_at_any_number_of_partitions(spark, name):
         got.append(sorted(map(tuple, queries.QUERIES[name](spark, SF).collect()), key=repr))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_bootstrap_draws_from_all_trades(spark, monkeypatch):
+    at = SF.replace("0.001", "0.01")
+    asked = []
+    monkeypatch.setattr(queries.validation, "trade_bootstrap", lambda spark, pnls, *rest: asked.append((pnls, rest[-1])) or {"n": 0.0})
+    queries.bootstrap_trades(spark, at)
+    pnls, often = asked[0]
+    n, total = duckdb.connect().execute(f"SELECT count(*), sum(round(l_extendedprice - 38000, 2)) FROM read_parquet('{at}/lineitem.parquet') WHERE l_linenumber = 1 AND l_returnflag = 'R'").fetchone()
+    assert sum(often) == n > 500 and sum(p * k for p, k in zip(pnls, often)) == pytest.approx(total)
