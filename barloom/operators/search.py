@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+RANGE = 1 << 16
 
 
 def query_terms(text: str, most: int = 12) -> list[str]:
@@ -37,10 +38,15 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
 
 def chain_state(log: DataFrame) -> DataFrame:
     """seq, prev_ok, hash_ok of a hash-chained log (seq, ts, actor, event_type, payload_json, prev_hash, this_hash)."""
-    from pyspark.sql import Window
-
     nul = F.lit("\0")
-    # the log of a catalogue is one sequence; its rows are few
-    before = F.coalesce(F.lag("this_hash").over(Window.orderBy("seq")), F.lit("0" * 64))
+    # ranges of seq, about RANGE rows each; each begins after the last entry of the range before it that has any
+    span = log.agg(F.min("seq").cast("double").alias("__low"), F.greatest(F.lit(1.0), (F.max("seq").cast("double") - F.min("seq").cast("double") + 1) * RANGE / F.greatest(F.count("seq"), F.lit(1))).alias("__width"))
+    rows = log.crossJoin(F.broadcast(span)).withColumn("__part", F.floor((F.col("seq").cast("double") - F.col("__low")) / F.col("__width")))  # span: one row
+    order = F.struct("seq", "this_hash")
+    ends = rows.groupBy("__part").agg(F.max_by(F.struct("this_hash"), order).alias("__end"))
+    edges = ends.select(F.col("__part").alias("__of"), F.lag("__end").over(Window.orderBy("__part")).alias("__edge"))  # a row for each range
+    within = F.lag(F.struct("this_hash")).over(Window.partitionBy("__part").orderBy("seq", "this_hash"))
+    log = rows.withColumn("__last", within).join(F.broadcast(edges), F.col("__part").eqNullSafe(F.col("__of")), "left")
+    before = F.coalesce(F.coalesce("__last", "__edge")["this_hash"], F.lit("0" * 64))
     parts = [x for c in ("prev_hash", "ts", "actor", "event_type", "payload_json") for x in (F.col(c), nul)]
     return log.select("seq", (F.col("prev_hash") == before).alias("prev_ok"), (F.sha2(F.concat(*parts), 256) == F.col("this_hash")).alias("hash_ok"))

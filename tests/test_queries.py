@@ -82,3 +82,23 @@ def test_bootstrap_draws_from_all_trades(spark, monkeypatch):
     pnls, often = asked[0]
     n, total = duckdb.connect().execute(f"SELECT count(*), sum(round(l_extendedprice - 38000, 2)) FROM read_parquet('{at}/lineitem.parquet') WHERE l_linenumber = 1 AND l_returnflag = 'R'").fetchone()
     assert sum(often) == n > 500 and sum(p * k for p, k in zip(pnls, often)) == pytest.approx(total)
+
+
+def test_chain_is_verified_by_ranges(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(queries.search, "RANGE", 16)
+    seqs = [k * k if k < 300 else 10**12 + k for k in range(500)]  # with gaps, so that ranges are empty
+    log = spark.createDataFrame([(k, f"t{k}", "a", "e", "p") for k in seqs], "seq long, ts string, actor string, event_type string, payload_json string")
+    link = F.sha2(F.col("seq").cast("string"), 256)
+    log = log.withColumn("this_hash", link).withColumn("prev_hash", F.coalesce(F.lag(link).over(Window.orderBy("seq")), F.lit("0" * 64)))
+    log = log.withColumn("prev_hash", F.when(F.col("ts").isin("t49", "t1000000000400"), "broken").otherwise(F.col("prev_hash")))
+    for n in (500, 200):  # ranges that hold many rows, and ranges of a few
+        some = log.filter(F.col("seq") <= seqs[n - 1])
+        got = queries.search.chain_state(some).collect()
+        assert len(got) == n and {r["seq"] for r in got if not r["prev_ok"]} == {49, 10**12 + 400} & set(seqs[:n])
+    plan = queries.search.chain_state(spark.range(10).select(F.col("id").alias("seq"), *(F.lit("x").alias(c) for c in ("ts", "actor", "event_type", "payload_json", "prev_hash", "this_hash"))))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and all("windowspecdefinition(__part" in line for line in windows)  # none is over the whole log
+    assert queries.search.chain_state(log.limit(0)).count() == 0
