@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from barloom.llm.shared import fan_out, materialise, squeeze, tidied, unsqueeze, utf8
 
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20  # of text for each bucket, however much there is
 _ASKED = "block long, bucket int, kind int, body binary"
 _ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 TEXTS = -1
@@ -95,11 +96,14 @@ def _open(name: int, body: bytes, answers: dict) -> Block:
 class Corpus:
     """docs: a DataFrame of doc_id and text; see with_documents_columns."""
 
-    def __init__(self, docs: DataFrame, size: int = BLOCK_BYTES, scale: int = 4):
+    def __init__(self, docs: DataFrame, size: int = BLOCK_BYTES, bucket: int = BUCKET_BYTES):
         self.docs, self.size, self.spark = docs, size, docs.sparkSession
         self.parts = fan_out(self.spark)
-        #: Buckets are ranges of hashes; more of them than partitions, so that one of them fits in memory.
-        self.bits = max(6, int(np.ceil(np.log2(self.parts * scale))))
+        measured = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.rows, self.bytes = int(measured[0]), int(measured[1])
+        #: Buckets are ranges of hashes, as many as there are shares of `bucket` bytes of text: what one
+        #: task holds doesn't grow with the corpus.
+        self.bits = max(6, int(np.ceil(np.log2(max(1, self.bytes / bucket)))))
         self.rounds: list[DataFrame] = []
 
     def _joined(self) -> DataFrame:

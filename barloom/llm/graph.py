@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import materialise
+from barloom.llm.shared import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         linked = large.join(small_min, "u")
         after = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small_min.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(after, "links")
+        discard(now)
         # settled when every node points at one node that points nowhere
         open_ = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
         if not open_ and not after.join(after.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").limit(1).count():

@@ -100,8 +100,8 @@ _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, bands, in_docs (document frequency of each of its shingles, in order), for every row."""
-    corpus, total = Corpus(docs), docs.count()
-    bits = corpus.bits
+    corpus = Corpus(docs)
+    bits, total = corpus.bits, corpus.rows
 
     def request(block: Block) -> dict[int, bytes]:
         _, grams, _ = _weighted(block)

@@ -32,7 +32,7 @@ from barloom.llm.blocks import Block, Corpus, by_bucket
 from barloom.llm.shared import get_counts, get_sorted, materialise, put_counts, put_sorted, with_documents_columns
 from barloom.llm.words import chain, word_hashes
 
-ORDER = 2
+ORDER = 3
 END, START = np.uint64(0x51ED270B7F4A7C15), np.uint64(0xA24BAED4963EE407)
 STEPS = 128  # of half an octave; the last is for zero
 

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, but only with a local master."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")
@@ -31,7 +33,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _WRITTEN[id(out)] = out, at
+    return out
+
+
+#: Tables of materialise() that discard() may remove: (DataFrame, folder).
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise() wrote, once nothing reads them any more; other DataFrames are left alone."""
+    for df in tables:
+        held, at = _WRITTEN.pop(id(df), (None, None))
+        if held is df:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fan_out(spark: SparkSession) -> int:
