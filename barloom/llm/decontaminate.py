@@ -1,19 +1,22 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased words (runs of letters, digits and non-ASCII characters).
-All of an item's n-grams are its seeds, however many documents hold them. A
-document that holds a seed is aligned with the item around the seed by
-Smith-Waterman, match 2, mismatch and gap -1; similarity is the number of
-matching words on the best alignment over the item's words. Pairs of at least
-`least` are leaks, and so are those whose alignment scores `ENOUGH`, some
-fifteen words in a row: a passage of a long item. Not aligned are only pairs
-with too few words in common for either, as those of a phrase that everybody
-uses.
-
-The items are worked through in slices of bounded size, so a larger benchmark
-means more passes, not larger broadcasts. Null or empty items and texts have no
-leaks; items shorter than n words count as one n-gram. Repeated rows of either
-side each give their own rows.
+All of an item's n-grams are its seeds, however many documents hold them; an
+item of fewer than n words is one seed of its own length, looked for among the
+documents' runs of that length. A document that holds a seed is aligned with
+the item around the seed by Smith-Waterman, match 2, mismatch and gap -1;
+similarity is the number of matching words on the best alignment over the
+item's words. Pairs of at least `least` are leaks, and so are those whose
+alignment scores `ENOUGH`, some fifteen words in a row: a passage of a long
+item. Not aligned are only pairs with too few words in common for either, as
+those of a phrase that everybody uses.
+
+Items of equal text are one, under their smallest item_id and with their
+number, so copies of items don't multiply rows. The items are worked through in
+slices of bounded size; each slice is judged on all documents and alone, so the
+size of slices doesn't change what is found. Null or empty items and texts have
+no leaks, nor has an empty table on either side; texts are read whole, however
+long. Repeated documents, also of one doc_id, each give their own rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import pieces, tidied, utf8, with_documents_columns
-from barloom.llm.words import prefix_hash, shingles, span_hash
+from barloom.llm.words import chain, prefix_hash, span_hash
 
 N = 3
 LEAST = 0.5
@@ -35,7 +38,7 @@ _WORD = np.zeros(256, bool)
 _WORD[np.r_[48:58, 97:123, 128:256]] = True
 _BITS = 22
 _MATCH, _OTHER = (2 << 24) + 1, -(1 << 24)  # a cell holds the score and, below it, the matches on the way
-_LEAK = "doc_id long, item_id long, similarity double, matches int, item_words int, score int"
+_LEAK = "doc_id long, item_id long, similarity double, matches int, item_words int, score int, same_items long"
 
 
 def words(column) -> tuple[np.ndarray, np.ndarray]:
@@ -66,16 +69,34 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best >> 24, best & ((1 << 24) - 1)
 
 
+def runs(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each run of n words within a text."""
+    k = len(h) - n + 1
+    first = np.flatnonzero(text[:k] == text[n - 1 :]) if k > 0 else np.zeros(0, np.int64)
+    return chain(*(h[first + i] for i in range(n))) if len(first) else np.zeros(0, np.uint64), first
+
+
 class Items:
-    """A slice of the benchmark: words of all items in a row, and their n-grams in one ascending array."""
+    """A slice of the benchmark: words of all items in a row, and their seeds in one ascending array."""
 
-    def __init__(self, ids: list, texts: list, n: int = N):
+    def __init__(self, ids: list, texts: list, n: int = N, same: list | None = None):
         h, item = words(pa.array([t or "" for t in texts], pa.string()))
-        self.ids, self.n = ids, n
+        self.ids, self.same = ids, same or [1] * len(ids)
         cuts = np.searchsorted(item, np.arange(len(ids) + 1))
-        grams, of, first = shingles(h, item, n)
+        size = np.diff(cuts)
+        #: Lengths of seeds that any item has: n, and those of shorter items.
+        self.lengths = sorted({int(min(m, n)) for m in np.unique(size) if m})
+        grams, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for m in self.lengths:
+            g, at = runs(h, item, m)
+            own = np.minimum(size[item[at]], n) == m
+            grams.append(g[own])
+            first.append(at[own])
+        grams, first = np.concatenate(grams), np.concatenate(first)
         order = np.argsort(grams, kind="stable")
-        self.hash, self.item, self.place = grams[order], of[order], (first - cuts[of])[order]
+        self.hash, first = grams[order], first[order]
+        self.item = item[first] if len(first) else first
+        self.place = first - cuts[self.item]
         self.flat, self.cuts = h, cuts
         self.distinct, self.start = np.unique(self.hash, return_index=True)
         self.start = np.append(self.start, len(self.hash))
@@ -90,19 +111,15 @@ class Items:
         return at[ok], k[ok]
 
 
-def _grams(batch, n: int):
-    h, text = words(batch.column(batch.schema.get_field_index("text")))
-    return h, text, *shingles(h, text, n)
-
-
 def slices(benchmark: DataFrame, most: int = SLICE_BYTES):
-    """The benchmark in parts of about `most` bytes of text, chosen by the hash of item and text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(ids, texts, how many items each stands for) of parts of the benchmark of about `most` bytes of text, chosen by the hash of the text."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("same"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-total // most)
     for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        yield [r["item_id"] for r in rows], [r["text"] for r in rows], [r["same"] for r in rows]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -127,10 +144,16 @@ def _near(items: Items, of: np.ndarray, first: np.ndarray, at: np.ndarray, k: np
 
 def leaks_of(items: Items, batch, least: float = LEAST):
     """(row, item, similarity, matches, item's words, score) of each leak in the batch's texts."""
-    h, text, grams, of, first = _grams(batch, items.n)
-    at, k = items.find(grams)
-    if not len(at):
+    h, text = words(batch.column(batch.schema.get_field_index("text")))
+    found = [runs(h, text, m) for m in items.lengths]
+    hits = [items.find(g) for g, _ in found]
+    first = np.concatenate([np.zeros(0, np.int64), *(p[at] for (_, p), (at, _) in zip(found, hits))])
+    if not len(first):
         return
+    k = np.concatenate([k for _, k in hits])
+    order = np.argsort(first, kind="stable")
+    first, k = first[order], k[order]
+    of, at = text[first], np.arange(len(first))
     begin = np.searchsorted(text, np.arange(batch.num_rows + 1))
     for row, found, where, shifts in _near(items, of, first, at, k):
         whole = h[begin[row] : begin[row + 1]]
@@ -155,19 +178,19 @@ def leaks_of(items: Items, batch, least: float = LEAST):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, similarity, matches, item_words, score: a row for each leaking pair."""
+    """doc_id, item_id, similarity, matches, item_words, score, same_items: a row for each leaking pair of a document and an item's text."""
     spark, docs = docs.sparkSession, with_documents_columns(docs)
     out = spark.createDataFrame([], _LEAK)
-    for ids, texts in slices(benchmark):
-        held = spark.sparkContext.broadcast(Items(ids, texts, n))  # SLICE_BYTES of text at most
+    for ids, texts, same in slices(benchmark):
+        held = spark.sparkContext.broadcast(Items(ids, texts, n, same))  # SLICE_BYTES of text at most
 
         def work(batches, held=held):
             items = held.value
             for batch in pieces(batches, 1 << 20):
-                rows = [(batch.column(0)[r].as_py(), items.ids[i], *rest) for r, i, *rest in leaks_of(items, batch, least)]
+                rows = [(batch.column(0)[r].as_py(), items.ids[i], *rest, items.same[i]) for r, i, *rest in leaks_of(items, batch, least)]
                 if rows:
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "similarity", "matches", "item_words", "score"])
+                    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "similarity", "matches", "item_words", "score", "same_items"])
 
         out = out.union(docs.mapInArrow(work, _LEAK))
     return out
@@ -179,7 +202,7 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that leak an item; every other row stays, with all its columns."""
-    for ids, texts in slices(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    for ids, texts, _ in slices(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         held = spark.sparkContext.broadcast(Items(ids, texts))  # SLICE_BYTES of text at most
 
         def work(batches, held=held):
