@@ -1,28 +1,32 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Vectors are scaled to length 1 and cut into halves; each half has a codebook of
-its own (k-means on at most `sample` vectors, those whose ids hash lowest), and
-pairs of codewords form a grid of cells. A vector lies in one cell and looks
-into the nearest cells, in the order of the multi-sequence traversal: by the sum
-of its halves' distances to their codewords. How many cells: as many as reach
-the target recall on probes, sample vectors whose links are found by brute force
-against all vectors. It is reached in each quarter of the similarities, over
-links, over probes and over groups of linked probes alike, so one large tight
-group doesn't hide what looser pairs need. `probes` are taken at first, more
-until `GROUPS` groups have links or the sample ends; if it ends sooner and isn't
-the whole table, pairs made at the bar have to be found as well. The recall is
-logged. What is found is verified by cosine in double precision.
+its own (k-means), and pairs of codewords form a grid of cells. A vector lies in
+one cell and looks into the nearest cells, in the order of the multi-sequence
+traversal: by the sum of its halves' distances to their codewords. How many
+cells: as many as reach the target recall on probes, sample vectors whose links
+are found by brute force against all vectors. It is reached in each quarter of
+the similarities, over links, over probes and over groups of linked probes
+alike, so one large tight group doesn't hide what looser pairs need. `probes`
+are taken at first, more until `GROUPS` groups have links or the sample ends; if
+it ends sooner and isn't the whole table, pairs made at the bar have to be found
+as well. Every other probe is left out of that choice: recall is measured on
+these (on made pairs, where no probe has a link), twice as many cells are
+visited until it is at least `RECALL`, all of them if need be, and it is logged
+and given in `report`. What is found is verified by cosine in double precision.
 
 Codebooks grow with the square root of the number of vectors, so that a cell's
-expected size stays the same. A cell of more than `CHUNK` vectors is split, and
-so are those who look into it, so no task gets more than a chunk of each;
-results of a task are counts and a component's root for each vector, not pairs.
-Equal vectors are one, with their number.
-
-Vectors that are null, zero, hold null or non-finite numbers, or whose length
-isn't the commonest (of equally common: the longest), link with nothing; nor do
-rows whose vec_id is null. Rows that repeat a vec_id and its vector are one
-vector for links, and each gets the result.
+expected size stays the same; they are fitted on `sample` vectors, those whose
+ids hash lowest, or 8 for each codeword if that is more. A cell of more than
+`CHUNK` vectors is split, and so are those who look into it, so no task gets
+more than a chunk of each; results of a task are counts and a component's root
+for each vector, not pairs. Equal vectors are one, with their number.
+
+Only vectors of one width can be compared: each width is searched for itself,
+those of at most `CHUNK` vectors without a grid. Vectors that are null, zero, or
+hold null or non-finite numbers link with nothing; nor do rows whose vec_id is
+null. Rows that repeat a vec_id and its vector are one vector for links, and
+each gets the result. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from barloom.llm.shared import fan_out, materialise
 
 LEAST = 0.9
 TARGET = 0.985
+RECALL = 0.9
 SAMPLE = 16_000
 PROBES = 400
 CELL = 8
@@ -79,8 +84,10 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k-means of the rows of x; the same for the same x."""
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    step = max(1, (1 << 23) // len(c))  # distances of so many rows at once
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        squares = (c * c).sum(1)
+        near = np.concatenate([np.argmin(squares - 2 * x[at : at + step] @ c.T, axis=1) for at in range(0, len(x), step)])
         n = np.bincount(near, minlength=len(c))
         order = np.argsort(near, kind="stable")
         sums = np.add.reduceat(x[order], np.minimum(np.concatenate(([0], np.cumsum(n)[:-1])), len(x) - 1), axis=0)
@@ -184,8 +191,20 @@ def _at_the_bar(grid: Grid, x: np.ndarray, least: float) -> np.ndarray:
     return np.array([grid.ranks(a[i], b[i], cell[None])[0] for i, cell in enumerate(grid.cells(x))], np.int64)
 
 
+def _recall(rows: np.ndarray, visits: int) -> float:
+    """The share of links that so many cells hold: the least of the ranges of similarity, each probe counting 1."""
+    found = []
+    for band in np.unique(rows[:, 1]):
+        mine = rows[rows[:, 1] == band]
+        _, probe = np.unique(mine[:, 0], return_inverse=True)
+        n = mine[:, 3].astype(float)
+        share = n / np.bincount(probe.ravel(), n)[probe.ravel()]
+        found.append(float(share[mine[:, 2] < visits].sum() / share.sum()))
+    return min(found, default=1.0)
+
+
 def cells_to_visit(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float, target: float, probes: int = PROBES, total: int | None = None) -> tuple[int, float, int]:
-    """(cells, the least recall they reach, links it was measured on) by the first of queries, as many as it takes; total: of all vectors."""
+    """(cells, recall, links it was measured on; 0: made pairs) by the first of queries, as many as it takes; total: of all vectors."""
     rows, groups, done = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), 0
     while done < len(queries) and (not done or groups.max(initial=-1) + 1 < GROUPS):
         end = min(len(queries), max(1, probes) if not done else 4 * done)
@@ -194,24 +213,35 @@ def cells_to_visit(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]]
         rows, done = np.concatenate((rows, more)), end
         linked, which = np.unique(rows[:, 0], return_inverse=True)
         groups = _grouped(_unit([queries[k][1] for k in linked]), least) if len(linked) else groups
+    every = done >= (total or done + 1)  # all vectors are probes: nothing is estimated
+    chosen = np.ones(len(rows), bool) if every else rows[:, 0] % 2 == 0
     needs = []
     for band in range(RANGES):
-        mine = rows[:, 1] == band
+        mine = (rows[:, 1] == band) & chosen
         if mine.any():
             probe, rank, n = which.ravel()[mine], rows[mine, 2], rows[mine, 3].astype(float)
             share = n / np.bincount(probe, n)[probe]  # each probe counts 1
             members = np.bincount(groups[np.unique(probe)])
-            needs += [_reaching(rank, w, target) for w in (n, share, share / members[groups[probe]])]
-    if groups.max(initial=-1) + 1 < GROUPS and done < (total or done + 1):
-        made = _at_the_bar(grid, _unit([b for _, b in queries[:PROBES]]), least)
-        needs.append(_reaching(made, np.ones(len(made)), target))
-    visits, recall = max((v for v, _ in needs), default=1), min((r for _, r in needs), default=1.0)
-    logging.getLogger(__name__).info("cells to visit: %d, recall at least %.4f on %d links of %d groups, %d probes", visits, recall, rows[:, 3].sum(), groups.max(initial=-1) + 1, done)
-    return max(4, visits), recall, int(rows[:, 3].sum())
-
-
-_WORK = "cell long, a int, b int, member boolean, id long, n long, own long, body binary, visits binary"
-_WORK_ARROW = pa.schema([("cell", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("member", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("body", pa.binary()), ("visits", pa.binary())])
+            needs += [_reaching(rank, w, target)[0] for w in (n, share, share / members[groups[probe]])]
+    made = np.zeros((0, 4), np.int64)
+    if groups.max(initial=-1) + 1 < GROUPS and not every:
+        ranks = _at_the_bar(grid, _unit([b for _, b in queries[:PROBES]]), least)
+        made = np.column_stack([np.arange(len(ranks)), np.zeros(len(ranks), np.int64), ranks, np.ones(len(ranks), np.int64)])
+        needs.append(_reaching(ranks, np.ones(len(ranks)), target)[0])
+    visits, cells = max([4, *needs]), len(grid.books[0]) * len(grid.books[1])
+    judge = rows if every else rows[~chosen]
+    judge = judge if len(judge) else made
+    recall = _recall(judge, visits)
+    while recall < RECALL and visits < cells:
+        visits *= 2
+        recall = _recall(judge, visits)
+    visits, links = min(visits, cells), int(judge[:, 3].sum()) if judge is not made else 0
+    logging.getLogger(__name__).info("cells to visit: %d of %d, recall %.4f on %d links, %d groups, %d probes", visits, cells, recall, links, groups.max(initial=-1) + 1, done)
+    return visits, recall, links
+
+
+_WORK = "cell long, member boolean, id long, n long, own long, body binary, visits binary"
+_WORK_ARROW = pa.schema([("cell", pa.int64()), ("member", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("body", pa.binary()), ("visits", pa.binary())])
 
 
 def _roots(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +267,8 @@ def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> Data
             cells = np.concatenate([np.zeros(0, np.int64), *(grid.cells(_unit(bodies[i : i + 2000])) for i in range(0, len(bodies), 2000))])
             yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
-    # cells of more than a chunk: at most a CHUNK-th of the number of vectors
-    large = {r["cell"]: -(-r["n"] // CHUNK) for r in reps.mapInArrow(own_cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).collect()}
+    # cells of more than a chunk, joined: Spark broadcasts them only if they are few
+    large = reps.mapInArrow(own_cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
 
     def deal(batches):
         for batch in batches:
@@ -249,14 +279,8 @@ def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> Data
                 rows = []
                 for body, name, n, cells in zip(bodies, names, counts, look):
                     own = int(cells[0])
-                    spread = name * 0x9E3779B1 >> 7
-                    chunks = large.get(own, 1)
-                    mine = spread % chunks
-                    rows += [(own, mine, b, True, name, n, own, body, cells.astype("<i8").tobytes()) for b in range(chunks)]
-                    for cell in cells.tolist():
-                        chunks = large.get(cell, 1)
-                        mine = spread % chunks
-                        rows += [(cell, a, mine, False, name, n, own, body, None) for a in range(chunks)]
+                    rows.append((own, True, name, n, own, body, cells.astype("<i8").tobytes()))
+                    rows += [(cell, False, name, n, own, body, None) for cell in cells.tolist()]
                     if len(rows) > 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WORK_ARROW.types)], schema=_WORK_ARROW)
                         rows = []
@@ -301,35 +325,89 @@ def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> Data
         if now:
             yield from done()
 
-    dealt = reps.mapInArrow(deal, _WORK).repartition(fan_out(spark), "cell", "a", "b").sortWithinPartitions("cell", "a", "b")
+    chunks = F.coalesce("chunks", F.lit(1))
+    mine, each = F.pmod(F.xxhash64("id"), chunks).cast("int"), F.explode(F.sequence(F.lit(0), chunks - 1))
+    # chunk a of the members meets chunk b of those who look: members go to all b, lookers to all a
+    parts = reps.mapInArrow(deal, _WORK).join(large, "cell", "left").select("*", mine.alias("mine"), each.alias("other"))
+    a, b = F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine"))
+    parts = parts.select("cell", a.alias("a"), b.alias("b"), "member", "id", "n", "own", "body", "visits")
+    dealt = parts.repartition(fan_out(spark), "cell", "a", "b").sortWithinPartitions("cell", "a", "b")
     found = dealt.mapInArrow(verify, "id long, links long, root long")
     return materialise(found, "links")
 
 
-def near_duplicates(embeddings: DataFrame, least: float = LEAST, target: float = TARGET, sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept; see op10's contract."""
+def link_all(reps: DataFrame, least: float) -> DataFrame:
+    """As link(), for widths of at most CHUNK vectors: everybody of a width meets everybody."""
+
+    def work(batches):
+        now, held = None, []
+
+        def done():
+            x, ids, n = _unit([r[2] for r in held]), np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
+            hit = (x @ x.T >= least) & ~np.eye(len(x), dtype=bool)
+            root, _ = _roots(hit, ids, ids)
+            linked = np.flatnonzero(hit.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array((hit @ n)[linked]), pa.array(root[linked])], names=["id", "links", "root"])
+
+        for batch in batches:
+            for width, *row in zip(*(batch.column(c).to_pylist() for c in ("width", "rep", "n", "body"))):
+                if width != now and held:
+                    yield from done()
+                    held = []
+                now = width
+                held.append(row)
+        if held:
+            yield from done()
+
+    return reps.repartition(fan_out(reps.sparkSession), "width").sortWithinPartitions("width", "rep").mapInArrow(work, "id long, links long, root long")
+
+
+def _search(reps: DataFrame, total: int, least: float, target: float, sample: int, probes: int) -> tuple[DataFrame, dict]:
+    """Links among `total` vectors of one width, through a grid of their own."""
+    k = int(np.ceil(np.sqrt(total / CELL)))
+    some = reps.select("rep", "body").orderBy(F.xxhash64("rep"), "rep").limit(max(sample, CELL * k)).collect()
+    x = _unit([bytes(r["body"]) for r in some])
+    half = x.shape[1] // 2
+    grid = Grid(codebook(x[:, :half], k) if half else np.zeros((1, 0)), codebook(x[:, half:], k))
+    queries = [(r["rep"], bytes(r["body"])) for r in some[: max(1, sample)]]
+    visits, recall, links = cells_to_visit(reps, grid, queries, least, target, probes, total)
+    return link(reps, grid, visits, least), {"vectors": total, "cells": k * k, "visited": visits, "recall": recall, "links": links}
+
+
+def near_duplicates(embeddings: DataFrame, least: float = LEAST, target: float = TARGET, sample: int = SAMPLE, probes: int = PROBES, report: list | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept; see op10's contract. report gets, for each width with a grid, what was visited and the recall."""
     rows = materialise(vectors(embeddings), "vectors")
-    common = rows.filter("body is not null").groupBy("length").count().orderBy(F.desc("count"), F.desc("length")).first()
-    ok = F.col("body").isNotNull() & (F.col("length") == (common["length"] if common else -1))
-    marked = rows.select("vec_id", F.when(ok, F.col("body")).alias("body")).withColumn("key", F.md5("body"))
-    reps = materialise(marked.filter("body is not null").dropDuplicates(["vec_id", "key"]).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("body").alias("body")), "reps")
-    total = reps.count()
-    some = reps.select("rep", "body").orderBy(F.xxhash64("rep"), "rep").limit(min(sample, total)).collect()
-    if total:
-        x = _unit([bytes(r["body"]) for r in some])
-        k = int(min(max(2, np.ceil(np.sqrt(total / CELL))), max(2, len(some) // 8)))
-        half = x.shape[1] // 2
-        grid = Grid(codebook(x[:, :half], k) if half else np.zeros((1, 0)), codebook(x[:, half:], k))
-        visits, _, _ = cells_to_visit(reps, grid, [(r["rep"], bytes(r["body"])) for r in some], least, target, probes, total)
-        found = link(reps, grid, visits, least)
-        part = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-        result = reps.select("key", "rep", "n").join(counts, F.col("rep") == F.col("id"), "left").join(part, F.col("rep") == F.col("node"), "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        out = marked.select("vec_id", "key").join(result, "key", "left")
-    else:
-        out = marked.select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    marked = rows.select("vec_id", "length", "body").withColumn("key", F.md5("body"))
+    alike = marked.filter("body is not null").dropDuplicates(["vec_id", "key"]).groupBy("key")
+    reps = materialise(alike.agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("body").alias("body"), F.first("length").alias("width")), "reps")
+    sizes = reps.groupBy("width").agg(F.count("*").alias("size"))
+    wide = {r["width"]: r["size"] for r in sizes.filter(F.col("size") > CHUNK).collect()}  # a CHUNK-th of the vectors at most
+    found = link_all(reps.filter(~F.col("width").isin(*wide)) if wide else reps, least)
+    for width, size in sorted(wide.items()):
+        more, told = _search(reps.filter(F.col("width") == width), size, least, target, sample, probes)
+        found = found.unionByName(more)
+        if report is not None:
+            report.append({"width": width, **told})
+    found = materialise(found, "found")
+    part = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    result = reps.select("key", "rep", "n").join(counts, F.col("rep") == F.col("id"), "left").join(part, F.col("rep") == F.col("node"), "left")
+    result = result.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = marked.select("vec_id", "key").join(result, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op10_inverted_multi_index(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Every pair compared: for tables of some thousand vectors.
+OP10_SQL = """WITH RECURSIVE v AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ ok AS (SELECT * FROM v WHERE id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+ AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+ links AS (SELECT a.id, b.id AS other FROM ok a JOIN ok b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+ reached AS (SELECT id, id AS to_id FROM ok UNION SELECT r.id, l.other FROM reached r JOIN links l ON l.id = r.to_id),
+ n AS (SELECT id, count(DISTINCT other) AS n FROM links GROUP BY 1), c AS (SELECT id, min(to_id) AS c FROM reached GROUP BY 1)
+ SELECT CAST(vec_id AS BIGINT) AS vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+ FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN c ON c.id = vec_id"""
