@@ -1,13 +1,19 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
 A text is compressed with each, in blocks of `BLOCK` bytes, so that a
-dictionary counts as much at the end of a long text as in a short one. Score:
-a logistic calibration of the normalised difference (bad - good) / (bad + good)
-and of the text's own compressibility, fitted on rows that were not in the
-dictionaries. Dictionaries and calibration use at most `sample` labelled rows
-of each label, those whose doc_id hashes lowest. Null and empty texts have
-difference 0 and get the calibration's score for it. Without labels of both
-kinds every score is 0.5.
+dictionary counts as much at the end of a long text as in a short one. The
+score is a logistic calibration of one number, the normalised difference of the
+sizes, (bad - good) / (bad + good), fitted on rows that are not in the
+dictionaries; nothing else about a text goes into it. A dictionary is
+`DICTIONARY` bytes of labelled text, dealt evenly over its texts. Dictionaries
+and calibration use at most `sample` labelled rows of each label, those whose
+doc_id hashes lowest, one text for each doc_id (the least, where several rows
+share it).
+
+Null and empty texts have difference 0 and get the calibration's score for it.
+Equal texts have equal scores, so repeated rows do; a row without doc_id is
+scored and isn't held out. Texts are read whole, however long; an empty table
+gives an empty one. Without labels of both kinds every score is 0.5.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.shared import pieces, utf8, with_documents_columns
 
-BLOCK = 4096
+BLOCK = 2048
+LEVEL = 7
 SAMPLE = 1500
-DICTIONARY = 112 << 10
+DICTIONARY = 2 << 20
 CUT = 0.3
 
 
@@ -35,94 +42,97 @@ def is_held_out(doc_id=None):
 
 @dataclass
 class CompressionModel:
+    """The two dictionaries, and the calibration: log odds = offset + slope * difference."""
+
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
-
-    def _tools(self):
-        return [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (self.good, self.bad)] + [zstandard.ZstdCompressor(level=3, write_content_size=False)]
-
-    def inputs(self, data: np.ndarray, offsets: np.ndarray, tools=None) -> np.ndarray:
-        tools = tools or self._tools()
-        view = memoryview(np.ascontiguousarray(data))
-        sizes = np.zeros((len(offsets) - 1, 3))
+    offset: float = 0.0
+    slope: float = 0.0
+
+    def tools(self) -> list[zstandard.ZstdCompressor]:
+        held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.good, self.bad)]
+        for d in held:
+            d.precompute_compress(level=LEVEL)
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) for d in held]
+
+    def differences(self, data: np.ndarray, offsets: np.ndarray, tools=None) -> np.ndarray:
+        """(bad - good) / (bad + good) of each text's compressed sizes."""
+        good, bad = (tool.compress for tool in tools or self.tools())
+        view, out = memoryview(np.ascontiguousarray(data)), np.zeros(len(offsets) - 1)
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            for at in range(a, b, BLOCK):
-                part = view[at : min(b, at + BLOCK)]
-                for k, tool in enumerate(tools):
-                    sizes[i, k] += len(tool.compress(part))
-        n = np.diff(offsets)
-        both = sizes[:, 0] + sizes[:, 1]
-        difference = np.divide(sizes[:, 1] - sizes[:, 0], both, out=np.zeros(len(n)), where=both > 0)
-        own = np.divide(sizes[:, 2], n, out=np.ones(len(n)), where=n > 0)
-        gain = np.divide(sizes[:, 2] - sizes[:, :2].min(1), np.maximum(sizes[:, 2], 1))
-        return np.column_stack([difference, np.abs(difference), own, gain, difference * own, np.log1p(n), own * own])
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + ((x - self.centre) / self.spread) @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            parts = [view[at : min(b, at + BLOCK)] for at in range(a, b, BLOCK)]
+            g, h = sum(len(good(p)) for p in parts), sum(len(bad(p)) for p in parts)
+            out[i] = (h - g) / (h + g) if parts else 0.0
+        return out
 
-
-def _dictionary(texts: list[bytes]) -> bytes:
-    parts = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, [p for p in parts if len(p) >= 8], level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(parts)[-DICTIONARY:] or b" " * 16
+    def score(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * difference, -35, 35)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+def _dictionary(texts: list[bytes]) -> bytes:
+    """`DICTIONARY` bytes: the first block of every text, then the second ones, and so on; first ones last, where they are cheapest to refer to."""
+    out, size, at = [], 0, 0
+    while size < DICTIONARY and any(len(t) > at for t in texts):
+        for t in texts:
+            part = t[at : at + min(BLOCK, DICTIONARY - size)]
+            out.append(part)
+            size += len(part)
+        at += BLOCK
+    return b"".join(out[::-1]) or b" " * 16
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> tuple[float, float]:
+    """(offset, slope) by Newton's method, x scaled to unit spread."""
+    spread = max(float(x.std()), 1e-9)
+    x = np.column_stack([np.ones(len(x)), x / spread])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-    return w
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        w += np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge * w), -4, 4)
+    return float(w[0]), float(w[1] / spread)
 
 
 def fit(rows: list[tuple[str, int]]) -> CompressionModel | None:
-    """rows in a fixed order: every other one trains the dictionaries, the others calibrate."""
+    """rows in a fixed order: every other one is in the dictionaries, the others calibrate."""
     by = {y: [t.encode() for t, q in rows if q == y] for y in (0, 1)}
     if min(len(v) for v in by.values()) < 4:
         return None
-    good, bad = (_dictionary(by[y][::2]) for y in (1, 0))
-    model = CompressionModel(good, bad, np.zeros(0), np.zeros(0), np.ones(0))
+    model = CompressionModel(*(_dictionary(by[y][::2]) for y in (1, 0)))
     rest = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    x = model.inputs(*utf8(pa.array([t for t, _ in rest], pa.binary())))
-    y = np.array([v for _, v in rest], float)
-    model.centre, model.spread = x.mean(0), np.maximum(x.std(0), 1e-9)
-    model.weights = _logistic((x - model.centre) / model.spread, y)
+    x = model.differences(*utf8(pa.array([t for t, _ in rest], pa.binary())))
+    model.offset, model.slope = _logistic(x, np.array([v for _, v in rest], float))
     return model
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) -> tuple[CompressionModel | None, float]:
-    """The model, and the share of good rows among labelled ones (the sample has its own)."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).dropna().dropDuplicates(["doc_id"]).filter(~is_held_out() if learn is None else learn)
+    """The model, and the share of good rows among the labelled ones it may learn from (0.5 without any); the sample has another."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    marked = marked.filter("y in (0, 1)").dropna().groupBy("doc_id").agg(F.min("y").alias("y")).filter(~is_held_out() if learn is None else learn)
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     picked = None
     for y in (0, 1):
         some = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.union(some)
-    rows = with_documents_columns(docs).join(picked, "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    model = fit([(r["text"], r["y"]) for r in rows])
-    if model is not None:  # the sample has other shares of labels than the table
-        counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
-        own = {y: sum(r["y"] == y for r in rows) for y in (0, 1)}
-        model.weights[0] += np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)) - np.log(own[1] / own[0])
-    return model, sample
+    # a text for each id: however often a sampled row is repeated, 2 * sample texts come to the driver
+    found = with_documents_columns(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = [(r["text"], r["y"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    model = fit(rows)
+    if model is not None:
+        own = sum(y for _, y in rows) / len(rows)
+        model.offset += float(np.log(share / (1 - share)) - np.log(own / (1 - own)))
+    return model, share
 
 
 def score(docs: DataFrame, model: CompressionModel | None) -> DataFrame:
     """doc_id, score."""
 
     def work(batches):
-        tools = model._tools() if model else None
+        tools = model.tools() if model else None
         for batch in pieces(batches, 2 << 20):
             data, offsets = utf8(batch.column(1))
-            s = model.score(model.inputs(data, offsets, tools)) if model else np.full(batch.num_rows, 0.5)
+            s = model.score(model.differences(data, offsets, tools)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
     return with_documents_columns(docs).mapInArrow(work, "doc_id long, score double")
