@@ -132,13 +132,15 @@ def fit(texts: list[str], toxic: list[int], evidence: float = 5.0, rounds: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> list[tuple[str, int]]:
-    """At most `most` labelled rows, those whose doc_id hashes lowest: (text, label). The same rows whatever the partitioning."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    """At most `most` labelled rows, those whose doc_id hashes lowest: (text, label). The same rows whatever the partitioning.
+
+    Where rows share a doc_id, the least label and the least text count, so repeats of a sampled row don't come to the driver."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     if where is not None:
         marked = marked.filter(where)
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = with_documents_columns(docs).join(picked, "doc_id").select("doc_id", "text", "label").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    found = with_documents_columns(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
