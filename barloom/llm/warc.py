@@ -8,17 +8,21 @@ with the record of the largest page_id; the others become revisit records.
 
 Reading: the archives are read in splits at every occurrence of the magic
 "WARC/1.1" line, whether it begins a record or stands in a payload. Each task
-follows what it finds: a candidate's head gives its length and so its successor,
+emits what it finds: a candidate's head gives its length and so its successor,
 and within a split successors are followed by pointer jumping, which gives
 where each candidate's chain leaves the split. Chains are then followed from
 split to split from each file's start, by pointer jumping too (a row for each
 candidate that begins a chain in its split; as many joins as the logarithm of
-the splits in a file). Only candidates on the chain from offset 0 are records;
-magic inside a payload is never reached and becomes part of its record's block.
+the splits in a file). That gives each split's entry; a second pass marks what
+pointer jumping reaches from there. Only candidates on the chain from offset 0
+are records; magic inside a payload is never reached and becomes part of its
+record's block. This holds for files of one split as for others.
 
 Null html is an empty payload, a null url an empty one. Rows with equal
 page_id and payload: all of them are responses if theirs is the largest
-page_id. A null page_id is less than any other.
+page_id. A null page_id is less than any other; where a payload has no other,
+all its rows are responses. Payloads are written and read whole, however long.
+An empty table gives an archive without records, and an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 SHARED = 1000
 ROWS_PER_FILE = 50_000
-BROADCAST_REVISITS = 300_000
+BROADCAST_BYTES = 32 << 20
+REVISIT_BYTES = 80  # of a revisit's mark: two numbers and a digest of 20 bytes, as a row
 _M = MAGIC.encode()
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,11 +63,12 @@ def records(pages: DataFrame) -> DataFrame:
     ).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     thin = rows.filter(F.col("size") >= SHARED).select("page_id", "digest")
     first = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    again = thin.join(first, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    again = materialise(again, "revisits")
-    if again.count() <= BROADCAST_REVISITS:  # some 100 bytes each; beyond that, a sort-merge join
+    again = thin.join(first, "digest").filter("refers_to is not null and (page_id is null or page_id < refers_to)")
+    again = materialise(again.select(F.col("page_id").alias("from_id"), F.unhex("digest").alias("mark"), "refers_to").distinct(), "revisits")
+    if again.count() * REVISIT_BYTES <= BROADCAST_BYTES:  # beyond that, a sort-merge join
         again = F.broadcast(again)
-    return rows.join(again, ["page_id", "digest"], "left")
+    same = rows["page_id"].eqNullSafe(again["from_id"]) & (F.unhex(rows["digest"]) == again["mark"])
+    return rows.join(again, same, "left").drop("from_id", "mark")
 
 
 def write(pages: DataFrame, at: str) -> None:
@@ -137,6 +143,19 @@ def _exits(magic: np.ndarray, after: np.ndarray, end: int) -> np.ndarray:
     return out[:n]
 
 
+def _reached(magic: np.ndarray, after: np.ndarray, entry: int | None) -> np.ndarray:
+    """Which candidates the chain from `entry` visits, by pointer jumping: each round doubles how far the marks go."""
+    n = len(magic)
+    where = {int(m): k for k, m in enumerate(magic)}
+    marked = np.zeros(n + 1, bool)
+    marked[where.get(entry, n)] = True
+    hop = np.array([where.get(int(a), n) if a >= 0 else n for a in after] + [n], np.int64)
+    while (hop < n).any():
+        marked[hop[marked]] = True
+        hop = hop[hop]
+    return marked[:n]
+
+
 def scan(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(at).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
 
@@ -144,10 +163,8 @@ def scan(spark: SparkSession, at: str) -> DataFrame:
 _CHAIN = pa.schema([("file", pa.string()), ("split", pa.int64()), ("length", pa.int64()), ("magic", pa.int64()), ("exit", pa.int64())])
 
 
-def entries(spark: SparkSession, at: str) -> DataFrame | None:
-    """file, split, entry: where in the split, counted from its first part, the first record begins (null: none does).
-
-    None if no file has more than one split: each chain then begins with the file."""
+def entries(spark: SparkSession, at: str) -> DataFrame:
+    """file, split, entry: where in the split, counted from its first part, the first record begins (null: none does)."""
 
     def chains(batches):
         for file, split, held in _parts(batches):
@@ -161,29 +178,25 @@ def entries(spark: SparkSession, at: str) -> DataFrame | None:
     found = materialise(scan(spark, at).mapInArrow(chains, "file string, split long, length long, magic long, exit long"), "chains")
     splits = found.filter("magic is null").select("file", "split", "length")
     most = splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    if most <= 1:
-        return None
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     splits = splits.select("file", "split", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
     jump = found.filter("magic is not null").join(splits, ["file", "split"]).select("file", "split", "base", (F.col("magic") + F.col("base")).alias("from"), F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).alias("to"))
     jump = known = materialise(jump, "jump")
     reached = splits.select("file").distinct().withColumn("from", F.lit(0).cast("long"))
     steps = 1
-    while True:
+    while steps < most:
         further = reached.join(jump.filter("to is not null"), ["file", "from"]).select("file", F.col("to").alias("from"))
         reached = materialise(reached.union(further).distinct(), "reached")
         steps *= 2
-        if steps >= most:
-            break
-        far = jump.select("file", F.col("from").alias("to"), F.col("to").alias("further"))
-        jump = materialise(jump.join(far, ["file", "to"]).select("file", "from", F.col("further").alias("to")), "jump")
+        if steps < most:
+            far = jump.select("file", F.col("from").alias("to"), F.col("to").alias("further"))
+            jump = materialise(jump.join(far, ["file", "to"]).select("file", "from", F.col("further").alias("to")), "jump")
     first = known.join(reached, ["file", "from"], "left_semi").groupBy("file", "split").agg(F.min(F.col("from") - F.col("base")).alias("entry"))
     return splits.select("file", "split").join(first, ["file", "split"], "left")
 
 
 _FOUND = "file string, split long, lead binary, page_id long, url string, type string, refers_to long, size long, digest string, payload binary, missing long"
 _FOUND_ARROW = pa.schema([("file", pa.string()), ("split", pa.int64()), ("lead", pa.binary()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("payload", pa.binary()), ("missing", pa.int64())])
-BROADCAST_SPLITS = 100_000
 
 
 def _number(name: str):
@@ -208,34 +221,34 @@ def read(spark: SparkSession, at: str, payloads: bool = True) -> DataFrame:
     A response's size and digest are taken of what was read; a revisit's are those of its head."""
     known = entries(spark, at)
     parts, entry_of = scan(spark, at), None
-    if known is not None:
-        if known.count() <= BROADCAST_SPLITS:
-            entry_of = spark.sparkContext.broadcast({(r["file"], r["split"]): r["entry"] for r in known.collect()})
-        else:
-            parts = parts.withColumn("seq", F.monotonically_increasing_id()).join(known, ["file", "split"], "left").repartition(fan_out(spark), "file", "split").sortWithinPartitions("file", "split", "seq")
-            parts = parts.select("file", "split", F.concat(F.coalesce(F.col("entry"), F.lit(-1)).cast("string"), F.lit(" ")).cast("binary").alias("mark"), "value").select("file", "split", F.concat("mark", "value").alias("value"))
-    marked = known is not None and entry_of is None
+    size = known.agg(F.sum(F.octet_length("file") + 100)).first()[0] or 0  # a name and two numbers for each split
+    if size <= BROADCAST_BYTES:
+        entry_of = spark.sparkContext.broadcast({(r["file"], r["split"]): r["entry"] for r in known.collect()})
+    else:
+        parts = parts.withColumn("seq", F.monotonically_increasing_id()).join(known, ["file", "split"], "left")
+        parts = parts.repartition(fan_out(spark), "file", "split").sortWithinPartitions("file", "split", "seq")
+        mark = F.concat(F.coalesce(F.col("entry"), F.lit(-1)).cast("string"), F.lit(" ")).cast("binary")
+        parts = parts.select("file", "split", F.concat(mark, "value").alias("value"))
 
     def found(batches):
         for file, split, held in _parts(batches):
-            entry = 0
-            if marked:
+            if entry_of is not None:
+                entry = entry_of.value[file, split]
+            else:
                 entry = int(held[0].split(b" ", 1)[0])
                 entry, held = None if entry == -1 else entry, [v.split(b" ", 1)[1] for v in held]
-            elif entry_of is not None:
-                entry = entry_of.value[file, split]
             at, magic, after = _candidates(held)
             where = {int(m): k for k, m in enumerate(magic)}
-            first = where.get(entry, len(held)) if entry is not None else len(held)
+            on = np.flatnonzero(_reached(magic, after, entry)).tolist()
+            first = on[0] if on else len(held)
             rows, size = [], 0
             lead = _M.join(held[:first])
             if split and first:  # what the last record of an earlier split goes on with
                 rows.append((file, split, _M + lead, None, None, None, None, None, None, None, None))
-            k = first
-            while k < len(held) and after[k] >= 0:
-                n = where.get(int(after[k]), len(held))
-                if n <= k:
+            for k in on:
+                if after[k] < 0:  # no record's head: the chain breaks off here
                     break
+                n = where.get(int(after[k]), len(held))
                 whole = held[k] if n == k + 1 else _M.join(held[k:n])
                 cut = whole.find(b"\r\n\r\n")
                 want = int(after[k]) - int(at[k]) - cut - 4 - len(END)
@@ -243,7 +256,6 @@ def read(spark: SparkSession, at: str, payloads: bool = True) -> DataFrame:
                 missing = want - len(block)
                 rows.append((file, split, None, *_record(whole[: cut + 2], block, missing, payloads)))
                 size += len(block)
-                k = n
                 if size > 1 << 22 or len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
                     rows, size = [], 0
@@ -252,8 +264,8 @@ def read(spark: SparkSession, at: str, payloads: bool = True) -> DataFrame:
 
     df = parts.mapInArrow(found, _FOUND)
     out = ("page_id", "url", "type", "refers_to", "size", "digest", "payload")
-    if known is None:
-        return df.select(*out)
+    if not known.groupBy("file").count().filter("count > 1").limit(1).count():
+        return df.select(*out)  # no record goes on in another split
     df = materialise(df, "records")
 
     def stitched(batches):
@@ -289,5 +301,5 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
 #: What must come back, in SQL: the archives themselves have no place in it.
 OP4_SQL = """WITH p AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, encode(coalesce(html, '')) AS b FROM pages),
  d AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h FROM p), f AS (SELECT h, max(page_id) AS m FROM d WHERE n >= 1000 GROUP BY 1)
- SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest, CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
- CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to, url FROM d LEFT JOIN f ON d.h = f.h"""
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN again THEN m END AS refers_to, url FROM (SELECT d.*, m, n >= 1000 AND m IS NOT NULL AND (page_id IS NULL OR page_id < m) AS again FROM d LEFT JOIN f ON d.h = f.h) d"""

@@ -485,8 +485,7 @@ def expected_records(rows):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_warc_round_trip(spark, tmp_path, monkeypatch, split, broadcast):
     """Payloads full of forged records, at any size of splits."""
-    monkeypatch.setattr(warc, "BROADCAST_SPLITS", broadcast)
-    monkeypatch.setattr(warc, "BROADCAST_REVISITS", broadcast)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
     rng = random.Random(1)
     rows = []
     for i in range(120):
