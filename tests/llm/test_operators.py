@@ -273,7 +273,9 @@ def brute_repeats(rows, n=200):
     return collections.Counter(out)
 
 
-def test_repeats(spark, docs, texts):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3, 0])
+def test_repeats(spark, docs, texts, hot):
+    """By the suffix array, by windows (hot anchors), and by both."""
     rng = random.Random(5)
     shared = ["".join(rng.choice("abcdefgh é") for _ in range(k)) for k in (150, 199, 200, 201, 230, 600)]
     more = []
@@ -284,10 +286,30 @@ def test_repeats(spark, docs, texts):
         more.append((1000 + i, t))
     rows = [*texts, *more, (None, None), (1000, more[0][1]), (2000, "ab" * 300), (2001, "a" * 201)]
     df = materialise(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS).repartition(4), "rep")
-    got = collections.Counter(tuple(r) for r in suffix_dedup.repeats(df).drop("kept").collect())
+    got = collections.Counter(tuple(r) for r in suffix_dedup.repeats(df, hot).drop("kept").collect())
     assert got == brute_repeats(rows)
 
 
+def test_the_array_decides(monkeypatch):
+    """Equal windows in contexts that differ are found where the array brings them together, and not without it."""
+    rng = np.random.default_rng(2)
+    common = rng.integers(97, 123, 250, dtype=np.uint8)
+    parts = [np.concatenate([common, rng.integers(97, 123, 40, dtype=np.uint8)]) for _ in range(5)] + [rng.integers(97, 123, 290, dtype=np.uint8) for _ in range(5)]
+    data, starts = np.concatenate(parts), np.arange(10) * 290
+    shift, runs, times = np.full(10, 180), np.full(10, 91), np.ones(10, np.int64)
+    want = np.concatenate([(np.arange(91) <= 50) & (k < 5) for k in range(10)])
+    assert (suffix_dedup.find(None, shift, runs, times, data, starts) == want).all()
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: list(range(len(text))))
+    assert not suffix_dedup.find(None, shift, runs, times, data, starts).any()
+
+
+def test_equal_hashes_are_told_apart():
+    data = np.frombuffer(b"aaaaaaaabbbbbbbbaaaaaaaacccccccc", np.uint8)
+    words = suffix_dedup._words8(data)
+    got = suffix_dedup._verified(np.array([0, 0, 0, 1]), words, np.array([[0], [8], [16], [24]]))
+    assert got[0] == got[2] and len({int(got[0]), int(got[1]), int(got[3])}) == 3
+
+
 def test_repeat_stage(spark, docs, texts):
     got = suffix_dedup.stage(spark, docs, "")
     assert got.columns == docs.columns and got.count() == docs.count()
