@@ -11,7 +11,9 @@ smaller gap is looked up again. place() then deals pieces to the slots of these
 patterns by their rank within their length.
 
 Null text is an empty one; a document always has its end id, so no piece is
-empty. Rows that share a doc_id, or have none, are each packed as they are.
+empty. Rows that share a doc_id, or have none, are each packed as they are. Long
+texts are tokenised whole. Columns other than doc_id and text are not read, so
+their names don't matter. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -130,53 +132,86 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 
 
 class _Left:
-    """How many pieces of each length are left, and the index of sums."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def single(self, gap: int):
-        return (gap,) if self.counts[gap] else None
-
-    def pair(self, gap: int):
-        """(b, c) with b + c = gap, b as long as can be."""
-        c = self.counts
+    """How many pieces of each length are left, and an index of the sums that two and three of them make.
+
+    pairs[g] and triples[g] count the combinations of lengths, available as often as they hold each length, that sum to
+    g. They are kept up as lengths run out or come back: what a length adds depends on whether one, two or three of its
+    pieces are left. So a gap that nothing fills costs one look; a filled one is taken apart only then."""
+
+    def __init__(self, capacity: int):
+        self.counts, self.level = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+        self.pairs, self.triples = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+
+    def _with(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """What length x adds to pairs and triples; self.pairs must not hold its pairs."""
+        size, level = len(self.counts), int(self.level[x])
+        pairs, triples = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        if level:
+            others = (self.level > 0).astype(np.int64)
+            others[x] = 0
+            pairs[x:] = others[: size - x]
+            triples[x:] = self.pairs[: size - x]
+            if level > 1 and 2 * x < size:
+                pairs[2 * x] += 1
+                triples[2 * x :] += others[: size - 2 * x]
+            if level > 2 and 3 * x < size:
+                triples[3 * x] += 1
+        return pairs, triples
+
+    def add(self, x: int, n: int) -> None:
+        self.counts[x] += n
+        level = min(3, int(self.counts[x]))
+        if level == self.level[x]:
+            return
+        self.pairs -= self._with(x)[0]
+        self.triples -= self._with(x)[1]
+        self.level[x] = level
+        pairs, triples = self._with(x)
+        self.pairs += pairs
+        self.triples += triples
+
+    def pair(self, gap: int, without: int = 0) -> tuple[int, int] | None:
+        """(b, c) with b + c = gap, b as long as can be; one piece of length `without` is spoken for."""
+        have = self.counts
+        if without:
+            have = have.copy()
+            have[without] -= 1
         low = np.arange(1, gap // 2 + 1)
-        ok = (c[low] > 0) & (c[gap - low] > 0)
+        ok = (have[low] > 0) & (have[gap - low] > 0)
         if gap % 2 == 0 and gap:
-            ok[-1] &= c[gap // 2] > 1
+            ok[-1] &= have[gap // 2] > 1
         hit = np.flatnonzero(ok)
         return (gap - int(low[hit[0]]), int(low[hit[0]])) if len(hit) else None
 
-    def triple(self, gap: int):
-        """(b, c, d) with b + c + d = gap, b as long as can be."""
-        for b in np.flatnonzero(self.counts[: gap - 1])[::-1]:
-            b = int(b)
-            if 3 * b < gap:
-                break
-            self.counts[b] -= 1
-            rest = self.pair(gap - b)
-            self.counts[b] += 1
+    def triple(self, gap: int) -> tuple[int, int, int]:
+        """(b, c, d) with b + c + d = gap, b as long as can be; there must be one."""
+        for b in np.flatnonzero(self.counts[: gap - 1])[::-1].tolist():
+            rest = self.pair(gap - b, b) if self.pairs[gap - b] else None
             if rest and rest[0] <= b:
                 return (b, *rest)
-        return None
+        raise AssertionError(f"the index has a triple for {gap} that isn't there")
 
-    def complement(self, gap: int):
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """Lengths that fill the gap exactly: one, two or three of them."""
+        if self.counts[gap]:
+            return (gap,)
+        if self.pairs[gap]:
+            return self.pair(gap)
+        return self.triple(gap) if self.triples[gap] else None
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of one sequence, how many sequences are filled so)]; uses every piece once."""
-    left = np.zeros(capacity + 1, np.int64)
+    index, out = _Left(capacity), []
     for length, n in counts.items():
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit into {capacity}")
-        left[length] += n
-    index, out = _Left(left), []
+        index.add(length, n)
+    left = index.counts
     for a in range(capacity, 0, -1):
         while left[a]:
             held, gap, times = [a], capacity - a, int(left[a])
-            left[a] -= times
+            index.add(a, -times)
             while gap:
                 fill = index.complement(gap)
                 if not fill:  # best fit: the longest that goes in
@@ -185,12 +220,11 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
                         break
                     fill = (int(fits[-1]),)
                 m = min([times, *(int(left[x]) // fill.count(x) for x in set(fill))])
-                left[a] += times - m  # the others of this length try another filling
-                for x in held[1:]:
-                    left[x] += times - m
+                for x in held if times > m else ():  # the others of this length try another filling
+                    index.add(x, times - m)
                 times = m
                 for x in fill:
-                    left[x] -= m
+                    index.add(x, -m)
                 held += fill
                 gap -= sum(fill)
             out.append((tuple(held), times))
