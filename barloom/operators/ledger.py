@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
@@ -191,17 +191,18 @@ class Book:
             elif t.state[day, s] == 0 and s in self.held:
                 self.orders[s] = _Order(day, 0, False, 0.0, 0.0, t.context[day, s])
 
-    def run(self, first: int, last: int, until_last: bool = True) -> list[tuple]:
+    def run(self, first: int, last: int, decide_at_last: bool = False) -> list[tuple]:
         """(day, equity, cash, exposure) of days first..last. Before the first there are no orders, so nothing happens.
 
-        until_last: nothing is decided on the last day, as it is the window's end; else the window ends after it."""
-        rows, days = [], len(self.tape.has)
+        decide_at_last: the window goes on after its last day with bars, so what is said on that day counts, though
+        nothing is filled any more."""
+        rows = []
         for day in range(first, last + 1):
             self.open_of_day(day)
             self.stops(day)
             share = self.close_of_day(day)
             rows.append((day, self.worth / MICRO, self.cash / MICRO, round(share, 6)))
-            if day < (last if until_last else days - 1) and day < days - 1:
+            if day < last or decide_at_last:
                 self.decide(day)
         if rows:
             for s in list(self.held):
@@ -228,44 +229,48 @@ def scenarios(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 PER_TASK = 6
+_TAPE = ("symbol", "date", "open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex")
 
 
 def run(bars: DataFrame, signals: DataFrame, wanted: DataFrame, universe: list[str], account: Account) -> DataFrame:
     """A row of RESULT for each scenario of `wanted` (see SCENARIO).
 
-    The calendar is that of all bars; the universe's symbols trade, in that order."""
+    The calendar is that of all bars; the universe's symbols trade, in that order. Scenarios that share their signals
+    and have neighbouring windows go to a task together, which gets the bars of these windows only."""
     universe = [s.upper() for s in universe]
-    days = bars.select("date").distinct()
+    days = bars.groupBy("date").agg(F.lit(None).cast("string").alias("symbol"))
     rows = tape_rows(bars.filter(F.upper("symbol").isin(universe)), account.sizing).withColumn("symbol", F.upper("symbol"))
-    # groups of scenarios that share their signals; each gets its own copy of the tape (slots: a row for each group)
-    spread = F.pmod(F.xxhash64("scenario_id"), F.ceil(F.count("*").over(_by_params()) / PER_TASK))
-    grouped = wanted.withColumn("slot", spread.cast("int"))
-    slots = grouped.groupBy("params_key", "slot").agg(F.to_json(F.sort_array(F.collect_list(F.struct("scenario_id", "first", "last", "cost_mult", "delay")))).alias("jobs"))
-    empty = days.select(F.lit(None).cast("string").alias("symbol"), "date", *(F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex")))
-    base = rows.unionByName(empty)
+    tape = rows.unionByName(days, allowMissingColumns=True).select(*_TAPE)
+    place = F.row_number().over(Window.partitionBy("params_key").orderBy("first", "last", "scenario_id"))
+    grouped = wanted.withColumn("slot", F.floor((place - 1) / PER_TASK).cast("int"))
+    # a slot's windows in months, so that bars are dealt to slots by an equi-join
+    open_start, open_end = F.max(F.col("first").isNull().cast("int")) == 1, F.max(F.col("last").isNull().cast("int")) == 1
+    span = days.agg(F.min("date").alias("from"), F.max("date").alias("until"))
+    slots = grouped.groupBy("params_key", "slot").agg(
+        F.when(~open_start, F.min("first")).alias("lo"), F.when(~open_end, F.max("last")).alias("hi")
+    )
+    slots = slots.join(F.broadcast(span)).select("params_key", "slot", F.coalesce("lo", "from").alias("lo"), F.coalesce("hi", "until").alias("hi"))
+    month = lambda c: F.trunc(c, "month")
+    each = F.explode(F.when(F.col("lo") <= F.col("hi"), F.sequence(month("lo"), month("hi"), F.expr("interval 1 month"))))
+    months = slots.select("*", each.alias("month"))
     said = signals.select("params_key", F.upper("symbol").alias("symbol"), "date", "desired_state", "context")
-    dealt = base.join(F.broadcast(slots)).join(said, ["params_key", "symbol", "date"], "left").select("params_key", "slot", "jobs", "symbol", "date", "open", "high", "low", "close", "stop_distance", "adv_in", "adv_ex", "desired_state", "context")
+    dealt = tape.withColumn("month", month("date")).join(months, "month").filter(F.col("date").between(F.col("lo"), F.col("hi")))
+    dealt = dealt.select("params_key", "slot", *_TAPE).join(said, ["params_key", "symbol", "date"], "left")
+    jobs = grouped.join(F.broadcast(span.select("until")))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        return _run_group(frame, universe, account)
+    def work(jobs: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        return _run_group(jobs, frame, universe, account)
 
-    return dealt.groupBy("params_key", "slot").applyInPandas(work, RESULT)
+    keys = ["params_key", "slot"]
+    dealt = dealt.toDF(*dealt.columns)  # names of their own: both sides come from `wanted`
+    return jobs.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(work, RESULT)
 
 
-def _by_params():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("params_key")
-
-
-def _run_group(frame: pd.DataFrame, universe: list[str], account: Account) -> pd.DataFrame:
-    import json
-    from datetime import date
-
-    days = np.sort(frame["date"].unique())
+def _run_group(jobs: pd.DataFrame, frame: pd.DataFrame, universe: list[str], account: Account) -> pd.DataFrame:
+    days = np.sort(frame["date"].unique()) if len(frame) else np.zeros(0, object)
     where = {d: i for i, d in enumerate(days)}
     bars = frame[frame["symbol"].notna()]
-    d, s = bars["date"].map(where).to_numpy(), bars["symbol"].map({u: i for i, u in enumerate(universe)}).to_numpy()
+    d, s = bars["date"].map(where).to_numpy(int), bars["symbol"].map({u: i for i, u in enumerate(universe)}).to_numpy(int)
     shape = (len(days), len(universe))
 
     def grid(name: str) -> np.ndarray:
@@ -283,14 +288,15 @@ def _run_group(frame: pd.DataFrame, universe: list[str], account: Account) -> pd
     before = np.where(has, before, filled)
     tape = Tape(has, grid("open"), grid("high"), grid("low"), grid("close"), grid("stop_distance"), grid("adv_in"), before, state, context)
     out = []
-    for job in json.loads(frame["jobs"].iloc[0]):
-        first = int(np.searchsorted(days, date.fromisoformat(job["first"]))) if job.get("first") else 0
-        last = int(np.searchsorted(days, date.fromisoformat(job["last"]), "right")) - 1 if job.get("last") else len(days) - 1
-        book = Book(tape, universe, account, job["cost_mult"], job["delay"])
-        whole = not job.get("last") or (last >= 0 and days[last] == date.fromisoformat(job["last"]))
-        equity = [{"date": days[k], "equity": e, "cash": c, "exposure": x} for k, e, c, x in book.run(first, last, whole)]
+    for job in jobs.sort_values("scenario_id").itertuples():
+        first = int(np.searchsorted(days, job.first)) if job.first is not None else 0
+        last = int(np.searchsorted(days, job.last, "right")) - 1 if job.last is not None else len(days) - 1
+        book = Book(tape, universe, account, job.cost_mult, job.delay)
+        # a window that ends on a day without bars, while later days have some
+        goes_on = job.last is not None and last >= 0 and days[last] != job.last and days[last] < job.until
+        equity = [{"date": days[k], "equity": e, "cash": c, "exposure": x} for k, e, c, x in book.run(first, last, goes_on)]
         trades = [{"entry_ts": days[t.pop("entry_idx")], "exit_ts": days[t.pop("exit_idx")], **t} for t in book.trades]
-        out.append((job["scenario_id"], book.signals, equity, trades))
+        out.append((job.scenario_id, book.signals, equity, trades))
     return pd.DataFrame(out, columns=["scenario_id", "n_signals", "equity", "trades"])
 
 

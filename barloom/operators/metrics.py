@@ -86,11 +86,75 @@ def trade_stats(trades: DataFrame, initial_capital: float, keys: DataFrame | Non
     return one
 
 
-def scenario_metrics(results: DataFrame, initial_capital: float) -> DataFrame:
-    """All metrics of ledger results."""
-    from barloom.operators.ledger import equity_of, trades_of
+def _sum(array: Column, what) -> Column:
+    """Sum of what(x) over an array; what is NULL adds nothing."""
+    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + F.coalesce(what(x).cast("double"), F.lit(0.0)))
+
+
+def _streak(array: Column, under) -> Column:
+    """The longest run of elements for which under(x) holds."""
+    start = F.struct(F.lit(0).cast("bigint").alias("now"), F.lit(0).cast("bigint").alias("most"))
+
+    def step(acc, x):
+        now = F.when(under(x), acc["now"] + 1).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return curve_metrics(equity_of(results)).join(trade_stats(trades_of(results), initial_capital, results), "scenario_id")
+    return F.aggregate(array, start, step, lambda acc: acc["most"])
+
+
+def scenario_metrics(results: DataFrame, initial_capital: float) -> DataFrame:
+    """All metrics of ledger results: curve_metrics() and trade_stats() of each row's own arrays, so nothing is shuffled
+    and the ledger runs once. Scenarios without bars have no row."""
+    equity, trades = F.col("equity"), F.col("trades")
+    worth = F.transform(equity, lambda x: x["equity"])
+    rows = results.filter(F.size("equity") > 0).select(
+        "scenario_id", equity.alias("equity"), worth.alias("worth"), F.size(equity).cast("bigint").alias("n_bars"),
+        F.array_sort(F.transform(trades, lambda t: F.struct(*(t[c].alias(c) for c in ("exit_ts", "entry_ts", "symbol", "pnl", "fees", "slippage", "holding_bars"))))).alias("trades"),
+    )
+    n = F.col("n_bars")
+    later, earlier = F.slice("worth", 2, F.size("worth") - 1), F.slice("worth", 1, F.size("worth") - 1)
+    start = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("peak", "worst")), *(F.lit(0).cast("bigint").alias(c) for c in ("now", "most")))
+
+    def fall(acc, x):
+        peak = F.greatest(acc["peak"], x)
+        down = _ratio(x, peak) - 1
+        now = F.when(down < 0, acc["now"] + 1).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(peak.alias("peak"), F.least(acc["worst"], down).alias("worst"), now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    rows = rows.withColumns({
+        "r": F.filter(F.zip_with(later, earlier, lambda b, a: _ratio(b, a) - 1), lambda x: x.isNotNull()),
+        "fall": F.aggregate("worth", start, fall),
+        "total": _ratio(F.element_at("worth", -1), F.element_at("worth", 1)),
+        "first": F.element_at("worth", 1),
+    })
+    k = F.size("r")
+    rows = rows.withColumns({"k": k, "mean": F.when(k > 0, _sum(F.col("r"), lambda x: x) / k)})
+    rows = rows.withColumns({
+        "sd": F.when(k >= 2, F.sqrt(_sum(F.col("r"), lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / (k - 1))),
+        "down": F.sqrt(_ratio(_sum(F.col("r"), lambda x: F.when(x < 0, x * x)), F.size(F.filter("r", lambda x: x < 0)).cast("double"))),
+        "won": F.filter("trades", lambda t: t["pnl"] > 0),
+        "lost": F.filter("trades", lambda t: t["pnl"] <= 0),
+        **{c: _sum(F.col("trades"), lambda t, c=c: t[c]) for c in ("pnl", "fees", "slippage", "holding_bars")},
+    })
+    many = F.size("trades").cast("bigint")
+    profit, loss = _sum(F.col("won"), lambda t: t["pnl"]), -_sum(F.col("lost"), lambda t: t["pnl"])
+    of = lambda total, count: _ratio(total, count.cast("double"))
+    growth = F.when(F.col("first") > 0, F.when(F.col("total") <= 0, -1.0).otherwise(F.pow("total", YEAR / n) - 1))
+    costs = F.col("fees") + F.col("slippage")
+    got = {
+        "total_return": F.when(n >= 2, F.col("total") - 1), "cagr": F.when(n >= 2, growth), "n_bars": n,
+        "avg_exposure": _sum(F.col("equity"), lambda x: x["exposure"]) / n,
+        "ann_vol": F.col("sd") * _ROOT, "sharpe": _ratio(F.col("mean"), F.col("sd")) * _ROOT,
+        "sortino": F.when(F.col("k") >= 2, _ratio(F.col("mean"), F.col("down")) * _ROOT),
+        "max_drawdown": F.when(n >= 2, F.col("fall.worst")), "longest_underwater_bars": F.when(n >= 2, F.col("fall.most")).otherwise(F.lit(0).cast("bigint")),
+        "n_trades": many, "win_rate": of(F.size("won"), many), "gross_profit_usd": profit, "gross_loss_usd": loss,
+        "expectancy_usd": of(F.col("pnl"), many), "expectancy_pct": of(F.col("pnl"), many) / initial_capital,
+        "avg_win_usd": of(profit, F.size("won")), "avg_loss_usd": of(-loss, F.size("lost")),
+        "total_fees_usd": F.col("fees"), "total_slippage_usd": F.col("slippage"),
+        "cost_share_of_gross": F.when(many > 0, _ratio(costs, F.abs(F.col("pnl") + costs))), "avg_holding_bars": of(F.col("holding_bars"), many),
+        "profit_factor": F.when(loss > 0, profit / loss), "longest_losing_streak": _streak(F.col("trades"), lambda t: t["pnl"] < 0),
+    }
+    return rows.select("scenario_id", *(c.alias(name) for name, c in got.items()))
 
 
 def compare(own: DataFrame, benchmark: DataFrame, key: str = "scenario_id") -> DataFrame:

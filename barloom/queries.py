@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom import ledger_sql
 from barloom.functions import indicators as ind
 from barloom.operators import ledger, metrics, quality, regimes, search, validation
 from barloom.operators.strategies import DipBuyer, RandomWalk, RsiMeanReversion, SmaCross, TimeSeriesMomentum, params_key
@@ -496,45 +497,117 @@ def family_config_counts(spark, sf_dir):
     return t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("family").agg(F.lit(True).alias("known"), F.count("*").alias("runs"), F.round(F.sum("o_totalprice"), 2).alias("configs"))
 
 
-# ledger and validation: no SQL; see tests
+# ledger and validation: bars after a split of 1000 for 1, so that a share is a small part of an account
 
 _UNIVERSE = ["AF", "NO", "RF"]
-_ACCOUNT = ledger.Account(10_000_000.0)
+_ACCOUNT = ledger.Account(10_000_000.0, sizing=ledger.Sizing(atr_stop_mult=0.5))
+_PARAMS = {"fast": 20, "slow": 100}
+_MULTIPLIERS, _DELAYS = [1.0, 1.5, 2.0, 3.0], [0, 1]
+
+
+def _split_bars(spark, sf_dir) -> DataFrame:
+    return _bars(spark, sf_dir).select("symbol", "date", *((F.col(c) / 1000).alias(c) for c in src.PRICES), (F.col("volume") * 1000).alias("volume"))
+
+
+_STATES = f"""sm AS (SELECT symbol, date, {_N}, {", ".join(f"avg(close) OVER {_W.format(k - 1)} AS s{k}" for k in (10, 20, 30, 50, 100, 200))} FROM bars),
+ gr AS (SELECT row_number() OVER (ORDER BY f, s) - 1 AS combo, CAST(f AS INT) AS f, CAST(s AS INT) AS s, '{{"fast":' || f || ',"slow":' || s || '}}' AS key
+  FROM (VALUES (10), (20), (30)) a(f), (VALUES (50), (100), (200)) b(s)),
+ st AS (SELECT key, symbol, date, CAST(CASE f WHEN 10 THEN s10 WHEN 20 THEN s20 ELSE s30 END > CASE gr.s WHEN 50 THEN s50 WHEN 100 THEN s100 ELSE s200 END AS INT) AS state FROM sm, gr WHERE n >= gr.s + 1),
+ sg AS MATERIALIZED (SELECT key, idx, {", ".join(f"max(state) FILTER (symbol = '{s}') AS state{k}" for k, s in enumerate(_UNIVERSE))} FROM st JOIN cal USING (date) GROUP BY key, idx)"""
+_LEDGER = f"""WITH RECURSIVE {BARS_SQL.replace("bars AS", "whole AS", 1)},
+ bars AS (SELECT symbol, date, open / 1000 AS open, high / 1000 AS high, low / 1000 AS low, close / 1000 AS close, volume * 1000 AS volume FROM whole),
+ {ledger_sql.tape(_UNIVERSE, _ACCOUNT)}, {_STATES}"""
+_GRID_RUN = f"""{_LEDGER}, sc AS (SELECT key AS sid, key, CAST(0 AS BIGINT) AS first, (SELECT max(idx) FROM cal) AS last, CAST(1 AS DOUBLE) AS mult, 0 AS delay FROM gr),
+ {ledger_sql.ledger("lg", _UNIVERSE, _ACCOUNT, "sc", "sg")}"""
+
+
+def _curve_sql(name: str) -> str:
+    """CTEs <name>e (days), <name>m: sid, total (last over first), n, mean, sd, down, drawdown, under, exposure of a ledger's equity."""
+    w = "(PARTITION BY sid ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""{name}e AS ({ledger_sql.equity(name)}),
+ {name}q AS (SELECT *, equity / nullif(lag(equity) OVER (PARTITION BY sid ORDER BY date), 0) - 1 AS r, equity / nullif(max(equity) OVER {w}, 0) - 1 AS dd FROM {name}e WHERE sid IS NOT NULL),
+ {name}g AS (SELECT sid, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER {w} AS g, dd FROM {name}q),
+ {name}u AS (SELECT sid, CAST(max(k) AS BIGINT) AS under FROM (SELECT sid, g, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) AS k FROM {name}g GROUP BY ALL) GROUP BY 1),
+ {name}m AS (SELECT sid, max_by(equity, date) / nullif(min_by(equity, date), 0) AS total, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(r * r) FILTER (r < 0)) AS down,
+  min(dd) AS drawdown, avg(exposure) AS exposure FROM {name}q GROUP BY 1)"""
 
 
 def _base_run(spark, sf_dir) -> DataFrame:
-    b = _kept(_bars(spark, sf_dir))
-    grid = SmaCross.grid()
+    b, grid = _split_bars(spark, sf_dir), SmaCross.grid()
     wanted = ledger.scenarios(spark, [{"scenario_id": params_key(c), "params_key": params_key(c)} for c in grid])
     return ledger.run(b, SmaCross.signals(b, grid), wanted, _UNIVERSE, _ACCOUNT)
 
 
-@query()
+_ROUNDED = ("fees", "slippage", "pnl", "mae", "mfe")  # by the ledger, to 6 digits
+
+
+@query(f"""{_GRID_RUN} SELECT sid AS scenario_id, symbol, entry_ts, exit_ts, round(entry_px, 6) AS entry_px, round(exit_px, 6) AS exit_px, qty, holding_bars, exit_reason,
+ {", ".join(_ROUNDED)} FROM ({ledger_sql.trades("lg", _UNIVERSE)})""")
 def backtest_trades(spark, sf_dir):
-    return ledger.trades_of(_base_run(spark, sf_dir))
+    """Thousands of trades that end by signals, by stops and with the data."""
+    t = ledger.trades_of(_base_run(spark, sf_dir))
+    return t.select("scenario_id", "symbol", "entry_ts", "exit_ts", "qty", "holding_bars", "exit_reason", *_ROUNDED, _r("entry_px").alias("entry_px"), _r("exit_px").alias("exit_px"))
 
 
-@query()
+@query(f"{_GRID_RUN} SELECT sid AS scenario_id, date, equity, cash, exposure FROM ({ledger_sql.equity('lg')})")
 def backtest_equity(spark, sf_dir):
     return ledger.equity_of(_base_run(spark, sf_dir))
 
 
-@query()
+_OF_CURVE = {"total_return": 7, "cagr": 7, "ann_vol": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 7, "avg_exposure": 6}
+_OF_TRADES = {
+    "win_rate": 6, "gross_profit_usd": 1, "gross_loss_usd": 1, "expectancy_usd": 2, "expectancy_pct": 8, "avg_win_usd": 2, "avg_loss_usd": 2,
+    "total_fees_usd": 4, "total_slippage_usd": 1, "cost_share_of_gross": 6, "avg_holding_bars": 6, "profit_factor": 6,
+}
+
+
+@query(f"""{_GRID_RUN}, {_curve_sql("lg")}, t AS ({ledger_sql.trades("lg", _UNIVERSE)}),
+ i AS (SELECT sid, pnl, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY exit_ts, entry_ts, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM t),
+ k AS (SELECT sid, CAST(max(k) AS BIGINT) AS longest_losing_streak FROM (SELECT sid, i, sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS k FROM i GROUP BY ALL) GROUP BY 1),
+ m AS (SELECT sid, count(*) AS n_trades, avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0 END) AS win_rate, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit_usd,
+  coalesce(-sum(pnl) FILTER (pnl <= 0), 0) AS gross_loss_usd, avg(pnl) AS expectancy_usd, avg(pnl) / 1e7 AS expectancy_pct, avg(pnl) FILTER (pnl > 0) AS avg_win_usd,
+  avg(pnl) FILTER (pnl <= 0) AS avg_loss_usd, sum(fees) AS total_fees_usd, sum(slippage) AS total_slippage_usd, (sum(fees) + sum(slippage)) / abs(sum(pnl) + sum(fees) + sum(slippage)) AS cost_share_of_gross,
+  avg(holding_bars) AS avg_holding_bars, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl <= 0) AS profit_factor FROM t GROUP BY 1),
+ c AS (SELECT sid, n AS n_bars, total - 1 AS total_return, CASE WHEN total <= 0 THEN -1 ELSE pow(total, 252e0 / n) - 1 END AS cagr, sd * sqrt(252) AS ann_vol, mean / sd * sqrt(252) AS sharpe,
+  mean / down * sqrt(252) AS sortino, drawdown AS max_drawdown, under AS longest_underwater_bars, exposure AS avg_exposure FROM lgm JOIN lgu USING (sid))
+ SELECT sid AS scenario_id, n_bars, longest_underwater_bars, n_trades, longest_losing_streak, {", ".join(f"round({c}, {d}) AS {c}" for c, d in (_OF_CURVE | _OF_TRADES).items())}
+ FROM c JOIN m USING (sid) JOIN k USING (sid)""")
 def backtest_metrics(spark, sf_dir):
-    return metrics.scenario_metrics(_base_run(spark, sf_dir), _ACCOUNT.initial_capital)
+    m = metrics.scenario_metrics(_base_run(spark, sf_dir), _ACCOUNT.initial_capital)
+    return m.select("scenario_id", "n_bars", "longest_underwater_bars", "n_trades", "longest_losing_streak", *(_r(c, d).alias(c) for c, d in (_OF_CURVE | _OF_TRADES).items()))
+
+
+@query(f"""{_LEDGER}, days AS (SELECT count(*) AS n FROM cal), fo AS (SELECT CAST(unnest(range(0, CAST((n - 983) // 126 + 1 AS BIGINT))) AS INT) AS fold FROM days WHERE n >= 983),
+ sc AS (SELECT fold || '/' || combo AS sid, key, CAST(fold * 126 AS BIGINT) AS first, CAST(fold * 126 + 755 AS BIGINT) AS last, CAST(1 AS DOUBLE) AS mult, 0 AS delay, fold, combo FROM fo, gr),
+ {ledger_sql.ledger("lg", _UNIVERSE, _ACCOUNT, "sc", "sg")}, {_curve_sql("lg")}, t AS ({ledger_sql.trades("lg", _UNIVERSE)}), tn AS (SELECT sid, count(*) AS n_trades FROM t GROUP BY 1),
+ best AS (SELECT fold, sc.key, mean / sd * sqrt(252) AS train_sharpe FROM sc JOIN lgm USING (sid) JOIN tn USING (sid) WHERE n_trades >= 5 AND sd > 0
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean / sd DESC, drawdown DESC, combo) = 1),
+ ts AS (SELECT CAST(fold AS VARCHAR) AS sid, key, CAST(fold * 126 + 857 AS BIGINT) AS first, CAST(fold * 126 + 982 AS BIGINT) AS last, CAST(1 AS DOUBLE) AS mult, 0 AS delay FROM best),
+ {ledger_sql.ledger("lt", _UNIVERSE, _ACCOUNT, "ts", "sg")}, {_curve_sql("lt")}, u AS ({ledger_sql.trades("lt", _UNIVERSE)}), un AS (SELECT sid, count(*) AS n FROM u GROUP BY 1)
+ SELECT fo.fold, a.date AS train_start, b.date AS train_end, d.date AS test_start, e.date AS test_end, 101 AS embargo_bars, coalesce(best.key, '{params_key(_PARAMS)}') AS params_key,
+ round(train_sharpe, 6) AS train_sharpe, round(mean / sd * sqrt(252), 6) AS test_sharpe, round(coalesce(total - 1, 0), 7) AS test_return, CAST(coalesce(un.n, 0) AS INT) AS test_trades
+ FROM fo JOIN cal a ON a.idx = fold * 126 JOIN cal b ON b.idx = fold * 126 + 755 JOIN cal d ON d.idx = fold * 126 + 857 JOIN cal e ON e.idx = fold * 126 + 982
+ LEFT JOIN best ON best.fold = fo.fold LEFT JOIN ltm ON ltm.sid = CAST(fo.fold AS VARCHAR) LEFT JOIN un ON un.sid = CAST(fo.fold AS VARCHAR)""")
+def walkforward(spark, sf_dir):
+    got = validation.walk_forward(_split_bars(spark, sf_dir), SmaCross, _PARAMS, _UNIVERSE, _ACCOUNT, 756, 126).folds
+    return got.withColumns({"train_sharpe": _r("train_sharpe"), "test_sharpe": _r("test_sharpe"), "test_return": _r("test_return", 7)})
 
 
-@query()
-def walkforward(spark, sf_dir):
-    return validation.walk_forward(_kept(_bars(spark, sf_dir)), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, 756, 126).folds
+_NEAR = "f <> 20 AND s = 100 OR f = 20 AND s <> 100"
 
 
-@query()
+@query(f"""{_LEDGER}, sc AS (SELECT 'cost/' || m AS sid, '{params_key(_PARAMS)}' AS key, CAST(0 AS BIGINT) AS first, (SELECT max(idx) FROM cal) AS last, CAST(m AS DOUBLE) AS mult, 0 AS delay
+  FROM (VALUES {", ".join(f"({m})" for m in _MULTIPLIERS)}) v(m) UNION ALL SELECT 'delay/' || d, '{params_key(_PARAMS)}', 0, (SELECT max(idx) FROM cal), 1, d FROM (VALUES {", ".join(f"({d})" for d in _DELAYS)}) v(d)
+  UNION ALL SELECT 'neighbor/' || (row_number() OVER (ORDER BY combo) - 1), key, 0, (SELECT max(idx) FROM cal), 1, 0 FROM gr WHERE {_NEAR}),
+ {ledger_sql.ledger("lg", _UNIVERSE, _ACCOUNT, "sc", "sg")}, {_curve_sql("lg")}
+ SELECT split_part(sid, '/', 1) AS method, CAST(split_part(sid, '/', 2) AS DOUBLE) AS level, CASE WHEN sid NOT LIKE 'n%' THEN round(total - 1, 7) END AS total_return,
+ CASE WHEN sid LIKE 'n%' THEN round(coalesce(mean / sd * sqrt(252), 0), 4) ELSE round(mean / sd * sqrt(252), 6) END AS sharpe FROM lgm""")
 def stress_tests(spark, sf_dir):
-    s = validation.stress(_kept(_bars(spark, sf_dir)), SmaCross, {"fast": 20, "slow": 100}, _UNIVERSE, _ACCOUNT, [1.0, 1.5, 2.0, 3.0], [0, 1], 8, 1)
+    s = validation.stress(_split_bars(spark, sf_dir), SmaCross, _PARAMS, _UNIVERSE, _ACCOUNT, _MULTIPLIERS, _DELAYS, 8, 1)
     rows = [("cost", float(r["multiplier"]), r["total_return"], r["sharpe"]) for r in s.cost_table] + [("delay", float(r["extra_delay_bars"]), r["total_return"], r["sharpe"]) for r in s.delay_table]
     rows += [("neighbor", float(i), None, float(x)) for i, x in enumerate(s.neighbour.get("neighbor_sharpes", []))]
-    return spark.createDataFrame(rows, "method string, level double, total_return double, sharpe double")
+    table = spark.createDataFrame(rows, "method string, level double, total_return double, sharpe double")
+    return table.withColumns({"total_return": _r("total_return", 7), "sharpe": _r("sharpe")})
 
 
 @query()
