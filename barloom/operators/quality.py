@@ -33,12 +33,12 @@ def _issue(rows: DataFrame, check: str, severity: str, detail: Column, start: Co
 
 def lengths(bars: DataFrame, limits: Limits) -> DataFrame:
     some = bars.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") < limits.min_bars)
-    return _issue(some, "length", "fail", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" bars (< {limits.min_bars} minimum)")))
+    return _issue(some, "length", "fail", F.concat(F.col("n").cast("string"), F.lit(f" bars, fewer than the {limits.min_bars} asked for")))
 
 
 def doubled_dates(bars: DataFrame) -> DataFrame:
     some = bars.groupBy("symbol", "date").count().filter("count > 1").select("symbol").distinct()
-    return _issue(some, "calendar", "fail", F.lit("dates not strictly increasing/unique"))
+    return _issue(some, "calendar", "fail", F.lit("a date occurs more than once"))
 
 
 def positivity(bars: DataFrame) -> DataFrame:
@@ -79,8 +79,8 @@ def gap_runs(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, limits: Limits) -> DataFrame:
     long = F.col("business_days") > limits.max_consecutive_gap_days
     some = gap_runs(bars).groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(long, 1)).alias("long"), F.min(F.when(long, F.struct("run_start", "run_end"))).alias("first"))
-    failed = _issue(some.filter("long > 0"), "gaps", "fail", F.concat(F.col("long").cast("string"), F.lit(f" gaps longer than {limits.max_consecutive_gap_days} business days")), F.col("first.run_start"), F.col("first.run_end"))
-    return failed.unionByName(_issue(some.filter("long = 0"), "gaps", "info", F.concat(F.col("n").cast("string"), F.lit(" short gaps (holidays/halts), within limit"))))
+    failed = _issue(some.filter("long > 0"), "gaps", "fail", F.concat(F.col("long").cast("string"), F.lit(f" gap(s) of more than {limits.max_consecutive_gap_days} business days")), F.col("first.run_start"), F.col("first.run_end"))
+    return failed.unionByName(_issue(some.filter("long = 0"), "gaps", "info", F.concat(F.col("n").cast("string"), F.lit(" gap(s), none of them too long"))))
 
 
 def spike_rows(bars: DataFrame, limits: Limits) -> DataFrame:
@@ -125,7 +125,7 @@ def thin_volume(bars: DataFrame, limits: Limits) -> DataFrame:
     w = _w()
     mean = F.when(F.count("volume").over(w.rowsBetween(-19, 0)) == 20, F.avg("volume").over(w.rowsBetween(-19, 0)))
     last = bars.select("symbol", "date", mean.alias("mean")).groupBy("symbol").agg(F.max_by("mean", "date").alias("mean")).filter(F.col("mean") < limits.min_avg_volume)
-    return _issue(last, "volume", "warn", F.concat(F.lit("20-day avg volume "), F.format_number("mean", 0), F.lit(f" below floor {limits.min_avg_volume:,.0f}")))
+    return _issue(last, "volume", "warn", F.concat(F.lit("mean volume of the last 20 bars is "), F.format_number("mean", 0), F.lit(f", under {limits.min_avg_volume:,.0f}")))
 
 
 def _counted(rows: DataFrame, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
@@ -143,19 +143,21 @@ def _counted(rows: DataFrame, rules: list[tuple[str, str, Column, str]]) -> Data
 
 
 def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Bars are shuffled once, by symbol; the rules' windows, aggregates and joins all keep to that."""
+    bars = bars.select("symbol", "date", "open", "high", "low", "close", "volume").repartition("symbol")
     short, double = lengths(bars, limits), doubled_dates(bars)
     double = double.join(short, "symbol", "left_anti")
     z = f"{limits.spike_zscore:.0f}"
     plain = [
-        ("positivity", "fail", F.least("open", "high", "low", "close") <= 0, "{n} bars with non-positive prices"),
-        ("ohlc_bounds", "fail", (F.col("low") > F.least("open", "close") + 1e-9) | (F.col("high") < F.greatest("open", "close") - 1e-9), "{n} bars violate low<=open/close<=high"),
-        ("weekend_bars", "warn", F.weekday("date") >= 5, "{n} weekend bars present"),
+        ("positivity", "fail", F.least("open", "high", "low", "close") <= 0, "{n} bar(s) with a price of zero or less"),
+        ("ohlc_bounds", "fail", (F.col("low") > F.least("open", "close") + 1e-9) | (F.col("high") < F.greatest("open", "close") - 1e-9), "{n} bar(s) whose low and high do not enclose open and close"),
+        ("weekend_bars", "warn", F.weekday("date") >= 5, "{n} bar(s) on a Saturday or Sunday"),
     ]
     spikes = [
-        ("spikes", "fail", F.col("bad_print"), "{n} single-day spike(s) that reverse the next day (bad-print signature)"),
-        ("spikes", "warn", ~F.col("bad_print"), "{n} large but persistent move(s) beyond " + z + " robust z (kept as market events)"),
+        ("spikes", "fail", F.col("bad_print"), "{n} spike(s) taken back on the next bar, as bad prints are"),
+        ("spikes", "warn", ~F.col("bad_print"), "{n} move(s) beyond " + z + " robust deviations that lasted"),
     ]
-    splits = [("split_echo", "fail", F.lit(True), "{n} bars look like unadjusted splits (price halves/doubles with volume spike)")]
+    splits = [("split_echo", "fail", F.lit(True), "{n} bar(s) that look like splits nobody adjusted for")]
     # rules judge each symbol for itself, so symbols with the first two findings are left out of the few findings, not of the bars
     found = reduce(DataFrame.unionByName, [_counted(bars, plain), gaps(bars, limits), _counted(spike_rows(bars, limits), spikes), _counted(split_rows(bars), splits), thin_volume(bars, limits)])
     first = short.unionByName(double)

@@ -245,7 +245,7 @@ def _defective(spark, sf_dir) -> DataFrame:
 @query("WITH @BARS SELECT symbol, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) < 2450")
 def dq_length(spark, sf_dir):
     found = quality.lengths(_bars(spark, sf_dir), quality.Limits(min_bars=2450))
-    return found.select("symbol", F.regexp_extract("detail", r"only (\d+)", 1).cast("bigint").alias("n"))
+    return found.select("symbol", F.regexp_extract("detail", r"^(\d+)", 1).cast("bigint").alias("n"))
 
 
 @query("""WITH @BARS, b AS (SELECT symbol, date FROM bars UNION ALL SELECT symbol, date FROM bars WHERE symbol < 'B' AND day(date) = 2)
@@ -295,25 +295,31 @@ def dq_gaps(spark, sf_dir):
     return quality.gaps(_defective(spark, sf_dir), quality.Limits()).select("symbol", "severity", F.date_format("range_start", "yyyy-MM-dd").alias("range_start"))
 
 
-_SPIKES = f"""r AS (SELECT symbol, date, volume, ln(close) - ln(lag(close) OVER {_O}) AS r FROM bars), c AS (SELECT symbol, median(r) AS m, count(r) AS n FROM r GROUP BY 1),
+_SPIKES = f"""r AS (SELECT symbol, date, volume, CASE WHEN close > 0 AND lag(close) OVER {_O} > 0 THEN ln(close) - ln(lag(close) OVER {_O}) END AS r FROM bars), c AS (SELECT symbol, median(r) AS m, count(r) AS n FROM r GROUP BY 1),
  d AS (SELECT symbol, median(abs(r - m)) AS mad FROM r JOIN c USING (symbol) GROUP BY 1),
  z AS (SELECT symbol, date, r, abs(r - m) / (mad * 1.4826) AS z, coalesce(lead(r) OVER {_O}, 0) AS nx, volume,
  CASE WHEN count(volume) OVER {_W.format(19)} >= 5 THEN quantile_cont(volume, 0.5) OVER {_W.format(19)} END AS usual,
  list_concat(coalesce(list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []), coalesce(list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), [])) AS near
  FROM r JOIN c USING (symbol) JOIN d USING (symbol)),
- l AS (SELECT *, list_aggregate(near, 'median') AS lm FROM z WHERE z > 2.2),
+ l AS (SELECT *, list_aggregate(near, 'median') AS lm FROM z WHERE z > $Z),
  ll AS (SELECT *, list_aggregate(list_transform(near, lambda x: abs(x - lm)), 'median') * 1.4826 AS lmad FROM l)"""
 
 
-@query(f"""WITH @BARS, {_SPIKES} SELECT symbol, date, (r * nx < 0 AND abs(r + nx) < 0.4 * abs(r)) AND NOT coalesce(usual > 0 AND volume > 1.5 * usual, false)
- AND CASE WHEN len(near) >= 5 AND lmad > 0 THEN abs(r - lm) / lmad > 2.2 ELSE true END AS bad_print FROM ll""")
+_BAD_PRINT = """spk AS (SELECT symbol, date, (r * nx < 0 AND abs(r + nx) < 0.4 * abs(r)) AND NOT coalesce(usual > 0 AND volume > 1.5 * usual, false)
+ AND CASE WHEN len(near) >= 5 AND lmad > 0 THEN abs(r - lm) / lmad > $Z ELSE true END AS bad_print FROM ll)"""
+
+
+@query(f"WITH @BARS, {_SPIKES}, {_BAD_PRINT} SELECT * FROM spk".replace("$Z", "2.2"))
 def dq_spikes(spark, sf_dir):
     """At a z-score of 2.2, so that noise has spikes of both kinds."""
     return quality.spike_rows(_bars(spark, sf_dir), quality.Limits(spike_zscore=2.2))
 
 
-@query(f"""WITH @BARS, s AS (SELECT symbol, date, close / lag(close) OVER {_O} AS q, CASE WHEN count(volume) OVER {_W.format(19)} = 20 THEN volume / quantile_cont(volume, 0.5) OVER {_W.format(19)} END AS t FROM bars)
- SELECT symbol, date FROM s WHERE t > 3 AND (abs(q - 0.5) <= 1e-8 + 0.02 * 0.5 OR abs(q - 2.0) <= 1e-8 + 0.02 * 2.0 OR abs(q - 1.0 / 3) <= 1e-8 + 0.02 / 3 OR abs(q - 3.0) <= 1e-8 + 0.02 * 3.0)""")
+_SPLITS = f"""s AS (SELECT symbol, date, close / lag(close) OVER {_O} AS q, CASE WHEN count(volume) OVER {_W.format(19)} = 20 THEN volume / quantile_cont(volume, 0.5) OVER {_W.format(19)} END AS t FROM bars),
+ split AS (SELECT symbol, date FROM s WHERE t > 3 AND (abs(q - 0.5) <= 1e-8 + 0.02 * 0.5 OR abs(q - 2.0) <= 1e-8 + 0.02 * 2.0 OR abs(q - 1.0 / 3) <= 1e-8 + 0.02 / 3 OR abs(q - 3.0) <= 1e-8 + 0.02 * 3.0))"""
+
+
+@query(f"WITH @BARS, {_SPLITS} SELECT * FROM split")
 def dq_split_echo(spark, sf_dir):
     return quality.split_rows(_bars(spark, sf_dir))
 
@@ -323,17 +329,40 @@ def dq_volume(spark, sf_dir):
     return quality.thin_volume(_bars(spark, sf_dir), quality.Limits(min_avg_volume=120)).select("symbol")
 
 
-@query()
+def _found(relation: str, check: str, severity: str, text: str, where: str = "true", dated: bool = True) -> str:
+    ends = "min(date), max(date)" if dated else "CAST(NULL AS DATE), CAST(NULL AS DATE)"
+    return f"SELECT symbol, '{check}', '{severity}', count(*) || ' {text}', {ends} FROM {relation} WHERE {where} GROUP BY symbol"
+
+
+_FINDINGS = " UNION ALL ".join((
+    _found("b", "positivity", "fail", "bar(s) with a price of zero or less", "least(open, high, low, close) <= 0"),
+    _found("b", "ohlc_bounds", "fail", "bar(s) whose low and high do not enclose open and close", "low > least(open, close) + 1e-9 OR high < greatest(open, close) - 1e-9"),
+    _found("b", "weekend_bars", "warn", "bar(s) on a Saturday or Sunday", "isodow(date) >= 6", False),
+    _found("spk", "spikes", "fail", "spike(s) taken back on the next bar, as bad prints are", "bad_print"),
+    _found("spk", "spikes", "warn", "move(s) beyond 2 robust deviations that lasted", "NOT bad_print"),
+    _found("split", "split_echo", "fail", "bar(s) that look like splits nobody adjusted for"),
+    """SELECT symbol, 'gaps', 'fail', count(*) || ' gap(s) of more than 5 business days', min(run_start), min_by(run_end, run_start) FROM gg WHERE business_days > 5 GROUP BY symbol""",
+    """SELECT symbol, 'gaps', 'info', count(*) || ' gap(s), none of them too long', NULL, NULL FROM gg GROUP BY symbol HAVING max(business_days) <= 5""",
+    """SELECT symbol, 'volume', 'warn', 'mean volume of the last 20 bars is ' || format('{:,.0f}', max_by(m, date)) || ', under 10,000', NULL, NULL FROM tv GROUP BY symbol HAVING max_by(m, date) < 10000""",
+))
+
+
+@query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS}, {_SPIKES.replace("FROM bars", "FROM b")}, {_BAD_PRINT}, {_SPLITS.replace("FROM bars", "FROM b")}, tv AS (SELECT symbol, date, avg(volume) OVER {_W.format(19)} AS m FROM b),
+ short AS (SELECT symbol, 'length' AS check_name, 'fail' AS severity, count(*) || ' bars, fewer than the 2400 asked for' AS detail FROM b GROUP BY 1 HAVING count(*) < 2400),
+ double AS (SELECT symbol, 'calendar', 'fail', 'a date occurs more than once' FROM b WHERE symbol NOT IN (SELECT symbol FROM short) GROUP BY 1 HAVING count(*) > count(DISTINCT date)),
+ first AS (SELECT *, CAST(NULL AS DATE) AS range_start, CAST(NULL AS DATE) AS range_end FROM (FROM short UNION ALL FROM double)),
+ rest(symbol, check_name, severity, detail, range_start, range_end) AS ({_FINDINGS})
+ FROM first UNION ALL SELECT * FROM rest WHERE symbol NOT IN (SELECT symbol FROM first)""".replace("$Z", "2.2"))
 def dq_issues(spark, sf_dir):
-    """All rules together."""
-    return quality.issues(_kept(_defective(spark, sf_dir)))
+    """All rules together, at a z-score that noise exceeds and a length that some symbols lack."""
+    return quality.issues(_defective(spark, sf_dir), quality.Limits(spike_zscore=2.2, min_bars=2400))
 
 
 @query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS}, f AS (SELECT symbol FROM b WHERE least(open, high, low, close) <= 0 UNION SELECT symbol FROM b WHERE low > least(open, close) + 1e-9 OR high < greatest(open, close) - 1e-9
  UNION SELECT symbol FROM gg WHERE business_days > 5) SELECT DISTINCT symbol, symbol NOT IN (SELECT symbol FROM f) AS passes FROM b""")
 def dq_passes(spark, sf_dir):
     """Without the rules on spikes and splits, which have queries of their own."""
-    b, limits = _kept(_defective(spark, sf_dir)), quality.Limits(spike_zscore=1e9)
+    b, limits = _defective(spark, sf_dir), quality.Limits(spike_zscore=1e9)
     found = quality.issues(b, limits).filter("check_name not in ('spikes', 'split_echo')")
     return quality.passing(b, found)
 
