@@ -38,12 +38,8 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, values:
 
 
 def pnl(trades: DataFrame, labels: DataFrame, key: str = "scenario_id") -> DataFrame:
-    """key, label, pnl, n_trades for all three labels; labels: (date, label). Before the first label a trade is flat.
-
-    The label of every calendar day is a small table, so trades are matched day by day: labels are carried forward to days without one by an interval join on the next label's date."""
-    nxt = F.lead("date").over(Window.orderBy("date"))
-    spans = labels.select("date", "label", F.coalesce(nxt, F.lit("9999-12-31").cast("date")).alias("until"))
-    matched = trades.join(F.broadcast(spans), (F.col("exit_ts") >= F.col("date")) & (F.col("exit_ts") < F.col("until")), "left").select(key, F.coalesce("label", F.lit("flat")).alias("label"), "pnl")
+    """key, label, pnl, n_trades for all three labels; labels: (date, label). Before the first label a trade is flat."""
+    matched = as_of(trades.select(key, "exit_ts", "pnl"), labels, "exit_ts", "date", ["label"]).withColumn("label", F.coalesce("label", F.lit("flat")))
     sums = matched.groupBy(key, "label").agg(F.sum("pnl").alias("pnl"), F.count("*").alias("n_trades"))
     every = trades.select(key).distinct().select(key, F.explode(F.array(*(F.lit(x) for x in LABELS))).alias("label"))
     return every.join(sums, [key, "label"], "left").select(key, "label", F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.coalesce("n_trades", F.lit(0)).alias("n_trades"))

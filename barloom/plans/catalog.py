@@ -44,7 +44,7 @@ ALLOWED = {
     ("runs", "run_type"): ("backtest", "walkforward", "montecarlo", "benchmark", "stress"), ("data_quality_log", "severity"): ("info", "warn", "fail"), ("audit_log", "actor"): ("human", "system"),
     ("mc_simulations", "method"): ("trade_bootstrap", "block_bootstrap", "cost_stress", "delay_stress", "param_perturbation"), ("trades", "exit_reason"): ("signal", "stop", "end_of_data"),
 }
-GENESIS = "0" * 64
+GENESIS = search.GENESIS
 
 
 def now() -> str:
@@ -56,8 +56,39 @@ class SimilarFailures(Exception):
 
     def __init__(self, similar: list[dict[str, Any]]):
         self.similar = similar
-        lines = [f"  - experiment {s['experiment_id']} (hypothesis {s['hypothesis_id']}, family '{s['family']}'): {s['reason']}" for s in similar]
-        super().__init__("\n".join(["Similar FAILED experiments exist:", *lines, "Review them, add a journal entry, and pass its id as acknowledgment."]))
+        told = "; ".join(f"{s['experiment_id']} of hypothesis {s['hypothesis_id']} in {s['family']} ({s['reason']})" for s in similar)
+        super().__init__(f"{len(similar)} failed experiment(s) resemble this one: {told}. Write down in the journal why this is different, and give that entry's number.")
+
+
+def current(experiments: DataFrame, events: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """Experiments with status, verdict and reason by the last of their events, and their hypothesis' family."""
+    latest = events.groupBy("experiment_id").agg(F.max_by(F.struct("status", "verdict", "verdict_reason", "ts"), "seq").alias("now"))
+    known = experiments.join(latest, "experiment_id").join(hypotheses.select("hypothesis_id", "family"), "hypothesis_id")
+    return known.select("*", "now.status", "now.verdict", "now.verdict_reason").drop("now")
+
+
+def resembling(failed: DataFrame, hypotheses: DataFrame, family: str, terms: list[str], exclude_hypothesis: int | None = None) -> DataFrame:
+    """experiment_id, hypothesis_id, family, verdict_reason, rank of failed experiments: 0 those of the family, 1 the ten whose
+    hypothesis matches the terms best. One that is both has rank 0."""
+    columns = ("experiment_id", "hypothesis_id", "family", "verdict_reason")
+    texts = hypotheses.select("hypothesis_id", F.concat_ws(" ", "statement", "mechanism").alias("text"))
+    ranked = search.bm25(texts, terms, "hypothesis_id").withColumn("score", F.round("score", 9))  # ties don't hang on the order of sums
+    own = failed.filter(F.col("family") == family.strip()).select(*columns, F.lit(0).alias("rank"))
+    near = failed.join(ranked, "hypothesis_id").orderBy(F.desc("score"), "experiment_id").limit(10).select(*columns, F.lit(1).alias("rank"))
+    if exclude_hypothesis is not None:
+        near = near.filter(F.col("hypothesis_id") != exclude_hypothesis)
+    best = own.unionByName(near).groupBy("experiment_id").agg(F.min_by(F.struct(*columns[1:], "rank"), "rank").alias("x"))
+    return best.select("experiment_id", "x.*")
+
+
+def family_totals(values: DataFrame, runs: DataFrame, experiments: DataFrame, hypotheses: DataFrame, metric: str, exclude: int | None = None) -> DataFrame:
+    """family, total, runs: a metric of walk-forward runs, summed over each family's experiments but `exclude`."""
+    if exclude is not None:
+        experiments = experiments.filter(F.col("experiment_id") != exclude)
+    owned = experiments.select("experiment_id", "hypothesis_id").join(hypotheses.select("hypothesis_id", "family"), "hypothesis_id")
+    of_runs = runs.filter("run_type = 'walkforward'").select("run_id", "experiment_id").join(owned, "experiment_id")
+    joined = values.filter(F.col("metric") == metric).join(of_runs, "run_id")
+    return joined.groupBy("family").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.count("*").alias("runs"))
 
 
 class Catalog:
@@ -113,14 +144,14 @@ class Catalog:
         """Whether the audit log is as it was written; else its first broken entry."""
         bad = search.chain_state(self.table("audit_log")).filter("not prev_ok or not hash_ok").orderBy("seq").limit(1).collect()
         if not bad:
-            return True, "audit chain verified"
-        return False, f"chain broken at seq {bad[0]['seq']}: " + ("entry hash mismatch" if bad[0]["prev_ok"] else "prev_hash mismatch")
+            return True, "every entry of the log is as it was written"
+        return False, f"entry {bad[0]['seq']} of the log " + ("was changed" if bad[0]["prev_ok"] else "doesn't follow the one before it")
 
     # journal and hypotheses
 
     def add_journal(self, author: str, body: str, tags: str | None = None, linked: list[str] | None = None) -> int:
         if not body.strip():
-            raise ValueError("journal entries cannot be empty")
+            raise ValueError("an entry of the journal needs a text")
         key = self._next("journal_entries", "journal_id")
         self.append("journal_entries", [{"journal_id": key, "ts": now(), "author": author, "body": body.strip(), "tags": tags, "linked_json": json.dumps(linked or [])}])
         self.audit("human", "journal.add", {"journal_id": key})
@@ -133,7 +164,7 @@ class Catalog:
         texts = {"statement": statement, "mechanism": mechanism, "success_criteria": success_criteria, "falsification_criteria": falsification_criteria}
         for name, text in texts.items():
             if not text.strip():
-                raise ValueError(f"hypothesis {name} is required - pre-registration is not optional")
+                raise ValueError(f"a hypothesis states its {name.replace('_', ' ')} before anything is run")
         key = self._next("hypotheses", "hypothesis_id")
         self.append("hypotheses", [{"hypothesis_id": key, "family": family.strip(), "author": author, "created_at": now()} | {k: v.strip() for k, v in texts.items()}])
         self.audit("human", "hypothesis.register", {"hypothesis_id": key, "family": family})
@@ -143,34 +174,26 @@ class Catalog:
 
     def experiments(self) -> DataFrame:
         """Experiments with their current status and verdict, and their family."""
-        latest = self.table("experiment_events").groupBy("experiment_id").agg(F.max_by(F.struct("status", "verdict", "verdict_reason", "ts"), "seq").alias("now"))
-        return self.table("experiments").join(latest, "experiment_id").join(self.table("hypotheses").select("hypothesis_id", "family"), "hypothesis_id").select("*", "now.status", "now.verdict", "now.verdict_reason").drop("now")
+        return current(self.table("experiments"), self.table("experiment_events"), self.table("hypotheses"))
 
     def similar_failures(self, family: str, statement: str, mechanism: str, exclude_hypothesis: int | None = None) -> list[dict[str, Any]]:
         """Failed experiments of the family, and of the ten best text matches among hypotheses; the family's reason wins."""
-        failed = self.experiments().filter("verdict = 'fail'").select("experiment_id", "hypothesis_id", "family", "verdict_reason")
-        own = failed.filter(F.col("family") == family.strip()).withColumn("rank", F.lit(0))
-        terms = search.query_terms(f"{statement} {mechanism}")
-        texts = self.table("hypotheses").select("hypothesis_id", F.concat_ws(" ", "statement", "mechanism").alias("text"))
-        ranked = search.bm25(texts, terms, "hypothesis_id")
-        near = failed.join(ranked, "hypothesis_id").orderBy(F.desc("score"), "experiment_id").limit(10).drop("score").withColumn("rank", F.lit(1))
-        if exclude_hypothesis is not None:
-            near = near.filter(F.col("hypothesis_id") != exclude_hypothesis)
-        best = own.unionByName(near).groupBy("experiment_id").agg(F.min_by(F.struct("hypothesis_id", "family", "verdict_reason", "rank"), "rank").alias("x")).select("experiment_id", "x.*").orderBy("experiment_id")
-        said = {0: "same family", 1: "similar hypothesis text"}
-        return [{"experiment_id": r["experiment_id"], "hypothesis_id": r["hypothesis_id"], "family": r["family"], "reason": f"{said[r['rank']]}; failed: {r['verdict_reason']}"} for r in best.collect()]
+        failed = self.experiments().filter("verdict = 'fail'")
+        best = resembling(failed, self.table("hypotheses"), family, search.query_terms(f"{statement} {mechanism}"), exclude_hypothesis).orderBy("experiment_id")
+        said = {0: "of the same family", 1: "with a similar text"}
+        return [{"experiment_id": r["experiment_id"], "hypothesis_id": r["hypothesis_id"], "family": r["family"], "reason": f"{said[r['rank']]}, failed by {r['verdict_reason']}"} for r in best.collect()]
 
     def register_experiment(self, hypothesis_id: int, strategy: str, version: int, snapshot_id: str, benchmark: str, ack_journal: int | None = None) -> tuple[int, list[dict[str, Any]]]:
         h = self.table("hypotheses").filter(F.col("hypothesis_id") == hypothesis_id).collect()
         if not h:
-            raise KeyError(f"hypothesis {hypothesis_id} not found - register one first")
+            raise KeyError(f"there is no hypothesis {hypothesis_id} to test")
         if self.table("snapshots").filter(F.col("snapshot_id") == snapshot_id).isEmpty():
-            raise KeyError(f"unknown snapshot: {snapshot_id}")
+            raise KeyError(f"there is no snapshot {snapshot_id}")
         similar = self.similar_failures(h[0]["family"], h[0]["statement"], h[0]["mechanism"], hypothesis_id)
         if similar and ack_journal is None:
             raise SimilarFailures(similar)
         if ack_journal is not None and self.table("journal_entries").filter(F.col("journal_id") == ack_journal).isEmpty():
-            raise KeyError(f"acknowledgment journal entry {ack_journal} does not exist")
+            raise KeyError(f"the journal has no entry {ack_journal} to refer to")
         key = self._next("experiments", "experiment_id")
         self.append("experiments", [{"experiment_id": key, "hypothesis_id": hypothesis_id, "strategy_name": strategy, "strategy_version": version, "snapshot_id": snapshot_id, "benchmark_symbol": benchmark, "similar_failures_json": json.dumps(similar), "ack_journal_id": ack_journal, "created_at": now()}])
         self._event(key, "registered")
@@ -181,9 +204,9 @@ class Catalog:
         past = self.table("experiment_events").filter(F.col("experiment_id") == experiment_id)
         known = past.agg(F.max("seq").alias("seq"), F.max((F.col("status") == "complete").cast("int")).alias("done")).first()
         if known["done"]:
-            raise PermissionError(f"experiment {experiment_id} is complete; verdicts are final")
+            raise PermissionError(f"experiment {experiment_id} has its verdict, which stands")
         if known["seq"] is None and status != "registered":
-            raise KeyError(f"experiment {experiment_id} not found")
+            raise KeyError(f"there is no experiment {experiment_id}")
         self.append("experiment_events", [{"experiment_id": experiment_id, "seq": (known["seq"] or 0) + 1, "status": status, "verdict": verdict, "verdict_reason": reason, "ts": now()}])
 
     def mark_running(self, experiment_id: int) -> None:
@@ -207,10 +230,9 @@ class Catalog:
 
     def family_total(self, family: str, metric: str = "n_configs", exclude: int | None = None) -> int:
         """The sum of a walk-forward metric over a family's experiments: n_configs for multiple testing, n_trials for the record."""
-        wanted = self.table("run_metrics").filter(F.col("metric") == metric).join(self.table("runs").filter("run_type = 'walkforward'"), "run_id").join(self.table("experiments").select("experiment_id", "hypothesis_id"), "experiment_id").join(self.table("hypotheses").filter(F.col("family") == family.strip()).select("hypothesis_id"), "hypothesis_id")
-        if exclude is not None:
-            wanted = wanted.filter(F.col("experiment_id") != exclude)
-        return int(wanted.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0])
+        sums = family_totals(self.table("run_metrics"), self.table("runs"), self.table("experiments"), self.table("hypotheses"), metric, exclude)
+        found = sums.filter(F.col("family") == family.strip()).first()
+        return int(found["total"]) if found else 0
 
     # instruments
 

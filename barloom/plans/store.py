@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from barloom.operators import quality
 from barloom.plans.catalog import Catalog, now
 from barloom.plans.config import canonical
-from barloom.sources.bars import BARS, COLUMNS
+from barloom.sources.bars import BARS, COLUMNS, PRICES
 
 
 def archive_raw(catalog: Catalog, source: str, symbol: str, text: str, extension: str = "csv") -> Path:
@@ -30,8 +30,11 @@ def archive_raw(catalog: Catalog, source: str, symbol: str, text: str, extension
 
 
 def row_hashes(bars: DataFrame) -> DataFrame:
-    """symbol, sha256, first, last: of each symbol's rows in the order of dates."""
-    line = F.concat_ws("|", F.date_format("date", "yyyy-MM-dd"), *(F.format_string("%.10g", c) for c in ("open", "high", "low", "close")), F.col("volume").cast("string"))
+    """symbol, sha256, first, last: of each symbol's rows in the order of dates.
+
+    Doubles are written in hexadecimal, every bit of them, so that no change goes unseen."""
+    exact = lambda c: F.format_string("%a", c) if bars.schema[c].dataType.typeName() == "double" else F.col(c).cast("string")
+    line = F.concat_ws("|", F.date_format("date", "yyyy-MM-dd"), *(exact(c) for c in (*PRICES, "volume")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))), lambda x: x["line"]), "\n")
     return bars.groupBy("symbol").agg(F.sha2(lines, 256).alias("sha256"), F.min("date").alias("first"), F.max("date").alias("last"))
 
@@ -46,7 +49,7 @@ def load_curated(catalog: Catalog, symbols: list[str]) -> DataFrame:
     wanted = sorted({s.upper() for s in symbols})
     missing = [s for s in wanted if not (folder / f"symbol={s}").exists()]
     if missing:
-        raise FileNotFoundError(f"no curated data for {', '.join(missing)}; fetch or import it first")
+        raise FileNotFoundError(f"the store has no bars of {', '.join(missing)}")
     return catalog.spark.read.schema(BARS).parquet(str(folder)).filter(F.col("symbol").isin(wanted)).select(*COLUMNS)
 
 
@@ -91,10 +94,10 @@ def load_snapshot(catalog: Catalog, snapshot_id: str) -> DataFrame:
     """Its bars, if their rows still have the manifest's hashes."""
     known = catalog.table("snapshots").filter(F.col("snapshot_id") == snapshot_id).collect()
     if not known:
-        raise KeyError(f"unknown snapshot: {snapshot_id}")
+        raise KeyError(f"there is no snapshot {snapshot_id}")
     bars = catalog.spark.read.schema(BARS).parquet(str(catalog.at.snapshots / snapshot_id)).select(*COLUMNS)
     want = catalog.spark.createDataFrame([(s["symbol"], s["sha256"]) for s in json.loads(known[0]["manifest_json"])["symbols"]], "symbol string, want string")
     bad = row_hashes(bars).join(want, "symbol", "full").filter("sha256 is null or want is null or sha256 <> want").collect()
     if bad:
-        raise RuntimeError(f"snapshot {snapshot_id} corrupted: {', '.join(sorted(r['symbol'] for r in bad))} hash mismatch - restore from backup; snapshots are immutable")
+        raise RuntimeError(f"snapshot {snapshot_id} isn't what was written: other hashes for {', '.join(sorted(r['symbol'] for r in bad))}")
     return bars

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from barloom import ledger_sql
 from barloom.functions import indicators as ind
-from barloom.operators import ledger, metrics, quality, regimes, search, validation
+from barloom.operators import history, ledger, metrics, quality, regimes, search, validation
 from barloom.operators.strategies import DipBuyer, RandomWalk, RsiMeanReversion, SmaCross, TimeSeriesMomentum, params_key
+from barloom.plans import catalog, store
 from barloom.sources import bars as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,13 +90,12 @@ def normalised_bars(spark, sf_dir):
  SELECT symbol, date, close, volume FROM t WHERE k <= 20""")
 def point_in_time_tail(spark, sf_dir):
     """The last 20 bars as of a day, and nothing after it."""
-    past = _bars(spark, sf_dir).filter(F.col("date") <= F.lit("1997-06-30").cast("date"))
-    return past.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).filter("k <= 20").select("symbol", "date", "close", "volume")
+    return history.tail(_bars(spark, sf_dir), "1997-06-30", 20).select("symbol", "date", "close", "volume")
 
 
 @query("WITH @BARS SELECT symbol, max_by(close, date) AS last_close FROM bars WHERE date <= DATE '1997-06-30' GROUP BY 1")
 def last_close_as_of(spark, sf_dir):
-    return _bars(spark, sf_dir).filter(F.col("date") <= F.lit("1997-06-30").cast("date")).groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"))
+    return history.last_close(_bars(spark, sf_dir), "1997-06-30")
 
 
 # indicators
@@ -411,14 +411,14 @@ def benchmark_comparison(spark, sf_dir):
 def _trade_like(spark, sf_dir) -> DataFrame:
     """Order lines as trades: what the price was above or below 38000."""
     l = src.table(spark, sf_dir, "lineitem")
-    return l.filter(F.col("l_linenumber") == 1).select(
-        F.col("l_returnflag").alias("scenario_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2)).alias("symbol"), F.to_date("l_shipdate").alias("exit_ts"), F.date_sub(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("entry_ts"),
+    return l.select(
+        F.col("l_returnflag").alias("scenario_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2)).alias("symbol"), F.to_date("l_shipdate").alias("exit_ts"), F.date_sub(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("entry_ts"),
         F.round(F.col("l_extendedprice") - 38000, 2).alias("pnl"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("fees"), F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("slippage"), F.col("l_quantity").cast("int").alias("holding_bars"),
     )
 
 
-_TRADES = """t AS (SELECT l_returnflag AS scenario_id, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice, 2) AS symbol, CAST(l_shipdate AS DATE) AS exit_ts, CAST(l_shipdate AS DATE) - CAST(l_quantity AS INT) AS entry_ts,
- round(l_extendedprice - 38000, 2) AS pnl, round(l_extendedprice * l_tax, 2) AS fees, round(l_extendedprice * l_discount, 2) AS slippage, CAST(l_quantity AS INT) AS holding_bars FROM lineitem WHERE l_linenumber = 1)"""
+_TRADES = """t AS (SELECT l_returnflag AS scenario_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice, 2) AS symbol, CAST(l_shipdate AS DATE) AS exit_ts, CAST(l_shipdate AS DATE) - CAST(l_quantity AS INT) AS entry_ts,
+ round(l_extendedprice - 38000, 2) AS pnl, round(l_extendedprice * l_tax, 2) AS fees, round(l_extendedprice * l_discount, 2) AS slippage, CAST(l_quantity AS INT) AS holding_bars FROM lineitem)"""
 
 
 @query(f"""WITH {_TRADES}, m AS (SELECT scenario_id, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS wr, sum(pnl) FILTER (pnl > 0) AS gp, -sum(pnl) FILTER (pnl <= 0) AS gl, avg(pnl) AS ex, avg(pnl) FILTER (pnl > 0) AS aw, avg(pnl) FILTER (pnl <= 0) AS al,
@@ -495,35 +495,97 @@ def bm25_similar_docs(spark, sf_dir):
 @query("""WITH x AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z]{4,}'), lambda w: lower(w)))) AS w FROM documents)
  SELECT doc_id, array_to_string(w[1:12], ' OR ') AS fts_query FROM x""")
 def fts_queries(spark, sf_dir):
-    d = src.table(spark, sf_dir, "documents")
-    found = F.transform(F.regexp_extract_all("text", F.lit("([a-zA-Z]{4,})"), 1), F.lower)
-    return d.select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(found)), 1, 12), " OR ").alias("fts_query"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", search.fts_query("text").alias("fts_query"))
 
 
-@query("SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS row_hash FROM nation")
+@query(f"""WITH @BARS, l AS (SELECT symbol, date, strftime(date, '%Y-%m-%d') || '|' || {" || '|' || ".join(f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)" for c in src.PRICES)} || '|' || volume AS l FROM bars)
+ SELECT symbol, sha256(string_agg(l, chr(10) ORDER BY date)) AS sha256, min(date) AS first, max(date) AS last FROM l GROUP BY symbol""")
 def content_hash(spark, sf_dir):
-    return src.table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 256).alias("row_hash"))
+    """The hashes by which snapshots are checked, of prices in whole cents."""
+    cents = _bars(spark, sf_dir).select("symbol", "date", *(F.round(F.col(c) * 100).cast("bigint").alias(c) for c in src.PRICES), "volume")
+    return store.row_hashes(cents)
 
 
-@query("""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(o_custkey AS VARCHAR) AS ts, o_orderstatus AS a, o_orderpriority AS e, CAST(o_custkey % 97 AS VARCHAR) AS p FROM orders WHERE o_orderkey < 400),
- h AS (SELECT *, sha256(concat(seq - 1, '#')) AS prev, sha256(concat(sha256(concat(seq - 1, '#')), chr(0), ts, chr(0), a, chr(0), e, chr(0), p, chr(0))) AS this FROM o),
- l AS (SELECT *, coalesce(lag(this) OVER (ORDER BY seq), repeat('0', 64)) AS b FROM h) SELECT seq, prev = b AS prev_ok, true AS hash_ok FROM l""")
-def audit_chain_verify(spark, sf_dir):
-    """A log whose entries are right but were never chained."""
-    o = src.table(spark, sf_dir, "orders").filter("o_orderkey < 400")
-    log = o.select(F.col("o_orderkey").cast("bigint").alias("seq"), F.col("o_custkey").cast("string").alias("ts"), F.col("o_orderstatus").alias("actor"), F.col("o_orderpriority").alias("event_type"), (F.col("o_custkey") % 97).cast("string").alias("payload_json"))
-    log = log.withColumn("prev_hash", F.sha2(F.concat((F.col("seq") - 1).cast("string"), F.lit("#")), 256))
-    parts = [x for c in ("prev_hash", "ts", "actor", "event_type", "payload_json") for x in (F.col(c), F.lit("\0"))]
-    return search.chain_state(log.withColumn("this_hash", F.sha2(F.concat(*parts), 256)))
+_SEGMENT = 128
 
 
-@query("""SELECT c_mktsegment AS family, CAST(coalesce(sum(o_totalprice), 0) AS DOUBLE) IS NOT NULL AS known, CAST(count(*) AS BIGINT) AS runs, round(sum(o_totalprice), 2) AS configs FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1""")
+@query(f"""WITH l AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, lag(CAST(o_orderkey AS BIGINT)) OVER (ORDER BY o_orderkey) AS p FROM orders)
+ SELECT seq, p IS NULL OR p // {_SEGMENT} = seq // {_SEGMENT} AND p % 103 <> 29 AS prev_ok, seq % 101 <> 17 AND seq % 103 <> 29 AS hash_ok FROM l""")
+def audit_chain_verify(spark, sf_dir):
+    """A log of all orders, spliced from segments that are each a true chain; some entries' payloads were changed later, some entries' hashes were."""
+    text = lambda c: F.col(c).cast("string")
+    o = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("seq"), text("o_orderdate").alias("ts"), text("o_orderstatus").alias("actor"), text("o_orderpriority").alias("event_type"), text("o_custkey").alias("payload_json"))
+    parts = ("ts", "actor", "event_type", "payload_json")
+    held = o.groupBy(F.floor(F.col("seq") / _SEGMENT).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("seq", *parts))).alias("entries"))  # _SEGMENT entries at most
+    start = held.agg(F.min("segment").alias("least"))
+    seed = F.when(F.col("segment") == F.col("least"), F.lit(search.GENESIS)).otherwise(F.sha2(F.col("segment").cast("string"), 256))
+
+    def chain(done, entry):
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["this_hash"], F.col("seed"))
+        mine = search.entry_hash(before, *(entry[c] for c in parts))
+        link = F.struct(entry["seq"].alias("seq"), *(entry[c].alias(c) for c in parts), before.alias("prev_hash"), mine.alias("this_hash"))
+        return F.concat(done, F.array(link))
+
+    none = F.array().cast("array<struct<seq:bigint,ts:string,actor:string,event_type:string,payload_json:string,prev_hash:string,this_hash:string>>")
+    log = held.join(F.broadcast(start)).withColumn("seed", seed).select(F.inline(F.aggregate("entries", none, chain)))  # start: one row
+    changed = F.when(F.col("seq") % 101 == 17, F.lit("tampered")).otherwise(F.col("payload_json"))
+    forged = F.when(F.col("seq") % 103 == 29, F.sha2("this_hash", 256)).otherwise(F.col("this_hash"))
+    return search.chain_state(log.withColumns({"payload_json": changed, "this_hash": forged}))
+
+
+@query("""SELECT c_mktsegment AS family, CAST(sum(o_orderkey % 50) AS DOUBLE) AS n_configs, count(*) AS runs FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
 def family_config_counts(spark, sf_dir):
-    """The four-way join behind the family counters, over orders, customers, nations and regions."""
-    t = lambda n: src.table(spark, sf_dir, n)
-    own = t("region").filter("r_name = 'ASIA'").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    c = t("customer").join(F.broadcast(own.select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("family"))  # 25 nations at most
-    return t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("family").agg(F.lit(True).alias("known"), F.count("*").alias("runs"), F.round(F.sum("o_totalprice"), 2).alias("configs"))
+    """The counters of multiple testing: customers as hypotheses, orders as experiments with a run and a metric each."""
+    hypotheses, experiments, runs, values = _research(spark, sf_dir)
+    return catalog.family_totals(values, runs, experiments, hypotheses, "n_configs").select("family", F.col("total").alias("n_configs"), "runs")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS experiment_id, o_custkey AS hypothesis_id, c_mktsegment AS family, CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'pass' ELSE 'inconclusive' END AS verdict FROM orders JOIN customer ON o_custkey = c_custkey)
+ SELECT experiment_id, hypothesis_id, family, CASE WHEN verdict = 'inconclusive' THEN 'running' ELSE 'complete' END AS status, CASE WHEN verdict <> 'inconclusive' THEN verdict END AS verdict FROM x""")
+def experiment_states(spark, sf_dir):
+    """Where each experiment stands by the last of its events: registered, running, complete with a verdict."""
+    hypotheses, experiments, _, _ = _research(spark, sf_dir)
+    return catalog.current(experiments, _events(spark, sf_dir), hypotheses).select("experiment_id", "hypothesis_id", "family", "status", "verdict")
+
+
+@query("""WITH w AS (SELECT c_custkey AS h, c_mktsegment AS family, regexp_extract_all(lower(c_name || ' ' || c_mktsegment), '[a-z0-9]+') AS w FROM customer), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w),
+ t AS (SELECT h, len(w) AS s, unnest(w) AS t FROM w), f AS (SELECT h, t, any_value(s) AS s, count(*) AS f FROM t WHERE t IN ('building', 'machinery') GROUP BY 1, 2), d AS (SELECT t, count(*) AS d FROM f GROUP BY 1),
+ sc AS (SELECT h, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * s / m))) AS score FROM f JOIN d USING (t), n GROUP BY 1),
+ failed AS (SELECT o_orderkey AS e, o_custkey AS h, c_mktsegment AS family FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'),
+ near AS (SELECT e, h, family FROM failed JOIN sc USING (h) ORDER BY round(score, 9) DESC, e LIMIT 10)
+ SELECT e AS experiment_id, h AS hypothesis_id, family, 'same family' AS kind FROM failed WHERE family = 'MACHINERY'
+ UNION ALL SELECT e, h, family, 'similar text' FROM near WHERE family <> 'MACHINERY'""")
+def similar_failures(spark, sf_dir):
+    """Failed experiments of a new hypothesis' family, and of the ten that match its text best."""
+    hypotheses, experiments, _, _ = _research(spark, sf_dir)
+    failed = catalog.current(experiments, _events(spark, sf_dir), hypotheses).filter("verdict = 'fail'")
+    found = catalog.resembling(failed, hypotheses, "MACHINERY", search.query_terms("building machinery"))
+    return found.select("experiment_id", "hypothesis_id", "family", F.when(F.col("rank") == 0, "same family").otherwise("similar text").alias("kind"))
+
+
+def _research(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(hypotheses, experiments, runs, run_metrics) made of customers and orders."""
+    c, o = src.table(spark, sf_dir, "customer"), src.table(spark, sf_dir, "orders")
+    hypotheses = c.select(F.col("c_custkey").cast("long").alias("hypothesis_id"), F.col("c_mktsegment").alias("family"), F.col("c_name").alias("statement"), F.col("c_mktsegment").alias("mechanism"))
+    key = F.col("o_orderkey").cast("long")
+    experiments = o.select(key.alias("experiment_id"), F.col("o_custkey").cast("long").alias("hypothesis_id"))
+    run = F.concat(F.lit("R"), key.cast("string"))
+    runs = o.select(run.alias("run_id"), key.alias("experiment_id"), F.when(F.col("o_orderpriority") == "5-LOW", "backtest").otherwise("walkforward").alias("run_type"))
+    values = o.select(run.alias("run_id"), F.lit("n_configs").alias("metric"), F.lit("all").alias("period"), (key % 50).cast("double").alias("value"))
+    return hypotheses, experiments, runs, values.unionByName(values.withColumn("metric", F.lit("n_trials")))
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    o = src.table(spark, sf_dir, "orders")
+    verdict = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "pass")
+    none, text = F.lit(None).cast("string"), F.lit("as measured")
+    steps = F.array(
+        F.struct(F.lit(1).cast("long").alias("seq"), F.lit("registered").alias("status"), none.alias("verdict"), none.alias("verdict_reason")),
+        F.struct(F.lit(2).cast("long").alias("seq"), F.lit("running").alias("status"), none.alias("verdict"), none.alias("verdict_reason")),
+        F.when(verdict.isNotNull(), F.struct(F.lit(3).cast("long").alias("seq"), F.lit("complete").alias("status"), verdict.alias("verdict"), text.alias("verdict_reason"))),
+    )
+    rows = o.select(F.col("o_orderkey").cast("long").alias("experiment_id"), F.inline(F.filter(steps, lambda x: x.isNotNull())))
+    return rows.withColumn("ts", F.lit("2024-01-01T00:00:00Z"))
 
 
 # ledger and validation: bars after a split of 1000 for 1, so that a share is a small part of an account

@@ -156,7 +156,7 @@ def test_store_and_snapshots(catalog, spark):
     import shutil
 
     shutil.rmtree(c.at.snapshots / a / "symbol=SYN1")
-    with pytest.raises(RuntimeError, match="hash mismatch"):
+    with pytest.raises(RuntimeError, match="other hashes"):
         store.load_snapshot(c, a)
 
 
