@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barloom.operators import quality
 from barloom.plans import experiment, report, store
 from barloom.plans.catalog import Catalog, SimilarFailures
-from barloom.plans.config import Data, General, Workspace, read_yaml, refuse_tracked_secrets
+from barloom.plans.config import Workspace, load_secrets, logger, section
 from barloom.sources import bars as src
 from barloom.sources.synthetic import synthetic_bars
 
@@ -61,13 +61,13 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _data(args, catalog: Catalog) -> int:
-    config, spark = Data(**read_yaml(catalog.at.configs / "data.yaml")), catalog.spark
-    limits, bad = config.validation.limits(), 0
+    config, spark = section(catalog.at.configs, "data"), catalog.spark
+    limits, bad = quality.Limits(**config.validation), 0
 
     def admit(bars, source: str) -> None:
         nonlocal bad
         for symbol, ok in sorted(store.admit(catalog, bars, limits, source, config.benchmark_symbol).items()):
-            print(f"  {symbol}: {'curated' if ok else 'FAILED validation - not written to curated store'}")
+            print(f"  {symbol}: {'curated' if ok else 'refused; see its findings'}")
             bad += not ok
 
     if args.command == "fetch":
@@ -91,7 +91,7 @@ def _data(args, catalog: Catalog) -> int:
         return 0
     if args.command == "synth":
         print("WARNING: synthetic data is for development only - results are not research.")
-        seed = General(**read_yaml(catalog.at.configs / "global.yaml")).root_seed
+        seed = section(catalog.at.configs, "general").root_seed
         admit(synthetic_bars(spark, args.symbols, args.bars, seed, args.trend), "synthetic")
         return 0
     if args.command == "validate":
@@ -150,7 +150,7 @@ def _vault(args, catalog: Catalog) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     at = Workspace(args.root)
-    refuse_tracked_secrets(at.root)
+    names = load_secrets(at.root)
     catalog = Catalog(spark or session(), at)
     if args.group == "init":
         at.create()
@@ -162,6 +162,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("No catalogue found - run init first.", file=sys.stderr)
         return 1
     catalog.migrate()
+    logger("cli", section(at.configs, "general").log_level).debug("workspace %s, from its .env: %s", at.root, ", ".join(names) or "nothing")
     if args.group == "data":
         return _data(args, catalog)
     if args.group == "journal":

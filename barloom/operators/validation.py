@@ -55,7 +55,7 @@ def walk_forward(bars: DataFrame, strategy: type[Strategy], params: dict, univer
     days = calendar(bars)
     spans = folds(days, train, test, embargo).orderBy("fold").collect()  # a row for each fold of a history of days
     if not spans:
-        raise ValueError(f"not enough history for walk-forward: need at least {train + embargo + test} bars, have {days.count()}")
+        raise ValueError(f"one fold takes {train + embargo + test} days, the bars have {days.count()}")
     grid = strategy.grid()
     keys = [params_key(c) for c in grid]
     signals = strategy.signals(bars, grid).persist()
@@ -266,42 +266,42 @@ def gates(e: Evidence, limits: GateLimits = GateLimits()) -> list[dict]:
     at_least = lambda x, bar: x is not None and x >= bar
     above = lambda x, bar: x is not None and x > bar
     out = [
-        ("min_oos_trades", at_least(e.oos_trades, limits.min_oos_trades), e.oos_trades, limits.min_oos_trades, "out-of-sample trade count"),
-        ("oos_expectancy_positive", above(e.expectancy, 0), e.expectancy, 0.0, "mean net P&L per OOS trade (USD)"),
-        ("oos_sharpe_positive", above(e.oos_sharpe, 0), e.oos_sharpe, 0.0, "stitched OOS Sharpe"),
-        ("wf_efficiency", at_least(e.efficiency, limits.min_wf_efficiency), e.efficiency, limits.min_wf_efficiency, "OOS Sharpe / in-sample Sharpe"),
-        ("deflated_sharpe", above(e.dsr, dsr_bar), -1.0 if e.dsr is None else e.dsr, dsr_bar, "P(true Sharpe > best-of-N noise), trials-adjusted"),
-        ("cost_breakeven", at_least(e.breakeven, limits.cost_breakeven_min), e.breakeven, limits.cost_breakeven_min, "highest cost multiplier still profitable"),
+        ("min_oos_trades", at_least(e.oos_trades, limits.min_oos_trades), e.oos_trades, limits.min_oos_trades, "trades on unseen bars"),
+        ("oos_expectancy_positive", above(e.expectancy, 0), e.expectancy, 0.0, "what a trade on unseen bars earns after costs"),
+        ("oos_sharpe_positive", above(e.oos_sharpe, 0), e.oos_sharpe, 0.0, "Sharpe ratio of the test windows put together"),
+        ("wf_efficiency", at_least(e.efficiency, limits.min_wf_efficiency), e.efficiency, limits.min_wf_efficiency, "that ratio over the train windows' mean"),
+        ("deflated_sharpe", above(e.dsr, dsr_bar), -1.0 if e.dsr is None else e.dsr, dsr_bar, "chance that it is more than the best of so many tries"),
+        ("cost_breakeven", at_least(e.breakeven, limits.cost_breakeven_min), e.breakeven, limits.cost_breakeven_min, "costs multiplied by this still leave a profit"),
     ]
     if limits.require_delay_survival:
         survived = bool(e.delay_returns) and all(above(r, 0) for r in e.delay_returns)
         known = [r for r in e.delay_returns if r is not None]
-        out.append(("delay_survival", survived, min(known, default=None), 0.0, "total return with +1 bar execution delay"))
+        out.append(("delay_survival", survived, min(known, default=None), 0.0, "return where fills come a bar later"))
     out += [
-        ("positive_regimes", sum(p > 0 for p in e.regimes) >= limits.min_positive_regimes, sum(p > 0 for p in e.regimes), limits.min_positive_regimes, "benchmark regimes (down/flat/up) with positive P&L"),
-        ("regime_concentration", share <= limits.max_single_regime_pnl_share, share, limits.max_single_regime_pnl_share, "largest single-regime share of total P&L"),
-        ("param_neighborhood", at_least(e.neighbour_ratio, limits.min_neighbor_sharpe_ratio), e.neighbour_ratio, limits.min_neighbor_sharpe_ratio, "median neighbor-params Sharpe / chosen Sharpe"),
+        ("positive_regimes", sum(p > 0 for p in e.regimes) >= limits.min_positive_regimes, sum(p > 0 for p in e.regimes), limits.min_positive_regimes, "regimes of the benchmark that made money"),
+        ("regime_concentration", share <= limits.max_single_regime_pnl_share, share, limits.max_single_regime_pnl_share, "the best regime's share of all profit"),
+        ("param_neighborhood", at_least(e.neighbour_ratio, limits.min_neighbor_sharpe_ratio), e.neighbour_ratio, limits.min_neighbor_sharpe_ratio, "neighbours' median Sharpe ratio over the chosen one's"),
     ]
     return [{"name": n, "passed": bool(p), "measured": nan if m is None else float(m), "threshold": float(t), "detail": d} for n, p, m, t, d in out]
 
 
 def verdict(found: list[dict]) -> tuple[str, list[str]]:
     failed = [g for g in found if not g["passed"]]
-    return "fail" if failed else "pass", [f"{g['name']}: measured {g['measured']:.4g} vs threshold {g['threshold']:.4g}" for g in failed]
+    return "fail" if failed else "pass", [f"{g['name']} at {g['measured']:.4g}, asked for {g['threshold']:.4g}" for g in failed]
 
 
 MARGINAL = ("cost_breakeven", "wf_efficiency", "deflated_sharpe", "regime_concentration")
 
 
 def weaknesses(found: list[dict], e: Evidence) -> list[str]:
-    notes = [f"FAILED {g['name']}: {g['detail']} = {g['measured']:.4g} (needs {g['threshold']:.4g})" for g in found if not g["passed"]]
+    notes = [f"FAILED {g['name']}, {g['detail']}: {g['measured']:.4g} where {g['threshold']:.4g} is asked for" for g in found if not g["passed"]]
     by = {g["name"]: g for g in found}
     for name in MARGINAL:
         g = by.get(name)
         if g and g["passed"] and g["threshold"] and abs(g["measured"] - g["threshold"]) <= 0.2 * abs(g["threshold"]):
-            notes.append(f"MARGINAL {name}: {g['measured']:.4g} barely clears {g['threshold']:.4g}")
+            notes.append(f"MARGINAL {name}: {g['measured']:.4g}, within a fifth of {g['threshold']:.4g}")
     if e.max_drawdown is not None and e.max_drawdown < -0.15:
-        notes.append(f"OOS max drawdown {e.max_drawdown:.1%} already exceeds the hard limit (-15%)")
+        notes.append(f"DRAWDOWN of {-e.max_drawdown:.1%} on unseen bars, beyond the 15% that end an account")
     if e.losing_streak >= 8:
-        notes.append(f"Longest OOS losing streak is {e.losing_streak:.0f} trades - expect discipline stress")
-    return notes or ["No gate failures or marginal passes detected; remaining risk is regime non-stationarity that validation cannot rule out."]
+        notes.append(f"STREAK of {e.losing_streak:.0f} losing trades in a row on unseen bars")
+    return notes or ["Nothing failed and nothing was close; that markets change is a risk no test of the past removes."]

@@ -16,7 +16,7 @@ from barloom.operators import ledger, metrics, regimes, validation
 from barloom.operators.strategies import get_class, params_key
 from barloom.plans import store
 from barloom.plans.catalog import Catalog, now
-from barloom.plans.config import Config, git_state, load
+from barloom.plans.config import account as account_of, git_state, load
 from barloom.sources.bars import missing_from
 from barloom.sources.synthetic import derive_seed
 
@@ -41,9 +41,9 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     bars = store.load_snapshot(catalog, snapshot_id)
     lacking = missing_from(bars, [*config.strategy.universe, benchmark])
     if lacking:
-        raise KeyError(f"snapshot {snapshot_id} lacks symbols required by config: {lacking}")
+        raise KeyError(f"the strategy trades what snapshot {snapshot_id} has no bars of: {', '.join(lacking)}")
     bars = bars.persist()
-    account, universe, mc = config.backtest.account(), config.strategy.universe, config.validation.montecarlo
+    account, universe, mc = account_of(config.backtest), config.strategy.universe, config.validation.montecarlo
     root_seed = config.general.root_seed
 
     def record(kind: str, started: str, seed: int = 0) -> str:
@@ -113,7 +113,7 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
         oos["n_trades"] or 0, oos["expectancy_usd"], wf.oos_sharpe, wf.efficiency, dsr, s.max_profitable_multiplier, tuple(r["total_return"] for r in s.delay_table if r["extra_delay_bars"] > 0),
         tuple(r["pnl"] for r in by_regime.values()), s.neighbour.get("neighbor_sharpe_ratio", 0.0), oos["max_drawdown"], oos["longest_losing_streak"] or 0,
     )
-    found = validation.gates(evidence, config.validation.gates.limits())
+    found = validation.gates(evidence, validation.GateLimits(**config.validation.gates))
     verdict, reasons = validation.verdict(found)
     catalog.finalize(key, verdict, "; ".join(reasons) or "all gates passed")
     payload = {

@@ -47,17 +47,17 @@ def normalise(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     named = raw.toDF(*[c.strip().lower() for c in raw.columns])
     who = f"{symbol}: " if symbol else ""
     if "date" not in named.columns:
-        raise ValueError(f"{who}no 'date' column in input")
+        raise ValueError(f"{who}bars need a column of dates")
     missing = [c for c in (*PRICES, "volume") if c not in named.columns]
     if missing:
-        raise ValueError(f"{who}missing columns {missing}")
+        raise ValueError(f"{who}bars lack {', '.join(missing)}")
     if symbol:
         named = named.withColumn("symbol", F.lit(symbol.upper()))
     seq = F.col("seq") if "seq" in named.columns else F.monotonically_increasing_id()
     typed = named.select(F.upper("symbol").alias("symbol"), F.to_date(F.to_timestamp(F.col("date").cast("string"))).alias("date"), *(F.col(c).cast("double").alias(c) for c in PRICES), F.col("volume").cast("double").cast("bigint").alias("volume"), seq.alias("seq"))
     for c in ("date", *PRICES, "volume"):
         bad = F.col(c).isNull() | F.isnan(c) if c in PRICES else F.col(c).isNull()
-        typed = typed.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{who}NaNs present after normalization: {c}")).cast(typed.schema[c].dataType)).otherwise(F.col(c)))
+        typed = typed.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{who}a bar without {c}")).cast(typed.schema[c].dataType)).otherwise(F.col(c)))
     first = F.row_number().over(Window.partitionBy("symbol", "date").orderBy("seq"))
     return typed.withColumn("rank", first).filter("rank = 1").select(*COLUMNS)
 
@@ -82,7 +82,7 @@ def stooq_ticker(symbol: str) -> str:
 def stooq_bars(spark: SparkSession, symbol: str, text: str) -> DataFrame:
     """Bars of a Stooq answer; what isn't CSV means that there are none."""
     if not text.lower().startswith("date,"):
-        raise ValueError(f"Stooq returned no data for '{symbol}' (tried '{stooq_ticker(symbol)}')")
+        raise ValueError(f"no bars of {symbol}: the answer for {stooq_ticker(symbol)} is no table")
     return csv_text(spark, text, symbol)
 
 
@@ -94,10 +94,10 @@ def tiingo_bars(spark: SparkSession, symbol: str, payload: str | list[dict]) ->
     """Bars of a Tiingo answer, from its adjusted columns; times are cut to UTC days."""
     rows = json.loads(payload) if isinstance(payload, str) else payload
     if not rows:
-        raise ValueError(f"Tiingo returned no rows for '{symbol}'")
+        raise ValueError(f"no bars of {symbol} in the answer")
     missing = [c for c in ("date", *ADJUSTED) if all(c not in r for r in rows)]
     if missing:
-        raise ValueError(f"Tiingo payload for '{symbol}' missing columns {missing}")
+        raise ValueError(f"the answer for {symbol} lacks {', '.join(missing)}")
     kept = [(i, str(r.get("date")), *(None if r.get(c) is None else float(r[c]) for c in ADJUSTED)) for i, r in enumerate(rows)]
     df = spark.createDataFrame(kept, "seq long, date string, " + ", ".join(f"{c} double" for c in ADJUSTED.values()))
     return normalise(df.withColumn("date", F.to_date(F.to_timestamp("date")).cast("string")), symbol)
@@ -116,7 +116,7 @@ def fetch_stooq(spark: SparkSession, symbol: str, timeout: float = 30.0) -> tupl
 def fetch_tiingo(spark: SparkSession, symbol: str, token: str, timeout: float = 30.0) -> tuple[DataFrame, str]:
     """The token goes into a header, so that it can't end up in archived addresses."""
     if not token:
-        raise ValueError("Tiingo requires an API key: set TIINGO_API_KEY")
+        raise ValueError("this source asks for a token, TIINGO_API_KEY in the environment")
     text = _get(f"https://api.tiingo.com/tiingo/daily/{symbol.lower()}/prices?startDate=1990-01-01&format=json", {"Authorization": f"Token {token}"}, timeout)
     return tiingo_bars(spark, symbol, text), text
 

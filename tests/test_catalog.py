@@ -74,11 +74,11 @@ def test_hypotheses_experiments_and_similar_failures(catalog):
         c.append("experiment_events", [{"experiment_id": 1, "seq": 9, "status": "done"}])
     with pytest.raises(SimilarFailures) as why:
         c.register_experiment(h, "sma_cross", 1, "snap0001", "SPY")
-    assert why.value.similar[0]["reason"].startswith("same family") and "experiment 1" in str(why.value)
+    assert why.value.similar[0]["reason"].startswith("of the same family") and "1 of hypothesis" in str(why.value)
     other = c.register_hypothesis("other-family", "equities momentum strategies persist", "information diffusion is slow", "s", "f")
     with pytest.raises(SimilarFailures) as why:
         c.register_experiment(other, "tsmom", 1, "snap0001", "SPY")
-    assert why.value.similar[0]["reason"].startswith("similar hypothesis text")
+    assert why.value.similar[0]["reason"].startswith("with a similar text")
     with pytest.raises(KeyError):
         c.register_experiment(other, "tsmom", 1, "snap0001", "SPY", 99)
     note = c.add_journal("me", "read and understood")

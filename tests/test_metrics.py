@@ -103,7 +103,7 @@ def test_gates():
     good = validation.Evidence(50, 10.0, 1.0, 0.8, 0.99, 3.0, (0.1,), (50.0, 60.0, 40.0), 0.9, -0.05, 2)
     found = validation.gates(good)
     assert len(found) == 10 and validation.verdict(found) == ("pass", [])
-    assert validation.weaknesses(found, good)[0].startswith("No gate failures")
+    assert validation.weaknesses(found, good)[0].startswith("Nothing failed")
     verdict, reasons = validation.verdict(validation.gates(validation.Evidence()))
     assert verdict == "fail" and len(reasons) >= 8
     assert len(validation.gates(good, validation.GateLimits(require_delay_survival=False))) == 9
