@@ -107,17 +107,17 @@ def test_audit_chain(catalog):
     c = catalog
     for k in range(3):
         c.audit("human", "x", {"k": k})
-    assert c.verify() == (True, "audit chain verified")
+    assert c.verify()[0]
     rows = c.table("audit_log").orderBy("seq").collect()
     forged = [r.asDict() | ({"payload_json": "{}"} if r["seq"] == 2 else {}) for r in rows]
     import shutil
 
     shutil.rmtree(c.at.catalog / "audit_log")
     c.append("audit_log", forged)
-    assert c.verify() == (False, "chain broken at seq 2: entry hash mismatch")
+    assert c.verify() == (False, "entry 2 of the log was changed")
     shutil.rmtree(c.at.catalog / "audit_log")
     c.append("audit_log", [r.asDict() for r in rows if r["seq"] != 2])
-    assert c.verify() == (False, "chain broken at seq 3: prev_hash mismatch")
+    assert c.verify() == (False, "entry 3 of the log doesn't follow the one before it")
 
 
 def test_versions(catalog, monkeypatch):
