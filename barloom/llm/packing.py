@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from barloom.llm.shared import CACHES, materialise, pieces, tidied, with_documents_columns
 
 CAPACITY = 2048
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 _KEPT: dict = {}
