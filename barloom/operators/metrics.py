@@ -25,6 +25,14 @@ def returns(equity: DataFrame, key: str = "scenario_id", value: str = "equity")
     return equity.select(key, "date", _ratio(F.col(value), before).alias("q")).filter("q is not null").select(key, "date", (F.col("q") - 1).alias("r"))
 
 
+def growth(r: Column, by: list[str], order: str = "date") -> Column:
+    """The product of 1 + r up to each row: a sum of logarithms, with signs and zeros kept apart."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    size = F.exp(F.sum(F.when(r != -1, F.ln(F.abs(1 + r))).otherwise(0.0)).over(w))
+    sign = F.when(F.sum((r < -1).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(F.max((r == -1).cast("int")).over(w) == 1, 0.0).otherwise(sign * size)
+
+
 def sharpe(r: str = "r") -> Column:
     return _ratio(F.avg(r), F.stddev_samp(r)) * _ROOT
 

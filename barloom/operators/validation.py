@@ -44,13 +44,19 @@ class WalkForward:
     is_sharpe_mean: float | None
     efficiency: float
     stability: float
+    held: tuple[DataFrame, ...] = ()  # what the frames above are read from
+
+    def release(self) -> None:
+        """Give back what is kept in memory; the frames can still be read, at the price of computing them again."""
+        for df in self.held:
+            df.unpersist()
 
 
 def walk_forward(bars: DataFrame, strategy: type[Strategy], params: dict, universe: list[str], account: ledger.Account, train: int, test: int, embargo: int | None = None) -> WalkForward:
     """Every combination on every train window in one pass; the best of each frozen and run on its test window in another."""
     from barloom.sources.bars import calendar
 
-    spark = bars.sparkSession
+    spark, bars = bars.sparkSession, bars.persist()  # read by several jobs; see release()
     embargo = strategy.warmup(params) if embargo is None else embargo
     days = calendar(bars)
     spans = folds(days, train, test, embargo).orderBy("fold").collect()  # a row for each fold of a history of days
@@ -80,7 +86,7 @@ def walk_forward(bars: DataFrame, strategy: type[Strategy], params: dict, univer
     mean = sum(scores) / len(scores) if scores else None
     picks = [r[6] for r in rows]
     named = trials.join(spark.createDataFrame(list(enumerate(keys)), "combo int, params_key string"), "combo").select("fold", "params_key", "sharpe", "max_drawdown", "n_trades")
-    return WalkForward(table, oos, ledger.trades_of(tested), named, len(wanted), len(grid), sharpe, mean, sharpe / mean if mean and mean > 0 and sharpe is not None else 0.0, max(picks.count(p) for p in picks) / len(picks))
+    return WalkForward(table, oos, ledger.trades_of(tested), named, len(wanted), len(grid), sharpe, mean, sharpe / mean if mean and mean > 0 and sharpe is not None else 0.0, max(picks.count(p) for p in picks) / len(picks), (signals, trials, tested, bars))
 
 
 # resampling

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from datetime import datetime, timezone
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,8 @@ TABLES = {
 }
 #: Raised with every change of TABLES; a catalogue keeps the checksums of the versions it has seen.
 VERSION = 1
+#: What brings a catalogue from the version before to this one, where new columns being null isn't enough.
+STEPS: dict[int, Callable[["Catalog"], None]] = {}
 #: Values that columns may take.
 ALLOWED = {
     ("experiment_events", "status"): ("registered", "running", "complete"), ("experiment_events", "verdict"): (None, "pass", "fail", "inconclusive"),
@@ -47,6 +51,13 @@ ALLOWED = {
 GENESIS = search.GENESIS
 
 
+def seal(folder: Path) -> None:
+    """Take the right to write from the files of a table: it grows by new ones."""
+    for file in folder.rglob("*"):
+        if file.is_file() and file.stat().st_mode & 0o222:
+            file.chmod(file.stat().st_mode & ~0o222)
+
+
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -96,15 +107,17 @@ class Catalog:
         self.spark, self.at = spark, at
 
     def migrate(self) -> None:
-        """Record this version of the tables; refuse a catalogue that knows it with other columns, or a later one."""
+        """Bring the catalogue to this version, step by step, and record each; refuse one that knows it with other columns, or a later one."""
         checksum = hashlib.sha256(canonical({k: v for k, v in TABLES.items() if k != "schema_migrations"}).encode()).hexdigest()
         known = {r["version"]: r["checksum"] for r in self.table("schema_migrations").collect()}
         if known.get(VERSION, checksum) != checksum:
             raise RuntimeError(f"version {VERSION} of the catalogue's tables has changed since it was applied; tables change with a new version only")
         if max(known, default=0) > VERSION:
             raise RuntimeError(f"the catalogue is of version {max(known)}, this code of version {VERSION}")
-        if VERSION not in known:
-            self.append("schema_migrations", [{"version": VERSION, "applied_at": now(), "checksum": checksum}])
+        for version in range(max(known, default=VERSION - 1) + 1, VERSION + 1):
+            if known and version in STEPS:
+                STEPS[version](self)
+            self.append("schema_migrations", [{"version": version, "applied_at": now(), "checksum": checksum if version == VERSION else "passed through"}])
 
     def exists(self) -> bool:
         return (self.at.catalog / "audit_log").exists()
@@ -125,7 +138,9 @@ class Catalog:
                 return
             columns = [c.strip().split(" ")[0] for c in TABLES[name].split(",")]
             rows = self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], TABLES[name]).coalesce(1)
-        rows.write.mode("append").parquet(str(self.at.catalog / name))
+        folder = self.at.catalog / name
+        rows.write.mode("append").parquet(str(folder))
+        seal(folder)
 
     def _next(self, name: str, key: str) -> int:
         return (self.table(name).agg(F.max(key)).first()[0] or 0) + 1

@@ -122,7 +122,9 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     }
     (folder / "gates.json").write_text(json.dumps(payload, indent=2, default=str), "utf-8")
     catalog.audit("system", "experiment.complete", {"experiment_id": key, "verdict": verdict})
-    bars.unpersist()
+    wf.release()
+    for held_table in (full, held, bars):
+        held_table.unpersist()
     return payload | {"config_hash": digest, "git_sha": sha, "dirty_tree": dirty, "full_metrics": full_metrics, "oos_metrics": oos, "benchmark_metrics": bench, "artifact_dir": str(folder)}
 
 
@@ -135,16 +137,11 @@ def _columns(table: str) -> list[str]:
 def out_of_sample(wf: validation.WalkForward, capital: float) -> dict[str, Any]:
     """Metrics of the stitched test segments: equity is compounded from the capital, without a row for the start."""
     curve = wf.oos_returns.withColumn("scenario_id", F.lit("oos"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("scenario_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    # a sum of logarithms, with signs and zeros kept apart
-    grown = F.exp(F.sum(F.when(F.col("r") != -1, F.ln(F.abs(1 + F.col("r")))).otherwise(0.0)).over(w))
-    sign = F.when(F.max((F.col("r") == -1).cast("int")).over(w) == 1, 0.0).otherwise(F.when(F.sum((F.col("r") < -1).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0))
-    curve = curve.withColumn("equity", capital * sign * grown).persist()
+    curve = curve.withColumn("equity", capital * metrics.growth(F.col("r"), ["scenario_id"])).persist()
     ends = _row(curve.agg(F.max_by("equity", "date").alias("last"), metrics.sortino().alias("sortino")))
     under = _row(metrics.underwater(curve), "scenario_id") or {"max_drawdown": None, "longest_underwater_bars": 0}
     keys = curve.sparkSession.createDataFrame([("oos",)], "scenario_id string")
+    curve.unpersist()
     trades = _row(metrics.trade_stats(wf.oos_trades.withColumn("scenario_id", F.lit("oos")), capital, keys), "scenario_id")
     return {
         "sharpe": wf.oos_sharpe, "sortino": ends["sortino"], "total_return": ends["last"] / capital - 1 if ends["last"] is not None else None, **under,

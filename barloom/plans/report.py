@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import metrics
 from barloom.plans.catalog import Catalog
 
 NA = "n/a"
@@ -78,8 +79,8 @@ def drawdown_curve(equity: DataFrame) -> DataFrame:
 
 
 def cumulative(returns: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return returns.select("date", (F.exp(F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12)))).over(w)) - 1).alias("growth"))
+    """date, growth less 1 of one curve: a row for each day."""
+    return returns.withColumn("curve", F.lit(0)).select("date", (metrics.growth(F.col("r"), ["curve"]) - 1).alias("growth"))
 
 
 def _column(df: DataFrame, name: str) -> list[float]:

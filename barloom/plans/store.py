@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import quality
-from barloom.plans.catalog import Catalog, now
+from barloom.plans.catalog import Catalog, now, seal
 from barloom.plans.config import canonical
 from barloom.sources.bars import BARS, COLUMNS, PRICES
 
@@ -86,6 +86,7 @@ def create_snapshot(catalog: Catalog, symbols: list[str], description: str) -> s
     target = catalog.at.snapshots / key
     if not target.exists():
         bars.repartition("symbol").write.mode("errorifexists").partitionBy("symbol").parquet(str(target))
+        seal(target)
         catalog.append("snapshots", [{"snapshot_id": key, "created_at": now(), "description": description, "frequency": "daily", "manifest_json": text, "coverage_start": min(r["first"] for r in rows), "coverage_end": max(r["last"] for r in rows)}])
     return key
 

@@ -40,11 +40,6 @@ def _bars(spark, sf_dir) -> DataFrame:
     return src.lineitem_bars(spark, sf_dir)
 
 
-def _kept(bars: DataFrame) -> DataFrame:
-    """Bars that a query reads many times: a row for each symbol and day, far fewer than the lines they were made of."""
-    return bars.persist()
-
-
 def _r(c, digits=6):
     return F.round(c, digits)
 
@@ -680,8 +675,9 @@ def backtest_metrics(spark, sf_dir):
  FROM fo JOIN cal a ON a.idx = fold * 126 JOIN cal b ON b.idx = fold * 126 + 755 JOIN cal d ON d.idx = fold * 126 + 857 JOIN cal e ON e.idx = fold * 126 + 982
  LEFT JOIN best ON best.fold = fo.fold LEFT JOIN ltm ON ltm.sid = CAST(fo.fold AS VARCHAR) LEFT JOIN un ON un.sid = CAST(fo.fold AS VARCHAR)""")
 def walkforward(spark, sf_dir):
-    got = validation.walk_forward(_split_bars(spark, sf_dir), SmaCross, _PARAMS, _UNIVERSE, _ACCOUNT, 756, 126).folds
-    return got.withColumns({"train_sharpe": _r("train_sharpe"), "test_sharpe": _r("test_sharpe"), "test_return": _r("test_return", 7)})
+    done = validation.walk_forward(_split_bars(spark, sf_dir), SmaCross, _PARAMS, _UNIVERSE, _ACCOUNT, 756, 126)
+    done.release()
+    return done.folds.withColumns({"train_sharpe": _r("train_sharpe"), "test_sharpe": _r("test_sharpe"), "test_return": _r("test_return", 7)})
 
 
 _NEAR = "f <> 20 AND s = 100 OR f = 20 AND s <> 100"

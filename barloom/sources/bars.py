@@ -42,7 +42,7 @@ def normalise(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     """Bars from a vendor's table: any case and spacing of names, dates as text, repeated dates.
 
     Of rows with one date the first in `seq` stays (the order of ingestion; without
-    that column, that of the reader). A missing column, a date that doesn't parse
+    that column rows have no order, and the least by its values stays). A missing column, a date that doesn't parse
     or a null price or volume is an error, raised when the bars are computed."""
     named = raw.toDF(*[c.strip().lower() for c in raw.columns])
     who = f"{symbol}: " if symbol else ""
@@ -53,7 +53,7 @@ def normalise(raw: DataFrame, symbol: str | None = None) -> DataFrame:
         raise ValueError(f"{who}bars lack {', '.join(missing)}")
     if symbol:
         named = named.withColumn("symbol", F.lit(symbol.upper()))
-    seq = F.col("seq") if "seq" in named.columns else F.monotonically_increasing_id()
+    seq = F.col("seq") if "seq" in named.columns else F.struct(*(F.col(c).cast("string") for c in (*PRICES, "volume")))
     typed = named.select(F.upper("symbol").alias("symbol"), F.to_date(F.to_timestamp(F.col("date").cast("string"))).alias("date"), *(F.col(c).cast("double").alias(c) for c in PRICES), F.col("volume").cast("double").cast("bigint").alias("volume"), seq.alias("seq"))
     for c in ("date", *PRICES, "volume"):
         bad = F.col(c).isNull() | F.isnan(c) if c in PRICES else F.col(c).isNull()
@@ -63,7 +63,9 @@ def normalise(raw: DataFrame, symbol: str | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    return normalise(spark.read.option("header", True).csv(path), symbol)
+    """The order of rows is that of files by name, of places in them, and of lines."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return normalise(spark.read.option("header", True).csv(path).withColumn("seq", at), symbol)
 
 
 def csv_text(spark: SparkSession, text: str, symbol: str) -> DataFrame:
