@@ -54,3 +54,42 @@ def test_entry_without_the_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
     assert int(out.stdout.split()[0]) > 50 and out.stdout.split()[1] == "False"
+
+
+def test_awkward_documents(spark, tmp_path):
+    """Nulls in every column, empty, long and repeated texts, names that clash with the stages' own; and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = __import__("random").Random(8)
+    say = lambda n: " ".join(rng.choice("river stone evening letter window garden silent cold north paper".split()) + str(rng.randrange(400)) for _ in range(n))
+    text, long = say(80), say(20_000)
+    rows = [(k, say(60), "en", "s", 1) for k in range(30)] + [(100, text, "en", "s", 1), (101, text, None, None, None), (101, text, "en", "s", 1)]
+    rows += [(102, long, "en", "s", 1), (103, None, None, None, None), (104, "", "en", "s", 0), (None, None, None, None, None), (None, say(50), "en", "s", 1), (105, "one", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("rep", "head", "cut_id", "cut_key", "cut_text", "item_id", "label", "part", "place", "dropped_id", "block", "key")
+    docs = docs.select("*", *(F.lit("x").alias(n) for n in names))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(rows[3][1].split()[:30])), (2, None), (None, "")], "item_id long, text string")
+    for folder, df in (("some", docs), ("none", docs.limit(0))):
+        at = str(tmp_path / folder)
+        df.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        one = df = spark.read.parquet(f"{at}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            one = corpus_pipeline.materialise(stage(spark, one, at), name)
+            assert one.columns == df.columns
+        kept = {r["doc_id"] for r in one.collect()}
+        got = corpus_pipeline.run(spark, at).collect()
+        assert {r["doc_id"] for r in got} == kept
+        if folder == "some":
+            assert {102, 103, 105, None} <= kept and not {3, 101, 104} & kept and 100 in kept  # null and "" are copies
+            used = {}
+            for r in got:
+                used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+            for runs in used.values():
+                runs.sort()
+                assert [a for a, _ in runs] == [sum(n for _, n in runs[:k]) for k in range(len(runs))] and sum(n for _, n in runs) <= 2048
+        else:
+            assert not got
