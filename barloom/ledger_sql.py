@@ -4,8 +4,8 @@ It is written from the rules alone: a row of the recursion is an account after
 one day, with what it holds and has ordered of each symbol in columns of their
 own, and what it sold on that day as a struct. Orders of a day are worked off
 in the order of symbols. Positions of at most 10 % of three symbols never use up
-the cash, so an order that has to be shrunk to it doesn't occur here; a test
-over other accounts covers that."""
+the cash, so an order that has to be shrunk to it doesn't occur here (tests of
+the ledger have one)."""
 
 from __future__ import annotations
 

