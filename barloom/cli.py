@@ -50,7 +50,10 @@ def _parser() -> argparse.ArgumentParser:
     command(journal, "add", (("body",), {}), (("--tags",), {}), (("--author",), {"default": "human"}))
     command(journal, "list", (("--last",), {"type": int, "default": 20}))
     command(group("hypothesis"), "new", *(((f"--{k}",), {"required": True}) for k in ("family", "statement", "mechanism", "success", "falsification")))
-    command(group("experiment"), "run", (("--hypothesis",), {"type": int, "required": True}), (("--strategy",), {"required": True}), (("--version",), {"type": int, "default": 1}), (("--snapshot",), {"required": True}), (("--ack-journal",), {"type": int}))
+    command(
+        group("experiment"), "run", (("--hypothesis",), {"type": int, "required": True}), (("--strategy",), {"required": True}),
+        (("--version",), {"type": int, "default": 1}), (("--snapshot",), {"required": True}), (("--ack-journal",), {"type": int})
+    )
     command(group("report"), "build", (("experiment_id",), {"type": int}))
     vault = group("vault")
     command(vault, "experiments")
@@ -135,7 +138,9 @@ def _vault(args, catalog: Catalog) -> int:
         rows = rows.filter(F.col("experiment_id") == args.experiment_id)
     found = rows.collect()
     for r in found:
-        print(f"E{r['experiment_id']}  H{r['hypothesis_id']} [{r['family']}] {r['strategy_name']}@{r['strategy_version']}  snap={r['snapshot_id'][:8]}  {r['status']}  verdict={r['verdict'] or '-'}")
+        print(
+            f"E{r['experiment_id']}  H{r['hypothesis_id']} [{r['family']}] {r['strategy_name']}@{r['strategy_version']}  snap={r['snapshot_id'][:8]}  {r['status']}  verdict={r['verdict'] or '-'}"
+        )
         if args.command == "show":
             print(f"reason: {r['verdict_reason']}")
             runs = catalog.table("runs").filter(F.col("experiment_id") == args.experiment_id).join(catalog.table("run_metrics"), "run_id", "left").orderBy("started_at", "run_id", "metric")

@@ -24,7 +24,10 @@ def tape(universe: list[str], account: Account, source: str = "bars") -> str:
     columns = ", ".join(
         f"max({c}) FILTER (symbol = '{s}') AS {c}{k}" for k, s in enumerate(universe) for c in ("o", "h", "l", "c", "stop", "adv", "advb")
     )
-    filled = ", ".join(f"CASE WHEN o{k} IS NOT NULL THEN advb{k} ELSE coalesce(last_value(adv{k} IGNORE NULLS) OVER (ORDER BY idx), 0) END AS before{k}" for k in range(len(universe)))
+    filled = ", ".join(
+        f"CASE WHEN o{k} IS NOT NULL THEN advb{k} ELSE coalesce(last_value(adv{k} IGNORE NULLS) OVER (ORDER BY idx), 0) END AS before{k}"
+        for k in range(len(universe))
+    )
     return f"""cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM {source})),
  tr AS (SELECT *, CASE WHEN lag(close) OVER {_O} IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER {_O}), abs(low - lag(close) OVER {_O})) END AS tr
   FROM {source} WHERE symbol IN ({names})),
@@ -83,18 +86,38 @@ def ledger(name: str, universe: list[str], account: Account, scenarios: str, sta
         f" CASE WHEN due{k} THEN NULL ELSE om{k} END AS om{k}" for k in ks
     ) + ", cash - " + " - ".join(f"CASE WHEN want{k} > 0 THEN {_micro(f'paid{k}')} * want{k} + {_micro(fee(f'want{k}'))} ELSE 0 END" for k in ks) + " AS cash) FROM (@)")
     # stops, and what sales bring
-    steps.append("SELECT *, " + ", ".join(f"CASE WHEN s{k} IS NOT NULL THEN s{k} WHEN q{k} > 0 AND o{k} IS NOT NULL AND l{k} <= stp{k} THEN {sold(k, f'least(o{k}, stp{k})', 'stop')} END AS t{k}" for k in ks) + " FROM (@)")
-    steps.append("SELECT * REPLACE (" + ", ".join(f"CASE WHEN t{k} IS NOT NULL THEN 0 ELSE q{k} END AS q{k}" for k in ks) + ", cash + " + " + ".join(f"coalesce({proceeds(k)}, 0)" for k in ks) + " AS cash) FROM (@)")
+    steps.append(
+        "SELECT *, " + ", ".join(
+            f"CASE WHEN s{k} IS NOT NULL THEN s{k} WHEN q{k} > 0 AND o{k} IS NOT NULL AND l{k} <= stp{k} THEN {sold(k, f'least(o{k}, stp{k})', 'stop')} END AS t{k}"
+            for k in ks
+        ) + " FROM (@)"
+    )
+    steps.append(
+        "SELECT * REPLACE (" + ", ".join(
+            f"CASE WHEN t{k} IS NOT NULL THEN 0 ELSE q{k} END AS q{k}"
+            for k in ks
+        ) + ", cash + " + " + ".join(f"coalesce({proceeds(k)}, 0)" for k in ks) + " AS cash) FROM (@)"
+    )
     # the close
     in_bar = lambda k, new, old: f"CASE WHEN q{k} > 0 AND o{k} IS NOT NULL THEN {new} ELSE {old} END AS {old}"
-    steps.append("SELECT * REPLACE (" + ", ".join(f"{in_bar(k, f'least(lo{k}, l{k})', f'lo{k}')}, {in_bar(k, f'greatest(hi{k}, h{k})', f'hi{k}')}, {in_bar(k, f'nb{k} + 1', f'nb{k}')}, {in_bar(k, f'c{k}', f'mark{k}')}" for k in ks) + ") FROM (@)")
+    steps.append(
+        "SELECT * REPLACE (" + ", ".join(
+            f"{in_bar(k, f'least(lo{k}, l{k})', f'lo{k}')}, {in_bar(k, f'greatest(hi{k}, h{k})', f'hi{k}')}, {in_bar(k, f'nb{k} + 1', f'nb{k}')}, {in_bar(k, f'c{k}', f'mark{k}')}"
+            for k in ks
+        ) + ") FROM (@)"
+    )
     steps.append("SELECT *, " + " + ".join(f"CASE WHEN q{k} > 0 THEN {_micro(f'coalesce(mark{k}, px{k})')} * q{k} ELSE 0 END" for k in ks) + " AS invested FROM (@)")
     steps.append("SELECT * REPLACE (cash + invested AS worth), CASE WHEN cash + invested > 0 THEN invested / (cash + invested) ELSE 0 END AS share FROM (@)")
     # the end of the window
     steps.append("SELECT *, " + ", ".join(f"CASE WHEN day = last AND q{k} > 0 THEN {sold(k, f'coalesce(mark{k}, px{k})', 'end_of_data')} END AS e{k}" for k in ks) + " FROM (@)")
     # decisions
     makes = lambda k: f"(day < last AND om{k} IS NULL AND (state{k} = 1 AND q{k} = 0 AND stop{k} > 0 OR state{k} = 0 AND q{k} > 0))"
-    steps.append("SELECT *, " + ", ".join(f"{makes(k)} IS TRUE AS mk{k}" for k in ks) + ", " + " + ".join(f"CASE WHEN day < last AND om{k} IS NULL AND state{k} IS NOT NULL THEN 1 ELSE 0 END" for k in ks) + " AS signals FROM (@)")
+    steps.append(
+        "SELECT *, " + ", ".join(f"{makes(k)} IS TRUE AS mk{k}" for k in ks) + ", " + " + ".join(
+            f"CASE WHEN day < last AND om{k} IS NULL AND state{k} IS NOT NULL THEN 1 ELSE 0 END"
+            for k in ks
+        ) + " AS signals FROM (@)"
+    )
     end = lambda k: f"CASE WHEN e{k} IS NOT NULL THEN {_micro(f'e{k}.out')} * e{k}.q - {_micro(fee(f'e{k}.q'))} ELSE 0 END"
     out = ", ".join(
         f"q{k}, px{k}, since{k}, stp{k}, fee{k}, slp{k}, lo{k}, hi{k}, nb{k}, mark{k}, CASE WHEN mk{k} THEN day ELSE om{k} END AS om{k}, CASE WHEN mk{k} THEN CASE WHEN state{k} = 1 THEN delay ELSE 0 END ELSE ow{k} END AS ow{k},"

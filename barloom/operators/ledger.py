@@ -220,12 +220,19 @@ SCENARIO = "scenario_id string, params_key string, first date, last date, cost_m
 def tape_rows(bars: DataFrame, sizing: Sizing) -> DataFrame:
     """bars with stop_distance, adv_in, adv_ex: one window pass for each symbol."""
     ranged = bars.withColumn("tr", ind.true_range())
-    return ranged.select("symbol", "date", "open", "high", "low", "close", (ind.tail_atr("tr", sizing.atr_period) * sizing.atr_stop_mult).alias("stop_distance"), ind.adv().alias("adv_in"), ind.adv(including=False).alias("adv_ex"))
+    return ranged.select(
+        "symbol", "date", "open", "high", "low", "close",
+        (ind.tail_atr("tr", sizing.atr_period) * sizing.atr_stop_mult).alias("stop_distance"), ind.adv().alias("adv_in"),
+        ind.adv(including=False).alias("adv_ex")
+    )
 
 
 def scenarios(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """rows: scenario_id, params_key and, if other than the defaults, first, last (None: all days), cost_mult, delay."""
-    return spark.createDataFrame([(r["scenario_id"], r["params_key"], r.get("first"), r.get("last"), float(r.get("cost_mult", 1.0)), int(r.get("delay", 0))) for r in rows], SCENARIO)
+    return spark.createDataFrame(
+        [(r["scenario_id"], r["params_key"], r.get("first"), r.get("last"), float(r.get("cost_mult", 1.0)), int(r.get("delay", 0))) for r in rows],
+        SCENARIO
+    )
 
 
 PER_TASK = 6

@@ -54,7 +54,10 @@ def underwater(equity: DataFrame, key: str = "scenario_id", value: str = "equity
     """key, max_drawdown, longest_underwater_bars."""
     rows = drawdowns(equity, key, value)
     runs = rows.groupBy(key, "under").agg(F.sum(F.when(F.col("drawdown") < 0, 1).otherwise(0)).alias("bars"), F.min("drawdown").alias("drawdown"), F.count("*").alias("n"))
-    return runs.groupBy(key).agg(F.min("drawdown").alias("max_drawdown"), F.max("bars").cast("bigint").alias("longest_underwater_bars"), F.sum("n").alias("n")).select(key, F.when(F.col("n") >= 2, F.col("max_drawdown")).alias("max_drawdown"), F.when(F.col("n") >= 2, F.col("longest_underwater_bars")).otherwise(0).alias("longest_underwater_bars"))
+    return runs.groupBy(key).agg(F.min("drawdown").alias("max_drawdown"), F.max("bars").cast("bigint").alias("longest_underwater_bars"), F.sum("n").alias("n")).select(
+        key, F.when(F.col("n") >= 2, F.col("max_drawdown")).alias("max_drawdown"),
+        F.when(F.col("n") >= 2, F.col("longest_underwater_bars")).otherwise(0).alias("longest_underwater_bars")
+    )
 
 
 def curve_metrics(equity: DataFrame, key: str = "scenario_id", value: str = "equity") -> DataFrame:
@@ -64,7 +67,10 @@ def curve_metrics(equity: DataFrame, key: str = "scenario_id", value: str = "equ
     ends = equity.groupBy(key).agg(first.alias("first"), last.alias("last"), F.count("*").alias("n_bars"), *exposure)
     total = _ratio(F.col("last"), F.col("first"))
     growth = F.when(F.col("first") > 0, F.when(total <= 0, -1.0).otherwise(F.pow(total, YEAR / F.col("n_bars")) - 1))
-    ends = ends.select(key, F.when(F.col("n_bars") >= 2, total - 1).alias("total_return"), F.when(F.col("n_bars") >= 2, growth).alias("cagr"), "n_bars", *(["avg_exposure"] if exposure else []))
+    ends = ends.select(
+        key, F.when(F.col("n_bars") >= 2, total - 1).alias("total_return"), F.when(F.col("n_bars") >= 2, growth).alias("cagr"), "n_bars",
+        *(["avg_exposure"] if exposure else [])
+    )
     of_returns = returns(equity, key, value).groupBy(key).agg((F.stddev_samp("r") * _ROOT).alias("ann_vol"), sharpe().alias("sharpe"), sortino().alias("sortino"))
     return ends.join(of_returns, key, "left").join(underwater(equity, key, value), key, "left")
 
@@ -72,7 +78,10 @@ def curve_metrics(equity: DataFrame, key: str = "scenario_id", value: str = "equ
 def losing_streaks(trades: DataFrame, key: str = "scenario_id") -> DataFrame:
     """key, longest_losing_streak: of trades by exit, then entry."""
     w = Window.partitionBy(key).orderBy("exit_ts", "entry_ts", "symbol")
-    islands = trades.select(key, (F.col("pnl") < 0).alias("lost"), F.sum(F.when(F.col("pnl") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    islands = trades.select(
+        key, (F.col("pnl") < 0).alias("lost"),
+        F.sum(F.when(F.col("pnl") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island")
+    )
     return islands.groupBy(key, "island").agg(F.sum(F.when(F.col("lost"), 1).otherwise(0)).alias("n")).groupBy(key).agg(F.max("n").cast("bigint").alias("longest_losing_streak"))
 
 
@@ -90,7 +99,9 @@ def trade_stats(trades: DataFrame, initial_capital: float, keys: DataFrame | Non
     )
     one = one.withColumn("profit_factor", F.when(F.col("gross_loss_usd") > 0, F.col("gross_profit_usd") / F.col("gross_loss_usd"))).join(losing_streaks(trades, key), key, "left")
     if keys is not None:
-        one = keys.select(key).distinct().join(one, key, "left").fillna(0, ["n_trades", "longest_losing_streak"]).fillna(0.0, ["total_fees_usd", "total_slippage_usd", "gross_profit_usd", "gross_loss_usd"])
+        one = keys.select(key).distinct().join(one, key, "left").fillna(0, ["n_trades", "longest_losing_streak"]).fillna(
+            0.0, ["total_fees_usd", "total_slippage_usd", "gross_profit_usd", "gross_loss_usd"]
+        )
     return one
 
 
@@ -117,7 +128,9 @@ def scenario_metrics(results: DataFrame, initial_capital: float) -> DataFrame:
     worth = F.transform(equity, lambda x: x["equity"])
     rows = results.filter(F.size("equity") > 0).select(
         "scenario_id", equity.alias("equity"), worth.alias("worth"), F.size(equity).cast("bigint").alias("n_bars"),
-        F.array_sort(F.transform(trades, lambda t: F.struct(*(t[c].alias(c) for c in ("exit_ts", "entry_ts", "symbol", "pnl", "fees", "slippage", "holding_bars"))))).alias("trades"),
+        F.array_sort(
+            F.transform(trades, lambda t: F.struct(*(t[c].alias(c) for c in ("exit_ts", "entry_ts", "symbol", "pnl", "fees", "slippage", "holding_bars"))))
+        ).alias("trades"),
     )
     n = F.col("n_bars")
     later, earlier = F.slice("worth", 2, F.size("worth") - 1), F.slice("worth", 1, F.size("worth") - 1)
@@ -169,7 +182,10 @@ def compare(own: DataFrame, benchmark: DataFrame, key: str = "scenario_id") -> D
     """key, alpha_ann, beta, correlation, information_ratio, active_return_ann of returns r against benchmark's (date, b); NULL under 20 common days."""
     both = own.join(benchmark, "date").filter("r is not null and b is not null").withColumn("active", F.col("r") - F.col("b"))
     beta = _ratio(F.covar_samp("r", "b"), F.var_samp("b"))
-    got = both.groupBy(key).agg(F.count("*").alias("n"), beta.alias("beta"), F.avg("r").alias("mr"), F.avg("b").alias("mb"), F.corr("r", "b").alias("correlation"), F.avg("active").alias("ma"), F.stddev_samp("active").alias("sa"))
+    got = both.groupBy(key).agg(
+        F.count("*").alias("n"), beta.alias("beta"), F.avg("r").alias("mr"), F.avg("b").alias("mb"), F.corr("r", "b").alias("correlation"),
+        F.avg("active").alias("ma"), F.stddev_samp("active").alias("sa")
+    )
     ok = F.col("n") >= 20
     return got.select(
         key, F.when(ok, (F.col("mr") - F.col("beta") * F.col("mb")) * YEAR).alias("alpha_ann"), F.when(ok, F.col("beta")).alias("beta"), F.when(ok, F.col("correlation")).alias("correlation"),
@@ -186,13 +202,18 @@ def buy_and_hold(bars: DataFrame, initial_capital: float, costs, first=None, las
     if last is not None:
         bars = bars.filter(F.col("date") <= F.lit(last))
     numbered = bars.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
-    start = numbered.groupBy("symbol").agg(F.min_by("open", "date").alias("first_open"), F.avg(F.when(F.col("n") <= 20, F.col("volume"))).alias("adv"), F.count("*").alias("bars")).filter("bars >= 2")
+    start = numbered.groupBy("symbol").agg(
+        F.min_by("open", "date").alias("first_open"), F.avg(F.when(F.col("n") <= 20, F.col("volume"))).alias("adv"),
+        F.count("*").alias("bars")
+    ).filter("bars >= 2")
 
     def commission(q: Column) -> Column:
         return F.when(q > 0, F.greatest(F.lit(costs.min_commission), costs.commission_per_share * q) * costs.pessimism_multiplier).otherwise(0.0)
 
     wish = F.floor(initial_capital / F.col("first_open"))
     slip = (costs.half_spread_bps / 1e4 + costs.impact_coeff * F.when(F.col("adv") > 0, F.col("wish") / F.col("adv")).otherwise(0.0)) * costs.pessimism_multiplier
-    sized = start.withColumn("wish", wish).withColumn("fill", F.col("first_open") * (1 + slip)).withColumn("qty", F.floor((initial_capital - commission(F.col("wish"))) / F.col("fill"))).filter("qty > 0")
+    sized = start.withColumn("wish", wish).withColumn("fill", F.col("first_open") * (1 + slip)).withColumn(
+        "qty", F.floor((initial_capital - commission(F.col("wish"))) / F.col("fill"))
+    ).filter("qty > 0")
     sized = sized.select("symbol", "qty", (initial_capital - F.col("qty") * F.col("fill") - commission(F.col("qty"))).alias("cash"))
     return bars.join(sized, "symbol").select("symbol", "date", (F.col("close") * F.col("qty") + F.col("cash")).alias("equity"))

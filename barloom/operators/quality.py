@@ -28,7 +28,10 @@ def _w():
 
 def _issue(rows: DataFrame, check: str, severity: str, detail: Column, start: Column | None = None, end: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("date")
-    return rows.select("symbol", F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"), (none if start is None else start).alias("range_start"), (none if end is None else end).alias("range_end"))
+    return rows.select(
+        "symbol", F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"),
+        (none if start is None else start).alias("range_start"), (none if end is None else end).alias("range_end")
+    )
 
 
 def lengths(bars: DataFrame, limits: Limits) -> DataFrame:
@@ -64,7 +67,9 @@ def _business_days(a: Column, b: Column) -> Column:
     """Business days from a to b, both counted: whole weeks have five; what is left is cut at the weekend."""
     days, first = F.datediff(b, a) + 1, F.weekday(a)
     rest = days % 7
-    weekend = F.greatest(F.lit(0), F.least(first + rest, F.lit(7)) - F.greatest(first, F.lit(5))) + F.greatest(F.lit(0), F.least(first + rest, F.lit(14)) - F.greatest(first, F.lit(12)))
+    weekend = F.greatest(F.lit(0), F.least(first + rest, F.lit(7)) - F.greatest(first, F.lit(5))) + F.greatest(
+        F.lit(0), F.least(first + rest, F.lit(14)) - F.greatest(first, F.lit(12))
+    )
     return F.floor(days / 7) * 5 + rest - weekend
 
 
@@ -73,13 +78,22 @@ def gap_runs(bars: DataFrame) -> DataFrame:
     w = _w()
     rows = missing_days(bars).withColumn("new", F.when(F.datediff("date", F.lag("date").over(w)) <= 3, 0).otherwise(1))
     runs = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("symbol", "run").agg(F.min("date").alias("run_start"), F.max("date").alias("run_end")).select("symbol", "run_start", "run_end", _business_days(F.col("run_start"), F.col("run_end")).cast("bigint").alias("business_days"))
+    return runs.groupBy("symbol", "run").agg(F.min("date").alias("run_start"), F.max("date").alias("run_end")).select(
+        "symbol", "run_start", "run_end", _business_days(F.col("run_start"), F.col("run_end")).cast("bigint").alias("business_days")
+    )
 
 
 def gaps(bars: DataFrame, limits: Limits) -> DataFrame:
     long = F.col("business_days") > limits.max_consecutive_gap_days
-    some = gap_runs(bars).groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(long, 1)).alias("long"), F.min(F.when(long, F.struct("run_start", "run_end"))).alias("first"))
-    failed = _issue(some.filter("long > 0"), "gaps", "fail", F.concat(F.col("long").cast("string"), F.lit(f" gap(s) of more than {limits.max_consecutive_gap_days} business days")), F.col("first.run_start"), F.col("first.run_end"))
+    some = gap_runs(bars).groupBy("symbol").agg(
+        F.count("*").alias("n"), F.count(F.when(long, 1)).alias("long"),
+        F.min(F.when(long, F.struct("run_start", "run_end"))).alias("first")
+    )
+    failed = _issue(
+        some.filter("long > 0"), "gaps", "fail",
+        F.concat(F.col("long").cast("string"), F.lit(f" gap(s) of more than {limits.max_consecutive_gap_days} business days")),
+        F.col("first.run_start"), F.col("first.run_end")
+    )
     return failed.unionByName(_issue(some.filter("long = 0"), "gaps", "info", F.concat(F.col("n").cast("string"), F.lit(" gap(s), none of them too long"))))
 
 
@@ -138,7 +152,12 @@ def _counted(rows: DataFrame, rules: list[tuple[str, str, Column, str]]) -> Data
         before, after = text.split("{n}")
         detail = F.concat(F.lit(before), F.col(f"n{k}").cast("string"), F.lit(after))
         dated = check != "weekend_bars"
-        said.append(F.struct(F.col(f"n{k}").alias("n"), F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"), *((F.col(f"{c}{k}") if dated else F.lit(None).cast("date")).alias(name) for c, name in (("a", "range_start"), ("z", "range_end")))))
+        said.append(
+            F.struct(
+                F.col(f"n{k}").alias("n"), F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), detail.alias("detail"),
+                *((F.col(f"{c}{k}") if dated else F.lit(None).cast("date")).alias(name) for c, name in (("a", "range_start"), ("z", "range_end")))
+            )
+        )
     return rows.groupBy("symbol").agg(*held).select("symbol", F.inline(F.array(*said))).filter("n > 0").drop("n")
 
 
@@ -150,7 +169,10 @@ def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     z = f"{limits.spike_zscore:.0f}"
     plain = [
         ("positivity", "fail", F.least("open", "high", "low", "close") <= 0, "{n} bar(s) with a price of zero or less"),
-        ("ohlc_bounds", "fail", (F.col("low") > F.least("open", "close") + 1e-9) | (F.col("high") < F.greatest("open", "close") - 1e-9), "{n} bar(s) whose low and high do not enclose open and close"),
+        (
+            "ohlc_bounds", "fail", (F.col("low") > F.least("open", "close") + 1e-9) | (F.col("high") < F.greatest("open", "close") - 1e-9),
+            "{n} bar(s) whose low and high do not enclose open and close"
+        ),
         ("weekend_bars", "warn", F.weekday("date") >= 5, "{n} bar(s) on a Saturday or Sunday"),
     ]
     spikes = [
@@ -159,7 +181,10 @@ def issues(bars: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ]
     splits = [("split_echo", "fail", F.lit(True), "{n} bar(s) that look like splits nobody adjusted for")]
     # rules judge each symbol for itself, so symbols with the first two findings are left out of the few findings, not of the bars
-    found = reduce(DataFrame.unionByName, [_counted(bars, plain), gaps(bars, limits), _counted(spike_rows(bars, limits), spikes), _counted(split_rows(bars), splits), thin_volume(bars, limits)])
+    found = reduce(
+        DataFrame.unionByName,
+        [_counted(bars, plain), gaps(bars, limits), _counted(spike_rows(bars, limits), spikes), _counted(split_rows(bars), splits), thin_volume(bars, limits)]
+    )
     first = short.unionByName(double)
     return found.join(first.select("symbol"), "symbol", "left_anti").unionByName(first)
 

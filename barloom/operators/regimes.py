@@ -14,7 +14,10 @@ def label(closes: DataFrame, window: int = 63, key: str = "symbol") -> DataFrame
     rows = closes.select(key, "date", (F.try_divide("close", F.lag("close", window).over(w)) - 1).alias("roll"))
     cuts = rows.groupBy(key).agg(F.percentile("roll", 1 / 3).alias("lo"), F.percentile("roll", 2 / 3).alias("hi"), F.count("roll").alias("n"))
     ok = (F.col("n") >= 30) & F.col("roll").isNotNull()
-    return rows.join(cuts, key).select(key, "date", F.when(ok & (F.col("roll") >= F.col("hi")), "up").when(ok & (F.col("roll") <= F.col("lo")), "down").otherwise("flat").alias("label"))
+    return rows.join(cuts, key).select(
+        key, "date",
+        F.when(ok & (F.col("roll") >= F.col("hi")), "up").when(ok & (F.col("roll") <= F.col("lo")), "down").otherwise("flat").alias("label")
+    )
 
 
 def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, values: list[str], by: list[str] = (), every: str = "month") -> DataFrame:
@@ -30,7 +33,9 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, values:
     months = left.select(*by, "__m").distinct().join(ends, [*by, "__m"], "full")
     past = Window.partitionBy(*by).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
     carried = months.select(*by, "__m", F.last("__v", ignorenulls=True).over(past).alias("__v")).filter("__v is not null")
-    known = facts.select(*by, "__m", "__t", F.lit(0).alias("__side"), "__v").unionByName(carried.select(*by, "__m", F.lit(None).cast(right.schema[right_time].dataType).alias("__t"), F.lit(0).alias("__side"), "__v"))
+    known = facts.select(*by, "__m", "__t", F.lit(0).alias("__side"), "__v").unionByName(
+        carried.select(*by, "__m", F.lit(None).cast(right.schema[right_time].dataType).alias("__t"), F.lit(0).alias("__side"), "__v")
+    )
     both = left.withColumn("__t", F.col(time).cast(right.schema[right_time].dataType)).withColumn("__side", F.lit(1)).unionByName(known, allowMissingColumns=True)
     w = Window.partitionBy(*by, "__m").orderBy(F.asc_nulls_first("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")

@@ -51,7 +51,10 @@ def entry_hash(*parts: Column) -> Column:
 def chain_state(log: DataFrame) -> DataFrame:
     """seq, prev_ok, hash_ok of a hash-chained log (seq, ts, actor, event_type, payload_json, prev_hash, this_hash)."""
     # ranges of seq, about RANGE rows each; each begins after the last entry of the range before it that has any
-    span = log.agg(F.min("seq").cast("double").alias("__low"), F.greatest(F.lit(1.0), (F.max("seq").cast("double") - F.min("seq").cast("double") + 1) * RANGE / F.greatest(F.count("seq"), F.lit(1))).alias("__width"))
+    span = log.agg(
+        F.min("seq").cast("double").alias("__low"),
+        F.greatest(F.lit(1.0), (F.max("seq").cast("double") - F.min("seq").cast("double") + 1) * RANGE / F.greatest(F.count("seq"), F.lit(1))).alias("__width")
+    )
     rows = log.crossJoin(F.broadcast(span)).withColumn("__part", F.floor((F.col("seq").cast("double") - F.col("__low")) / F.col("__width")))  # span: one row
     order = F.struct("seq", "this_hash")
     ends = rows.groupBy("__part").agg(F.max_by(F.struct("this_hash"), order).alias("__end"))

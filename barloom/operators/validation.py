@@ -27,7 +27,17 @@ def folds(calendar: DataFrame, train: int, test: int, embargo: int) -> DataFrame
     need = train + embargo + test
     size = calendar.agg(F.count("*").alias("n")).filter(F.col("n") >= need)
     at = size.select(F.explode(F.sequence(F.lit(0), ((F.col("n") - need) / test).cast("int"))).alias("fold"))
-    marks = at.select("fold", F.inline(F.array(*(F.struct(F.lit(k).alias("edge"), (F.col("fold") * test + d).cast("int").alias("idx")) for k, d in (("train_start", 0), ("train_end", train - 1), ("test_start", train + embargo), ("test_end", need - 1))))))
+    marks = at.select(
+        "fold",
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(k).alias("edge"), (F.col("fold") * test + d).cast("int").alias("idx"))
+                    for k, d in (("train_start", 0), ("train_end", train - 1), ("test_start", train + embargo), ("test_end", need - 1))
+                )
+            )
+        )
+    )
     dated = marks.join(calendar, "idx")
     return dated.groupBy("fold").agg(*(F.max(F.when(F.col("edge") == e, F.col("date"))).alias(e) for e in ("train_start", "train_end", "test_start", "test_end")))
 
@@ -52,7 +62,10 @@ class WalkForward:
             df.unpersist()
 
 
-def walk_forward(bars: DataFrame, strategy: type[Strategy], params: dict, universe: list[str], account: ledger.Account, train: int, test: int, embargo: int | None = None) -> WalkForward:
+def walk_forward(
+    bars: DataFrame, strategy: type[Strategy], params: dict, universe: list[str], account: ledger.Account, train: int, test: int,
+    embargo: int | None = None
+) -> WalkForward:
     """Every combination on every train window in one pass; the best of each frozen and run on its test window in another."""
     from barloom.sources.bars import calendar
 
@@ -72,21 +85,37 @@ def walk_forward(bars: DataFrame, strategy: type[Strategy], params: dict, univer
     order = Window.partitionBy("fold").orderBy(F.desc("sharpe"), F.desc("max_drawdown"), "combo")
     best = trials.filter((F.col("n_trades") >= MIN_TRAIN_TRADES) & F.col("sharpe").isNotNull()).withColumn("place", F.row_number().over(order)).filter("place = 1")
     chosen = {r["fold"]: r for r in best.collect()}
-    tests = [{"scenario_id": f"test/{s['fold']}", "params_key": keys[chosen[s["fold"]]["combo"]], "first": s["test_start"], "last": s["test_end"]} for s in spans if s["fold"] in chosen]
+    tests = [
+        {"scenario_id": f"test/{s['fold']}", "params_key": keys[chosen[s["fold"]]["combo"]], "first": s["test_start"], "last": s["test_end"]}
+        for s in spans if s["fold"] in chosen
+    ]
     tested = ledger.run(bars, signals, ledger.scenarios(spark, tests), universe, account).persist()
     of_test = {r["scenario_id"]: r for r in metrics.scenario_metrics(tested, account.initial_capital).collect()}
     rows = []
     for s in spans:
         won, m = chosen.get(s["fold"]), of_test.get(f"test/{s['fold']}")
-        rows.append((s["fold"], s["train_start"], s["train_end"], s["test_start"], s["test_end"], embargo, keys[won["combo"]] if won else params_key(params), won["sharpe"] if won else None, m["sharpe"] if m else None, m["total_return"] if m else 0.0, int(m["n_trades"]) if m else 0))
-    table = spark.createDataFrame(rows, "fold int, train_start date, train_end date, test_start date, test_end date, embargo_bars int, params_key string, train_sharpe double, test_sharpe double, test_return double, test_trades int")
+        rows.append(
+            (
+                s["fold"], s["train_start"], s["train_end"], s["test_start"], s["test_end"], embargo,
+                keys[won["combo"]] if won else params_key(params), won["sharpe"] if won else None, m["sharpe"] if m else None,
+                m["total_return"] if m else 0.0, int(m["n_trades"]) if m else 0
+            )
+        )
+    table = spark.createDataFrame(
+        rows,
+        "fold int, train_start date, train_end date, test_start date, test_end date, embargo_bars int, params_key string, train_sharpe double, test_sharpe double, test_return double, test_trades int"
+    )
     oos = metrics.returns(ledger.equity_of(tested)).select("date", "r")
     sharpe = oos.agg(metrics.sharpe().alias("s")).first()["s"]
     scores = [r[7] for r in rows if r[7] is not None]
     mean = sum(scores) / len(scores) if scores else None
     picks = [r[6] for r in rows]
     named = trials.join(spark.createDataFrame(list(enumerate(keys)), "combo int, params_key string"), "combo").select("fold", "params_key", "sharpe", "max_drawdown", "n_trades")
-    return WalkForward(table, oos, ledger.trades_of(tested), named, len(wanted), len(grid), sharpe, mean, sharpe / mean if mean and mean > 0 and sharpe is not None else 0.0, max(picks.count(p) for p in picks) / len(picks), (signals, trials, tested, bars))
+    return WalkForward(
+        table, oos, ledger.trades_of(tested), named, len(wanted), len(grid), sharpe, mean,
+        sharpe / mean if mean and mean > 0 and sharpe is not None else 0.0, max(picks.count(p) for p in picks) / len(picks),
+        (signals, trials, tested, bars)
+    )
 
 
 # resampling
@@ -133,7 +162,10 @@ def trade_bootstrap(spark: SparkSession, pnls: list[float], capital: float, n_pa
         F.percentile("drawdown", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.01))).alias("dd"), F.percentile("final", F.array(F.lit(0.05), F.lit(0.5))).alias("final"),
         F.avg((F.col("drawdown") <= -ruin_pct / 100).cast("double")).alias("ruin"), F.avg((F.col("final") < capital).cast("double")).alias("negative"),
     ).first()
-    return {"dd_p50": r["dd"][0], "dd_p95": r["dd"][1], "dd_p99": r["dd"][2], "risk_of_ruin": r["ruin"], "ruin_drawdown_pct": ruin_pct, "final_equity_p5": r["final"][0], "final_equity_p50": r["final"][1], "prob_negative": r["negative"]}
+    return {
+        "dd_p50": r["dd"][0], "dd_p95": r["dd"][1], "dd_p99": r["dd"][2], "risk_of_ruin": r["ruin"], "ruin_drawdown_pct": ruin_pct,
+        "final_equity_p5": r["final"][0], "final_equity_p50": r["final"][1], "prob_negative": r["negative"]
+    }
 
 
 def block_bootstrap(spark: SparkSession, returns: list[float], n_paths: int, seed: int, ruin_pct: float, block: int | None = None) -> dict:
@@ -154,7 +186,10 @@ def block_bootstrap(spark: SparkSession, returns: list[float], n_paths: int, see
         F.percentile("drawdown", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.01))).alias("dd"), F.percentile("final", F.array(F.lit(0.05), F.lit(0.5))).alias("final"),
         F.avg((F.col("drawdown") <= -ruin_pct / 100).cast("double")).alias("ruin"), F.avg((F.col("final") < 0).cast("double")).alias("negative"),
     ).first()
-    return {"block_len": size, "dd_p50": r["dd"][0], "dd_p95": r["dd"][1], "dd_p99": r["dd"][2], "risk_of_ruin": r["ruin"], "ruin_drawdown_pct": ruin_pct, "cagr_p5": r["final"][0], "cagr_p50": r["final"][1], "prob_negative_cagr": r["negative"]}
+    return {
+        "block_len": size, "dd_p50": r["dd"][0], "dd_p95": r["dd"][1], "dd_p99": r["dd"][2], "risk_of_ruin": r["ruin"],
+        "ruin_drawdown_pct": ruin_pct, "cagr_p5": r["final"][0], "cagr_p50": r["final"][1], "prob_negative_cagr": r["negative"]
+    }
 
 
 # stress and neighbours: more scenarios of the ledger
@@ -173,7 +208,10 @@ class Stress:
     neighbour: dict
 
 
-def stress(bars: DataFrame, strategy: type[Strategy], params: dict, universe: list[str], account: ledger.Account, multipliers: list[float], delays: list[int], samples: int, seed: int) -> Stress:
+def stress(
+    bars: DataFrame, strategy: type[Strategy], params: dict, universe: list[str], account: ledger.Account, multipliers: list[float],
+    delays: list[int], samples: int, seed: int
+) -> Stress:
     """Cost, delay and parameter reruns, all in one pass."""
     near = neighbours(strategy.grid(), params)
     if len(near) > samples:
@@ -195,7 +233,10 @@ def stress(bars: DataFrame, strategy: type[Strategy], params: dict, universe: li
     if near:
         sharpes = [m[f"near/{i}"]["sharpe"] or 0.0 for i in range(len(near))]
         median = float(np.median(sharpes))
-        summary = {"neighbor_sharpes": [round(s, 4) for s in sharpes], "neighbor_median_sharpe": median, "chosen_sharpe": base, "neighbor_sharpe_ratio": median / base if base and base > 0 else 0.0}
+        summary = {
+            "neighbor_sharpes": [round(s, 4) for s in sharpes], "neighbor_median_sharpe": median, "chosen_sharpe": base,
+            "neighbor_sharpe_ratio": median / base if base and base > 0 else 0.0
+        }
     else:
         summary = {"error": "no grid neighbors"}
     return Stress(costs, breakeven, [{"extra_delay_bars": d, **pick(f"delay/{d}")} for d in sorted(delays)], summary)
@@ -284,9 +325,15 @@ def gates(e: Evidence, limits: GateLimits = GateLimits()) -> list[dict]:
         known = [r for r in e.delay_returns if r is not None]
         out.append(("delay_survival", survived, min(known, default=None), 0.0, "return where fills come a bar later"))
     out += [
-        ("positive_regimes", sum(p > 0 for p in e.regimes) >= limits.min_positive_regimes, sum(p > 0 for p in e.regimes), limits.min_positive_regimes, "regimes of the benchmark that made money"),
+        (
+            "positive_regimes", sum(p > 0 for p in e.regimes) >= limits.min_positive_regimes, sum(p > 0 for p in e.regimes),
+            limits.min_positive_regimes, "regimes of the benchmark that made money"
+        ),
         ("regime_concentration", share <= limits.max_single_regime_pnl_share, share, limits.max_single_regime_pnl_share, "the best regime's share of all profit"),
-        ("param_neighborhood", at_least(e.neighbour_ratio, limits.min_neighbor_sharpe_ratio), e.neighbour_ratio, limits.min_neighbor_sharpe_ratio, "neighbours' median Sharpe ratio over the chosen one's"),
+        (
+            "param_neighborhood", at_least(e.neighbour_ratio, limits.min_neighbor_sharpe_ratio), e.neighbour_ratio,
+            limits.min_neighbor_sharpe_ratio, "neighbours' median Sharpe ratio over the chosen one's"
+        ),
     ]
     return [{"name": n, "passed": bool(p), "measured": nan if m is None else float(m), "threshold": float(t), "detail": d} for n, p, m, t, d in out]
 

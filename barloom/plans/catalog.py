@@ -45,8 +45,12 @@ STEPS: dict[int, Callable[["Catalog"], None]] = {}
 #: Values that columns may take.
 ALLOWED = {
     ("experiment_events", "status"): ("registered", "running", "complete"), ("experiment_events", "verdict"): (None, "pass", "fail", "inconclusive"),
-    ("runs", "run_type"): ("backtest", "walkforward", "montecarlo", "benchmark", "stress"), ("data_quality_log", "severity"): ("info", "warn", "fail"), ("audit_log", "actor"): ("human", "system"),
-    ("mc_simulations", "method"): ("trade_bootstrap", "block_bootstrap", "cost_stress", "delay_stress", "param_perturbation"), ("trades", "exit_reason"): ("signal", "stop", "end_of_data"),
+    ("runs", "run_type"): (
+        "backtest", "walkforward", "montecarlo", "benchmark", "stress"
+    ), ("data_quality_log", "severity"): ("info", "warn", "fail"), ("audit_log", "actor"): ("human", "system"),
+    ("mc_simulations", "method"): (
+        "trade_bootstrap", "block_bootstrap", "cost_stress", "delay_stress", "param_perturbation"
+    ), ("trades", "exit_reason"): ("signal", "stop", "end_of_data"),
 }
 GENESIS = search.GENESIS
 
@@ -196,9 +200,14 @@ class Catalog:
         failed = self.experiments().filter("verdict = 'fail'")
         best = resembling(failed, self.table("hypotheses"), family, search.query_terms(f"{statement} {mechanism}"), exclude_hypothesis).orderBy("experiment_id")
         said = {0: "of the same family", 1: "with a similar text"}
-        return [{"experiment_id": r["experiment_id"], "hypothesis_id": r["hypothesis_id"], "family": r["family"], "reason": f"{said[r['rank']]}, failed by {r['verdict_reason']}"} for r in best.collect()]
-
-    def register_experiment(self, hypothesis_id: int, strategy: str, version: int, snapshot_id: str, benchmark: str, ack_journal: int | None = None) -> tuple[int, list[dict[str, Any]]]:
+        return [
+            {"experiment_id": r["experiment_id"], "hypothesis_id": r["hypothesis_id"], "family": r["family"], "reason": f"{said[r['rank']]}, failed by {r['verdict_reason']}"}
+            for r in best.collect()
+        ]
+
+    def register_experiment(
+        self, hypothesis_id: int, strategy: str, version: int, snapshot_id: str, benchmark: str, ack_journal: int | None = None
+    ) -> tuple[int, list[dict[str, Any]]]:
         h = self.table("hypotheses").filter(F.col("hypothesis_id") == hypothesis_id).collect()
         if not h:
             raise KeyError(f"there is no hypothesis {hypothesis_id} to test")
@@ -210,9 +219,18 @@ class Catalog:
         if ack_journal is not None and self.table("journal_entries").filter(F.col("journal_id") == ack_journal).isEmpty():
             raise KeyError(f"the journal has no entry {ack_journal} to refer to")
         key = self._next("experiments", "experiment_id")
-        self.append("experiments", [{"experiment_id": key, "hypothesis_id": hypothesis_id, "strategy_name": strategy, "strategy_version": version, "snapshot_id": snapshot_id, "benchmark_symbol": benchmark, "similar_failures_json": json.dumps(similar), "ack_journal_id": ack_journal, "created_at": now()}])
+        self.append(
+            "experiments",
+            [{"experiment_id": key, "hypothesis_id": hypothesis_id, "strategy_name": strategy, "strategy_version": version, "snapshot_id": snapshot_id, "benchmark_symbol": benchmark, "similar_failures_json": json.dumps(similar), "ack_journal_id": ack_journal, "created_at": now()}]
+        )
         self._event(key, "registered")
-        self.audit("system", "experiment.register", {"experiment_id": key, "hypothesis_id": hypothesis_id, "strategy": f"{strategy}@{version}", "snapshot": snapshot_id, "similar_failures": [s["experiment_id"] for s in similar]})
+        self.audit(
+            "system", "experiment.register",
+            {
+                "experiment_id": key, "hypothesis_id": hypothesis_id, "strategy": f"{strategy}@{version}", "snapshot": snapshot_id,
+                "similar_failures": [s["experiment_id"] for s in similar]
+            }
+        )
         return key, similar
 
     def _event(self, experiment_id: int, status: str, verdict: str | None = None, reason: str | None = None) -> None:
@@ -222,7 +240,10 @@ class Catalog:
             raise PermissionError(f"experiment {experiment_id} has its verdict, which stands")
         if known["seq"] is None and status != "registered":
             raise KeyError(f"there is no experiment {experiment_id}")
-        self.append("experiment_events", [{"experiment_id": experiment_id, "seq": (known["seq"] or 0) + 1, "status": status, "verdict": verdict, "verdict_reason": reason, "ts": now()}])
+        self.append(
+            "experiment_events",
+            [{"experiment_id": experiment_id, "seq": (known["seq"] or 0) + 1, "status": status, "verdict": verdict, "verdict_reason": reason, "ts": now()}]
+        )
 
     def mark_running(self, experiment_id: int) -> None:
         self._event(experiment_id, "running")
@@ -236,7 +257,10 @@ class Catalog:
     def record_run(self, experiment_id: int, run_type: str, config_hash: str, git_sha: str, dirty: bool, seed: int, engine: str, started: str, artifacts: str | None) -> str:
         digest = hashlib.sha256(f"{experiment_id}|{run_type}|{config_hash}|{started}".encode()).hexdigest()
         key = f"R{experiment_id}-{run_type}-{digest[:8]}"
-        self.append("runs", [{"run_id": key, "experiment_id": experiment_id, "run_type": run_type, "config_hash": config_hash, "git_sha": git_sha, "dirty_tree": dirty, "seed": seed, "engine_version": engine, "started_at": started, "finished_at": now(), "artifact_dir": artifacts, "promotable": not dirty}])
+        self.append(
+            "runs",
+            [{"run_id": key, "experiment_id": experiment_id, "run_type": run_type, "config_hash": config_hash, "git_sha": git_sha, "dirty_tree": dirty, "seed": seed, "engine_version": engine, "started_at": started, "finished_at": now(), "artifact_dir": artifacts, "promotable": not dirty}]
+        )
         return key
 
     def record_metrics(self, run_id: str, values: dict[str, Any], period: str) -> None:
@@ -254,7 +278,10 @@ class Catalog:
     def upsert_instrument(self, symbol: str, source: str, first_bar, last_bar, is_benchmark: bool = False) -> None:
         """A later row replaces source and coverage; whether a symbol is the benchmark stays as first said."""
         known = self.instruments().filter(F.col("symbol") == symbol.upper()).collect()
-        self.append("instruments", [{"symbol": symbol.upper(), "asset_class": "equity", "source": source, "first_bar": first_bar, "last_bar": last_bar, "is_benchmark": known[0]["is_benchmark"] if known else is_benchmark, "seq": self._next("instruments", "seq"), "created_at": known[0]["created_at"] if known else now()}])
+        self.append(
+            "instruments",
+            [{"symbol": symbol.upper(), "asset_class": "equity", "source": source, "first_bar": first_bar, "last_bar": last_bar, "is_benchmark": known[0]["is_benchmark"] if known else is_benchmark, "seq": self._next("instruments", "seq"), "created_at": known[0]["created_at"] if known else now()}]
+        )
 
     def instruments(self) -> DataFrame:
         rows = self.table("instruments")

@@ -85,7 +85,9 @@ RULES: dict[str, dict[str, str]] = {
         "params": "table",
     },
 }
-_RULE = re.compile(r"(?P<kind>one of \w+|rising numbers|[a-z]+)( in (?P<open>[\[(])(?P<low>[^,]+), (?P<high>[^\])]+)(?P<close>[\])]))?( or (?P<word>\w+))?( else (?P<default>\w+))?")
+_RULE = re.compile(
+    r"(?P<kind>one of \w+|rising numbers|[a-z]+)( in (?P<open>[\[(])(?P<low>[^,]+), (?P<high>[^\])]+)(?P<close>[\])]))?( or (?P<word>\w+))?( else (?P<default>\w+))?"
+)
 
 
 class Settings(Mapping):

@@ -73,7 +73,9 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     catalog.record_metrics(rid_bench, bench, "full")
     held.coalesce(1).write.mode("overwrite").parquet(str(folder / "equity_benchmark"))
     against = metrics.returns(held, "symbol").select("date", F.col("r").alias("b"))
-    compared = _row(metrics.compare(metrics.returns(equity), against), "scenario_id") or dict.fromkeys(("alpha_ann", "beta", "correlation", "information_ratio", "active_return_ann"))
+    compared = _row(metrics.compare(metrics.returns(equity), against), "scenario_id") or dict.fromkeys(
+        ("alpha_ann", "beta", "correlation", "information_ratio", "active_return_ann")
+    )
     catalog.record_metrics(rid, compared, "full")
 
     # out of sample
@@ -83,7 +85,13 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     oos = out_of_sample(wf, account.initial_capital)
     rid_wf = record("walkforward", started)
     catalog.record_metrics(rid_wf, oos, "oos")
-    catalog.append("walkforward_folds", wf.folds.select(F.lit(rid_wf).alias("run_id"), F.col("fold").alias("fold_n"), "train_start", "train_end", "test_start", "test_end", "embargo_bars", F.col("params_key").alias("chosen_params_json"), "train_sharpe", "test_sharpe", "test_return", "test_trades").coalesce(1))
+    catalog.append(
+        "walkforward_folds",
+        wf.folds.select(
+            F.lit(rid_wf).alias("run_id"), F.col("fold").alias("fold_n"), "train_start", "train_end", "test_start", "test_end",
+            "embargo_bars", F.col("params_key").alias("chosen_params_json"), "train_sharpe", "test_sharpe", "test_return", "test_trades"
+        ).coalesce(1)
+    )
     catalog.append("trades", wf.oos_trades.withColumn("run_id", F.lit(rid_wf)).select(*[c.strip().split(" ")[0] for c in _columns("trades")]))
     wf.oos_returns.coalesce(1).write.mode("overwrite").parquet(str(folder / "oos_returns"))
 
@@ -98,19 +106,33 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     s = validation.stress(bars, strategy, params, universe, account, mc.cost_stress_multipliers, [0, *mc.delay_stress_bars], mc.perturbation_samples, seeds["perturb"])
     summaries = [
         ("trade_bootstrap", mc.n_paths, seeds["trade"], by_trades), ("block_bootstrap", mc.n_paths, seeds["block"], by_blocks),
-        ("cost_stress", len(s.cost_table), 0, {"table": s.cost_table, "max_profitable_multiplier": s.max_profitable_multiplier}), ("delay_stress", len(s.delay_table), 0, {"table": s.delay_table}),
+        (
+            "cost_stress", len(s.cost_table), 0, {"table": s.cost_table, "max_profitable_multiplier": s.max_profitable_multiplier}
+        ), ("delay_stress", len(s.delay_table), 0, {"table": s.delay_table}),
         ("param_perturbation", len(s.neighbour.get("neighbor_sharpes", [])), seeds["perturb"], s.neighbour),
     ]
-    catalog.append("mc_simulations", [{"run_id": rid_mc, "method": m, "n_paths": n, "seed": seed, "summary_json": json.dumps(v, sort_keys=True, default=str), "created_at": now()} for m, n, seed, v in summaries])
+    catalog.append(
+        "mc_simulations",
+        [
+            {"run_id": rid_mc, "method": m, "n_paths": n, "seed": seed, "summary_json": json.dumps(v, sort_keys=True, default=str), "created_at": now()}
+            for m, n, seed, v in summaries
+        ]
+    )
 
     # regimes, deflated Sharpe ratio, gates
     labels = regimes.label(bars.filter(F.col("symbol") == benchmark)).select("date", "label")
-    by_regime = {x: {"pnl": 0.0, "n_trades": 0.0} for x in regimes.LABELS} | {r["label"]: {"pnl": r["pnl"], "n_trades": float(r["n_trades"])} for r in regimes.pnl(wf.oos_trades.withColumn("scenario_id", F.lit("oos")), labels).collect()}
+    by_regime = {x: {"pnl": 0.0, "n_trades": 0.0} for x in regimes.LABELS} | {
+        r["label"]: {"pnl": r["pnl"], "n_trades": float(r["n_trades"])}
+        for r in regimes.pnl(wf.oos_trades.withColumn("scenario_id", F.lit("oos")), labels).collect()
+    }
     family = catalog.table("hypotheses").filter(F.col("hypothesis_id") == hypothesis_id).first()["family"]
     tried = wf.n_configs + catalog.family_total(family, "n_configs", key)
     dsr = validation.deflated_sharpe(wf.oos_returns, tried, [r["sharpe"] or 0.0 for r in wf.trials.select("sharpe").collect()])
     evidence = validation.Evidence(
-        oos["n_trades"] or 0, oos["expectancy_usd"], wf.oos_sharpe, wf.efficiency, dsr, s.max_profitable_multiplier, tuple(r["total_return"] for r in s.delay_table if r["extra_delay_bars"] > 0),
+        oos["n_trades"] or 0, oos["expectancy_usd"], wf.oos_sharpe, wf.efficiency, dsr, s.max_profitable_multiplier, tuple(
+            r["total_return"]
+            for r in s.delay_table if r["extra_delay_bars"] > 0
+        ),
         tuple(r["pnl"] for r in by_regime.values()), s.neighbour.get("neighbor_sharpe_ratio", 0.0), oos["max_drawdown"], oos["longest_losing_streak"] or 0,
     )
     found = validation.gates(evidence, validation.GateLimits(**config.validation.gates))
@@ -125,7 +147,10 @@ def run(catalog: Catalog, hypothesis_id: int, strategy_name: str, version: int,
     wf.release()
     for held_table in (full, held, bars):
         held_table.unpersist()
-    return payload | {"config_hash": digest, "git_sha": sha, "dirty_tree": dirty, "full_metrics": full_metrics, "oos_metrics": oos, "benchmark_metrics": bench, "artifact_dir": str(folder)}
+    return payload | {
+        "config_hash": digest, "git_sha": sha, "dirty_tree": dirty, "full_metrics": full_metrics, "oos_metrics": oos,
+        "benchmark_metrics": bench, "artifact_dir": str(folder)
+    }
 
 
 def _columns(table: str) -> list[str]:

@@ -37,7 +37,9 @@ def whole(x) -> str:
 #: Rows of the metric table: label, metric, format. Fixed values.
 ROWS = [
     ("Total return", "total_return", pct), ("CAGR", "cagr", pct), ("Annualized volatility", "ann_vol", pct), ("Sharpe", "sharpe", f2), ("Sortino", "sortino", f2), ("Max drawdown", "max_drawdown", pct),
-    ("Longest underwater (bars)", "longest_underwater_bars", whole), ("Average exposure", "avg_exposure", pct), ("Trades", "n_trades", whole), ("Win rate", "win_rate", pct), ("Profit factor", "profit_factor", f2),
+    (
+        "Longest underwater (bars)", "longest_underwater_bars", whole
+    ), ("Average exposure", "avg_exposure", pct), ("Trades", "n_trades", whole), ("Win rate", "win_rate", pct), ("Profit factor", "profit_factor", f2),
     ("Expectancy per trade", "expectancy_usd", usd), ("Longest losing streak", "longest_losing_streak", whole), ("Total fees", "total_fees_usd", usd), ("Total slippage", "total_slippage_usd", usd), ("Cost share of gross", "cost_share_of_gross", pct),
 ]
 
@@ -111,26 +113,52 @@ def build(catalog: Catalog, experiment_id: int) -> Path:
         f"<h1>Experiment E{experiment_id}: {html.escape(e['strategy_name'])}@{e['strategy_version']}</h1>",
         f'<p class="verdict {e["verdict"]}">{e["verdict"].upper()}</p><p>{html.escape(e["verdict_reason"] or "")}</p>',
         f"<h2>Hypothesis</h2><p><b>{html.escape(h['family'])}</b>: {html.escape(h['statement'])}</p><p>Mechanism: {html.escape(h['mechanism'])}</p><p>Success: {html.escape(h['success_criteria'])}</p><p>Falsification: {html.escape(h['falsification_criteria'])}</p>",
-        "<h2>Gates</h2>" + _table(["gate", "passed", "measured", "threshold", "meaning"], [[g["name"], "yes" if g["passed"] else "NO", f2(g["measured"]), f2(g["threshold"]), html.escape(g["detail"])] for g in gates["gates"]]),
+        "<h2>Gates</h2>" + _table(
+            ["gate", "passed", "measured", "threshold", "meaning"],
+            [[g["name"], "yes" if g["passed"] else "NO", f2(g["measured"]), f2(g["threshold"]), html.escape(g["detail"])] for g in gates["gates"]]
+        ),
         "<h2>Weaknesses</h2><ul>" + "".join(f"<li>{html.escape(w)}</li>" for w in gates["weaknesses"]) + "</ul>",
         "<h2>Metrics</h2>" + _table(["", "out of sample", "full sample", "benchmark"], [[name, f(oos.get(k)), f(full.get(k)), f(bench.get(k))] for name, k, f in ROWS]),
-        _table(["", "against buy and hold"], [["Alpha (annual)", pct(full.get("alpha_ann"))], ["Beta", f2(full.get("beta"))], ["Correlation", f2(full.get("correlation"))], ["Information ratio", f2(full.get("information_ratio"))], ["Active return (annual)", pct(full.get("active_return_ann"))]]),
+        _table(
+            ["", "against buy and hold"],
+            [
+                ["Alpha (annual)", pct(full.get("alpha_ann"))], ["Beta", f2(full.get("beta"))],
+                ["Correlation", f2(full.get("correlation"))], ["Information ratio", f2(full.get("information_ratio"))],
+                ["Active return (annual)", pct(full.get("active_return_ann"))]
+            ]
+        ),
         "<h2>Equity, log scale</h2>" + _svg({"strategy": _column(equity, "equity"), "benchmark": _column(held, "equity")}, log=True),
         "<h2>Drawdown</h2>" + _svg({"drawdown": _column(drawdown_curve(equity), "drawdown")}),
         "<h2>Out-of-sample growth</h2>" + _svg({"cumulative return": growth}),
     ]
     if "walkforward" in runs:
         folds = catalog.table("walkforward_folds").filter(F.col("run_id") == runs["walkforward"]["run_id"]).orderBy("fold_n").collect()
-        parts.append("<h2>Walk-forward folds</h2>" + _table(["fold", "train", "test", "params", "train Sharpe", "test Sharpe", "test return", "trades"], [[str(r["fold_n"]), f"{r['train_start']} - {r['train_end']}", f"{r['test_start']} - {r['test_end']}", html.escape(r["chosen_params_json"]), f2(r["train_sharpe"]), f2(r["test_sharpe"]), pct(r["test_return"]), whole(r["test_trades"])] for r in folds]))
+        parts.append(
+            "<h2>Walk-forward folds</h2>" + _table(
+                ["fold", "train", "test", "params", "train Sharpe", "test Sharpe", "test return", "trades"],
+                [
+                    [
+                        str(r["fold_n"]), f"{r['train_start']} - {r['train_end']}", f"{r['test_start']} - {r['test_end']}",
+                        html.escape(r["chosen_params_json"]), f2(r["train_sharpe"]), f2(r["test_sharpe"]), pct(r["test_return"]),
+                        whole(r["test_trades"])
+                    ]
+                    for r in folds
+                ]
+            )
+        )
     if "montecarlo" in runs:
         for r in catalog.table("mc_simulations").filter(F.col("run_id") == runs["montecarlo"]["run_id"]).orderBy("method").collect():
             stats = json.loads(r["summary_json"])
             rows = stats.get("table")
-            body = _table(list(rows[0]), [[f2(v) for v in x.values()] for x in rows]) if rows else _table(["", ""], [[html.escape(k), html.escape(str(v) if not isinstance(v, float) else f"{v:.4g}")] for k, v in stats.items()])
+            body = _table(list(rows[0]), [[f2(v) for v in x.values()] for x in rows]) if rows else _table(
+                ["", ""], [[html.escape(k), html.escape(str(v) if not isinstance(v, float) else f"{v:.4g}")] for k, v in stats.items()]
+            )
             parts.append(f"<h2>{r['method']} ({r['n_paths']} paths, seed {r['seed']})</h2>{body}")
     parts.append("<h2>Regimes</h2>" + _table(["regime", "P&amp;L", "trades"], [[k, usd(v["pnl"]), whole(v["n_trades"])] for k, v in gates["regimes"].items()]))
     one = next(iter(runs.values()), {})
-    parts.append(f"<footer>snapshot {e['snapshot_id']} &middot; config {str(one.get('config_hash'))[:12]} &middot; commit {str(one.get('git_sha'))[:12]}{' (dirty)' if one.get('dirty_tree') else ''} &middot; engine {one.get('engine_version')} &middot; costs x{gates['pessimism_multiplier']} &middot; risk-free rate 0, 252 days a year</footer>")
+    parts.append(
+        f"<footer>snapshot {e['snapshot_id']} &middot; config {str(one.get('config_hash'))[:12]} &middot; commit {str(one.get('git_sha'))[:12]}{' (dirty)' if one.get('dirty_tree') else ''} &middot; engine {one.get('engine_version')} &middot; costs x{gates['pessimism_multiplier']} &middot; risk-free rate 0, 252 days a year</footer>"
+    )
     style = "body{font:14px/1.45 sans-serif;max-width:820px;margin:2em auto}table{border-collapse:collapse;margin:.6em 0}td,th{border:1px solid #ccc;padding:2px 8px;text-align:left}.banner{background:#b00;color:#fff;padding:.5em}.verdict{font-size:1.4em;font-weight:bold}.pass{color:#060}.fail{color:#b00}"
     out = folder / "report.html"
     out.write_text(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>E{experiment_id}</title><style>{style}</style></head><body>{''.join(parts)}</body></html>", "utf-8")

@@ -55,7 +55,10 @@ def load_curated(catalog: Catalog, symbols: list[str]) -> DataFrame:
 
 def check(catalog: Catalog, bars: DataFrame, limits: quality.Limits) -> DataFrame:
     """Findings, which also go to the log."""
-    found = catalog.spark.createDataFrame(quality.issues(bars, limits).collect() or [], "symbol string, check_name string, severity string, detail string, range_start date, range_end date")
+    found = catalog.spark.createDataFrame(
+        quality.issues(bars, limits).collect() or [],
+        "symbol string, check_name string, severity string, detail string, range_start date, range_end date"
+    )
     catalog.append("data_quality_log", found.select("symbol", "range_start", "range_end", "check_name", "severity", "detail", F.lit(now()).alias("created_at")).coalesce(1))
     return found
 
@@ -87,7 +90,10 @@ def create_snapshot(catalog: Catalog, symbols: list[str], description: str) -> s
     if not target.exists():
         bars.repartition("symbol").write.mode("errorifexists").partitionBy("symbol").parquet(str(target))
         seal(target)
-        catalog.append("snapshots", [{"snapshot_id": key, "created_at": now(), "description": description, "frequency": "daily", "manifest_json": text, "coverage_start": min(r["first"] for r in rows), "coverage_end": max(r["last"] for r in rows)}])
+        catalog.append(
+            "snapshots",
+            [{"snapshot_id": key, "created_at": now(), "description": description, "frequency": "daily", "manifest_json": text, "coverage_start": min(r["first"] for r in rows), "coverage_end": max(r["last"] for r in rows)}]
+        )
     return key
 
 

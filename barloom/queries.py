@@ -285,7 +285,9 @@ def gap_runs(spark, sf_dir):
     return quality.gap_runs(_defective(spark, sf_dir))
 
 
-@query(f"""WITH @BARS, {_BAD_SQL}, {_RUNS} SELECT symbol, CASE WHEN max(business_days) > 5 THEN 'fail' ELSE 'info' END AS severity, strftime(min(CASE WHEN business_days > 5 THEN run_start END), '%Y-%m-%d') AS range_start FROM gg GROUP BY 1""")
+@query(
+    f"""WITH @BARS, {_BAD_SQL}, {_RUNS} SELECT symbol, CASE WHEN max(business_days) > 5 THEN 'fail' ELSE 'info' END AS severity, strftime(min(CASE WHEN business_days > 5 THEN run_start END), '%Y-%m-%d') AS range_start FROM gg GROUP BY 1"""
+)
 def dq_gaps(spark, sf_dir):
     return quality.gaps(_defective(spark, sf_dir), quality.Limits()).select("symbol", "severity", F.date_format("range_start", "yyyy-MM-dd").alias("range_start"))
 
@@ -400,14 +402,19 @@ def benchmark_comparison(spark, sf_dir):
     r = metrics.returns(_bars(spark, sf_dir), "symbol", "close")
     b = r.filter("symbol = 'NO'").select("date", F.col("r").alias("b"))
     got = metrics.compare(r.filter("symbol <> 'NO'"), b, "symbol")
-    return got.select("symbol", _r("alpha_ann", 5).alias("alpha_ann"), _r("active_return_ann", 5).alias("active_return_ann"), *(_r(c).alias(c) for c in ("beta", "correlation", "information_ratio")))
+    return got.select(
+        "symbol", _r("alpha_ann", 5).alias("alpha_ann"), _r("active_return_ann", 5).alias("active_return_ann"),
+        *(_r(c).alias(c) for c in ("beta", "correlation", "information_ratio"))
+    )
 
 
 def _trade_like(spark, sf_dir) -> DataFrame:
     """Order lines as trades: what the price was above or below 38000."""
     l = src.table(spark, sf_dir, "lineitem")
     return l.select(
-        F.col("l_returnflag").alias("scenario_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2)).alias("symbol"), F.to_date("l_shipdate").alias("exit_ts"), F.date_sub(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("entry_ts"),
+        F.col("l_returnflag").alias("scenario_id"), F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2)
+        ).alias("symbol"), F.to_date("l_shipdate").alias("exit_ts"), F.date_sub(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("entry_ts"),
         F.round(F.col("l_extendedprice") - 38000, 2).alias("pnl"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("fees"), F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("slippage"), F.col("l_quantity").cast("int").alias("holding_bars"),
     )
 
@@ -454,7 +461,9 @@ def regime_pnl_asof(spark, sf_dir):
     return got.select("scenario_id", "label", _r("pnl", 2).alias("pnl"), "n_trades")
 
 
-@query("""WITH @BARS SELECT o.o_orderkey, o.o_orderpriority, strftime(b.date, '%Y-%m-%d') AS bar_date, b.close FROM orders o ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'NO') b ON CAST(o.o_orderdate AS DATE) >= b.date""")
+@query(
+    """WITH @BARS SELECT o.o_orderkey, o.o_orderpriority, strftime(b.date, '%Y-%m-%d') AS bar_date, b.close FROM orders o ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'NO') b ON CAST(o.o_orderdate AS DATE) >= b.date"""
+)
 def as_of_orders(spark, sf_dir):
     """Each order with the last bar of NO at or before its day."""
     o = src.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
@@ -469,7 +478,9 @@ def wf_folds(spark, sf_dir):
     return validation.folds(src.calendar(_bars(spark, sf_dir)), 756, 126, 101)
 
 
-@query(f"""WITH @BARS, r AS (SELECT symbol, close / lag(close) OVER {_O} - 1 AS r FROM bars) SELECT count(r) AS n, round(avg(r), 8) AS mean, round(stddev_samp(r), 8) AS sd, round(skewness(r), 6) AS skew, round(kurtosis(r), 5) AS kurt FROM r WHERE symbol = 'NO'""")
+@query(
+    f"""WITH @BARS, r AS (SELECT symbol, close / lag(close) OVER {_O} - 1 AS r FROM bars) SELECT count(r) AS n, round(avg(r), 8) AS mean, round(stddev_samp(r), 8) AS sd, round(skewness(r), 6) AS skew, round(kurtosis(r), 5) AS kurt FROM r WHERE symbol = 'NO'"""
+)
 def dsr_moments(spark, sf_dir):
     m = validation.moments(metrics.returns(_bars(spark, sf_dir).filter("symbol = 'NO'"), "symbol", "close"))
     return m.select("n", _r("mean", 8).alias("mean"), _r("sd", 8).alias("sd"), _r("skew", 6).alias("skew"), _r("kurt", 5).alias("kurt"))
@@ -509,7 +520,10 @@ _SEGMENT = 128
 def audit_chain_verify(spark, sf_dir):
     """A log of all orders, spliced from segments that are each a true chain; some entries' payloads were changed later, some entries' hashes were."""
     text = lambda c: F.col(c).cast("string")
-    o = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("seq"), text("o_orderdate").alias("ts"), text("o_orderstatus").alias("actor"), text("o_orderpriority").alias("event_type"), text("o_custkey").alias("payload_json"))
+    o = src.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("seq"), text("o_orderdate").alias("ts"), text("o_orderstatus").alias("actor"),
+        text("o_orderpriority").alias("event_type"), text("o_custkey").alias("payload_json")
+    )
     parts = ("ts", "actor", "event_type", "payload_json")
     held = o.groupBy(F.floor(F.col("seq") / _SEGMENT).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("seq", *parts))).alias("entries"))  # _SEGMENT entries at most
     start = held.agg(F.min("segment").alias("least"))
@@ -528,7 +542,9 @@ def audit_chain_verify(spark, sf_dir):
     return search.chain_state(log.withColumns({"payload_json": changed, "this_hash": forged}))
 
 
-@query("""SELECT c_mktsegment AS family, CAST(sum(o_orderkey % 50) AS DOUBLE) AS n_configs, count(*) AS runs FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
+@query(
+    """SELECT c_mktsegment AS family, CAST(sum(o_orderkey % 50) AS DOUBLE) AS n_configs, count(*) AS runs FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW' GROUP BY 1"""
+)
 def family_config_counts(spark, sf_dir):
     """The counters of multiple testing: customers as hypotheses, orders as experiments with a run and a metric each."""
     hypotheses, experiments, runs, values = _research(spark, sf_dir)
@@ -561,7 +577,10 @@ def similar_failures(spark, sf_dir):
 def _research(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(hypotheses, experiments, runs, run_metrics) made of customers and orders."""
     c, o = src.table(spark, sf_dir, "customer"), src.table(spark, sf_dir, "orders")
-    hypotheses = c.select(F.col("c_custkey").cast("long").alias("hypothesis_id"), F.col("c_mktsegment").alias("family"), F.col("c_name").alias("statement"), F.col("c_mktsegment").alias("mechanism"))
+    hypotheses = c.select(
+        F.col("c_custkey").cast("long").alias("hypothesis_id"), F.col("c_mktsegment").alias("family"), F.col("c_name").alias("statement"),
+        F.col("c_mktsegment").alias("mechanism")
+    )
     key = F.col("o_orderkey").cast("long")
     experiments = o.select(key.alias("experiment_id"), F.col("o_custkey").cast("long").alias("hypothesis_id"))
     run = F.concat(F.lit("R"), key.cast("string"))
@@ -632,7 +651,10 @@ _ROUNDED = ("fees", "slippage", "pnl", "mae", "mfe")  # by the ledger, to 6 digi
 def backtest_trades(spark, sf_dir):
     """Thousands of trades that end by signals, by stops and with the data."""
     t = ledger.trades_of(_base_run(spark, sf_dir))
-    return t.select("scenario_id", "symbol", "entry_ts", "exit_ts", "qty", "holding_bars", "exit_reason", *_ROUNDED, _r("entry_px").alias("entry_px"), _r("exit_px").alias("exit_px"))
+    return t.select(
+        "scenario_id", "symbol", "entry_ts", "exit_ts", "qty", "holding_bars", "exit_reason", *_ROUNDED, _r("entry_px").alias("entry_px"),
+        _r("exit_px").alias("exit_px")
+    )
 
 
 @query(f"{_GRID_RUN} SELECT sid AS scenario_id, date, equity, cash, exposure FROM ({ledger_sql.equity('lg')})")
@@ -691,7 +713,10 @@ _NEAR = "f <> 20 AND s = 100 OR f = 20 AND s <> 100"
  CASE WHEN sid LIKE 'n%' THEN round(coalesce(mean / sd * sqrt(252), 0), 4) ELSE round(mean / sd * sqrt(252), 6) END AS sharpe FROM lgm""")
 def stress_tests(spark, sf_dir):
     s = validation.stress(_split_bars(spark, sf_dir), SmaCross, _PARAMS, _UNIVERSE, _ACCOUNT, _MULTIPLIERS, _DELAYS, 8, 1)
-    rows = [("cost", float(r["multiplier"]), r["total_return"], r["sharpe"]) for r in s.cost_table] + [("delay", float(r["extra_delay_bars"]), r["total_return"], r["sharpe"]) for r in s.delay_table]
+    rows = [("cost", float(r["multiplier"]), r["total_return"], r["sharpe"]) for r in s.cost_table] + [
+        ("delay", float(r["extra_delay_bars"]), r["total_return"], r["sharpe"])
+        for r in s.delay_table
+    ]
     rows += [("neighbor", float(i), None, float(x)) for i, x in enumerate(s.neighbour.get("neighbor_sharpes", []))]
     table = spark.createDataFrame(rows, "method string, level double, total_return double, sharpe double")
     return table.withColumns({"total_return": _r("total_return", 7), "sharpe": _r("sharpe")})

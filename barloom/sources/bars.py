@@ -54,7 +54,10 @@ def normalise(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     if symbol:
         named = named.withColumn("symbol", F.lit(symbol.upper()))
     seq = F.col("seq") if "seq" in named.columns else F.struct(*(F.col(c).cast("string") for c in (*PRICES, "volume")))
-    typed = named.select(F.upper("symbol").alias("symbol"), F.to_date(F.to_timestamp(F.col("date").cast("string"))).alias("date"), *(F.col(c).cast("double").alias(c) for c in PRICES), F.col("volume").cast("double").cast("bigint").alias("volume"), seq.alias("seq"))
+    typed = named.select(
+        F.upper("symbol").alias("symbol"), F.to_date(F.to_timestamp(F.col("date").cast("string"))).alias("date"),
+        *(F.col(c).cast("double").alias(c) for c in PRICES), F.col("volume").cast("double").cast("bigint").alias("volume"), seq.alias("seq")
+    )
     for c in ("date", *PRICES, "volume"):
         bad = F.col(c).isNull() | F.isnan(c) if c in PRICES else F.col(c).isNull()
         typed = typed.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{who}a bar without {c}")).cast(typed.schema[c].dataType)).otherwise(F.col(c)))

@@ -32,7 +32,12 @@ def regime_walk(n: int, seed: int, start: str = "2015-01-02", s0: float = 100.0,
     close = s0 * np.exp(np.cumsum((drift - 0.5 * vol**2) * dt + noise * rng.standard_normal(n)))
     opened = np.concatenate(([s0], close[:-1] * np.exp(noise[1:] * 0.3 * rng.standard_normal(n - 1))))
     reach = np.abs(noise * rng.standard_normal(n)) * close * 0.5
-    frame = pd.DataFrame({"date": pd.bdate_range(start, periods=n), "open": opened, "high": np.maximum(opened, close) + reach, "low": np.maximum(np.minimum(opened, close) - reach, 0.01), "close": close})
+    frame = pd.DataFrame(
+        {
+            "date": pd.bdate_range(start, periods=n), "open": opened, "high": np.maximum(opened, close) + reach,
+            "low": np.maximum(np.minimum(opened, close) - reach, 0.01), "close": close
+        }
+    )
     return frame.round(4).assign(volume=rng.integers(500_000, 5_000_000, n))
 
 

@@ -16,7 +16,10 @@ def hourly_bars(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -
     """symbol, hour, open, high, low, close, volume; works on streams and tables alike."""
     order = F.struct("ts", "event_id")
     held = events.withWatermark("ts", late).groupBy(F.col("event_type").alias("symbol"), F.window("ts", size).alias("w"))
-    return held.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("volume")).select("symbol", F.col("w.start").alias("hour"), "open", "high", "low", "close", "volume")
+    return held.agg(
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", order).alias("close"), F.count("*").alias("volume")
+    ).select("symbol", F.col("w.start").alias("hour"), "open", "high", "low", "close", "volume")
 
 
 def write_bars(bars: DataFrame, at: str, checkpoint: str):

@@ -40,7 +40,12 @@ def snapshot_row(c, key="snap0001"):
 def test_config(catalog):
     a = load(catalog.at.configs, "sma_cross", 1)
     assert a.digest() == load(catalog.at.configs, "sma_cross", 1).digest() and len(a.digest()) == 64
-    for name, old, new in [("backtest.yaml", "pessimism_multiplier: 1.5", "pessimism_multiplier: 0.8"), ("backtest.yaml", "allow_short: false", "allow_short: true"), ("backtest.yaml", "risk_per_trade_pct: 0.5", "risk_per_trade_pct: 5.0"), ("global.yaml", "timezone: UTC", "timezone: UTC\nx: 1"), ("validation.yaml", "[1.0, 1.5, 2.0]", "[0.5]")]:
+    for name, old, new in [
+        ("backtest.yaml", "pessimism_multiplier: 1.5", "pessimism_multiplier: 0.8"),
+        ("backtest.yaml", "allow_short: false", "allow_short: true"),
+        ("backtest.yaml", "risk_per_trade_pct: 0.5", "risk_per_trade_pct: 5.0"), ("global.yaml", "timezone: UTC", "timezone: UTC\nx: 1"),
+        ("validation.yaml", "[1.0, 1.5, 2.0]", "[0.5]")
+    ]:
         f = catalog.at.configs / name
         text = f.read_text()
         assert old in text
@@ -176,7 +181,9 @@ def reverting(n, seed, theta=0.07, sigma=0.02):
     close = np.exp(x)
     opened = np.concatenate([close[:1], close[:-1] * (1 + sigma * 0.3 * rng.standard_normal(n - 1))])
     span = np.abs(sigma * rng.standard_normal(n)) * close / 2
-    f = pd.DataFrame({"date": pd.bdate_range("2005-01-03", periods=n), "open": opened, "high": np.maximum(opened, close) + span, "low": np.minimum(opened, close) - span, "close": close})
+    f = pd.DataFrame(
+        {"date": pd.bdate_range("2005-01-03", periods=n), "open": opened, "high": np.maximum(opened, close) + span, "low": np.minimum(opened, close) - span, "close": close}
+    )
     return f.round(4).assign(volume=rng.integers(1_000_000, 3_000_000, n))
 
 
@@ -184,7 +191,9 @@ def test_positive_control_passes(catalog, spark):
     """A real, regime-independent edge is accepted."""
     n, rng = 2600, np.random.default_rng(200)
     close = 100 * np.exp(np.cumsum(rng.normal(0.0003, 0.01, n)))
-    bench = pd.DataFrame({"date": pd.bdate_range("2005-01-03", periods=n), "open": close, "high": close * 1.003, "low": close * 0.997, "close": close}).round(4).assign(volume=rng.integers(1_000_000, 3_000_000, n))
+    bench = pd.DataFrame(
+        {"date": pd.bdate_range("2005-01-03", periods=n), "open": close, "high": close * 1.003, "low": close * 0.997, "close": close}
+    ).round(4).assign(volume=rng.integers(1_000_000, 3_000_000, n))
     frames = {f"OU{i}": reverting(n, 100 + i) for i in range(1, 5)} | {"BENCH": bench}
     store.write_curated(catalog, frame_of(spark, frames))
     key = store.create_snapshot(catalog, list(frames), "positive control")

@@ -58,7 +58,10 @@ def test_the_past_does_not_change_with_the_future(spark, cut):
         b = bars(spark, close)
         day = b.orderBy("date").collect()[cut]["date"]
         wide = ind.recursive(b.withColumn("tr", ind.true_range()).withColumn("r", ind.log_return()), ema=(10,), rsi=(14,), atr=(14,))
-        wide = wide.select("date", "ema_10", "rsi_14", "atr_14", ind.sma("close", 20).alias("sma"), ind.tail_atr("tr", 14).alias("tail"), ind.realized_vol("r").alias("vol"), ind.momentum(63, 21).alias("m"), ind.adv().alias("adv"))
+        wide = wide.select(
+            "date", "ema_10", "rsi_14", "atr_14", ind.sma("close", 20).alias("sma"), ind.tail_atr("tr", 14).alias("tail"),
+            ind.realized_vol("r").alias("vol"), ind.momentum(63, 21).alias("m"), ind.adv().alias("adv")
+        )
         said = [s.signals(b, [s.grid()[0]]).filter(F.col("date") < day).orderBy("date").collect() for s in (SmaCross, RsiMeanReversion, TimeSeriesMomentum, DipBuyer)]
         both.append((wide.filter(F.col("date") < day).orderBy("date").collect(), said))
     assert both[0] == both[1]
@@ -71,7 +74,13 @@ def test_momentum_turns_long_in_a_trend(spark):
 
 
 def test_vendor_payloads(spark):
-    rows = [{"date": f"2024-01-0{2 + i}T00:00:00.000Z", "open": 1, "close": 1, "adjOpen": 100 + i, "adjHigh": 101 + i, "adjLow": 99 + i, "adjClose": 100.5 + i, "adjVolume": 1_000_000 + i} for i in range(5)]
+    rows = [
+        {
+            "date": f"2024-01-0{2 + i}T00:00:00.000Z", "open": 1, "close": 1, "adjOpen": 100 + i, "adjHigh": 101 + i, "adjLow": 99 + i,
+            "adjClose": 100.5 + i, "adjVolume": 1_000_000 + i
+        }
+        for i in range(5)
+    ]
     got = src.tiingo_bars(spark, "aapl", rows).orderBy("date").collect()
     assert len(got) == 5 and got[0]["symbol"] == "AAPL" and got[0]["close"] == 100.5 and str(got[0]["date"]) == "2024-01-02" and got[4]["volume"] == 1_000_004
     for bad in ([], [{k: v for k, v in rows[0].items() if k != "adjClose"}]):

@@ -20,7 +20,10 @@ def days(n):
 
 def run(spark, specs, long_at=5, flat_at=None, delay=0, acc=None):
     d = days(len(specs))
-    bars = spark.createDataFrame([("SYM", x, *map(float, s), 1_000_000) for x, s in zip(d, specs)], "symbol string, date date, open double, high double, low double, close double, volume bigint")
+    bars = spark.createDataFrame(
+        [("SYM", x, *map(float, s), 1_000_000) for x, s in zip(d, specs)],
+        "symbol string, date date, open double, high double, low double, close double, volume bigint"
+    )
     script = [(d[long_at], "SYM", "long")] + ([(d[flat_at], "SYM", "flat")] if flat_at else [])
     got = ledger.run(bars, scripted(spark, script), ledger.scenarios(spark, [{"scenario_id": "x", "params_key": "script", "delay": delay}]), ["SYM"], acc or account()).collect()
     assert len(got) == 1

@@ -130,5 +130,7 @@ def test_strategies():
         class Other(Strategy):
             name = "sma_cross"
 
-    assert validation.neighbours(SmaCross.grid(), {"fast": 20, "slow": 100}) == [{"fast": 10, "slow": 100}, {"fast": 20, "slow": 50}, {"fast": 20, "slow": 200}, {"fast": 30, "slow": 100}]
+    assert validation.neighbours(SmaCross.grid(), {"fast": 20, "slow": 100}) == [
+        {"fast": 10, "slow": 100}, {"fast": 20, "slow": 50}, {"fast": 20, "slow": 200}, {"fast": 30, "slow": 100}
+    ]
     assert params_key({"b": 1, "a": 2}) == '{"a":2,"b":1}'

@@ -41,7 +41,10 @@ def test_query_equals_its_sql(spark, db, name):
     a, b = rows(df.columns, df.columns, df.collect()), rows(df.columns, columns, want.fetchall())
     assert len(a) == len(b)
     for x, y in zip(a, b):
-        assert x == pytest.approx(y, rel=1e-6) if all(isinstance(v, (int, float)) for v in x) else all(p == pytest.approx(q, rel=1e-6, abs=1e-4) if isinstance(p, float) and isinstance(q, float) else p == q for p, q in zip(x, y)), (x, y)
+        assert x == pytest.approx(y, rel=1e-6) if all(isinstance(v, (int, float)) for v in x) else all(
+            p == pytest.approx(q, rel=1e-6, abs=1e-4) if isinstance(p, float) and isinstance(q, float) else p == q
+            for p, q in zip(x, y)
+        ), (x, y)
 
 
 @pytest.mark.parametrize("name", ["bootstrap_blocks", "synthetic_bars"])
@@ -98,7 +101,9 @@ def test_chain_is_verified_by_ranges(spark, monkeypatch):
         some = log.filter(F.col("seq") <= seqs[n - 1])
         got = queries.search.chain_state(some).collect()
         assert len(got) == n and {r["seq"] for r in got if not r["prev_ok"]} == {49, 10**12 + 400} & set(seqs[:n])
-    plan = queries.search.chain_state(spark.range(10).select(F.col("id").alias("seq"), *(F.lit("x").alias(c) for c in ("ts", "actor", "event_type", "payload_json", "prev_hash", "this_hash"))))._jdf.queryExecution().optimizedPlan().toString()
+    plan = queries.search.chain_state(
+        spark.range(10).select(F.col("id").alias("seq"), *(F.lit("x").alias(c) for c in ("ts", "actor", "event_type", "payload_json", "prev_hash", "this_hash")))
+    )._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2 and all("windowspecdefinition(__part" in line for line in windows)  # none is over the whole log
     assert queries.search.chain_state(log.limit(0)).count() == 0
