@@ -190,7 +190,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float =
                 rows = [(batch.column(0)[r].as_py(), items.ids[i], *rest, items.same[i]) for r, i, *rest in leaks_of(items, batch, least)]
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "item_id", "similarity", "matches", "item_words", "score", "same_items"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                        names=["doc_id", "item_id", "similarity", "matches", "item_words", "score", "same_items"]
+                    )
 
         out = out.union(docs.mapInArrow(work, _LEAK))
     return out

@@ -75,7 +75,9 @@ def vectors(embeddings: DataFrame) -> DataFrame:
                 x = values[offsets[i] : offsets[i + 1]]
                 ok = vec_id is not None and known[i] and len(x) > 0 and np.isfinite(x).all() and x.any()
                 out.append((len(x), (x + 0.0).tobytes() if ok else None))  # + 0.0: no negative zeros
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), schema.types[1:]))], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), schema.types[1:]))], schema=schema
+            ) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
     return rows.mapInArrow(work, "vec_id long, length int, body binary")
 
@@ -203,7 +205,10 @@ def _recall(rows: np.ndarray, visits: int) -> float:
     return min(found, default=1.0)
 
 
-def cells_to_visit(reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float, target: float, probes: int = PROBES, total: int | None = None) -> tuple[int, float, int]:
+def cells_to_visit(
+    reps: DataFrame, grid: Grid, queries: list[tuple[int, bytes]], least: float, target: float, probes: int = PROBES,
+    total: int | None = None
+) -> tuple[int, float, int]:
     """(cells, recall, links it was measured on; 0: made pairs) by the first of queries, as many as it takes; total: of all vectors."""
     rows, groups, done = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), 0
     while done < len(queries) and (not done or groups.max(initial=-1) + 1 < GROUPS):
@@ -268,7 +273,9 @@ def link(reps: DataFrame, grid: Grid, visits: int, least: float = LEAST) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
     # cells of more than a chunk, joined: Spark broadcasts them only if they are few
-    large = reps.mapInArrow(own_cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    large = reps.mapInArrow(own_cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select(
+        "cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")
+    )
 
     def deal(batches):
         for batch in batches:

@@ -26,7 +26,11 @@ BLOCK_LEVEL = frozenset(
 )
 RAW = frozenset("script style title textarea template iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
+CLOSES = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("tr", "td", "th", "tbody", "thead"),
+    "tfoot": ("tr", "td", "th", "tbody", "thead")
+}
 _STOPS = frozenset("ul ol menu dl table select body html article section div form".split())
 _ON = ("tr", "tbody", "tfoot", "optgroup")  # these close more than one element
 FOREIGN = ("svg", "math")

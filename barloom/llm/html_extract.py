@@ -235,7 +235,10 @@ def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     def work(batches):
         for batch in pieces(batches, 1 << 20):
             texts = main_texts(net, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"]
+            )
 
     return rows.mapInArrow(work, "page_id long, url string, text string, n_chars long")
 

@@ -40,7 +40,10 @@ def _named(rng, *names: str) -> str:
     if not names or rng.random() < 0.05:
         return ""
     name = _pick(rng, *names)
-    name = _pick(rng, name, name, f"{name}-{_pick(rng, 'box', 'wrap', 'inner', 'area', 'block', 'container', 'main', 'top', 'left')}", f"{_pick(rng, 'site', 'page', 'js', 'c', 'm', 'module', 'widget')}-{name}", f"{_word(rng)} {name}", f"{name}{rng.integers(1, 9)}")
+    name = _pick(
+        rng, name, name, f"{name}-{_pick(rng, 'box', 'wrap', 'inner', 'area', 'block', 'container', 'main', 'top', 'left')}",
+        f"{_pick(rng, 'site', 'page', 'js', 'c', 'm', 'module', 'widget')}-{name}", f"{_word(rng)} {name}", f"{name}{rng.integers(1, 9)}"
+    )
     return f' {_pick(rng, "class", "class", "class", "id")}="{name}"'
 
 
@@ -76,35 +79,69 @@ def _box(rng, *names: str, tags=("div", "div", "section", "p", "span")) -> str:
 
 
 def _menu(rng) -> str:
-    return _pick(rng, f"<nav>{_list(rng)}</nav>", f"<nav{_named(rng, 'nav', 'menu', 'navbar', 'breadcrumb')}>{_list(rng)}</nav>", f"<div{_named(rng, 'nav', 'menu', 'navigation', 'navbar', 'breadcrumbs', 'toolbar')}>{_list(rng)}</div>", f"<ul{_named(rng, 'nav', 'menu', 'links', 'pagination')}><li>{_line(rng)}</li><li><a>{_line(rng)}</a></li></ul>", f'<div role="navigation">{_list(rng)}</div>')
+    return _pick(
+        rng, f"<nav>{_list(rng)}</nav>", f"<nav{_named(rng, 'nav', 'menu', 'navbar', 'breadcrumb')}>{_list(rng)}</nav>",
+        f"<div{_named(rng, 'nav', 'menu', 'navigation', 'navbar', 'breadcrumbs', 'toolbar')}>{_list(rng)}</div>",
+        f"<ul{_named(rng, 'nav', 'menu', 'links', 'pagination')}><li>{_line(rng)}</li><li><a>{_line(rng)}</a></li></ul>",
+        f'<div role="navigation">{_list(rng)}</div>'
+    )
 
 
 def _header(rng) -> str:
-    inner = f"<h{_pick(rng, 1, 2, 3)}>{_line(rng)}</h2>" * (rng.random() < 0.4) + (f"<p>{_prose(rng)}</p>" if rng.random() < 0.4 else f"<div>{_line(rng)}</div>") + (_menu(rng) if rng.random() < 0.4 else "")
-    return _pick(rng, f"<header>{inner}</header>", f"<header{_named(rng, 'header', 'masthead', 'site-header')}>{inner}</header>", f"<div{_named(rng, 'header', 'masthead', 'topbar', 'banner', 'logo')}>{inner}</div>", f'<div role="banner">{inner}</div>')
+    inner = f"<h{_pick(rng, 1, 2, 3)}>{_line(rng)}</h2>" * (rng.random() < 0.4) + (
+        f"<p>{_prose(rng)}</p>" if rng.random() < 0.4 else f"<div>{_line(rng)}</div>"
+    ) + (_menu(rng) if rng.random() < 0.4 else "")
+    return _pick(
+        rng, f"<header>{inner}</header>", f"<header{_named(rng, 'header', 'masthead', 'site-header')}>{inner}</header>",
+        f"<div{_named(rng, 'header', 'masthead', 'topbar', 'banner', 'logo')}>{inner}</div>", f'<div role="banner">{inner}</div>'
+    )
 
 
 def _footer(rng) -> str:
     inner = _pick(rng, f"&copy; {_word(rng)}.example &middot; {_prose(rng)}", f"<p>{_prose(rng)}</p>", _list(rng), f"<p>&copy; 2023 {_line(rng)}</p>{_list(rng)}", _prose(rng))
-    return _pick(rng, f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<footer{_named(rng, 'footer', 'colophon')}>{inner}</footer>", f"<div{_named(rng, 'footer', 'copyright', 'legal', 'bottom')}>{inner}</div>", f'<div role="contentinfo">{inner}</div>')
+    return _pick(
+        rng, f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<footer{_named(rng, 'footer', 'colophon')}>{inner}</footer>",
+        f"<div{_named(rng, 'footer', 'copyright', 'legal', 'bottom')}>{inner}</div>", f'<div role="contentinfo">{inner}</div>'
+    )
 
 
 def _aside(rng) -> str:
     inner = "".join(_pick(rng, f"<p>{_prose(rng)}</p>", f"<h3>{_line(rng)}</h3>", _list(rng), _prose(rng)) for _ in range(rng.integers(1, 4)))
-    return _pick(rng, f"<aside>{inner}</aside>", f"<aside>{inner}</aside>", f"<aside{_named(rng, 'sidebar', 'related', 'widget')}>{inner}</aside>", f"<div{_named(rng, 'sidebar', 'related', 'widget', 'side', 'recommended', 'trending', 'popular', 'rail')}>{inner}</div>", f'<div role="complementary">{inner}</div>')
+    return _pick(
+        rng, f"<aside>{inner}</aside>", f"<aside>{inner}</aside>", f"<aside{_named(rng, 'sidebar', 'related', 'widget')}>{inner}</aside>",
+        f"<div{_named(rng, 'sidebar', 'related', 'widget', 'side', 'recommended', 'trending', 'popular', 'rail')}>{inner}</div>",
+        f'<div role="complementary">{inner}</div>'
+    )
 
 
 def _notice(rng) -> str:
-    return _box(rng, "notice", "cookie", "cookies", "consent", "gdpr", "alert", "banner", "popup", "modal", "overlay", "message", "warning", "disclaimer", "paywall", "toast", "cookie-notice", "cookie-banner")
+    return _box(
+        rng, "notice", "cookie", "cookies", "consent", "gdpr", "alert", "banner", "popup", "modal", "overlay", "message", "warning",
+        "disclaimer", "paywall", "toast", "cookie-notice", "cookie-banner"
+    )
 
 
 def _advert(rng) -> str:
-    return _box(rng, "ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "adsense", "banner-ad", "ad-slot", "dfp", "commercial", "partner", tags=("div", "div", "div", "section", "p", "aside", "ins"))
+    return _box(
+        rng, "ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "adsense", "banner-ad", "ad-slot", "dfp",
+        "commercial", "partner", tags=("div", "div", "div", "section", "p", "aside", "ins")
+    )
 
 
 def _form(rng) -> str:
-    fields = "".join(_pick(rng, f"<label>{_line(rng)}</label><input name=q>", f"<p>{_prose(rng)}</p>", f"<button>{_line(rng)}</button>", f"<select><option>{_word(rng)}<option>{_word(rng)}</select>", f"<textarea>{_prose(rng)}</textarea>", f"<legend>{_line(rng)}</legend>", _prose(rng), f"<input type=submit value=x> {_line(rng)}") for _ in range(rng.integers(1, 5)))
-    return _pick(rng, f"<form>{fields}</form>", f'<form action="/s"{_named(rng, "search", "newsletter", "login", "subscribe", "signup")}>{fields}</form>', f"<div{_named(rng, 'newsletter', 'subscribe', 'signup', 'search', 'login')}><p>{_prose(rng)}</p>{fields}</div>")
+    fields = "".join(
+        _pick(
+            rng, f"<label>{_line(rng)}</label><input name=q>", f"<p>{_prose(rng)}</p>", f"<button>{_line(rng)}</button>",
+            f"<select><option>{_word(rng)}<option>{_word(rng)}</select>", f"<textarea>{_prose(rng)}</textarea>",
+            f"<legend>{_line(rng)}</legend>", _prose(rng), f"<input type=submit value=x> {_line(rng)}"
+        )
+        for _ in range(rng.integers(1, 5))
+    )
+    return _pick(
+        rng, f"<form>{fields}</form>",
+        f'<form action="/s"{_named(rng, "search", "newsletter", "login", "subscribe", "signup")}>{fields}</form>',
+        f"<div{_named(rng, 'newsletter', 'subscribe', 'signup', 'search', 'login')}><p>{_prose(rng)}</p>{fields}</div>"
+    )
 
 
 def _comments(rng) -> str:
@@ -137,7 +174,9 @@ def page(rng) -> tuple[str, set[str]]:
         if kind < 0.62:
             own = text(1, 6) if rng.random() < 0.85 else text(1, 2)
             style = _pick(rng, "", "", "", "<b>", "<i>", "<span>")
-            return _pick(rng, "<p>", "<p>", "<p>", "<p class='text'>") + style + own + _pick(rng, "</p>", "</p>", "</p>", "<br>", "", (style.replace("<", "</") if style else "") + "</p>")
+            return _pick(rng, "<p>", "<p>", "<p>", "<p class='text'>") + style + own + _pick(
+                rng, "</p>", "</p>", "</p>", "<br>", "", (style.replace("<", "</") if style else "") + "</p>"
+            )
         if kind < 0.7:
             h = _pick(rng, "h2", "h3", "h4")
             own = _words(rng, 2, 7).capitalize()

@@ -191,7 +191,9 @@ def _compared(pairs: DataFrame, vectors: DataFrame, total: int) -> DataFrame:
     groups = sizes.select("head", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
     dealt = pairs.join(groups, "head").select("head", "rep", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("part"))
     partners = dealt.join(vectors, "rep").select("head", "part", F.lit(1).alias("side"), "rep", "body")
-    heads = groups.select("head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(vectors.withColumnRenamed("rep", "head"), "head").select("head", "part", F.lit(0).alias("side"), F.col("head").alias("rep"), "body")
+    heads = groups.select(
+        "head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")
+    ).join(vectors.withColumnRenamed("rep", "head"), "head").select("head", "part", F.lit(0).alias("side"), F.col("head").alias("rep"), "body")
     both = heads.unionByName(partners).repartition(fan_out(spark), "head", "part").sortWithinPartitions("head", "part", "side")
 
     def work(batches):
@@ -220,7 +222,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     exact = signed.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"))
     # a row for each representative; of several texts with its doc_id, that with the least key
     chosen = exact.groupBy("rep").agg(F.min("text_key").alias("rep_key"))
-    reps = materialise(signed.join(chosen, (signed["doc_id"] == chosen["rep"]) & (signed["text_key"] == chosen["rep_key"])).select("rep", "rep_key", "bands", "in_docs").dropDuplicates(["rep"]), "reps")
+    reps = materialise(
+        signed.join(chosen, (signed["doc_id"] == chosen["rep"]) & (signed["text_key"] == chosen["rep_key"])).select("rep", "rep_key", "bands", "in_docs").dropDuplicates(["rep"]),
+        "reps"
+    )
     banded = materialise(reps.select("rep", F.explode("bands").alias("band")), "banded")
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     joint = banded.join(shared, "band")
@@ -257,7 +262,10 @@ def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, total: int,
 
     def prefixes(batches):
         def rows(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["gram", "rep", "whole", "left"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
+                names=["gram", "rep", "whole", "left"]
+            )
 
         for batch in batches:
             out, bodies = [], batch.column("body")

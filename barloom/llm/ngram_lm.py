@@ -219,7 +219,9 @@ def score(docs: DataFrame, order: int = ORDER, rounds: int = 40) -> DataFrame:
                 types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return table.filter("cell is null").select("doc_id", "held_out", "n_tokens", "body").mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return table.filter("cell is null").select("doc_id", "held_out", "n_tokens", "body").mapInArrow(
+        final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, order: int, uniform: float, rounds: int) -> dict[int, np.ndarray]:

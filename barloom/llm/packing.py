@@ -128,7 +128,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     return with_documents_columns(docs).mapInArrow(lambda batches: tidied(work(batches), "packing"), _PIECE)
 
 
-_PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
+_PIECE_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())]
+)
 
 
 class _Left:

@@ -362,7 +362,12 @@ def _count_windows(bodies: list[bytes]) -> list[bytes]:
     for body in bodies:
         hashes, times = _unframed(body) if body else (b"", b"")
         head, rest = _unframed(hashes) if body else (b"", b"")
-        split.append((get_sorted(head) if body else np.zeros(0, np.uint64), np.frombuffer(rest, "<u8") if body else np.zeros(0, np.uint64), get_counts(times) if body else np.zeros(0, np.int64)))
+        split.append(
+            (
+                get_sorted(head) if body else np.zeros(0, np.uint64), np.frombuffer(rest, "<u8") if body else np.zeros(0, np.uint64),
+                get_counts(times) if body else np.zeros(0, np.int64)
+            )
+        )
     a, b, times = (np.concatenate([s[k] for s in split]) for k in range(3))
     order = np.lexsort((b, a))
     new = np.ones(len(a), bool)
@@ -577,10 +582,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts.append(b"".join([*kept, raw[at:b]]).decode("utf-8", "ignore"))
             size += len(texts[-1])
             if size > 1 << 21 or len(ids) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids]), pa.array(texts, pa.string())], names=["cut_id", "cut_key", "cut_text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids]), pa.array(texts, pa.string())],
+                    names=["cut_id", "cut_key", "cut_text"]
+                )
                 ids, texts, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids]), pa.array(texts, pa.string())], names=["cut_id", "cut_key", "cut_text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids]), pa.array(texts, pa.string())],
+                names=["cut_id", "cut_key", "cut_text"]
+            )
 
     # only texts that change come back; one row for each text and id (equal texts change alike)
     cut = corpus.map(work, "cut_id long, cut_key string, cut_text string").dropDuplicates(["cut_id", "cut_key"])

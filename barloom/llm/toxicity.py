@@ -99,7 +99,11 @@ def fit(texts: list[str], toxic: list[int], evidence: float = 5.0, rounds: int =
     bad, everyone = y01.sum(), len(y01)
     expected = in_all * bad / everyone
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(in_bad > 0, in_bad * np.log(in_bad / expected), 0) + np.where(in_all > in_bad, (in_all - in_bad) * np.log(np.maximum(in_all - in_bad, 1e-9) / np.maximum(in_all - expected, 1e-9)), 0))
+        ratio = 2 * (
+            np.where(in_bad > 0, in_bad * np.log(in_bad / expected), 0) + np.where(
+                in_all > in_bad, (in_all - in_bad) * np.log(np.maximum(in_all - in_bad, 1e-9) / np.maximum(in_all - expected, 1e-9)), 0
+            )
+        )
     marking = (ratio > evidence * 2.5) & (in_bad > expected)
     found = np.bincount(text, marking[column] * value, len(y01))
     has = (y01 == 1) & (found > 0)

@@ -82,7 +82,12 @@ def write(pages: DataFrame, at: str) -> None:
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Date", _DATE),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(response, F.lit("")).otherwise(F.concat(_line("WARC-Profile", _PROFILE), _line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("refers_to")), F.lit(">"))), _line("X-Payload-Length", F.col("size").cast("string")))),
+        F.when(response, F.lit("")).otherwise(
+            F.concat(
+                _line("WARC-Profile", _PROFILE), _line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("refers_to")), F.lit(">"))),
+                _line("X-Payload-Length", F.col("size").cast("string"))
+            )
+        ),
         _line("Content-Type", "text/html"),
         _line("Content-Length", F.when(response, F.col("size")).otherwise(0).cast("string")),
         F.lit("\r\n"),
@@ -157,7 +162,10 @@ def _reached(magic: np.ndarray, after: np.ndarray, entry: int | None) -> np.ndar
 
 
 def scan(spark: SparkSession, at: str) -> DataFrame:
-    return spark.read.option("lineSep", MAGIC).text(at).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    return spark.read.option("lineSep", MAGIC).text(at).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.col("value").cast("binary").alias("value")
+    )
 
 
 _CHAIN = pa.schema([("file", pa.string()), ("split", pa.int64()), ("length", pa.int64()), ("magic", pa.int64()), ("exit", pa.int64())])
@@ -173,14 +181,20 @@ def entries(spark: SparkSession, at: str) -> DataFrame:
             out = _exits(magic, after, length - len(_M))
             ok = np.flatnonzero(after >= 0)
             n = len(ok) + 1  # and a row for the split itself
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([file] * n, [split] * n, [length] * n, [None, *magic[ok].tolist()], [None, *out[ok].tolist()]), _CHAIN.types)], schema=_CHAIN)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(([file] * n, [split] * n, [length] * n, [None, *magic[ok].tolist()], [None, *out[ok].tolist()]), _CHAIN.types)],
+                schema=_CHAIN
+            )
 
     found = materialise(scan(spark, at).mapInArrow(chains, "file string, split long, length long, magic long, exit long"), "chains")
     splits = found.filter("magic is null").select("file", "split", "length")
     most = splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     splits = splits.select("file", "split", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
-    jump = found.filter("magic is not null").join(splits, ["file", "split"]).select("file", "split", "base", (F.col("magic") + F.col("base")).alias("from"), F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).alias("to"))
+    jump = found.filter("magic is not null").join(splits, ["file", "split"]).select(
+        "file", "split", "base", (F.col("magic") + F.col("base")).alias("from"),
+        F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).alias("to")
+    )
     jump = known = materialise(jump, "jump")
     reached = splits.select("file").distinct().withColumn("from", F.lit(0).cast("long"))
     steps = 1
@@ -196,7 +210,13 @@ def entries(spark: SparkSession, at: str) -> DataFrame:
 
 
 _FOUND = "file string, split long, lead binary, page_id long, url string, type string, refers_to long, size long, digest string, payload binary, missing long"
-_FOUND_ARROW = pa.schema([("file", pa.string()), ("split", pa.int64()), ("lead", pa.binary()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("payload", pa.binary()), ("missing", pa.int64())])
+_FOUND_ARROW = pa.schema(
+    [
+        ("file", pa.string()), ("split", pa.int64()), ("lead", pa.binary()), ("page_id", pa.int64()), ("url", pa.string()),
+        ("type", pa.string()), ("refers_to", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("payload", pa.binary()),
+        ("missing", pa.int64())
+    ]
+)
 
 
 def _number(name: str):
@@ -295,7 +315,10 @@ def read(spark: SparkSession, at: str, payloads: bool = True) -> DataFrame:
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/barloom/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
-    return read(spark, at, payloads=False).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url")
+    return read(spark, at, payloads=False).select(
+        "page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        "refers_to", "url"
+    )
 
 
 #: What must come back, in SQL: the archives themselves have no place in it.

@@ -105,7 +105,10 @@ def test_scores_by_brute_force(spark, order):
 
 def test_pages_are_read_in_linear_time():
     began = time.perf_counter()
-    for page in ("<a " * 1_000_000, "<a \"'>" * 300_000, "<!--" * 300_000, "<!" * 500_000, "<script>" * 300_000, "<b>" * 100_000 + "<li></li>x" * 50_000, "<div>" * 100_000 + "</x>" * 50_000 + "</div>y" * 50_000):
+    for page in (
+        "<a " * 1_000_000, "<a \"'>" * 300_000, "<!--" * 300_000, "<!" * 500_000, "<script>" * 300_000,
+        "<b>" * 100_000 + "<li></li>x" * 50_000, "<div>" * 100_000 + "</x>" * 50_000 + "</div>y" * 50_000
+    ):
         leaves(page)
     assert time.perf_counter() - began < 30
 
@@ -127,7 +130,10 @@ def test_unclosed_and_foreign_elements():
 def test_extraction_of_no_pages_and_long_ones(spark):
     schema = "page_id long, url string, html string, text string"
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
-    long = "<html><body><nav><ul><li><a>Home</a></li></ul></nav><article>" + "".join(f"<p>This is sentence number {k} of a very long article, which goes on.</p>" for k in range(3000)) + "</article></body></html>"
+    long = "<html><body><nav><ul><li><a>Home</a></li></ul></nav><article>" + "".join(
+        f"<p>This is sentence number {k} of a very long article, which goes on.</p>"
+        for k in range(3000)
+    ) + "</article></body></html>"
     got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame([(1, "u", long, "clash"), (2, None, None, None), (2, None, "", "x")], schema)).collect()}
     assert got[2]["text"] == "" and got[2]["n_chars"] == 0 and got[1]["text"].count("\n") > 2900 and got[1]["n_chars"] == len(got[1]["text"])
 
@@ -146,7 +152,10 @@ def sql_of(query, **tables):
 
 def test_records_of_null_and_repeated_pages(spark, tmp_path):
     big = ["x" * 1500, "y" * 1000, "z" * 999]
-    rows = [(None, "u", big[0]), (2, "u", big[0]), (1, "u", big[0]), (2, "u", big[0]), (None, "u", big[1]), (None, "v", big[1]), (3, "u", big[2]), (4, "u", big[2]), (5, None, None), (6, "u", "w" * 3_000_000)]
+    rows = [
+        (None, "u", big[0]), (2, "u", big[0]), (1, "u", big[0]), (2, "u", big[0]), (None, "u", big[1]), (None, "v", big[1]),
+        (3, "u", big[2]), (4, "u", big[2]), (5, None, None), (6, "u", "w" * 3_000_000)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("size", F.lit(1))
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     got = warc.op4_warc(spark, str(tmp_path)).collect()
@@ -210,7 +219,13 @@ def test_quality_is_the_difference_alone(spark):
     words = [["river", "stone", "evening", "letter", "window"], ["BUY!!", "$$$", "CLICK", "%%%", "free"]]
     rows = [(" ".join(rng.choice(words[k % 2]) for _ in range(rng.randint(1, 900))), 1 - k % 2) for k in range(60)]
     model = quality.fit(rows)
-    tools = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    tools = [
+        zstandard.ZstdCompressor(
+            level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            write_content_size=False, write_dict_id=False
+        )
+        for d in (model.good, model.bad)
+    ]
     texts = [t for t, _ in rows] + ["", "é" * 5000]
     got = [r["score"] for r in sorted(quality.score(documents(spark, list(enumerate(texts)), "q"), model).collect(), key=lambda r: r["doc_id"])]
     for t, s in zip(texts, got):

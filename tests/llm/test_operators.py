@@ -130,7 +130,10 @@ def test_language_model(docs, texts):
 def test_mixtures_are_distributions():
     """Weights of every bucket, also of unknown ones, sum to one, and give nothing to orders whose context was never seen."""
     rng = np.random.default_rng(2)
-    cells = np.array([(b * ngram_lm.STEPS + rng.integers(0, 40)) * ngram_lm.STEPS + rng.choice([rng.integers(0, 20), ngram_lm.STEPS - 1]) for b in (0, 64, 65, 70) for _ in range(50)], np.int64)
+    cells = np.array(
+        [(b * ngram_lm.STEPS + rng.integers(0, 40)) * ngram_lm.STEPS + rng.choice([rng.integers(0, 20), ngram_lm.STEPS - 1]) for b in (0, 64, 65, 70) for _ in range(50)],
+        np.int64
+    )
     learnt = ngram_lm.learn_weights(cells, rng.random(len(cells)) + 0.1, 2, 1e-4, 40)
     for some in (learnt, {}, {0: learnt[0]}, {64: learnt[64]}):
         w = ngram_lm.weights_of(some, np.array([0, 64, 66, 80]), 2)
@@ -553,7 +556,10 @@ def test_multi_index(spark):
     x = np.concatenate([base, base[:80] + rng.normal(0, 0.05, (80, 16)), np.repeat(base[:1], 60, 0) + rng.normal(0, 0.02, (60, 16)), base[5:9] * 3])
     rows = [(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
     n = len(rows)
-    odd = [(n, None), (n + 1, [0.0] * 16), (n + 2, [float("nan")] + [1.0] * 15), (n + 3, [1.0, None] + [1.0] * 14), (n + 4, [1.0] * 8), (n + 5, []), (None, rows[0][1]), (3, rows[3][1]), (n + 6, rows[7][1])]
+    odd = [
+        (n, None), (n + 1, [0.0] * 16), (n + 2, [float("nan")] + [1.0] * 15), (n + 3, [1.0, None] + [1.0] * 14), (n + 4, [1.0] * 8),
+        (n + 5, []), (None, rows[0][1]), (3, rows[3][1]), (n + 6, rows[7][1])
+    ]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     got = embedding_dedup.near_duplicates(df, sample=300, probes=100)
     out = collections.defaultdict(list)

@@ -52,7 +52,10 @@ def test_entry_without_the_folder(tmp_path):
     shutil.copytree(f"{root}/barloom", tmp_path / "barloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    out = subprocess.run(
+        [sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"],
+        cwd=tmp_path, env=env, capture_output=True, text=True, check=True
+    )
     assert int(out.stdout.split()[0]) > 50 and out.stdout.split()[1] == "False"
 
 
@@ -65,7 +68,10 @@ def test_awkward_documents(spark, tmp_path):
     say = lambda n: " ".join(rng.choice("river stone evening letter window garden silent cold north paper".split()) + str(rng.randrange(400)) for _ in range(n))
     text, long = say(80), say(20_000)
     rows = [(k, say(60), "en", "s", 1) for k in range(30)] + [(100, text, "en", "s", 1), (101, text, None, None, None), (101, text, "en", "s", 1)]
-    rows += [(102, long, "en", "s", 1), (103, None, None, None, None), (104, "", "en", "s", 0), (None, None, None, None, None), (None, say(50), "en", "s", 1), (105, "one", "en", "s", 3)]
+    rows += [
+        (102, long, "en", "s", 1), (103, None, None, None, None), (104, "", "en", "s", 0), (None, None, None, None, None),
+        (None, say(50), "en", "s", 1), (105, "one", "en", "s", 3)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     names = ("rep", "head", "cut_id", "cut_key", "cut_text", "item_id", "label", "part", "place", "dropped_id", "block", "key")
     docs = docs.select("*", *(F.lit("x").alias(n) for n in names))
