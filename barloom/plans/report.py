@@ -9,7 +9,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics
@@ -44,16 +44,20 @@ ROWS = [
 ]
 
 
-def pivoted(catalog: Catalog, run_ids: list[str]) -> DataFrame:
-    """run_id, and a column for each metric."""
-    return catalog.table("run_metrics").filter(F.col("run_id").isin(run_ids)).groupBy("run_id").pivot("metric").agg(F.first("value"))
+def pivoted(values: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """run_id, and a column for each metric (of `names`, or of all there are)."""
+    return values.groupBy("run_id").pivot("metric", names).agg(F.first("value"))
+
+
+def latest(runs: DataFrame) -> DataFrame:
+    """The last run of each experiment and type; of runs that started together, the one with the greatest id."""
+    newest = F.max_by(F.struct(*runs.columns), F.struct("started_at", "run_id"))
+    return runs.groupBy("experiment_id", "run_type").agg(newest.alias("run")).select("run.*")
 
 
 def latest_runs(catalog: Catalog, experiment_id: int) -> dict[str, dict]:
-    """The last run of each type."""
     runs = catalog.table("runs").filter(F.col("experiment_id") == experiment_id)
-    rows = runs.groupBy("run_type").agg(F.max_by(F.struct(*runs.columns), "started_at").alias("x")).select("x.*").collect()
-    return {r["run_type"]: r.asDict() for r in rows}
+    return {r["run_type"]: r.asDict() for r in latest(runs).collect()}
 
 
 def _svg(series: dict[str, list[float]], log: bool = False, width: int = 760, height: int = 220) -> str:
@@ -76,8 +80,8 @@ def _table(head: list[str], rows: list[list[str]]) -> str:
 
 
 def drawdown_curve(equity: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return equity.select("date", (F.col("equity") / F.max("equity").over(w) - 1).alias("drawdown"))
+    """date, drawdown of one curve: a row for each day."""
+    return metrics.drawdowns(equity.withColumn("curve", F.lit(0)), "curve").select("date", "drawdown")
 
 
 def cumulative(returns: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def build(catalog: Catalog, experiment_id: int) -> Path:
     spark, folder, runs = catalog.spark, catalog.at.artifacts / f"E{experiment_id}", latest_runs(catalog, experiment_id)
     h = catalog.table("hypotheses").filter(F.col("hypothesis_id") == e["hypothesis_id"]).first()
     gates = json.loads((folder / "gates.json").read_text("utf-8"))
-    by_run = {r["run_id"]: r.asDict() for r in pivoted(catalog, [r["run_id"] for r in runs.values()]).collect()}
+    by_run = {r["run_id"]: r.asDict() for r in pivoted(catalog.table("run_metrics").filter(F.col("run_id").isin([r["run_id"] for r in runs.values()]))).collect()}
     of = {k: by_run.get(r["run_id"], {}) for k, r in runs.items()}
     full, oos, bench = of.get("backtest", {}), of.get("walkforward", {}), of.get("benchmark", {})
     equity = spark.read.parquet(str(folder / "equity_full"))

@@ -39,6 +39,11 @@ def row_hashes(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.sha2(lines, 256).alias("sha256"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+def coverage(bars: DataFrame) -> DataFrame:
+    """symbol, bars, first_bar, last_bar."""
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("date").alias("first_bar"), F.max("date").alias("last_bar"))
+
+
 def write_curated(catalog: Catalog, bars: DataFrame) -> None:
     bars.select(*COLUMNS).repartition("symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(str(catalog.at.curated / "daily"))
 
@@ -72,9 +77,9 @@ def admit(catalog: Catalog, bars: DataFrame, limits: quality.Limits, source: str
     if good:
         some = bars.filter(F.col("symbol").isin(good))
         write_curated(catalog, some)
-        for r in some.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("z"), F.count("*").alias("n")).orderBy("symbol").collect():
-            catalog.upsert_instrument(r["symbol"], source, r["a"], r["z"], r["symbol"] == benchmark.upper())
-            catalog.audit("system", "data.curated", {"symbol": r["symbol"], "source": source, "bars": r["n"]})
+        for r in coverage(some).orderBy("symbol").collect():
+            catalog.upsert_instrument(r["symbol"], source, r["first_bar"], r["last_bar"], r["symbol"] == benchmark.upper())
+            catalog.audit("system", "data.curated", {"symbol": r["symbol"], "source": source, "bars": r["bars"]})
     bars.unpersist()
     return passed
 

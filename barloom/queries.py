@@ -14,7 +14,7 @@ from barloom import ledger_sql
 from barloom.functions import indicators as ind
 from barloom.operators import history, ledger, metrics, quality, regimes, search, validation
 from barloom.operators.strategies import DipBuyer, RandomWalk, RsiMeanReversion, SmaCross, TimeSeriesMomentum, params_key
-from barloom.plans import catalog, store
+from barloom.plans import catalog, report, store
 from barloom.sources import bars as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,6 +574,49 @@ def similar_failures(spark, sf_dir):
     return found.select("experiment_id", "hypothesis_id", "family", F.when(F.col("rank") == 0, "same family").otherwise("similar text").alias("kind"))
 
 
+@query("""WITH v AS (SELECT 'R' || o_orderkey AS run_id, o_orderkey % 50 AS n, o_totalprice FROM orders)
+ SELECT run_id, CAST(n AS DOUBLE) AS n_configs, CAST(n AS DOUBLE) AS n_trials FROM v""")
+def metrics_pivot(spark, sf_dir):
+    """The report's table of metrics: a row for each run, a column for each metric."""
+    return report.pivoted(_research(spark, sf_dir)[3], ["n_configs", "n_trials"])
+
+
+@query("""SELECT o_custkey AS experiment_id, CASE WHEN o_orderpriority < '3' THEN 'backtest' ELSE 'walkforward' END AS run_type,
+ max_by('R' || o_orderkey, (CAST(o_orderdate AS DATE), 'R' || o_orderkey)) AS run_id, strftime(max(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS started_at FROM orders GROUP BY 1, 2""")
+def latest_runs(spark, sf_dir):
+    """Customers as experiments, orders as their runs: the last of each type."""
+    kind = F.when(F.col("o_orderpriority") < "3", "backtest").otherwise("walkforward")
+    runs = src.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("run_id"), F.col("o_custkey").alias("experiment_id"), kind.alias("run_type"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"),
+    )
+    return report.latest(runs)
+
+
+@query("""WITH @BARS, q AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS r, row_number() OVER (ORDER BY date) AS n FROM bars WHERE symbol = 'NO'),
+ s AS (SELECT date, CASE WHEN n % 97 = 0 THEN -2 - r / 10000 ELSE r / 10000 END AS r FROM q WHERE r IS NOT NULL)
+ SELECT date, round(exp(sum(ln(abs(1 + r))) OVER w) * CASE WHEN sum(CASE WHEN r < -1 THEN 1 ELSE 0 END) OVER w % 2 = 1 THEN -1 ELSE 1 END - 1, 6) AS growth
+ FROM s WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def growth_curve(spark, sf_dir):
+    """The report's cumulative return, of returns that lose more than everything now and then."""
+    r = metrics.returns(_bars(spark, sf_dir).filter("symbol = 'NO'"), "symbol", "close")
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) + 1
+    r = r.withColumn("r", F.when(n % 97 == 0, -2 - F.col("r") / 10000).otherwise(F.col("r") / 10000))
+    return report.cumulative(r).select("date", _r("growth").alias("growth"))
+
+
+@query("""WITH @BARS SELECT date, round(close / max(close) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 8) AS drawdown FROM bars WHERE symbol = 'NO'""")
+def drawdown_curve(spark, sf_dir):
+    curve = _bars(spark, sf_dir).filter("symbol = 'NO'").select("date", F.col("close").alias("equity"))
+    return report.drawdown_curve(curve).select("date", _r("drawdown", 8).alias("drawdown"))
+
+
+@query("""WITH @BARS SELECT symbol, count(*) AS bars, min(date) AS first_bar, max(date) AS last_bar FROM bars GROUP BY 1""")
+def coverage(spark, sf_dir):
+    """What the catalogue notes of instruments."""
+    return store.coverage(_bars(spark, sf_dir))
+
+
 def _research(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(hypotheses, experiments, runs, run_metrics) made of customers and orders."""
     c, o = src.table(spark, sf_dir, "customer"), src.table(spark, sf_dir, "orders")
