@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,17 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """Gives keep(df). At the end, what materialise() wrote inside is removed, but for tables that were to be kept."""
+    before, kept = set(_WRITTEN), []
+    try:
+        yield kept.append
+    finally:
+        mine = [df for key, (df, _) in _WRITTEN.items() if key not in before]
+        discard(*(df for df in mine if not any(df is k for k in kept)))
+
+
 def fan_out(spark: SparkSession) -> int:
     """Partitions of our own shuffles: what the session asks for, at least one for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
