@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontaminate, minhash, packing, suffix_dedup, toxicity
-from barloom.llm.shared import materialise
+from barloom.llm.shared import discard, materialise, scratch
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -28,5 +28,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:  # what a stage wrote on its way goes, and so does its input
+            after = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(after)
+        discard(docs)
+        docs = after
     return docs
