@@ -62,6 +62,9 @@ def test_entry_without_the_folder(tmp_path):
 def test_awkward_documents(spark, tmp_path):
     """Nulls in every column, empty, long and repeated texts, names that clash with the stages' own; and no rows at all."""
     import corpus_pipeline
+    import os
+
+    from barloom.llm.shared import shared_dir
     from pyspark.sql import functions as F
 
     rng = __import__("random").Random(8)
@@ -87,7 +90,11 @@ def test_awkward_documents(spark, tmp_path):
             one = corpus_pipeline.materialise(stage(spark, one, at), name)
             assert one.columns == df.columns
         kept = {r["doc_id"] for r in one.collect()}
+        place = os.path.join(shared_dir(spark).removeprefix("file:"), "barloom")
+        before = set(os.listdir(place))
         got = corpus_pipeline.run(spark, at).collect()
+        left = set(os.listdir(place)) - before
+        assert len(left) == 1 and left.pop().startswith("stage-packing")
         assert {r["doc_id"] for r in got} == kept
         if folder == "some":
             assert {102, 103, 105, None} <= kept and not {3, 101, 104} & kept and 100 in kept  # null and "" are copies
