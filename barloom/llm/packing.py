@@ -19,7 +19,7 @@ their names don't matter. An empty table gives an empty one.
 from __future__ import annotations
 
 import zlib
-from itertools import chain, filterfalse
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,96 +27,153 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import CACHES, materialise, pieces, tidied, with_documents_columns
+from barloom.llm.shared import CACHES, materialise, pieces, tidied, utf8, with_documents_columns
 
 CAPACITY = 2048
-CACHED_WORDS = 200_000
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHED_WORDS = 400_000
+WINDOW = 2 << 20
+_SPACE, _LETTER, _MARK, _DIGIT, _ODD = range(5)
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 _KEPT: dict = {}
 CACHES["packing"] = [_KEPT]
 
 
-def _encoder(path: str):
-    """Texts' ids as bytes, through caches.
+def _classes(odd: bytes) -> np.ndarray:
+    """What each byte of UTF-8 is; letters beyond ASCII are those that 0xC3 leads."""
+    out = np.full(256, _ODD, np.uint8)
+    for c in range(0x21, 0x7F):
+        out[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK
+    out[[0x20, *range(0x09, 0x0E)]] = _SPACE
+    out[[0xC3, *range(0x80, 0xC0)]] = _LETTER
+    out[list(odd)] = _ODD
+    return out
+
+
+class _Words:
+    """Ids of the words met so far: word k has `counts[k]` of them, from `starts[k]` of `ids` on."""
 
-    The tokenizer never looks across white space, nor does it join letters with
-    the marks after them; so a word of Latin letters is looked up by its small
-    letters, apart from its tail of marks. New words are encoded many at a
-    time, joined by spaces, and told apart by their last ids.
-    """
-    if path not in _KEPT:
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            ends[i] = token.endswith("</w>")
-        _KEPT[path] = tokenizer, ends, {}, {}
-    tokenizer, ends, chunks, letters = _KEPT[path]
-
-    def alone(words: list[str]) -> list[bytes]:
-        return [np.array(got.ids, "<u4").tobytes() for got in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn_letters(words: list[str]) -> None:
-        groups = [words[i : i + 400] for i in range(0, len(words), 400)]
-        for group, got in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            last = (np.flatnonzero(ends[ids]) + 1) * 4
-            if len(last) != len(group):
-                letters.update(zip(group, alone(group)))
-                continue
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(group, last.tolist()):
-                letters[word] = raw[at:end]
-                at = end
-
-    def learn(new: list[str]) -> None:
-        split, odd = [], []
-        for chunk in new:
-            word = chunk.rstrip(_MARKS)
-            if word.isalpha() and max(word) <= "\xff":
-                split.append((chunk, word.lower(), chunk[len(word) :]))
+            self.ends[i] = token.endswith("</w>")
+        # an apostrophe may take letters along, and the first byte of an added token may begin it
+        self.classes = _classes(b"'" + bytes(t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.odd = bytes(np.flatnonzero(self.classes == _ODD).tolist())
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def is_plain(self, word: bytes) -> bool:
+        return len(word.translate(None, self.odd)) == len(word) and b"\xc3\x97" not in word and b"\xc3\xb7" not in word
+
+    def learn(self, new: list[bytes]) -> None:
+        """Many words at a time, joined by spaces, and told apart by their last ids; odd ones by themselves."""
+        plain, odd, ids, counts = [], [], [], []
+        for word in new:
+            (plain if word.isalpha() or self.is_plain(word) else odd).append(word)
+        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        for group, got in zip(groups, self._encoded([b" ".join(g).decode() for g in groups])):
+            last = np.flatnonzero(self.ends[got]) + 1
+            if len(last) == len(group):
+                ids.append(got)
+                counts.append(np.diff(last, prepend=0))
             else:
-                odd.append(chunk)
-        tails = {tail for _, _, tail in split if tail} - chunks.keys()
-        odd += tails
-        chunks.update(zip(odd, alone(odd)))
-        if len(letters) > 2 * CACHED_WORDS:
-            letters.clear()
-        learn_letters(list({word for _, word, _ in split} - letters.keys()))
-        for chunk, word, tail in split:
-            chunks[chunk] = letters[word] + chunks[tail] if tail else letters[word]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(filterfalse(chunks.__contains__, chain.from_iterable(split))))
-        if len(chunks) + len(new) > CACHED_WORDS:
-            chunks.clear()
-            new = list(set(chain.from_iterable(split)))
-        if new:
-            learn(new)
-        get = chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    return encode
+                each = self._encoded([word.decode() for word in group])
+                ids += each
+                counts.append(np.array([len(e) for e in each], np.int64))
+        each = self._encoded([word.decode() for word in odd])
+        counts = np.concatenate([*counts, np.array([len(e) for e in each], np.int64)])
+        first = len(self.ids) + np.cumsum(counts) - counts
+        self.rows.update(zip(plain + odd, range(len(self.counts), len(self.counts) + len(counts))))
+        self.ids, self.starts, self.counts = np.concatenate([self.ids, *ids, *each]), np.append(self.starts, first), np.append(self.counts, counts)
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Rows of different words."""
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(self.rows) + len(new) > CACHED_WORDS:
+            self.forget()
+            new = np.arange(len(words))
+        if len(new):
+            self.learn([words[k] for k in new.tolist()])
+            rows[new] = np.fromiter(map(self.rows.__getitem__, (words[k] for k in new.tolist())), np.int64, len(new))
+        return rows
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in UTF-8, and how many there are before each text and after the last.
+
+        The tokenizer never looks across white space, and splits runs of ASCII
+        marks, digits one by one and runs of letters from one another; so these
+        are the words that are looked up, in small letters. What white space
+        parts and holds any other byte is one word, as it is.
+        """
+        if len(offsets) == 2 and len(data) > WINDOW:  # a long text: in parts that end in white space
+            gaps = np.flatnonzero(self.classes[data] == _SPACE) + 1
+            k = np.searchsorted(gaps, np.arange(WINDOW, len(data), WINDOW))
+            cuts = np.unique(np.concatenate([[0], gaps[k[k < len(gaps)]], [len(data)]])).tolist()
+            if len(cuts) > 2:
+                parts = [self.encode(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:])]
+                return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+        kind = self.classes[data]
+        lower = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+        beyond = np.flatnonzero(data[:-1] == 0xC3) + 1
+        signs = beyond[(data[beyond] == 0x97) | (data[beyond] == 0xB7)]  # the signs of times and division
+        kind[signs] = _ODD
+        capitals = beyond[(data[beyond] >= 0x80) & (data[beyond] < 0x9F)]
+        lower[capitals] = data[capitals] + 0x20
+        edge = np.ones(len(data), bool)  # begins a word
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        text = np.zeros(len(data) + 1, bool)
+        text[offsets] = True
+        edge |= text[:-1]
+        used = kind != _SPACE
+        edge &= used
+        if (kind == _ODD).any():
+            begins = used.copy()  # what white space parts
+            begins[1:] &= ~used[:-1] | text[1:-1]
+            chunk = np.cumsum(begins, dtype=np.int32)
+            odd = np.zeros(int(chunk[-1]) + 1, bool)
+            odd[chunk[kind == _ODD]] = True
+            within = odd[chunk] & used
+            edge = np.where(within, begins, edge)
+            lower = np.where(within, data, lower)
+        at = np.flatnonzero(edge)
+        packed = np.ascontiguousarray(lower[used])
+        bounds = np.append(np.flatnonzero(edge[used]), len(packed))
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+        rows = self.look_up(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        counts = self.counts[rows]
+        ends = np.append(0, np.cumsum(counts))
+        ids = self.ids[np.repeat((self.starts[rows] - ends[:-1]).astype(np.int32), counts) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, ends[np.searchsorted(at, offsets)]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row for each piece of each document; (part, place) order pieces within their length."""
 
     def work(batches):
-        encode = _encoder(tokenizer_path)
+        if tokenizer_path not in _KEPT:
+            _KEPT[tokenizer_path] = _Words(tokenizer_path)
+        known = _KEPT[tokenizer_path]
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, WINDOW):
             rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                raw += end
+            all_ids, bounds = known.encode(*utf8(batch.column(1)))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                raw = all_ids[a:b].tobytes() + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     ids = raw[at : at + 4 * capacity]
                     n = len(ids) // 4

@@ -10,13 +10,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, embedding_dedup, html_extract, minhash, ngram_lm, packing, quality, suffix_dedup, toxicity, warc
 from barloom.llm.html_blocks import DEPTH, leaves
-from barloom.llm.shared import materialise
+from barloom.llm.shared import materialise, utf8
 from tests.llm.test_operators import DOCS, brute_align
 
 SMALL = "/root/testdata/sf0.001"
@@ -211,6 +212,41 @@ def test_the_index_of_sums_is_exact(seed):
         assert {g: int(n) for g, n in enumerate(index) if n} == {g: n for g, n in sums.items() if g <= 60}
 
 
+def _tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing._Words(path), Tokenizer.from_file(path)
+
+
+def test_a_word_is_learned_once_whatever_its_capitals_and_marks():
+    words, tokenizer = _tokenizer()
+    forms = [f"{a}{w}{b}" for w in ("river", "RIVER", "River", "été", "ÉTÉ") for a in ("", "(", '"') for b in ("", ",", ".", "!!", "-7.")]
+    ids, bounds = words.encode(*utf8(pa.array([" ".join(forms), "\n".join(forms)])))
+    want = tokenizer.encode(" ".join(forms), add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and bounds.tolist() == [0, len(want), 2 * len(want)]
+    assert sorted(k.decode() for k in words.rows) == sorted(["river", "été", "(", '"', ",", ".", "!!", "-", "7"])
+
+
+@pytest.mark.parametrize("window", [1 << 21, 40])
+def test_ids_are_the_tokenizers(monkeypatch, window):
+    """Awkward characters beside one another, words that leave the cache, long texts in parts."""
+    monkeypatch.setattr(packing, "WINDOW", window)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    words, tokenizer = _tokenizer()
+    rng = random.Random(window)
+    bits = [*"aZ'9.,<|>!`_ßÀÿ×÷µªº²½İıſKÅΣσςДд中あ한ᄒ\u0301\u0308\u030a\u0345\u00a0\u0085\u00ad\u200b\u200d\u2028\u3000\ufeff\x00\x1c\x1f\x7f😀"]
+    bits += [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'RE", "It's", "words", "Été,", "l'eau", "</w>", "a-b", "3.14", "...", "fi", "Ǆ"] * 3
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", " ", "\u0301a", "e", ""]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for k in range(0, len(texts), 1 if window == 40 else 70):
+        ids, bounds = words.encode(*utf8(pa.array(texts[k : k + (1 if window == 40 else 70)])))
+        for j, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            assert ids[a:b].tolist() == want[k + j], repr(texts[k + j])
+    assert words.encode(*utf8(pa.array([], pa.string())))[0].tolist() == []
+
+
 # op6
 
 
