@@ -236,14 +236,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     wanted = reps.select("rep", "rep_key", "in_docs").join(inside.select("rep").distinct(), "rep", "left_semi")
     vectors = _vectors(docs, wanted)
     compared = materialise(_compared(inside.filter("rep <> head").select("head", "rep").distinct(), vectors, total), "compared")
-    part = _parts(compared, least)
+    part = components(_links(compared, least))
     now = inside.join(part, F.col("rep") == F.col("node"), "left").select("band", "rep", "head", F.coalesce("component", "rep").alias("of"))
     own = now.filter("rep = head").select("band", F.col("of").alias("of_head"))
-    every = materialise(now.select("rep", "of").distinct(), "every")
+    every = now.select("rep", "of").distinct()
     apart = materialise(now.join(own, "band").filter("of <> of_head").select("rep", "of").distinct(), "apart")
     if apart.limit(1).count():
-        compared = compared.union(_compared(_joined(every, apart, vectors, total, least), vectors, total))
-        part = _parts(compared, least)
+        further = _links(_compared(_joined(every, apart, vectors, total, least), vectors, total), least)
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(further))
     # written, so that the join with all rows may split a text that very many documents have
     classes = materialise(exact.join(part, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("component", "rep").alias("class_id")), "classes")
     out = signed.select("doc_id", "text_key").join(classes, "text_key", "left")
@@ -290,8 +290,8 @@ def _joined(every: DataFrame, apart: DataFrame, vectors: DataFrame, total: int,
     return materialise(pairs.select(F.least("a_rep", "b_rep").alias("head"), F.greatest("a_rep", "b_rep").alias("rep")).distinct(), "pairs")
 
 
-def _parts(compared: DataFrame, least: float) -> DataFrame:
-    return materialise(components(compared.filter(F.col("similarity") >= least).select(F.col("head").alias("a"), F.col("rep").alias("b"))), "parts")
+def _links(compared: DataFrame, least: float) -> DataFrame:
+    return compared.filter(F.col("similarity") >= least).select(F.col("head").alias("a"), F.col("rep").alias("b"))
 
 
 def op3_weighted_minhash(spark, sf_dir: str) -> DataFrame:

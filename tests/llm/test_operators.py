@@ -236,6 +236,28 @@ def test_large_group_of_near_copies(spark):
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
+def test_components_go_on_from_those_found(spark, docs, texts, monkeypatch):
+    """The exact join's links are added to the components so far; neither these nor their nodes are written once more."""
+    written, links = [], []
+    table, joined = minhash.materialise, minhash.components
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: written.append(name) or table(df, name))
+    monkeypatch.setattr(minhash, "components", lambda df: links.append({(r["a"], r["b"]) for r in df.collect()}) or joined(df))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert len(links) == 2 and not {"parts", "every"} & set(written)
+    first = brute_components({x for pair in links[0] for x in pair}, links[0])
+    assert {(a, b) for a, b in links[1] if first.get(a) == b} == set(first.items())
+    want = brute_classes([*texts, (None, "no id at all"), (3, texts[3][1])])
+    assert all(got[i] == want[i] for i in want)
+
+
+def brute_components(nodes, links):
+    of = {n: n for n in nodes}
+    while changed := [(a, b) for a, b in links if of[a] != of[b]]:
+        for a, b in changed:
+            of[a] = of[b] = min(of[a], of[b])
+    return of
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
