@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from barloom.sources.synthetic import derive_seed
 
 MIN_TRAIN_TRADES = 5
 DRAWS = 1 << 20  # trades of a path that are held at once
+CELLS = 1 << 25  # trades up to which amounts are repeated in a worker; beyond, the most cells of a table that finds them
 
 
 # walk-forward
@@ -121,10 +123,11 @@ def walk_forward(
 # resampling
 
 
-def _paths(spark: SparkSession, n_paths: int, seed: int, one) -> DataFrame:
-    """one(rng) -> (max drawdown, final) for each path; every path has a seed of its own, so tasks don't matter."""
+def _paths(spark: SparkSession, n_paths: int, seed: int, make) -> DataFrame:
+    """one(rng) -> (max drawdown, final) for each path, where one = make() in each task; every path has a seed of its own, so tasks don't matter."""
 
     def work(frames):
+        one = make()
         for frame in frames:
             got = [one(np.random.default_rng(derive_seed(seed, "path", str(i)))) for i in frame["id"]]
             yield pd.DataFrame(got, columns=["drawdown", "final"])
@@ -136,32 +139,79 @@ def _drawdown(equity: np.ndarray) -> float:
     return float((equity / np.maximum.accumulate(equity) - 1).min())
 
 
+def amounts(trades: DataFrame, column: str = "pnl") -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a column in order, and how many rows have each. They come to the driver packed, a partition at a time: 16 bytes a value."""
+
+    def pack(batches):
+        for b in batches:
+            x, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["x", "n"])
+
+    values, often = bytearray(), bytearray()
+    counted = trades.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).orderBy("x")
+    for row in counted.mapInArrow(pack, "x binary, n binary").toLocalIterator():
+        values += row["x"]
+        often += row["n"]
+    return np.frombuffer(values, "<f8"), np.frombuffer(often, "<i8")
+
+
+def _finder(ends: np.ndarray):
+    """find(drawn): as np.searchsorted(ends, drawn, "right") for numbers below ends[-1], begun at what a table has for each 2**shift of them."""
+    n = int(ends[-1])
+    shift = max(0, (n - 1).bit_length() - CELLS.bit_length() + 1)
+    cells = (n - 1 >> shift) + 1
+    begin = np.empty(cells, np.min_scalar_type(len(ends)))
+    for at in range(0, cells, DRAWS):
+        some = np.arange(at, min(at + DRAWS, cells))
+        begin[at : at + DRAWS] = np.searchsorted(ends, some << shift, "right")
+
+    def find(drawn):
+        found = begin[drawn >> shift]
+        short = np.flatnonzero(ends[found] <= drawn) if shift else ()
+        while len(short):
+            found[short] += 1
+            short = short[ends[found[short]] <= drawn[short]]
+        return found
+
+    return find
+
+
 def trade_bootstrap(spark: SparkSession, pnls: list[float], capital: float, n_paths: int, seed: int, ruin_pct: float, often: list[int] | None = None) -> dict:
     """Trades drawn with replacement; equity never falls below a millionth of a cent. often: how many trades have each of pnls (none: one)."""
     x = np.asarray(pnls, float)
     if not len(x):
         return {"error": "no trades"}
-    ends = None if often is None else np.cumsum(np.asarray(often, np.int64))
-    n = len(x) if ends is None else int(ends[-1])
-    held = spark.sparkContext.broadcast((x, ends))
-
-    def one(rng):
-        x, ends = held.value
-        level = peak = last = capital
-        worst = 0.0
-        for at in range(0, n, DRAWS):
-            drawn = rng.integers(0, n, min(DRAWS, n - at))
-            path = level + np.cumsum(x[drawn if ends is None else np.searchsorted(ends, drawn, "right")])
-            level = path[-1]
-            path = np.concatenate(([peak], np.maximum(path, 1e-9)))
-            worst = min(worst, _drawdown(path))
-            peak, last = path.max(), path[-1]
-        return worst, float(last)
-
-    r = _paths(spark, n_paths, seed, one).agg(
+    often = None if often is None else np.asarray(often, np.int64)
+    n = len(x) if often is None else int(often.sum())
+    held = spark.sparkContext.broadcast((x, often))
+
+    def make():
+        x, often = held.value
+        find = None
+        if often is not None and n <= CELLS:
+            x = np.repeat(x, often)
+        elif often is not None:
+            find = _finder(np.cumsum(often))
+
+        def one(rng):
+            level = peak = last = capital
+            worst = 0.0
+            for at in range(0, n, DRAWS):
+                drawn = rng.integers(0, n, min(DRAWS, n - at))
+                path = level + np.cumsum(x[drawn if find is None else find(drawn)])
+                level = path[-1]
+                path = np.concatenate(([peak], np.maximum(path, 1e-9)))
+                worst = min(worst, _drawdown(path))
+                peak, last = path.max(), path[-1]
+            return worst, float(last)
+
+        return one
+
+    r = _paths(spark, n_paths, seed, make).agg(
         F.percentile("drawdown", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.01))).alias("dd"), F.percentile("final", F.array(F.lit(0.05), F.lit(0.5))).alias("final"),
         F.avg((F.col("drawdown") <= -ruin_pct / 100).cast("double")).alias("ruin"), F.avg((F.col("final") < capital).cast("double")).alias("negative"),
     ).first()
+    held.destroy()
     return {
         "dd_p50": r["dd"][0], "dd_p95": r["dd"][1], "dd_p99": r["dd"][2], "risk_of_ruin": r["ruin"], "ruin_drawdown_pct": ruin_pct,
         "final_equity_p5": r["final"][0], "final_equity_p50": r["final"][1], "prob_negative": r["negative"]
@@ -182,7 +232,7 @@ def block_bootstrap(spark: SparkSession, returns: list[float], n_paths: int, see
         equity = np.cumprod(1 + x[(starts[:, None] + np.arange(size)).ravel()[:t]])
         return _drawdown(np.concatenate(([1.0], equity))), float(equity[-1] ** (252 / t) - 1)
 
-    r = _paths(spark, n_paths, seed, one).agg(
+    r = _paths(spark, n_paths, seed, lambda: one).agg(
         F.percentile("drawdown", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.01))).alias("dd"), F.percentile("final", F.array(F.lit(0.05), F.lit(0.5))).alias("final"),
         F.avg((F.col("drawdown") <= -ruin_pct / 100).cast("double")).alias("ruin"), F.avg((F.col("final") < 0).cast("double")).alias("negative"),
     ).first()

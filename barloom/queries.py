@@ -774,9 +774,9 @@ def bootstrap_blocks(spark, sf_dir):
 
 @query()
 def bootstrap_trades(spark, sf_dir):
-    # a row for each amount: whole cents in the range of prices, however many trades
-    pnls = _trade_like(spark, sf_dir).filter("scenario_id = 'R'").groupBy("pnl").agg(F.count("*").alias("n")).orderBy("pnl").collect()
-    got = validation.trade_bootstrap(spark, [x["pnl"] for x in pnls], 10_000_000.0, 2000, 7, 15.0, [x["n"] for x in pnls])
+    # a value for each amount: whole cents in the range of prices, however many trades
+    pnls, often = validation.amounts(_trade_like(spark, sf_dir).filter("scenario_id = 'R'"))
+    got = validation.trade_bootstrap(spark, pnls, 10_000_000.0, 2000, 7, 15.0, often)
     return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "stat string, value double")
 
 

@@ -89,6 +89,23 @@ def test_bootstrap_of_repeated_amounts_and_in_parts(spark, monkeypatch):
     assert got["final_equity_p50"] == pytest.approx(path[-1]) and got["dd_p50"] == pytest.approx((path / np.maximum.accumulate(path) - 1).min())
 
 
+def test_drawn_trades_are_found_in_a_table(monkeypatch):
+    rng = np.random.default_rng(3)
+    for cells in (1, 2, 8, 64, 1 << 25):
+        monkeypatch.setattr(validation, "CELLS", cells)
+        for often in ([1], [5], [1] * 100, [70, 1, 1, 1, 90, 2], rng.integers(1, 50, 300)):
+            ends = np.cumsum(often)
+            drawn = rng.permutation(np.arange(ends[-1]))
+            assert (validation._finder(ends)(drawn) == np.searchsorted(ends, drawn, "right")).all()
+
+
+def test_bootstrap_of_more_trades_than_cells(spark, monkeypatch):
+    pnls, often = [-300.0, 50.0, 125.0], [20, 70, 35]
+    whole = validation.trade_bootstrap(spark, np.repeat(pnls, often).tolist(), 100_000.0, 20, 7, 15.0)
+    monkeypatch.setattr(validation, "CELLS", 16)
+    assert validation.trade_bootstrap(spark, pnls, 100_000.0, 20, 7, 15.0, often) == whole
+
+
 def test_deflated_sharpe(spark):
     x = np.random.default_rng(5).standard_t(5, 500) * 0.01 + 0.0008
     r = spark.createDataFrame([(float(v),) for v in x], "r double")

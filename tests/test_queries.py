@@ -87,6 +87,21 @@ def test_bootstrap_draws_from_all_trades(spark, monkeypatch):
     assert sum(often) == n > 500 and sum(p * k for p, k in zip(pnls, often)) == pytest.approx(total)
 
 
+def test_bootstrap_takes_no_rows_to_the_driver(spark, monkeypatch):
+    asked, rows = [], []
+    monkeypatch.setattr(queries.validation, "trade_bootstrap", lambda spark, pnls, *rest: asked.append((pnls, rest[-1])) or {"n": 0.0})
+    kind = type(spark.range(1))
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow"):
+            m.setattr(kind, name, lambda self, *a, f=getattr(kind, name): rows.append(out := f(self, *a)) or out)
+        queries.bootstrap_trades(spark, SF)
+    assert sum(map(len, rows)) < 100
+    pnls, often = asked[0]
+    want = duckdb.connect().execute(f"SELECT round(l_extendedprice - 38000, 2) AS x, count(*) FROM read_parquet('{SF}/lineitem.parquet') WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY 1").fetchall()
+    assert len(want) > 1000 and pnls.tolist() == [x for x, _ in want] and often.tolist() == [n for _, n in want]
+    assert pnls.nbytes + often.nbytes == 16 * len(want)
+
+
 def test_chain_is_verified_by_ranges(spark, monkeypatch):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
