@@ -4,6 +4,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +78,64 @@ def curve_metrics(equity: DataFrame, key: str = "scenario_id", value: str = "equ
     return ends.join(of_returns, key, "left").join(underwater(equity, key, value), key, "left")
 
 
-def losing_streaks(trades: DataFrame, key: str = "scenario_id") -> DataFrame:
-    """key, longest_losing_streak: of trades by exit, then entry."""
-    w = Window.partitionBy(key).orderBy("exit_ts", "entry_ts", "symbol")
-    islands = trades.select(
-        key, (F.col("pnl") < 0).alias("lost"),
-        F.sum(F.when(F.col("pnl") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island")
+def _losing_runs(batches):
+    """Of sorted rows (key, lost, n): for each key's stretch, whether all were lost, the losing runs it begins and ends with, and the longest.
+
+    A run is kept as a sum from batch to batch, so nothing grows with the rows."""
+    part, seq, now, done = TaskContext.get().partitionId(), 0, None, []
+
+    def rows(kind):
+        columns = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 3))], ["key", "part", "seq", "whole", "head", "tail", "most"])
+
+    kind = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kind = b.schema.field(0).type
+        codes = b.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        lost, n = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for low, high in zip(edges, edges[1:]):
+            key = b.column(0)[low].as_py()
+            if now is None or now[0] != key:
+                if now:
+                    done.append(tuple(now))
+                now, seq = [key, part, seq, True, 0, 0, 0], seq + 1
+            stops = np.flatnonzero(~lost[low:high])
+            sums = np.concatenate(([0], np.cumsum(np.where(lost[low:high], n[low:high], 0))))
+            runs = np.diff(sums[stops], prepend=0, append=sums[-1])  # before the first stop, between stops, after the last
+            runs[0] += now[5]
+            if now[3]:
+                now[4] = int(runs[0])
+            now[3], now[5], now[6] = now[3] and not len(stops), int(runs[-1]), max(now[6], int(runs.max()))
+        if done:
+            yield rows(kind)
+            done = []
+    if now:
+        done = [tuple(now)]
+        yield rows(kind)
+
+
+def losing_streaks(trades: DataFrame, key: str = "scenario_id", often: str | None = None) -> DataFrame:
+    """key, longest_losing_streak: of trades by exit, then entry, then symbol; nulls come last. often: the column of how many trades a row stands for (none: one).
+
+    Ranges of the whole order, whatever the keys, are folded one by one; a row for each range and key is then joined."""
+    lost = F.coalesce(F.col("pnl") < 0, F.lit(False))
+    rows = trades.select(F.col(key).alias("key"), "exit_ts", "entry_ts", "symbol", lost.alias("lost"), (F.col(often) if often else F.lit(1)).cast("bigint").alias("n"))
+    order = [F.asc_nulls_last(c) for c in ("key", "exit_ts", "entry_ts", "symbol")] + [F.desc("lost")]
+    runs = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "lost", "n").mapInArrow(
+        _losing_runs, f"key {rows.schema['key'].dataType.simpleString()}, part int, seq bigint, whole boolean, head bigint, tail bigint, most bigint"
     )
-    return islands.groupBy(key, "island").agg(F.sum(F.when(F.col("lost"), 1).otherwise(0)).alias("n")).groupBy(key).agg(F.max("n").cast("bigint").alias("longest_losing_streak"))
+    start = F.struct(F.lit(0).cast("bigint").alias("now"), F.lit(0).cast("bigint").alias("most"))
+
+    def step(acc, x):
+        return F.struct(
+            F.when(x["whole"], acc["now"] + x["tail"]).otherwise(x["tail"]).alias("now"), F.greatest(acc["most"], x["most"], acc["now"] + x["head"]).alias("most")
+        )
+
+    ranges = F.array_sort(F.collect_list(F.struct("part", "seq", "whole", "head", "tail", "most")))  # of a key: as many as there are partitions, at most
+    return runs.groupBy(F.col("key").alias(key)).agg(ranges.alias("ranges")).select(key, F.aggregate("ranges", start, step, lambda acc: acc["most"]).alias("longest_losing_streak"))
 
 
 def trade_stats(trades: DataFrame, initial_capital: float, keys: DataFrame | None = None, key: str = "scenario_id") -> DataFrame:

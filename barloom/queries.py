@@ -437,8 +437,9 @@ def trade_stats(spark, sf_dir):
 @query(f"""WITH {_TRADES}, g AS (SELECT *, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY scenario_id ORDER BY exit_ts, entry_ts, pnl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM t),
  k AS (SELECT scenario_id, g, sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS k FROM g GROUP BY 1, 2) SELECT scenario_id, CAST(max(k) AS BIGINT) AS longest_losing_streak FROM k GROUP BY 1""")
 def losing_streak(spark, sf_dir):
-    t = _trade_like(spark, sf_dir)
-    return metrics.losing_streaks(t.withColumn("symbol", F.col("pnl")))
+    # by amount, losses come first: of one exit and entry there are two rows, however many trades
+    t = _trade_like(spark, sf_dir).groupBy("scenario_id", "exit_ts", "entry_ts", F.coalesce(F.col("pnl") >= 0, F.lit(True)).alias("symbol"))
+    return metrics.losing_streaks(t.agg(F.min("pnl").alias("pnl"), F.count("*").alias("n")), often="n")
 
 
 # regimes, folds, statistics

@@ -48,6 +48,36 @@ def test_losing_streak(spark):
     assert metrics.losing_streaks(trades(spark, [5, -1, -1, -1, 5])).first()["longest_losing_streak"] == 3
 
 
+def test_losing_streaks_are_folded_in_ranges(spark):
+    rng = np.random.default_rng(4)
+    day = pd.Timestamp("2020-01-01").date()
+    rows = [(k, f"{i:05d}", day, day, float(p), 0.0, 0.0, 2) for k, m in ((None, 40), ("a", 3000), ("b", 1), ("c", 2000)) for i, p in enumerate(rng.choice([-1, -1, -1, 0, 1], m))]  # all end on one day
+    rows += [("d", f"{i:05d}", day, day, -1.0, 0.0, 0.0, 2) for i in range(3000)] + [("e", "x", day, day, None, 0.0, 0.0, 2)]
+    want, runs = {}, {}
+    for k, *_, pnl, _, _, _ in rows:
+        runs[k] = runs.get(k, 0) + 1 if pnl is not None and pnl < 0 else 0
+        want[k] = max(want.get(k, 0), runs[k])
+    some = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], TRADE)
+    df = metrics.losing_streaks(some)
+    assert {r["scenario_id"]: r["longest_losing_streak"] for r in df.collect()} == want and want["d"] == 3000
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()  # which would sort each scenario in one task
+    for n, size in (("1", "10000"), ("13", "7")):  # stretches that go over ranges and batches
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {r["scenario_id"]: r["longest_losing_streak"] for r in metrics.losing_streaks(some).collect()}
+        for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
+    assert metrics.losing_streaks(some.limit(0)).count() == 0
+
+
+def test_losing_streak_of_rows_that_stand_for_many(spark):
+    some = trades(spark, [5, -1, -1, 2, -1]).withColumn("n", F.when(F.col("pnl") == 2, 9).otherwise(F.col("pnl") + 3))
+    assert metrics.losing_streaks(some, often="n").first()["longest_losing_streak"] == 4
+
+
 def test_against_itself(spark):
     rng = np.random.default_rng(9)
     d = pd.bdate_range("2020-01-01", periods=300)

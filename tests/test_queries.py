@@ -87,6 +87,16 @@ def test_bootstrap_draws_from_all_trades(spark, monkeypatch):
     assert sum(often) == n > 500 and sum(p * k for p, k in zip(pnls, often)) == pytest.approx(total)
 
 
+def test_losing_streak_of_nulls_equals_its_sql(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"""CREATE VIEW lineitem AS SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN l_extendedprice / 2 END AS l_extendedprice, CASE WHEN l_suppkey % 5 <> 0 THEN l_shipdate END AS l_shipdate,
+      CASE WHEN l_linenumber <> 2 THEN l_returnflag END AS l_returnflag) FROM read_parquet('{SF}/lineitem.parquet')""")
+    c.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = queries.losing_streak(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(c.execute(queries.ORACLE["losing_streak"]).fetchall(), key=repr)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bootstrap_takes_no_rows_to_the_driver(spark, monkeypatch):
     asked, rows = [], []
     monkeypatch.setattr(queries.validation, "trade_bootstrap", lambda spark, pnls, *rest: asked.append((pnls, rest[-1])) or {"n": 0.0})
